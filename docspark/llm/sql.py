@@ -34,6 +34,14 @@ items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item
 
 ORACLES = {
     "op1_line_dedup": f"SELECT doc_id, n_lines, n_dropped, sha256(kept) AS kept_sha256 FROM ({LINE_DEDUP.format(docs='documents')})",
+    "op2_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+w AS (SELECT page_id, strlen(html) AS payload_bytes, h, max(page_id) OVER (PARTITION BY h) AS top FROM p),
+b AS (SELECT h, array_to_string(list_transform(string_split(h, ''), lambda x: lpad(bin(strpos('0123456789abcdef', x) - 1), 4, '0')), '') AS bits FROM (SELECT DISTINCT h FROM p)),
+d AS (SELECT h, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+        list_sum(list_transform(range(1, 6), lambda j: CASE WHEN substr(bits, 5 * i + j, 1) = '1' THEN 2 ** (5 - j) ELSE 0 END))::INTEGER + 1, 1)), '') AS payload_digest FROM b)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> top THEN top END AS refers_to FROM w JOIN d ON w.h = d.h""",
     "op7_decontaminate": BENCHMARK_HITS.format(docs="documents")
     + """SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
        sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
