@@ -164,7 +164,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     n = fresh(docs, "hit_words")
     found = stored(benchmark_hits(docs, items, id_col, text_col, item_id, item_text, size).where("hits is not null").groupBy("doc_id", "n_words").agg(F.first("hits").alias("hits")), "hits")
     marks = found.select(F.col("doc_id").alias(key), F.col("n_words").alias(n), F.col("hits").alias(mark))
-    joined = docs.join(marks, docs[id_col] == marks[key], "left").drop(key)
+    joined = docs.join(marks.hint("merge"), docs[id_col] == marks[key], "left").drop(key)
     at, width = docs.columns.index(text_col), len(docs.columns)
 
     def run(batches):

@@ -145,7 +145,8 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", t
     """
     key, bitmap = fresh(docs, "line_id"), fresh(docs, "line_keep")
     marks = bitmaps.select(F.col("doc_id").alias(key), F.col("keep").alias(bitmap))
-    joined = docs.join(marks, docs[id_col] == marks[key], "left").drop(key)
+    # A merge join at every size: bitmaps grow with the input, so they aren't broadcast even where they would still fit.
+    joined = docs.join(marks.hint("merge"), docs[id_col] == marks[key], "left").drop(key)
     at, keep_at = docs.columns.index(text_col), len(docs.columns)
     fields = [f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema] + ["n_lines long", "n_dropped long"] * counts
 
