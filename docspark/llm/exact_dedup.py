@@ -37,6 +37,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     best = F.min(F.struct((-F.col("n_chars")).alias("n"), F.col("doc_id").isNull().alias("no_id"), "doc_id"))
     groups = hashed.where("again").groupBy("full").agg(F.count("*").alias("group_size"), best.alias("best")).where("group_size > 1")
     groups = groups.select("full", "group_size", F.col("best.doc_id").alias("keep_id"), F.lit(True).alias("grouped"))
+    groups = stored(groups, "groups")  # so that the join below shuffles by itself and Spark can split a hot group
     out = hashed.join(groups, "full", "left").select(
         "doc_id",
         F.when(F.col("grouped"), F.col("keep_id")).otherwise(F.col("doc_id")).alias("keep_id"),
