@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from . import decontaminate as decon
 from . import exact_dedup as exact
 from . import line_dedup as lines
-from . import mixing, pii, toxicity, warc
+from . import lm, mixing, pii, toxicity, warc
 from .sql import ORACLES
 
 DIGEST = "doc_id"
@@ -41,6 +41,14 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", toxicity.held_out(F.col("doc_id"), 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = toxicity.held_out(F.col("doc_id"), 1)
+    vocab, model, words = lm.fit(docs.where(~held_out).select(F.coalesce("text", F.lit("")).alias("text")))
+    out = lm.score(docs, vocab, model, words)
+    return out.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(vocab.n_tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decon.contamination(decon.benchmark_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
@@ -55,7 +63,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *count, F.sha2(pii.listed(F.col("base")), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_warc, op3_mix_sources, op4_toxicity, op7_decontaminate, op9_exact_dedup, op10_pii)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_warc, op3_mix_sources, op4_toxicity, op5_lm_score, op7_decontaminate, op9_exact_dedup, op10_pii)}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
