@@ -85,26 +85,26 @@ def text_offsets(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0] : off[-1]], off - off[0]
 
 
-def bloom_bits(df: DataFrame, key: str, log2_bits: int = 25) -> np.ndarray:
-    """A Bloom filter (two probes) of a long column, as 2**log2_bits bits on the driver.
+def bloom_bits(df: DataFrame, key: str, log2_bits: int) -> np.ndarray:
+    """A Bloom filter (two probes) of a column of well-mixed longs, as 2**log2_bits bits on the driver; log2_bits is 6 to 32.
 
     Spark ORs the bits; the driver gets 2**(log2_bits-6) words at most however many keys there are, so the size is bounded.
     False positives only cost work: callers join exactly afterwards.
     """
     mask = (1 << log2_bits) - 1
-    probes = df.select(F.explode(F.array(F.col(key), F.xxhash64(key))).alias("h")).select((F.col("h").bitwiseAND(mask)).alias("b"))
-    words = probes.groupBy(F.shiftright("b", 6).alias("w")).agg(F.bit_or(F.shiftleft(F.lit(1).cast("long"), F.col("b").bitwiseAND(63).cast("int"))).alias("v"))
-    got = words.toPandas()
+    probes = df.select(F.explode(F.array(F.col(key), F.shiftrightunsigned(key, 32))).alias("h")).select(F.col("h").bitwiseAND(F.lit(mask)).alias("b"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("b").bitwiseAND(F.lit(63)).cast("int"))
+    got = probes.groupBy(F.shiftright("b", 6).alias("w")).agg(F.bit_or(bit).alias("v")).toPandas()
     out = np.zeros(1 << (log2_bits - 6), np.uint64)
     out[got.w.to_numpy(np.int64)] = got.v.to_numpy(np.int64).view(np.uint64)
     return out
 
 
-def in_bloom(bits: np.ndarray, first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    """Which keys may be in the filter; ``first`` the keys and ``second`` their Spark xxhash64, both uint64."""
+def in_bloom(bits: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Which keys (uint64) may be in the filter."""
     mask = np.uint64(len(bits) * 64 - 1)
-    hit = np.ones(len(first), bool)
-    for h in (first, second):
+    hit = np.ones(len(key), bool)
+    for h in (key, key >> np.uint64(32)):
         b = h & mask
         hit &= ((bits[(b >> np.uint64(6)).astype(np.int64)] >> (b & np.uint64(63))) & np.uint64(1)).astype(bool)
     return hit

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from . import decontaminate as decon
 from . import exact_dedup as exact
 from . import line_dedup as lines
-from . import lm, mixing, pii, toxicity, warc
+from . import jaccard_join, lm, mixing, pii, toxicity, warc
 from .sql import ORACLES
 
 DIGEST = "doc_id"
@@ -53,6 +53,10 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decon.contamination(decon.benchmark_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(table(spark, sf_dir, "documents"), digest=True)
 
@@ -63,7 +67,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *count, F.sha2(pii.listed(F.col("base")), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_warc, op3_mix_sources, op4_toxicity, op5_lm_score, op7_decontaminate, op9_exact_dedup, op10_pii)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_warc, op3_mix_sources, op4_toxicity, op5_lm_score, op7_decontaminate, op8_jaccard_join, op9_exact_dedup, op10_pii)}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
