@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from . import decontaminate as decon
 from . import exact_dedup as exact
 from . import line_dedup as lines
-from . import jaccard_join, lm, mixing, pii, toxicity, warc
+from . import chat, jaccard_join, lm, mixing, pii, toxicity, warc
 from .sql import ORACLES
 
 DIGEST = "doc_id"
@@ -49,6 +49,13 @@ def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(vocab.n_tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
+def op6_link_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    param = "struct<name:string,type:string,required:boolean>"
+    tools = spark.createDataFrame([("answer", [("text", "string", True), ("words", "integer", True), ("after", "string", False)]), ("explain", [("text", "string", True), ("words", "string", True)])], f"name string, params array<{param}>")
+    out = chat.link_tool_calls(chat.chats_as_tool_calls(table(spark, sf_dir, "conversations")), tools)
+    return out.select("conv_id", "turn", "role", "kind", "call_id", "problems", "seq", F.sha2("json", 256).alias("json_sha256"))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decon.contamination(decon.benchmark_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
@@ -67,7 +74,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *count, F.sha2(pii.listed(F.col("base")), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_warc, op3_mix_sources, op4_toxicity, op5_lm_score, op7_decontaminate, op8_jaccard_join, op9_exact_dedup, op10_pii)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_warc, op3_mix_sources, op4_toxicity, op5_lm_score, op6_link_tool_calls, op7_decontaminate, op8_jaccard_join, op9_exact_dedup, op10_pii)}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -42,6 +42,25 @@ d AS (SELECT h, array_to_string(list_transform(range(0, 32), lambda i: substr('A
         list_sum(list_transform(range(1, 6), lambda j: CASE WHEN substr(bits, 5 * i + j, 1) = '1' THEN 2 ** (5 - j) ELSE 0 END))::INTEGER + 1, 1)), '') AS payload_digest FROM b)
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
        CASE WHEN page_id <> top THEN top END AS refers_to FROM w JOIN d ON w.h = d.h""",
+    "op6_link_tool_calls": r"""
+WITH c AS (SELECT conv_id, turn, role, coalesce(text, '') AS text, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS words FROM conversations),
+calls AS (SELECT u.conv_id, u.turn, 'assistant' AS role, 'call' AS kind, 'c' || u.turn AS call_id, u.words, u.text,
+                 CASE WHEN u.words < 60 THEN 'answer' ELSE 'explain' END AS name, coalesce(a.text, '') AS result, a.turn IS NULL AS unanswered,
+                 u.turn >= 2 AND b.turn IS NULL AS dangling
+          FROM c u LEFT JOIN c a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant'
+                   LEFT JOIN c b ON b.conv_id = u.conv_id AND b.turn = u.turn - 2 AND b.role = 'user' WHERE u.role = 'user'),
+r AS (SELECT conv_id, turn, role, kind, call_id, array_to_string(list_filter([
+               CASE WHEN name = 'explain' THEN 'type:words' END, CASE WHEN name = 'explain' AND turn >= 2 THEN 'unexpected:after' END,
+               CASE WHEN dangling THEN 'reference:c' || (turn - 2) END, CASE WHEN unanswered THEN 'no result' END], lambda x: x IS NOT NULL), ',') AS problems,
+             CASE WHEN turn >= 2 THEN json_object('arguments', json_object('after', '$c' || (turn - 2), 'text', text, 'words', words), 'id', call_id, 'name', name, 'refs', ['c' || (turn - 2)], 'result', result, 'role', role)
+                  ELSE json_object('arguments', json_object('text', text, 'words', words), 'id', call_id, 'name', name, 'refs', []::VARCHAR[], 'result', result, 'role', role) END AS json FROM calls
+      UNION ALL
+      SELECT a.conv_id, a.turn, 'tool', 'result', 'c' || (a.turn - 1), CASE WHEN u.turn IS NULL THEN 'orphan' ELSE '' END,
+             json_object('content', a.text, 'id', 'c' || (a.turn - 1), 'role', 'tool')
+      FROM c a LEFT JOIN c u ON u.conv_id = a.conv_id AND u.turn = a.turn - 1 AND u.role = 'user' WHERE a.role = 'assistant'
+      UNION ALL
+      SELECT conv_id, turn, role, 'message', NULL, '', json_object('content', text, 'role', role) FROM c WHERE role NOT IN ('user', 'assistant'))
+SELECT conv_id, turn, role, kind, call_id, problems, row_number() OVER (PARTITION BY conv_id ORDER BY turn, kind) AS seq, sha256(json::VARCHAR) AS json_sha256 FROM r""",
     "op7_decontaminate": BENCHMARK_HITS.format(docs="documents")
     + """SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
        sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
