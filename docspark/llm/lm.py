@@ -71,8 +71,9 @@ class Vocabulary:
         h = top.h.to_numpy(np.int64).view(np.uint64)
         order = np.argsort(h)
         self.h, self.c = h[order], top.c.to_numpy(np.int64)[order]
-        rank = np.arange(len(h))[order]
-        self.index = np.where(rank < head, rank + 1, -1)
+        first = h[:head]
+        by_hash = np.argsort(first)
+        self.head_h, self.head_class = first[by_hash], (by_hash + 1).astype(np.int16)
         count = np.zeros(self.size)
         distinct = np.zeros(self.size)
         count[1 + head + by_class.cls.to_numpy(int)] = by_class.c.to_numpy(float)
@@ -83,19 +84,25 @@ class Vocabulary:
         self.class_count[0] = n_ends
         self.base = math.log10(n_tokens + 0.5 * (n_distinct + 1))
 
-    def look_up(self, t: Tokens) -> tuple[np.ndarray, np.ndarray]:
-        """Class of each token, and its count; -1 where the count isn't among the common ones."""
-        n = len(t.h)
-        cls, c = 1 + self.head + t.suffix.astype(np.int64), np.full(n, -1, np.int64)
+    def classes(self, t: Tokens) -> np.ndarray:
+        """Class of each token."""
+        cls = (1 + self.head + t.suffix).astype(np.int16)
+        if len(self.head_h):
+            at = np.minimum(np.searchsorted(self.head_h, t.h), len(self.head_h) - 1)
+            own = self.head_h[at] == t.h
+            cls[own] = self.head_class[at[own]]
+        cls[t.is_end] = 0
+        return cls
+
+    def counts(self, t: Tokens) -> np.ndarray:
+        """Count of each token; -1 where it isn't among the common ones."""
+        c = np.full(len(t.h), -1, np.int64)
         if len(self.h):
             at = np.minimum(np.searchsorted(self.h, t.h), len(self.h) - 1)
             known = self.h[at] == t.h
             c[known] = self.c[at[known]]
-            own = known & (self.index[at] > 0)
-            cls[own] = self.index[at[own]]
-        cls[t.is_end] = 0
         c[t.is_end] = int(self.class_count[0])
-        return cls, c
+        return c
 
 
 class LogBilinear:
@@ -113,14 +120,12 @@ class LogBilinear:
             "b": np.log(p).astype(np.float32),
         }
 
-    def contexts(self, cls: np.ndarray, first: np.ndarray, row: np.ndarray) -> np.ndarray:
-        """Classes of the tokens before each one; n where the text hasn't begun."""
-        out = np.full((len(cls), self.context), self.n, np.int64)
-        place = np.arange(len(cls)) - first[row]
-        for k in range(1, self.context + 1):
-            ok = place >= k
-            out[ok, k - 1] = cls[np.flatnonzero(ok) - k]
-        return out
+    def contexts(self, cls: np.ndarray, row: np.ndarray) -> np.ndarray:
+        """(context, tokens): the class k + 1 tokens before each one; n where the text hasn't begun."""
+        at = np.arange(len(cls)) + (row + 1) * self.context
+        padded = np.full(len(cls) + (int(row[-1]) + 1 if len(row) else 0) * self.context, self.n, np.int16)
+        padded[at] = cls
+        return np.stack([padded[at - k] for k in range(1, self.context + 1)])
 
     def train(self, streams, batch: int, noise: int, rate: float, seed: int) -> int:
         """One pass of noise-contrastive estimation over (cls, contexts) chunks, with Adagrad; the tokens of a batch share their noise words."""
@@ -128,24 +133,24 @@ class LogBilinear:
         p, log_kp = self.parts, np.log(noise * self.noise).astype(np.float32)
         square = {k: np.full(v.shape, 1e-4, np.float32) for k, v in p.items()}
         cdf, seen = np.cumsum(self.noise), 0
+        slot = (np.arange(self.context) * (self.n + 1)).astype(np.int16)[:, None]
         for cls, ctx in streams:
             for i in range(0, len(cls), batch):
-                t, x = cls[i : i + batch], ctx[i : i + batch]
+                t, x = cls[i : i + batch], ctx[:, i : i + batch]
                 m = len(t)
                 z = np.minimum(np.searchsorted(cdf, r.random(noise)), self.n - 1)
-                e = p["Q"][x]
-                hidden = np.einsum("mjd,jdf->mf", e, p["C"], optimize=True)
+                hidden = self._hidden(np.matmul(p["Q"], p["C"]), x)
                 wt, wz = p["W"][t], p["W"][z]
-                good = 1 / (1 + np.exp(np.clip((hidden * wt).sum(1) + p["b"][t] - log_kp[t], -30, 30)))
-                bad = -1 / (1 + np.exp(np.clip(-(hidden @ wz.T + p["b"][z] - log_kp[z]), -30, 30)))
+                good = 1 / (1 + np.exp(np.clip(np.einsum("md,md->m", hidden, wt) + p["b"][t] - log_kp[t], -30, 30)))
+                bad = -1 / (1 + np.exp(np.clip((log_kp[z] - p["b"][z]) - hidden @ wz.T, -30, 30)))
                 d_hidden = good[:, None] * wt + bad @ wz
-                grad = {k: np.zeros_like(v) for k, v in p.items()}
-                _scatter(grad["W"], t, good[:, None] * hidden)
-                np.add.at(grad["W"], z, bad.T @ hidden)
-                grad["b"] += np.bincount(t, good, self.n).astype(np.float32)
-                np.add.at(grad["b"], z, bad.sum(0))
-                grad["C"] += np.einsum("mjd,mf->jdf", e, d_hidden, optimize=True)
-                _scatter(grad["Q"], x.ravel(), np.einsum("mf,jdf->mjd", d_hidden, p["C"], optimize=True).reshape(-1, self.dim))
+                grad_w, grad_b = _scattered(t, good[:, None] * hidden, self.n), np.bincount(t, good, self.n).astype(np.float32)
+                np.add.at(grad_w, z, bad.T @ hidden)
+                np.add.at(grad_b, z, bad.sum(0))
+                # What each position passes down, summed by class, gives both the words' and the positions' gradients.
+                down = _scattered((x + slot).ravel(), np.broadcast_to(d_hidden, (self.context, *d_hidden.shape)).reshape(-1, self.dim), self.context * (self.n + 1))
+                down = down.reshape(self.context, self.n + 1, self.dim)
+                grad = {"Q": np.matmul(down, p["C"].transpose(0, 2, 1)).sum(0), "C": np.matmul(p["Q"].T, down), "W": grad_w, "b": grad_b}
                 for k, g in grad.items():
                     g /= m
                     square[k] += g * g
@@ -153,6 +158,12 @@ class LogBilinear:
                 seen += m
         return seen
 
+    def _hidden(self, moved: np.ndarray, x: np.ndarray) -> np.ndarray:
+        out = moved[0][x[0]]
+        for k in range(1, self.context):
+            out += moved[k][x[k]]
+        return out
+
     def flat(self) -> np.ndarray:
         return np.concatenate([v.ravel() for v in self.parts.values()])
 
@@ -162,32 +173,36 @@ class LogBilinear:
             self.parts[k] = values[at : at + v.size].reshape(v.shape).astype(np.float32)
             at += v.size
 
-    def log10_probs(self, cls: np.ndarray, ctx: np.ndarray, rows: int = 4096) -> np.ndarray:
+    def log10_probs(self, cls: np.ndarray, ctx: np.ndarray, rows: int = 1024) -> np.ndarray:
         """log10 p(class | context) of each token, normalised over all classes by batched matrix products."""
         p = self.parts
-        moved = np.stack([p["Q"] @ c for c in p["C"]])
-        wt = np.ascontiguousarray(p["W"].T)
-        out = np.empty(len(cls))
+        moved = np.matmul(p["Q"], p["C"])
+        # The bias is one more column; scores stay far below float32's range unless this bound says otherwise.
+        moved = np.concatenate([moved, np.full((*moved.shape[:2], 1), 1 / self.context, np.float32)], axis=2).astype(np.float32)
+        wt = np.ascontiguousarray(np.concatenate([p["W"], p["b"][:, None]], axis=1).T)
+        bound = np.sqrt((moved**2).sum(2)).max(1).sum() * np.sqrt((wt**2).sum(0)).max()
+        out, s = np.empty(len(cls)), np.empty((rows, self.n), np.float32)
+        at = np.arange(rows)
         for i in range(0, len(cls), rows):
-            x, t = ctx[i : i + rows], cls[i : i + rows]
-            hidden = moved[0][x[:, 0]]
-            for k in range(1, self.context):
-                hidden += moved[k][x[:, k]]
-            s = hidden @ wt
-            s += p["b"]
-            s -= s.max(1, keepdims=True)
-            picked = s[np.arange(len(t)), t]
-            np.exp(s, out=s)
-            out[i : i + rows] = picked - np.log(s.sum(1))
+            t = cls[i : i + rows]
+            m = len(t)
+            scores = np.matmul(self._hidden(moved, ctx[:, i : i + rows]), wt, out=s[:m])
+            if bound > 80:
+                scores -= scores.max(1, keepdims=True)
+            picked = scores[at[:m], t]
+            np.exp(scores, out=scores)
+            out[i : i + m] = picked - np.log(scores.sum(1))
         return out / math.log(10)
 
 
-def _scatter(into: np.ndarray, at: np.ndarray, values: np.ndarray) -> None:
-    """Add rows of ``values`` at rows ``at``."""
+def _scattered(at: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """Sums of the rows of ``values`` by ``at`` (small integers)."""
     order = np.argsort(at, kind="stable")
     key = at[order]
     first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    into[key[first]] += np.add.reduceat(values[order], first, axis=0)
+    out = np.zeros((n, values.shape[1]), np.float32)
+    out[key[first]] = np.add.reduceat(values[order], first, axis=0)
+    return out
 
 
 def fit(train: DataFrame, head: int = 255, suffixes: int = 128, common: int = 1 << 17, context: int = 6, dim: int = 16, batch: int = 1024, noise: int = 32, rate: float = 0.05, seed: int = 1) -> tuple[Vocabulary, LogBilinear, DataFrame]:
@@ -202,7 +217,16 @@ def fit(train: DataFrame, head: int = 255, suffixes: int = 128, common: int = 1
     words = counts.where(F.col("h") != END_SIGNED)
     sums = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     ends = counts.where(F.col("h") == END_SIGNED).select("c").first()
-    top = words.orderBy(F.desc("c"), "h").limit(common).select("h", "c").toPandas().sort_values(["c", "h"], ascending=[False, True], ignore_index=True)
+    # All words counted at least as often as some step of a fine scale of counts, as many steps as fit into ``common`` words: no sort.
+    step = F.floor(8 * F.log2("c"))
+    floor, left = math.inf, common
+    for r in words.groupBy(step.alias("s")).agg(F.count("*").alias("n"), F.min("c").alias("least")).orderBy(F.desc("s")).collect():
+        left -= r.n
+        if left < 0:
+            break
+        floor = r.least
+    top = words.where(F.col("c") >= (floor if floor < math.inf else -1)).select("h", "c") if floor < math.inf else words.select("h", "c").limit(0)
+    top = top.toPandas().sort_values(["c", "h"], ascending=[False, True], ignore_index=True)
     by_class = words.groupBy("cls").agg(F.sum("c").alias("c"), F.count("*").alias("n")).toPandas()
     # Words that are classes of their own don't count in the class of their suffix.
     own = words.join(F.broadcast(spark.createDataFrame(top.head(head), "h long, c long").select("h")), "h").groupBy("cls").agg(F.sum("c").alias("oc"), F.count("*").alias("on")).toPandas()
@@ -220,10 +244,10 @@ def fit(train: DataFrame, head: int = 255, suffixes: int = 128, common: int = 1
         def chunks():
             for b in slices(batches, 0, 1 << 20):
                 t = Tokens(b.column(0), vocab.suffixes)
-                cls, _ = vocab.look_up(t)
-                ctx = model.contexts(cls, t.first, t.row)
+                cls = vocab.classes(t)
+                ctx = model.contexts(cls, t.row)
                 order = np.random.default_rng(part).permutation(len(cls))
-                yield cls[order], ctx[order]
+                yield cls[order], ctx[:, order]
 
         mine = LogBilinear(vocab, context, dim, seed)
         n = mine.train(chunks(), batch, noise, rate, seed + part)
@@ -268,32 +292,26 @@ def score(docs: DataFrame, vocab: Vocabulary, model: LogBilinear, words: DataFra
         vocab, model = shared.value
         for b in slices(batches, 2, 2 << 20):
             t = Tokens(b.column(2), vocab.suffixes)
-            cls, c = vocab.look_up(t)
+            cls, c = vocab.classes(t), vocab.counts(t)
             n = len(t.per_row)
             seen = np.log10(np.maximum(c, 0) + 0.5)
-            lp = model.log10_probs(cls, model.contexts(cls, t.first, t.row))
+            lp = model.log10_probs(cls, model.contexts(cls, t.row))
             lp += np.where(cls > vocab.head, seen - vocab.log_share[cls], 0.0)
-            by_row = lambda v: np.bincount(t.row, v, n)
-            cols = [b.column(0), b.column(1), pa.array(t.per_row.astype(np.int64)), pa.array(by_row((c > 0).astype(float)).astype(np.int64)), pa.array(by_row(seen - vocab.base)), pa.array(by_row(lp))]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "key", "n_tokens", "known", "base", "lp"])
-
-    def rare(batches):
-        vocab, _ = shared.value
-        for b in slices(batches, 1, 8 << 20):
-            t = Tokens(b.column(1), vocab.suffixes)
-            _, c = vocab.look_up(t)
             at = np.flatnonzero(c < 0)
             order = at[np.lexsort((t.h[at], t.row[at]))]
             row, h = t.row[order], t.h[order]
-            new = np.ones(len(row), bool)
-            new[1:] = (row[1:] != row[:-1]) | (h[1:] != h[:-1])
-            first = np.flatnonzero(new)
-            tf = np.diff(np.append(first, len(row)))
-            key = b.column(0).to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([pa.array(key[row[first]]), pa.array(_signed(h[first])), pa.array(tf.astype(np.int32))], ["key", "h", "tf"])
-
-    scored = rows.select("doc_id", "key", "text").mapInArrow(whole, f"doc_id {kind}, key long, n_tokens long, known long, base double, lp double")
-    tail = rows.select("key", "text").mapInArrow(rare, "key long, h long, tf int")
+            first = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (h[1:] != h[:-1])])) if len(row) else order
+            tf = np.diff(np.append(first, len(row))).astype(np.int32)
+            ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(row[first], minlength=n))]).astype(np.int32))
+            by_row = lambda v: np.bincount(t.row, v, n)
+            cols = [b.column(0), b.column(1), pa.array(t.per_row.astype(np.int64)), pa.array(by_row((c > 0).astype(float)).astype(np.int64)), pa.array(by_row(seen - vocab.base)), pa.array(by_row(lp))]
+            cols += [pa.ListArray.from_arrays(ends, pa.array(_signed(h[first]))), pa.ListArray.from_arrays(ends, pa.array(tf))]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "key", "n_tokens", "known", "base", "lp", "rare", "tf"])
+
+    scored = rows.select("doc_id", "key", "text").mapInArrow(whole, f"doc_id {kind}, key long, n_tokens long, known long, base double, lp double, rare array<long>, tf array<int>")
+    scored = stored(scored, "scored")
+    tail = scored.select("key", F.explode(F.arrays_zip("rare", "tf")).alias("r")).select("key", F.col("r.rare").alias("h"), F.col("r.tf").alias("tf"))
+    scored = scored.drop("rare", "tf")
     met = tail.join(words.select("h", "c").hint("merge"), "h")
     gain = met.groupBy("key").agg(F.sum(F.col("tf") * (F.log10(F.col("c") + 0.5) - math.log10(0.5))).alias("gain"), F.sum("tf").alias("rare_known"))
     both = scored.join(gain.withColumnRenamed("key", "_key"), F.col("key") == F.col("_key"), "left").drop("_key")
