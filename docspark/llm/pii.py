@@ -65,13 +65,14 @@ def base_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return rows.withColumn("base", F.concat(*[matches(k, F.col("text")) for k in KINDS]))
 
 
-def revealing_terms(spans: DataFrame, words: DataFrame, min_contexts: int = 3, min_share: float = 0.5, min_bits: float = 4.0, near: int = 3, broadcast_rows: int = 50_000) -> tuple[DataFrame, DataFrame]:
-    """Terms that give an entity away, and (doc_id, term) of the documents that hold one.
+def revealing_terms(spans: DataFrame, words: DataFrame, min_contexts: int = 3, min_share: float = 0.5, min_bits: float = 4.0, near: int = 3) -> DataFrame:
+    """Terms that give an entity away: entity, term, contexts, together, term_docs, entity_docs, share, bits.
 
     ``spans`` (doc_id, base), ``words`` (doc_id, term: the distinct words of each document), both over the whole corpus.  An
     entity is a kind and a normalised value.  A term near it (one of ``near`` words on either side) reveals it if the two meet in
     ``min_contexts`` different surroundings, if of all documents that have the term a share of ``min_share`` have it near the entity
     (p(entity | term)), and if that is ``min_bits`` bits above the entity's own share: log2(p(entity | term) / p(entity)).
+    Document counts of terms are summed before they meet the candidates, so no join has a row per document.
     """
     one = spans.select("doc_id", F.explode("base").alias("s"))
     clean = lambda c: F.lower(F.regexp_replace(c, PATTERNS["email"], " 0 "))
@@ -82,32 +83,32 @@ def revealing_terms(spans: DataFrame, words: DataFrame, min_contexts: int = 3, m
     entities = around.groupBy("entity").agg(F.count_distinct("doc_id").alias("entity_docs"))
     met = around.select("doc_id", "entity", "context", F.explode(F.array_distinct(F.concat("l", "r"))).alias("term")).where(F.length("term") >= 3)
     met = met.groupBy("entity", "term").agg(F.count_distinct("context").alias("contexts"), F.count_distinct("doc_id").alias("together")).where(F.col("contexts") >= min_contexts)
-    met = stored(met, "terms")
-    wanted = met.select("term").distinct()
-    if met.count() <= broadcast_rows:
-        wanted = F.broadcast(wanted)
-    has = stored(words.join(wanted, "term"), "term-docs")
-    counts = has.groupBy("term").agg(F.count("*").alias("term_docs"))
+    counts = words.groupBy("term").agg(F.count("*").alias("term_docs"))
     n = spans.count()
     scored = met.join(counts, "term").join(entities, "entity").withColumn("share", F.col("together") / F.col("term_docs"))
     scored = scored.withColumn("bits", F.log2(F.col("share") * F.lit(float(max(n, 1))) / F.col("entity_docs")))
-    chosen = stored(scored.where((F.col("share") >= min_share) & (F.col("bits") >= min_bits)), "revealing")
-    return chosen, has.join(chosen.select("term").distinct(), "term").select("doc_id", "term")
+    return stored(scored.where((F.col("share") >= min_share) & (F.col("bits") >= min_bits)), "revealing")
 
 
-def find_private(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **thresholds) -> DataFrame:
+def find_private(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", literal_terms: int = 5000, **thresholds) -> DataFrame:
     """A row per document: doc_id, text, base and spans, arrays of {kind, start, end, value}; spans has the base ones and those of kind 'term'.
 
     Base kinds by pattern and check (see PATTERNS); terms by ``revealing_terms``, wherever in the corpus they stand, unless inside a
-    base span.  Null text is empty and has no spans.  Rows without an id have base spans only and count in no statistics; rows that repeat an id count as one document in the
+    base span.  Up to ``literal_terms`` of them are looked for in place; more are joined with the documents' words.  Null text is empty and has no spans.  Rows without an id have base spans only and count in no statistics; rows that repeat an id count as one document in the
     statistics and are searched each on its own.  Without entities there are no terms.
     """
     found = stored(base_spans(docs, id_col, text_col).select("doc_id", "base", "text"), "base")
     known = found.where("doc_id is not null")
     words = known.select("doc_id", F.explode(F.array_distinct(F.split(F.lower("text"), _TERM))).alias("term")).where(F.length("term") >= 3)
-    _, held = revealing_terms(known.select("doc_id", "base"), words, **thresholds)
-    per_doc = held.groupBy("doc_id").agg(F.array_sort(F.collect_set("term")).alias("terms"))
-    joined = found.join(per_doc.select(F.col("doc_id").alias("_term_id"), "terms"), F.col("doc_id") == F.col("_term_id"), "left").drop("_term_id")
+    chosen = revealing_terms(known.select("doc_id", "base"), words, **thresholds).select("term").distinct()
+    some = [r.term for r in chosen.limit(literal_terms + 1).collect()]
+    if len(some) <= literal_terms:
+        own = F.array_intersect(F.split(F.lower("text"), _TERM), F.array(*map(F.lit, sorted(some))).cast("array<string>"))
+        joined = found.withColumn("terms", F.array_sort(own)) if some else found.withColumn("terms", F.lit(None).cast("array<string>"))
+        joined = joined.withColumn("terms", F.when(F.size("terms") > 0, F.col("terms")))
+    else:
+        held = words.join(chosen, "term").groupBy("doc_id").agg(F.array_sort(F.collect_set("term")).alias("terms"))
+        joined = found.join(held.select(F.col("doc_id").alias("_term_id"), "terms").hint("merge"), F.col("doc_id") == F.col("_term_id"), "left").drop("_term_id")
     pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join("terms", "|"), F.lit(r")(?!\p{L})"))
     hits, gaps = F.regexp_extract_all("text", pattern, F.lit(0)), F.split("text", pattern, -1)
     pairs = F.arrays_zip(hits.alias("m"), F.slice(gaps, 1, F.size(hits)).alias("l"))
