@@ -1,9 +1,9 @@
 """Registered queries: each operator over the given tables, with its SQL."""
 
-from . import history, quality
+from . import history, quality, text, translation
 from .registry import QUERIES, SQL
 
-__all__ = ["history", "oracle_sql", "quality", "queries"]
+__all__ = ["history", "oracle_sql", "quality", "queries", "text", "translation"]
 
 
 def queries():
