@@ -94,9 +94,9 @@ def bloom_bits(df: DataFrame, key: str, log2_bits: int) -> np.ndarray:
     mask = (1 << log2_bits) - 1
     probes = df.select(F.explode(F.array(F.col(key), F.shiftrightunsigned(key, 32))).alias("h")).select(F.col("h").bitwiseAND(F.lit(mask)).alias("b"))
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("b").bitwiseAND(F.lit(63)).cast("int"))
-    got = probes.groupBy(F.shiftright("b", 6).alias("w")).agg(F.bit_or(bit).alias("v")).toPandas()
+    got = probes.groupBy(F.shiftright("b", 6).alias("w")).agg(F.bit_or(bit).alias("v")).toArrow()
     out = np.zeros(1 << (log2_bits - 6), np.uint64)
-    out[got.w.to_numpy(np.int64)] = got.v.to_numpy(np.int64).view(np.uint64)
+    out[got["w"].to_numpy()] = got["v"].to_numpy().view(np.uint64)
     return out
 
 

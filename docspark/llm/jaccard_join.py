@@ -102,9 +102,9 @@ def token_order(rows: DataFrame, log2_buckets: int = 18) -> np.ndarray:
         at = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(seen[at])], ["b", "c"])
 
-    got = rows.select("text").mapInArrow(run, "b int, c long").groupBy("b").agg(F.sum("c").alias("c")).toPandas()
+    got = rows.select("text").mapInArrow(run, "b int, c long").groupBy("b").agg(F.sum("c").alias("c")).toArrow()
     out = np.zeros(size, np.int64)
-    out[got.b.to_numpy()] = got.c.to_numpy()
+    out[got["b"].to_numpy()] = got["c"].to_numpy()
     return out
 
 

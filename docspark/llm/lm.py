@@ -226,7 +226,7 @@ def fit(train: DataFrame, head: int = 255, suffixes: int = 128, common: int = 1
             break
         floor = r.least
     top = words.where(F.col("c") >= (floor if floor < math.inf else -1)).select("h", "c") if floor < math.inf else words.select("h", "c").limit(0)
-    top = top.toPandas().sort_values(["c", "h"], ascending=[False, True], ignore_index=True)
+    top = top.toArrow().to_pandas().sort_values(["c", "h"], ascending=[False, True], ignore_index=True)
     by_class = words.groupBy("cls").agg(F.sum("c").alias("c"), F.count("*").alias("n")).toPandas()
     # Words that are classes of their own don't count in the class of their suffix.
     own = words.join(F.broadcast(spark.createDataFrame(top.head(head), "h long, c long").select("h")), "h").groupBy("cls").agg(F.sum("c").alias("oc"), F.count("*").alias("on")).toPandas()
