@@ -1,9 +1,9 @@
 """Registered queries: each operator over the given tables, with its SQL."""
 
-from . import history, quality, structure, text, translation
+from . import history, inputs, quality, streams, structure, text, translation
 from .registry import QUERIES, SQL
 
-__all__ = ["history", "oracle_sql", "quality", "queries", "structure", "text", "translation"]
+__all__ = ["history", "inputs", "oracle_sql", "quality", "queries", "streams", "structure", "text", "translation"]
 
 
 def queries():
