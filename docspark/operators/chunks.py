@@ -81,3 +81,13 @@ def non_overlapping(rows: DataFrame, within: Sequence[str]) -> DataFrame:
 
     folded = F.aggregate("_i", F.struct(F.lit(-(2**31) + 1).alias("last"), empty.alias("out")), step, lambda a: a["out"])
     return rows.groupBy(*within).agg(items.alias("_i")).select(*within, F.explode(folded).alias("x")).select(*within, "x.start", "x.end")
+
+
+def semantic_split(units: DataFrame, doc: str, order: str, threshold: float, text: str = "text") -> DataFrame:
+    """Parts of documents: a new one begins where a unit is less similar than ``threshold`` to the one before: doc, part, first, n_units, n_chars."""
+    along = W.partitionBy(doc).orderBy(order)
+    cosine = tfidf_adjacent(units, doc, order, text).select(doc, order, "cosine")
+    rows = units.select(doc, order, F.char_length(text).alias("_n")).join(cosine, [doc, order], "left")
+    breaks = F.coalesce(F.lag("cosine").over(along) < threshold, F.lit(True))
+    parts = rows.withColumn("_b", breaks.cast("long")).withColumn("part", F.sum("_b").over(along.rowsBetween(W.unboundedPreceding, 0)))
+    return parts.groupBy(doc, "part").agg(F.min(order).alias("first"), F.count("*").alias("n_units"), F.sum("_n").alias("n_chars"))
