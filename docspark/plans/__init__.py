@@ -1,9 +1,9 @@
 """Registered queries: each operator over the given tables, with its SQL."""
 
-from . import history, inputs, quality, reconcile, streams, structure, text, translation
+from . import composites, history, inputs, quality, reconcile, streams, structure, text, translation
 from .registry import QUERIES, SQL
 
-__all__ = ["history", "inputs", "oracle_sql", "quality", "queries", "reconcile", "streams", "structure", "text", "translation"]
+__all__ = ["composites", "history", "inputs", "oracle_sql", "quality", "queries", "reconcile", "streams", "structure", "text", "translation"]
 
 
 def queries():
