@@ -34,13 +34,9 @@ class Rule:
         return _ceil(self.p * (a + b), self.p + self.q)
 
     def probe(self, n):
-        """Prefix of a set against sets that are no larger."""
+        """Length of a set's prefix: linked sets have a prefix shingle in common."""
         return n - _ceil(self.p * n, self.q) + 1
 
-    def index(self, n):
-        """Prefix of a set against sets that are no smaller."""
-        return n - _ceil(2 * self.p * n, self.p + self.q) + 1
-
     def partners(self, a: int, most: int) -> range:
         return range(_ceil(self.p * a, self.q), min(most, self.q * a // self.p) + 1)
 
@@ -109,7 +105,7 @@ def token_order(rows: DataFrame, log2_buckets: int = 18) -> np.ndarray:
 
 
 def _signatures(arr: pa.Array, order: np.ndarray, rule: Rule, light: int):
-    """(row, token, pos, set size, in the index prefix) of each set's list tokens: prefix shingles of heavy sets, subsets of light ones."""
+    """(row, token, pos, set size) of each set's list tokens: prefix shingles of heavy sets, subsets of light ones."""
     row, h, n = _sets(arr)
     freq = order[(h & np.uint64(len(order) - 1)).astype(np.int64)]
     at = np.lexsort((h, freq, row))
@@ -118,7 +114,7 @@ def _signatures(arr: pa.Array, order: np.ndarray, rule: Rule, light: int):
     pos = np.arange(len(h)) - first[row]
     size = n[row]
     heavy = (pos < rule.probe(size)) & (size >= _ceil(rule.p * (light + 1), rule.q))
-    out = [(row[heavy], h[heavy], pos[heavy], pos[heavy] < rule.index(size[heavy]))]
+    out = [(row[heavy], h[heavy], pos[heavy])]
     few, keys = [], []
     for r in np.flatnonzero((n > 0) & (n <= light)):
         a, own = int(n[r]), mix(np.sort(h[first[r] : first[r + 1]]), 3)
@@ -131,9 +127,9 @@ def _signatures(arr: pa.Array, order: np.ndarray, rule: Rule, light: int):
                 keys += found
                 few += [int(r)] * len(found)
     if few:
-        out.append((np.array(few), np.array(keys, np.uint64), np.zeros(len(few), np.int64), np.ones(len(few), bool)))
-    row, h, pos, indexed = (np.concatenate(x) for x in zip(*out, strict=True))
-    return row, h, pos, n[row], indexed
+        out.append((np.array(few), np.array(keys, np.uint64), np.zeros(len(few), np.int64)))
+    row, h, pos = (np.concatenate(x) for x in zip(*out, strict=True))
+    return row, h, pos, n[row]
 
 
 def _overlaps(pairs: DataFrame, rows: DataFrame, rule: Rule, diffs: bool) -> DataFrame:
@@ -142,20 +138,23 @@ def _overlaps(pairs: DataFrame, rows: DataFrame, rule: Rule, diffs: bool) -> Dat
     Only texts of documents in pairs leave the scan (as shingle hashes); a Bloom filter of bounded size, then the join, picks them.
     """
     spark = rows.sparkSession
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("d")).distinct().select(F.xxhash64("d").alias("k"))
-    bits = spark.sparkContext.broadcast(bloom_bits(wanted, "k", 24))
-
-    def read(batches):
-        for b in batches:
-            hit = in_bloom(bits.value, b.column(0).to_numpy(zero_copy_only=False).view(np.uint64))
-            for s in slices(iter([b.filter(pa.array(hit))]), 2, 2 << 20):
-                row, h, n = _sets(s.column(2))
-                cut = np.concatenate([[0], np.cumsum(n)]) * 8
-                raw = h.tobytes()
-                yield pa.RecordBatch.from_arrays([s.column(1), pa.array([raw[i:j] for i, j in zip(cut, cut[1:], strict=False)], pa.binary())], ["d", "s"])
-
-    sets = stored(rows.select(F.xxhash64("doc_id").alias("k"), "doc_id", "text").mapInArrow(read, "d long, s binary"), "sets")
-    joined = pairs.join(sets.select(F.col("d").alias("a"), F.col("s").alias("sa")).hint("merge"), "a").join(sets.select(F.col("d").alias("b"), F.col("s").alias("sb")).hint("merge"), "b")
+
+    def sets(side: str) -> DataFrame:
+        wanted = pairs.select(F.xxhash64(side).alias("k")).distinct()
+        bits = spark.sparkContext.broadcast(bloom_bits(wanted, "k", 24))
+
+        def read(batches):
+            for b in batches:
+                hit = in_bloom(bits.value, b.column(0).to_numpy(zero_copy_only=False).view(np.uint64))
+                for part in slices(iter([b.filter(pa.array(hit))]), 2, 2 << 20):
+                    row, h, n = _sets(part.column(2))
+                    cut = np.concatenate([[0], np.cumsum(n)]) * 8
+                    raw = h.tobytes()
+                    yield pa.RecordBatch.from_arrays([part.column(1), pa.array([raw[i:j] for i, j in zip(cut, cut[1:], strict=False)], pa.binary())], [side, f"s{side}"])
+
+        return rows.select(F.xxhash64("doc_id").alias("k"), "doc_id", "text").mapInArrow(read, f"{side} long, s{side} binary").hint("merge")
+
+    joined = pairs.select("a", "b").join(sets("a"), "a").join(sets("b"), "b")
     p, q = rule.p, rule.q
 
     def run(batches):
@@ -189,7 +188,7 @@ def _linked(rule: Rule):
 
 
 def _star_pairs(reps: DataFrame) -> DataFrame:
-    """(a, b, weight): for each set up to two centres, popular sets with which it shares at least 4 of 16 minima.
+    """(a, b, weight): for each set its centre, the most popular set with which it shares at least 4 of 16 minima.
 
     A centre of a minimum is the set whose minima are shared by the most sets, so a group of near copies gathers around one of its most typical members
     in one row per member, whatever its size.
@@ -203,7 +202,7 @@ def _star_pairs(reps: DataFrame) -> DataFrame:
     near = keys.join(best, "key").where((F.col("rep") != F.col("b")) & (5 * F.least("n", "nb") >= 2 * F.greatest("n", "nb")))
     near = near.groupBy(F.col("rep").alias("a"), "b", "weight").agg(F.count("*").alias("same")).where("same >= 4")
     rank = F.row_number().over(W.partitionBy("a").orderBy(F.desc("weight"), "b"))
-    return stored(near.withColumn("rank", rank).where("rank <= 2").select("a", "b", "weight"), "star-pairs")
+    return stored(near.withColumn("rank", rank).where("rank = 1").select("a", "b", "weight"), "star-pairs")
 
 
 def _inside_stars(members: DataFrame, rule: Rule) -> DataFrame:
@@ -218,7 +217,7 @@ def _inside_stars(members: DataFrame, rule: Rule) -> DataFrame:
     return mixed.unionByName(apart).select(F.least("a", "y").alias("a"), F.greatest("a", "y").alias("b"))
 
 
-def _between_stars(tokens: DataFrame, rule: Rule) -> DataFrame:
+def _between_stars(tokens: DataFrame, rule: Rule, light: int) -> DataFrame:
     """Candidate pairs from inverted lists: sets of different stars and components with a list token in common.
 
     A list is first read by star (aggregated before the shuffle), so the members of one star are never paired with each other.
@@ -229,13 +228,19 @@ def _between_stars(tokens: DataFrame, rule: Rule) -> DataFrame:
     stars = tokens.select("token", "star").distinct()
     meet = stars.join(stars.withColumnRenamed("star", "star2"), "token").where("star < star2")
     left = meet.join(tokens, ["token", "star"])
-    cols = ["rep", "n", "pos", "indexed", "comp"]
+    cols = ["rep", "n", "pos", "comp"]
     right = tokens.select("token", F.col("star").alias("star2"), *[F.col(c).alias(f"{c}2") for c in cols])
     both = left.join(right, ["token", "star2"]).where("comp <> comp2")
-    ordered = F.when((F.col("n") < F.col("n2")) | ((F.col("n") == F.col("n2")) & (F.col("rep") < F.col("rep2"))), F.col("indexed")).otherwise(F.col("indexed2"))
+    # What the sets can still have in common, from this token's places; it holds for every common token of linked sets.
     most = F.least("pos", "pos2") + 1 + F.least(F.col("n") - F.col("pos") - 1, F.col("n2") - F.col("pos2") - 1)
-    may = ordered & ((rule.p + rule.q) * most >= rule.p * (F.col("n") + F.col("n2")))
-    return both.where(may).select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b"))
+    both = both.where((rule.p + rule.q) * most >= rule.p * (F.col("n") + F.col("n2")))
+    first = F.col("rep") < F.col("rep2")
+    pair = both.select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b"), F.when(first, F.col("n")).otherwise(F.col("n2")).alias("na"), F.when(first, F.col("n2")).otherwise(F.col("n")).alias("nb"))
+    met = pair.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"))
+    # All common prefix shingles are counted by now: linked sets have at most c + what lies past one of the prefixes in common.
+    past = lambda n: F.ceil(rule.p * F.col(n) / rule.q) - 1
+    enough = (rule.p + rule.q) * (F.col("c") + F.greatest(past("na"), past("nb"))) >= rule.p * (F.col("na") + F.col("nb"))
+    return met.where((F.least("na", "nb") <= light) | enough).select("a", "b")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: tuple[int, int] = (3, 4)) -> DataFrame:
@@ -276,7 +281,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     def tokens_only(batches):
         for b in slices(batches, 0, 4 << 20):
-            _, h, _, _, _ = _signatures(b.column(0), order.value, rule, light)
+            _, h, _, _ = _signatures(b.column(0), order.value, rule, light)
             token, c = np.unique(h, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(c.astype(np.int64))], ["token", "c"])
 
@@ -285,16 +290,16 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     def lists(batches):
         for b in slices(batches, 1, 4 << 20):
-            row, h, pos, n, indexed = _signatures(b.column(1), order.value, rule, light)
+            row, h, pos, n = _signatures(b.column(1), order.value, rule, light)
             at = in_bloom(bits.value, h)
             ids = b.column(0).to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([pa.array(h[at].view(np.int64)), pa.array(ids[row[at]]), pa.array(n[at].astype(np.int32)), pa.array(pos[at].astype(np.int32)), pa.array(indexed[at])], ["token", "rep", "n", "pos", "indexed"])
+            yield pa.RecordBatch.from_arrays([pa.array(h[at].view(np.int64)), pa.array(ids[row[at]]), pa.array(n[at].astype(np.int32)), pa.array(pos[at].astype(np.int32))], ["token", "rep", "n", "pos"])
 
     placed = reps.select("rep").join(best.select(F.col("a").alias("rep"), F.col("b").alias("star")), "rep", "left").join(comps.withColumnRenamed("node", "rep"), "rep", "left")
     placed = stored(placed.select("rep", F.coalesce("star", "rep").alias("star"), F.coalesce("root", "rep").alias("comp")), "placed")
-    tokens = rows.mapInArrow(lists, "token long, rep long, n int, pos int, indexed boolean").join(placed, "rep")
+    tokens = rows.mapInArrow(lists, "token long, rep long, n int, pos int").join(placed, "rep")
     tokens = stored(tokens, "tokens")
-    rest = _between_stars(tokens, rule).unionByName(_inside_stars(best, rule)).distinct()
+    rest = _between_stars(tokens, rule, light).unionByName(_inside_stars(best, rule)).distinct()
     side = comps.withColumnRenamed("node", "a").withColumnRenamed("root", "ra"), comps.withColumnRenamed("node", "b").withColumnRenamed("root", "rb")
     rest = rest.join(side[0], "a", "left").join(side[1], "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
     rest = stored(rest, "candidates")
