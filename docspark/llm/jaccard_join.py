@@ -225,8 +225,13 @@ def _between_stars(tokens: DataFrame, rule: Rule, light: int) -> DataFrame:
     several = tokens.groupBy("token").agg(F.min("star").alias("s1"), F.max("star").alias("s2"), F.min("comp").alias("c1"), F.max("comp").alias("c2"))
     several = several.where("s1 <> s2 and c1 <> c2").select("token")
     tokens = stored(tokens.join(several, "token", "left_semi"), "lists")
-    stars = tokens.select("token", "star").distinct()
-    meet = stars.join(stars.withColumnRenamed("star", "star2"), "token").where("star < star2")
+    # Stars whose sizes or places in the list can't give a link don't meet at all.
+    rest = F.col("n") - F.col("pos") - 1
+    stars = tokens.groupBy("token", "star").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("pos").alias("place"), F.max(rest).alias("rest"))
+    other = stars.select("token", *[F.col(c).alias(f"{c}2") for c in ("star", "low", "high", "place", "rest")])
+    sizes = (rule.q * F.col("high") >= rule.p * F.col("low2")) & (rule.q * F.col("high2") >= rule.p * F.col("low"))
+    room = (rule.p + rule.q) * (F.least("place", "place2") + 1 + F.least("rest", "rest2")) >= rule.p * (F.col("low") + F.col("low2"))
+    meet = stars.join(other, "token").where((F.col("star") < F.col("star2")) & sizes & room).select("token", "star", "star2")
     left = meet.join(tokens, ["token", "star"])
     cols = ["rep", "n", "pos", "comp"]
     right = tokens.select("token", F.col("star").alias("star2"), *[F.col(c).alias(f"{c}2") for c in cols])
