@@ -127,7 +127,7 @@ def test_trees_and_isotonic():
     assert ((t.margin(x[1500:]) > 0) == y[1500:]).mean() > 0.95
     m = np.array([0, 1, 2, 3.0])
     p = toxicity.Isotonic().fit(m, np.array([0, 1, 0, 1.0])).of(m)
-    assert (np.diff(p) >= 0).all() and abs(p[1] - p[2]) < 0.01
+    assert (np.diff(p) >= 0).all() and p[0] < 0.05 and p[3] > 0.95 and abs((p[1] + p[2]) / 2 - 0.5) < 0.01  # a pool of 1 and 2, linear to its neighbours
 
 
 def tokens(t):
