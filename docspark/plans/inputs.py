@@ -66,12 +66,12 @@ def issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     severity = F.when(q <= 10, "info").when(q <= 20, "low").when(q <= 30, "medium").when(q <= 40, "high").otherwise("critical")
     gate = F.when(F.col("l_returnflag") == "R", "coverage").when(F.col("l_returnflag") == "A", "numerical_change")
     return table(spark, sf_dir, "lineitem").select(
-        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("issue_id"), F.col("l_orderkey").alias("job_id"), F.col("l_suppkey").alias("section_id"),
+        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("long"), F.date_format("l_shipdate", "yyyyMMdd")).alias("issue_id"), F.col("l_orderkey").alias("job_id"), F.col("l_suppkey").alias("section_id"),
         severity.alias("severity"), gate.alias("gate"), (F.col("l_linestatus") == "F").alias("resolved"), F.col("l_shipdate").alias("at"),
     )
 
 
-ISSUES = """issues AS (SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS issue_id, l_orderkey AS job_id, l_suppkey AS section_id,
+ISSUES = """issues AS (SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey || '-' || l_quantity::BIGINT || '-' || strftime(l_shipdate, '%Y%m%d') AS issue_id, l_orderkey AS job_id, l_suppkey AS section_id,
     CASE WHEN l_quantity <= 10 THEN 'info' WHEN l_quantity <= 20 THEN 'low' WHEN l_quantity <= 30 THEN 'medium' WHEN l_quantity <= 40 THEN 'high' ELSE 'critical' END AS severity,
     CASE l_returnflag WHEN 'R' THEN 'coverage' WHEN 'A' THEN 'numerical_change' END AS gate, l_linestatus = 'F' AS resolved, l_shipdate AS at FROM lineitem)"""
 
