@@ -165,7 +165,7 @@ def _overlaps(pairs: DataFrame, rows: DataFrame, rule: Rule, diffs: bool) -> Dat
                 at = np.minimum(np.searchsorted(y, x), max(len(y) - 1, 0))
                 both = y[at] == x if len(y) else np.zeros(len(x), bool)
                 o = int(both.sum())
-                kept, oo = None, 0
+                kept, oo, most = None, 0, 0
                 if diffs:
                     # Inside the star of b: cost c of a set is q*removed + p*added; sets x, y of the star are linked if and only if
                     # (q-p)*|b| + (p+q)*shared >= c_x + c_y, shared being what their differences from b have in common.
@@ -174,13 +174,13 @@ def _overlaps(pairs: DataFrame, rows: DataFrame, rule: Rule, diffs: bool) -> Dat
                     outside = c > base
                     oo = size - _ceil(c + 1, p + q) + 1
                     most = size - _ceil(c + 1 - base, p + q) + 1 if outside else oo
-                    kept = np.concatenate([added, removed])[: max(most, 0)].view(np.int64).tolist()
-                out.append((a, b, len(x), len(y), o, kept, oo))
-            cols = list(zip(*out, strict=True)) or [()] * 7
-            kinds = (pa.int64(),) * 5 + (pa.list_(pa.int64()), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["a", "b", "na", "nb", "o", "diff", "oo"])
+                    kept = np.concatenate([added, removed]).view(np.int64).tolist()
+                out.append((a, b, len(x), len(y), o, kept, oo, most))
+            cols = list(zip(*out, strict=True)) or [()] * 8
+            kinds = (pa.int64(),) * 5 + (pa.list_(pa.int64()), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["a", "b", "na", "nb", "o", "diff", "oo", "most"])
 
-    return stored(joined.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long, na long, nb long, o long, diff array<long>, oo int"), "overlaps")
+    return stored(joined.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long, na long, nb long, o long, diff array<long>, oo int, most int"), "overlaps")
 
 
 def _linked(rule: Rule):
@@ -209,8 +209,12 @@ def _inside_stars(members: DataFrame, rule: Rule) -> DataFrame:
     """Candidate pairs of sets of one star of which one isn't linked to the centre: they must share part of their differences from it."""
     base = (rule.q - rule.p) * F.col("nb")
     cost = rule.q * (F.col("nb") - F.col("o")) + rule.p * (F.col("na") - F.col("o"))
-    rows = members.select("a", F.col("b").alias("star"), (cost > base).alias("outside"), "oo", F.posexplode("diff").alias("pos", "e"))
-    rows = stored(rows.select("a", F.xxhash64("star", "e").alias("key"), "outside", (F.col("pos") < F.col("oo")).alias("oo")), "differences")
+    rows = members.withColumn("outside", cost > base)
+    rows = rows.join(rows.where("outside").select("b").distinct(), "b", "left_semi")  # other stars are one component
+    rows = rows.select("a", "outside", "oo", "most", F.explode("diff").alias("e"), F.col("b").alias("star")).withColumn("key", F.xxhash64("star", "e")).drop("star", "e")
+    # Rare differences first, so that what many members share with each other stays out of the prefixes.
+    rows = rows.join(rows.groupBy("key").agg(F.count("*").alias("c")), "key").withColumn("r", F.row_number().over(W.partitionBy("a").orderBy("c", "key"))).where("r <= most and c > 1")
+    rows = stored(rows.select("a", "key", "outside", (F.col("r") <= F.col("oo")).alias("oo")), "differences")
     outside = rows.where("outside").select(F.col("a").alias("y"), "key", F.col("oo").alias("oo_y"))
     mixed = rows.where("not outside").join(outside, "key").select("a", "y")
     apart = rows.where("outside and oo").join(outside.where("oo_y"), "key").where("a < y").select("a", "y")
