@@ -98,4 +98,4 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def mixed_documents(docs: DataFrame, taken: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Documents with n_times, the number of times a training run reads them: taken / size, rounded up; those not taken go."""
     times = taken.where("taken > 0").select(F.col("doc_id").alias("_mix_id"), F.ceil(F.col("taken") / F.col("size")).alias("n_times")).distinct()
-    return docs.join(times, docs[id_col] == F.col("_mix_id")).drop("_mix_id")
+    return docs.join(times.hint("merge"), docs[id_col] == F.col("_mix_id")).drop("_mix_id")
