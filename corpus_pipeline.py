@@ -41,8 +41,8 @@ def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of the mix, with n_times, how often a training run reads each."""
-    return mixing.mixed_documents(docs, mixing.mix_sources(docs))
+    """Documents of the mix, with n_times, taken and spans: how often, how much and what a training run reads of each."""
+    return mixing.mixed_documents(docs)
 
 
 STAGES = [("toxicity", drop_toxic), ("line_dedup", dedup_lines), ("jaccard_join", drop_near_duplicates), ("decontaminate", cut_benchmark), ("mix_sources", mix)]

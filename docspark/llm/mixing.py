@@ -64,6 +64,15 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     documents of their own unless all of id, source and size agree; those share what is taken of them evenly (the first copy gets the odd word).  An empty table gives an
     empty result; a mix of 0 words takes nothing.
     """
+    out = _apportioned(docs, id_col, text_col, source_col, weights, share, most, block, shard_words, seed)
+    out = out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    each = F.floor(F.col("got") / F.col("copies")) + F.when(F.col("copy") <= F.col("got") % F.col("copies"), 1).otherwise(0)
+    return out.select("doc_id", "size", "source_size", "target", F.least(each, F.col("size") * int(most)).cast("long").alias("taken"), "source")
+
+
+def _apportioned(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: tuple[float, ...], share: float, most: float, block: int, shard_words: int, seed: int) -> DataFrame:
+    """What is taken of each distinct (doc_id, source, size): copies, got (the words taken of all copies) and spans, the taken blocks
+    {first, end, times} in word places, the second copy's words after the first's."""
     words = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).alias("size"))
     words = stored(words, "sizes")
     sizes = words.groupBy("source").agg(F.sum("size").alias("source_size"))
@@ -86,16 +95,32 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     times = cut.withColumn("times", F.floor(F.col("quota") / F.col("blocks")) + (place <= F.col("quota") % F.col("blocks")).cast("long")).where("times > 0").select("rank", "shard", "block", "times")
     pieces = placed.where("stop > start").select("rank", "shard", "doc_id", "size", "start", "stop", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("stop") - 1) / block))).alias("block"))
     inside = F.least("stop", (F.col("block") + 1) * block) - F.greatest("start", F.col("block") * block)
-    got = pieces.join(times, ["rank", "shard", "block"]).groupBy("rank", "doc_id", "size").agg(F.sum(inside * F.col("times")).alias("got"))
-    got = got.select(*[F.col(c).alias(f"_g_{c}") for c in ("rank", "doc_id", "size")], "got")
+    first = F.greatest("start", F.col("block") * block) - F.col("start")
+    span = F.struct(first.cast("long").alias("first"), (first + inside).cast("long").alias("end"), F.col("times").cast("long").alias("times"))
+    got = pieces.join(times, ["rank", "shard", "block"]).groupBy("rank", "doc_id", "size").agg(F.sum(inside * F.col("times")).alias("got"), F.array_sort(F.collect_list(span)).alias("spans"))
+    got = got.select(*[F.col(c).alias(f"_g_{c}") for c in ("rank", "doc_id", "size")], "got", "spans")
     same = [F.col("rank") == F.col("_g_rank"), F.col("doc_id").eqNullSafe(F.col("_g_doc_id")), F.col("size") == F.col("_g_size")]
-    out = placed.join(got, same, "left").select("doc_id", "source", "size", "source_size", "target", "copies", F.coalesce("got", F.lit(0)).alias("got"))
-    out = out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    each = F.floor(F.col("got") / F.col("copies")) + F.when(F.col("copy") <= F.col("got") % F.col("copies"), 1).otherwise(0)
-    return out.select("doc_id", "size", "source_size", "target", F.least(each, F.col("size") * int(most)).cast("long").alias("taken"), "source")
+    return placed.join(got, same, "left").select("doc_id", "source", "size", "source_size", "target", "copies", F.coalesce("got", F.lit(0)).alias("got"), "spans")
 
 
-def mixed_documents(docs: DataFrame, taken: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Documents with n_times, the number of times a training run reads them: taken / size, rounded up; those not taken go."""
-    times = taken.where("taken > 0").select(F.col("doc_id").alias("_mix_id"), F.ceil(F.col("taken") / F.col("size")).alias("n_times")).distinct()
-    return docs.join(times.hint("merge"), docs[id_col] == F.col("_mix_id")).drop("_mix_id")
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, block: int = 64, shard_words: int = 1 << 20, seed: int = 7) -> DataFrame:
+    """Documents of the mix of ``mix_sources``, with what a training run reads of each: n_times, taken, spans; those not taken go.
+
+    ``spans`` (array of {first, end, times}, ordered, in words of the document, end exclusive) are the taken blocks.  Of its ``n_times`` passes over a document, pass p
+    reads the spans whose ``times`` is p at least; that is ``taken`` words in all, and they sum to the source's target as its blocks do.
+    Rows are joined by id, source and size, nulls equal; those that agree in all three get the blocks of one copy each, in an order
+    by their text.  Columns of ``docs`` by the names n_times, taken and spans are replaced.
+    """
+    new = {"n_times", "taken", "spans"}
+    key = lambda i, source, size: F.struct(i.alias("i"), source.alias("s"), size.alias("n"))  # noqa: E731  nulls inside a struct are equal
+    units = _apportioned(docs, id_col, text_col, source_col, weights, share, most, block, shard_words, seed).where("got > 0")
+    units = units.select(key(F.col("doc_id"), F.col("source"), F.col("size")).alias("_unit"), F.col("size").alias("_size"), F.col("spans").alias("_spans"))
+    rows = docs.select(*[c for c in docs.columns if c.lower() not in new], key(F.col(id_col), F.col(source_col).cast("string"), n_words(F.col(text_col))).alias("_key")).where("_key.n > 0")
+    rows = rows.withColumn("_copy", F.row_number().over(W.partitionBy("_key").orderBy(F.xxhash64(F.col(text_col)))))
+    joined = rows.join(units.hint("merge"), F.col("_key") == F.col("_unit"))
+    from_, to = (F.col("_copy") - 1) * F.col("_size"), F.col("_copy") * F.col("_size")
+    own = F.transform("_spans", lambda x: F.struct((F.greatest(x["first"], from_) - from_).alias("first"), (F.least(x["end"], to) - from_).alias("end"), x["times"].alias("times")))
+    joined = joined.withColumn("spans", F.filter(own, lambda x: x["first"] < x["end"])).where(F.size("spans") > 0)
+    taken = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, x: acc + (x["end"] - x["first"]) * x["times"])
+    n_times = F.array_max(F.transform("spans", lambda x: x["times"]))
+    return joined.select(*[c for c in docs.columns if c.lower() not in new], n_times.alias("n_times"), taken.alias("taken"), "spans")

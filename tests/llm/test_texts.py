@@ -138,6 +138,34 @@ def test_mixing(spark):
     assert mixing.mix_sources(frame(spark, [(1, None), (2, " ")])).collect()[0].taken == 0
 
 
+def test_mixed_documents_meet_targets(spark):
+    """What is read of each source sums to its target, also where a document is a few blocks or far more; null and repeated ids keep their own."""
+    r = random.Random(5)
+    docs = [(i, " ".join(["w"] * r.choice([40, 700, 3000]))) for i in range(120)] + [(200, "w " * 20_000), (None, "x " * 700), (None, "y " * 650), (7, "z " * 900), (7, "one two"), (7, "two one"), (300, None)]
+    source = lambda i: "b" if i is None else "abc"[i % 3]
+    df = frame(spark, docs, source)
+    took, out = mixing.mix_sources(df).collect(), mixing.mixed_documents(df).collect()
+    want = brute_targets(Counter({s: sum(x.size for x in took if x.source == s) for s in "abc"}))
+    got = Counter()
+    for x in out:
+        size = len(x.text.split())
+        read = [0] * size
+        for first, end, times in x.spans:
+            assert 0 <= first < end <= size
+            for k in range(first, end):
+                assert not read[k]
+                read[k] = times
+        assert sum(read) == x.taken <= 2 * size and max(read) == x.n_times
+        got[x.source] += x.taken
+    for s in want:
+        assert abs(got[s] - want[s]) <= 0.02 * want[s] + 128, s
+    assert sum(got.values()) == sum(x.taken for x in took)
+    single = {i for i, n in Counter(i for i, _ in docs).items() if n == 1 and i is not None}
+    assert {x.doc_id: x.taken for x in out if x.doc_id in single} == {x.doc_id: x.taken for x in took if x.doc_id in single and x.taken}
+    kept = Counter((x.doc_id, x.text) for x in out)
+    assert all(n == 1 for n in kept.values()) and {t for i, t in kept if i is None} <= {"x " * 700, "y " * 650} and any(i is None for i, _ in kept)
+
+
 def test_sainte_lague(spark):
     votes = {"a": 53, "b": 24, "c": 23, "d": 0}
     rows = spark.createDataFrame([("g", k, float(v)) for k, v in votes.items()], "g string, name string, v double")
