@@ -186,11 +186,12 @@ class Trees:
 class Isotonic:
     """A non-decreasing map of margins to probabilities, by pooling adjacent violators; linear between pools' centres."""
 
-    def fit(self, margin: np.ndarray, y: np.ndarray) -> Isotonic:
+    def fit(self, margin: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> Isotonic:
+        w = np.ones(len(y)) if weight is None else weight
         order = np.argsort(margin, kind="stable")
         pools: list[list[float]] = []
-        for m, v in zip(margin[order], y[order], strict=True):
-            pools.append([v, 1.0, m])
+        for m, v, n in zip(margin[order], y[order], w[order], strict=True):
+            pools.append([v * n, n, m])
             while len(pools) > 1 and pools[-2][0] * pools[-1][1] >= pools[-1][0] * pools[-2][1]:
                 a, b = pools.pop(), pools[-1]
                 b[0], b[1], b[2] = b[0] + a[0], b[1] + a[1], (b[2] * b[1] + a[2] * a[1]) / (a[1] + b[1])
@@ -219,8 +220,9 @@ class Model:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 20_000, lexicon_size: int = 300, min_docs: int = 4) -> Model:
     """Learn from labelled documents.
 
-    ``max_rows`` bounds the labelled rows that are used: half of it for either label at most, by a hash of the id.  Their ids go to all
-    tasks (bounded by max_rows), so no text is shuffled but theirs.  The lexicon is the ``lexicon_size`` words with the highest
+    ``max_rows`` bounds the labelled rows that are used: half of it for either label at most, by a hash of the id.  Where that leaves rows of a label out,
+    those used stand for them: trees, calibration and prior weigh each by its label's count / rows used, scaled to 1 on average, so that scores
+    are shares of toxic rows at every size.  The ids used go to all tasks (bounded by max_rows), so no text is shuffled but theirs.  The lexicon is the ``lexicon_size`` words with the highest
     smoothed log-odds of being in a toxic document among those in ``min_docs`` of them; it is learned on the half of the sample that the trees aren't, so that its
     densities mean the same in training and on new texts.  A fifth of the trees' half calibrates.
     Rows without id or label are left out; an id with both labels counts as toxic; without rows of both labels the score is the
@@ -228,7 +230,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """
     spark = docs.sparkSession
     known = labels.select(F.col(id_col).alias("_tid"), F.col(label_col).cast("int").alias("toxic")).where("_tid is not null and toxic in (0, 1)").groupBy("_tid").agg(F.max("toxic").alias("toxic"))
+    known = stored(known, "labels")
     by_hash = F.xxhash64(F.lit(11), "_tid")
+    counts = {r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()}
+    stands = {k: n / min(n, max_rows // 2) for k, n in counts.items()}
+    scale = sum(min(n, max_rows // 2) for n in counts.values()) / max(sum(counts.values()), 1)
     some = [known.where(F.col("toxic") == k).orderBy(by_hash, "_tid").limit(max_rows // 2) for k in (0, 1)]
     sample = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(some[0].unionByName(some[1])), F.col("_id") == F.col("_tid"))
     sample = sample.dropDuplicates(["_id"]).select(F.pmod(F.xxhash64(F.lit(5), "_id"), F.lit(10)).cast("int").alias("fold"), "toxic", "text", "_id")
@@ -236,6 +242,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     sums = sample.agg(F.count("*").alias("n"), F.sum("toxic").alias("bad")).first()
     if not sums.n or not sums.bad or sums.bad == sums.n:
         return Model(Lexicon([], []), None, None, (sums.bad / sums.n) if sums.n else 0.5)
+    prior = sums.bad * stands[1] / (sums.bad * stands[1] + (sums.n - sums.bad) * stands[0])
 
     def words(batches):
         for b in slices(batches, 1, 1 << 20):
@@ -263,12 +270,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     kind = sample.schema["_id"].dataType.simpleString()
     got = sample.where("fold >= 4").select("fold", "toxic", "text", "_id").mapInArrow(dense, f"fold int, toxic int, _id {kind}, x array<double>").toPandas().sort_values("_id")
     if got.toxic.nunique() < 2:
-        return Model(lexicon, None, None, sums.bad / sums.n)
+        return Model(lexicon, None, None, prior)
     x, y, held = np.array(got.x.tolist()), got.toxic.to_numpy(float), (got.fold == 9).to_numpy() | (got.fold == 8).to_numpy()
-    trees = Trees().fit(x[~held], y[~held])
+    weight = np.where(y == 1, stands[1], stands[0]) * scale
+    trees = Trees().fit(x[~held], y[~held], weight[~held])
     if held.sum() < 20 or len(np.unique(y[held])) < 2:
         held = np.ones(len(y), bool)
-    return Model(lexicon, trees, Isotonic().fit(trees.margin(x[held]), y[held]), sums.bad / sums.n)
+    return Model(lexicon, trees, Isotonic().fit(trees.margin(x[held]), y[held], weight[held]), prior)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -106,6 +106,24 @@ def test_toxicity_held_out(spark):
     assert auc > 0.8 and np.mean([s < 0.5 for s in good]) > 0.9
 
 
+def test_toxicity_scores_mean_the_same_when_the_sample_is_cut(spark):
+    """A word of 3 in 5 toxic and 1 in 10 clean texts, 1 in 10 toxic: texts with it are toxic with p = 0.4, however many clean rows the bound leaves out."""
+    r = random.Random(6)
+    rows = []
+    for i in range(6000):
+        bad = i % 10 == 0
+        rows.append((i, " ".join(["grr"] * (r.random() < (0.6 if bad else 0.1)) + r.choices(["some", "plain", "words", "of", "text"], k=8)), int(bad)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    for most in (20_000, 1000):
+        model = toxicity.fit(df.select("doc_id", "text"), df.select("doc_id", "toxic"), max_rows=most)
+        got = {x.doc_id: x.score for x in toxicity.score(df, model).collect()}
+        with_it = [got[i] for i, t, _ in rows if "grr" in t]
+        assert abs(np.mean(list(got.values())) - 0.1) < 0.04 and abs(model.prior - 0.1) < 0.01
+        assert 0.25 < np.mean(with_it) < 0.55, most
+    p = toxicity.Isotonic().fit(np.array([0.0, 1.0]), np.array([1.0, 0]), np.array([1.0, 9.0])).of(np.array([0.5]))
+    assert abs(p[0] - 0.1) < 0.02
+
+
 def test_toxicity_edges(spark):
     docs = spark.createDataFrame([(1, None, "x"), (2, "", "x"), (3, "you IDIOT !!", "x"), (3, "fine", "x"), (None, "fine", "x")], "doc_id long, text string, score string")
     labels = spark.createDataFrame([(1, 0), (3, 1), (4, 1), (None, 1), (2, None)], "doc_id long, toxic int")
