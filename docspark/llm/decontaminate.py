@@ -7,13 +7,19 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import fresh, slices, stored
 from .tokens import ALNUM, Words, windows
 
-_HITS = "doc_id long, n_words long, hits binary, items array<string>"
+_HITS = "doc_id long, n_words long, hits binary, items array<string>, row binary"
+
+
+def _row_key(id_: Column, text: Column) -> Column:
+    """What tells rows apart: a hash of id (null is one of its own) and text.  Rows that agree in both have the same hits."""
+    name = id_.cast("string")
+    return F.unhex(F.sha2(F.concat(F.coalesce(F.concat(F.char_length(name), F.lit(":"), name), F.lit("-")), text), 256))
 
 
 def item_windows(items: DataFrame, size: int, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
@@ -70,10 +76,10 @@ def _hits(index: _Index, arr: pa.Array):
     return found, np.cumsum(mark[:-1]) > 0, items
 
 
-def _emit(ids, found, hit, items):
+def _emit(ids, keys, found, hit, items):
     packed = [np.packbits(hit[a:b], bitorder="little").tobytes() if r in items else None for r, (a, b) in enumerate(zip(found.first_of_row, found.first_of_row[1:], strict=False))]
     names = [sorted(items[r]) if r in items else [] for r in range(len(packed))]
-    return pa.RecordBatch.from_arrays([ids, pa.array(found.per_row, pa.int64()), pa.array(packed, pa.binary()), pa.array(names, pa.list_(pa.string()))], ["doc_id", "n_words", "hits", "items"])
+    return pa.RecordBatch.from_arrays([ids, pa.array(found.per_row, pa.int64()), pa.array(packed, pa.binary()), pa.array(names, pa.list_(pa.string())), keys], ["doc_id", "n_words", "hits", "items", "row"])
 
 
 def benchmark_hits(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = 10, broadcast_windows: int = 200_000) -> DataFrame:
@@ -85,12 +91,19 @@ def benchmark_hits(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", te
     and the documents are scanned in place, without a shuffle; a larger one is cut by item into parts of that size, which
     are scanned one after the other and merged per document.
     A text that is null or has no words gives n_words 0 and no hits; a benchmark without items gives no hits; rows that repeat a doc_id are
-    scanned each on its own; items that repeat an id are parts of one item.
+    scanned each on its own, those without one too; items that repeat an id are parts of one item.
     """
+    return _row_hits(docs, items, id_col, text_col, item_id, item_text, size, broadcast_windows, False).drop("row")
+
+
+def _row_hits(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_id: str, item_text: str, size: int, broadcast_windows: int, keyed: bool) -> DataFrame:
+    """``benchmark_hits`` with ``row``, the key of each row (null unless ``keyed`` or needed to merge parts)."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     index = stored(item_windows(items, size, item_id, item_text), "windows")
     parts = max(1, -(-index.count() // broadcast_windows))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    key = _row_key(F.col(id_col), text) if keyed or parts > 1 else F.lit(None).cast("binary")
+    rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), key.alias("row"))
 
     def scan(part: int) -> DataFrame:
         mine = index if parts == 1 else index.where(F.pmod(F.xxhash64("item"), F.lit(parts)) == part)
@@ -98,13 +111,13 @@ def benchmark_hits(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", te
 
         def run(batches):
             for b in slices(batches, 1):
-                yield _emit(b.column(0), *_hits(shared.value, b.column(1)))
+                yield _emit(b.column(0), b.column(2), *_hits(shared.value, b.column(1)))
 
         return rows.mapInArrow(run, _hits_schema(rows))
 
     if parts == 1:
         return scan(0)
-    # Each part's findings are kept as a table before the next part is sent out; rows are told apart by what they hold.
+    # Each part's findings are kept as a table before the next part is sent out; rows are told apart by their keys.
     found = [stored(scan(p).where("hits is not null"), "hits") for p in range(parts)]
     merged = found[0]
     for x in found[1:]:
@@ -119,15 +132,15 @@ def benchmark_hits(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", te
         out["items"] = [sorted({i for x in pdf["items"] for i in x})]
         return out
 
-    merged = merged.groupBy("doc_id", "n_words").applyInPandas(merge, _hits_schema(rows))
+    merged = merged.groupBy("row").applyInPandas(merge, _hits_schema(rows)).select("row", "hits", "items")
     empty = spark.sparkContext.broadcast(_Index([]))
 
     def count(batches):
         for b in slices(batches, 1):
-            yield _emit(b.column(0), *_hits(empty.value, b.column(1)))
+            yield _emit(b.column(0), b.column(2), *_hits(empty.value, b.column(1)))
 
-    counted = rows.mapInArrow(count, _hits_schema(rows)).select("doc_id", "n_words")
-    return counted.join(merged, ["doc_id", "n_words"], "left").select("doc_id", "n_words", "hits", F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+    counted = rows.mapInArrow(count, _hits_schema(rows)).select("doc_id", "n_words", "row")
+    return counted.join(merged, "row", "left").select("doc_id", "n_words", "hits", F.coalesce("items", F.array().cast("array<string>")).alias("items"), "row")
 
 
 def _hits_schema(rows: DataFrame) -> str:
@@ -154,34 +167,33 @@ def contamination(hits: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = 10, most_share: float = 0.5) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = 10, most_share: float = 0.5, broadcast_windows: int = 200_000) -> DataFrame:
     """Documents without benchmark passages, their columns as they were.
 
     Hit spans (from their first word to the start of the next word after them) are cut out of the text; a document of whose words more than
-    ``most_share`` are hit goes.  Clean documents, null texts included, stay as they are.
+    ``most_share`` are hit goes.  Clean documents, null texts included, stay as they are.  Each row is cut by its own hits, which are joined by a hash
+    of id and text: rows without an id or with a repeated one are cut like any other.
     """
-    key, mark = fresh(docs, "hit_id"), fresh(docs, "hit_bits")
-    n = fresh(docs, "hit_words")
-    found = stored(benchmark_hits(docs, items, id_col, text_col, item_id, item_text, size).where("hits is not null").groupBy("doc_id", "n_words").agg(F.first("hits").alias("hits")), "hits")
-    marks = found.select(F.col("doc_id").alias(key), F.col("n_words").alias(n), F.col("hits").alias(mark))
-    joined = docs.join(marks.hint("merge"), docs[id_col] == marks[key], "left").drop(key)
+    key, mark = fresh(docs, "hit_row"), fresh(docs, "hit_bits")
+    found = _row_hits(docs, items, id_col, text_col, item_id, item_text, size, broadcast_windows, True).where("hits is not null")
+    marks = stored(found.groupBy(F.col("row").alias(key)).agg(F.first("hits").alias(mark)), "hits")
+    joined = docs.withColumn(key, _row_key(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")))).join(marks.hint("merge"), key, "left").select(*docs.columns, mark)
     at, width = docs.columns.index(text_col), len(docs.columns)
 
     def run(batches):
         for b in batches:
             texts, stay = b.column(at).to_pylist(), []
-            for r, (bits, words) in enumerate(zip(b.column(width + 1).to_pylist(), b.column(width).to_pylist(), strict=True)):
+            for r, bits in enumerate(b.column(width).to_pylist()):
                 ok = True
-                if bits is not None and texts[r] is not None:
+                if bits is not None:
                     w = Words(pa.array([texts[r]]), ALNUM)
-                    if len(w.start) == words:
-                        spans = hit_spans(bits, words)
-                        ok = sum(z - a for a, z in spans) <= most_share * words
-                        raw, out, last = texts[r].encode(), [], 0
-                        for a, z in spans:
-                            out.append(raw[last : w.start[a]])
-                            last = w.start[z] if z < len(w.start) else w.end[z - 1]
-                        texts[r] = b"".join([*out, raw[last:]]).decode()
+                    spans = hit_spans(bits, len(w.start))
+                    ok = sum(z - a for a, z in spans) <= most_share * len(w.start)
+                    raw, out, last = texts[r].encode(), [], 0
+                    for a, z in spans:
+                        out.append(raw[last : w.start[a]])
+                        last = w.start[z] if z < len(w.start) else w.end[z - 1]
+                    texts[r] = b"".join([*out, raw[last:]]).decode()
                 stay.append(ok)
             cols = list(b.columns[:width])
             cols[at] = pa.array(texts, pa.string())

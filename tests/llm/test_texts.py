@@ -99,6 +99,22 @@ def test_decontamination(spark, limit):
     assert decontaminate.decontaminate(frame(spark, docs), item_frame).columns == frame(spark, docs).columns
 
 
+@pytest.mark.parametrize("limit", [200_000, 3])
+def test_decontamination_of_null_and_repeated_ids(spark, limit):
+    """Every row is cut by its own hits, whatever its id, on both sides of broadcast_windows."""
+    one, two = " ".join(f"p{k}" for k in range(12)), " ".join(f"q{k}" for k in range(12))
+    pad = lambda c, n: " ".join(f"{c}{k}" for k in range(n))
+    a, b, c = pad("a", 20), pad("b", 20), pad("c", 33)
+    docs = [(None, f"{a} {one}"), (None, f"{one} {b}"), (None, a), (1, f"{a} {one}"), (1, f"{two} {b}"), (1, c), (1, pad("d", 32)), (2, f"{c} {two}"), (2, f"{a} {two}"), (2, f"{a} {two}"), (3, None), (None, None)]
+    items = spark.createDataFrame([(1, one), (2, two)], "item_id long, text string")
+    key = lambda x: str(x)
+    want = [(None, f"{a} "), (None, b), (None, a), (1, f"{a} "), (1, b), (1, c), (1, pad("d", 32)), (2, f"{c} "), (2, f"{a} "), (2, f"{a} "), (3, None), (None, None)]
+    got = [(x.doc_id, x.text) for x in decontaminate.decontaminate(frame(spark, docs), items, broadcast_windows=limit).collect()]
+    assert sorted(got, key=key) == sorted(want, key=key)
+    hits = decontaminate.contamination(decontaminate.benchmark_hits(frame(spark, docs), items, broadcast_windows=limit)).collect()
+    assert sorted(((x.doc_id, (x.n_words, x.n_hit, x.n_items, x.items_sha256)) for x in hits), key=key) == sorted(brute_hits(docs, items.collect()), key=key)
+
+
 def brute_targets(sizes, weights=(3, 1, 2), share=1.5, most=2.0):
     names = sorted((s for s in sizes if s is not None), key=lambda s: [ord(c) for c in s]) + ([None] if None in sizes else [])
     w = {s: weights[i % len(weights)] for i, s in enumerate(names)}
