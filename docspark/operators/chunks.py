@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -91,3 +91,19 @@ def semantic_split(units: DataFrame, doc: str, order: str, threshold: float, tex
     breaks = F.coalesce(F.lag("cosine").over(along) < threshold, F.lit(True))
     parts = rows.withColumn("_b", breaks.cast("long")).withColumn("part", F.sum("_b").over(along.rowsBetween(W.unboundedPreceding, 0)))
     return parts.groupBy(doc, "part").agg(F.min(order).alias("first"), F.count("*").alias("n_units"), F.sum("_n").alias("n_chars"))
+
+
+def numbered(rows: DataFrame, within: Sequence[str], blocks: Sequence[Column], order: Sequence[str], name: str) -> DataFrame:
+    """``name``: the place of each row in its group by ``order``, from 1, without sorting a group whole in one task.
+
+    ``blocks`` don't decrease along ``order`` (its first columns, a range of ids).  A block is what a task sorts; what stands before it comes from a
+    table with a row per block.
+    """
+    marks = [f"_block{k}" for k in range(len(blocks))]
+    cut = rows.select("*", *[b.alias(m) for b, m in zip(blocks, marks, strict=True)])
+    keys = [*within, *marks]
+    before = F.sum("_n").over(W.partitionBy(*within).orderBy(*marks)) - F.col("_n")
+    counts = cut.groupBy(*keys).agg(F.count("*").alias("_n")).select(*[F.col(c).alias(f"_at_{c}") for c in keys], before.alias("_before"))
+    met = [F.col(c).eqNullSafe(F.col(f"_at_{c}")) for c in keys]
+    place = F.row_number().over(W.partitionBy(*keys).orderBy(*order))
+    return cut.join(counts, met).select(*rows.columns, (F.col("_before") + place).cast("long").alias(name))

@@ -10,7 +10,7 @@ from pyspark.sql.window import Window as W
 
 from ..functions import facts
 from ..functions import text as t
-from . import reconcile
+from . import chunks, reconcile
 
 
 def placeholder_issues(pairs: DataFrame, pattern: str, source: str = "source_text", target: str = "target_text") -> DataFrame:
@@ -134,12 +134,10 @@ def verdicts(rows: DataFrame, key: str, checks: dict[str, Column]) -> DataFrame:
     return rows.select(key, F.explode(F.array(*[F.struct(F.lit(n).alias("check_name"), c.alias("verdict")) for n, c in checks.items()])).alias("c")).select(key, "c.check_name", "c.verdict")
 
 
-def build_rules(candidates: DataFrame) -> DataFrame:
-    """Equal candidates (category, text) become one rule with the strongest severity, numbered by their first id.
-
-    Rules are few (a guide's), so numbering them in one window is bounded by the guide, not by the corpus.
-    """
+def build_rules(candidates: DataFrame, block: int = 1 << 16) -> DataFrame:
+    """Equal candidates (category, text) become one rule with the strongest severity, numbered by their first id (counted from blocks of ``block`` ids)."""
     merged = candidates.groupBy("category", "text").agg(F.min("id").alias("first_id"), F.max("severity").alias("severity"), F.count("*").alias("n"))
-    number = F.row_number().over(W.orderBy("first_id"))
+    merged = chunks.numbered(merged, [], [F.floor(F.col("first_id") / block)], ["first_id"], "_number")
+    number = F.col("_number")
     return merged.select("category", "text", "severity", "n", F.concat(F.lit("R-"), F.lpad(number.cast("string"), 5, "0")).alias("rule_id"))
 

@@ -39,14 +39,23 @@ def point_in_box(points: DataFrame, boxes: DataFrame, on: Sequence[str], cell: f
     return met.where((F.col("x") >= F.col("x0")) & (F.col("x") <= F.col("x1")) & (F.col("y") >= F.col("y0")) & (F.col("y") <= F.col("y1"))).drop("_cx", "_cy")
 
 
-def nested_boxes(boxes: DataFrame, on: Sequence[str], key: str) -> DataFrame:
-    """Boxes that no larger box of the same page contains (of equal ones the smallest key stays)."""
+def nested_boxes(boxes: DataFrame, on: Sequence[str], key: str, cell: float = 25.0) -> DataFrame:
+    """Boxes that no larger box of the same page contains (of equal ones the smallest key stays).
+
+    A box that contains another covers the grid cell of its first corner, so both sides join by equality; an anti-join makes no pairs, and
+    equal boxes stand there once.
+    """
     cols = ["x0", "y0", "x1", "y1"]
-    other = boxes.select(*on, F.col(key).alias("_k"), *[F.col(c).alias(f"_{c}") for c in cols])
+    at = lambda c: F.floor(F.col(c) / cell)
+    other = boxes.groupBy(*on, *cols).agg(F.min(key).alias("_k"))
+    other = other.withColumn("_cx", F.explode(F.sequence(at("x0"), at("x1")))).withColumn("_cy", F.explode(F.sequence(at("y0"), at("y1"))))
+    other = other.select(*[F.col(c).alias(f"_on_{c}") for c in on], "_k", "_cx", "_cy", *[F.col(c).alias(f"_{c}") for c in cols])
     inside = (F.col("_x0") <= F.col("x0")) & (F.col("_y0") <= F.col("y0")) & (F.col("_x1") >= F.col("x1")) & (F.col("_y1") >= F.col("y1"))
     same = (F.col("_x0") == F.col("x0")) & (F.col("_y0") == F.col("y0")) & (F.col("_x1") == F.col("x1")) & (F.col("_y1") == F.col("y1"))
-    gone = boxes.join(other, list(on)).where((F.col("_k") != F.col(key)) & inside & (~same | (F.col("_k") < F.col(key)))).select(*on, key).distinct()
-    return boxes.join(gone, [*on, key], "left_anti")
+    met = (F.col("_cx") == at("x0")) & (F.col("_cy") == at("y0"))
+    for c in on:
+        met &= F.col(c) == F.col(f"_on_{c}")
+    return boxes.join(other, met & (F.col("_k") != F.col(key)) & inside & (~same | (F.col("_k") < F.col(key))), "left_anti")
 
 
 def nearest_link(rows: DataFrame, wants: Column, offers: Column, key: str, within: Sequence[str], order: Sequence[str]) -> DataFrame:

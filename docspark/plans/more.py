@@ -7,6 +7,7 @@ from pyspark.sql.window import Window as W
 
 from ..functions import labels
 from ..functions import text as t
+from ..operators import chunks
 from ..operators import labelling as lb
 from ..operators import plans as ops
 from ..operators import structure, terms
@@ -20,7 +21,8 @@ E = f"WITH {i.ELEMENTS}"
 
 @query(f"{U} SELECT doc_id, seq, row_number() OVER (PARTITION BY source ORDER BY lang, doc_id, seq) AS place FROM units")
 def f7_document_order(spark, sf):
-    return i.units(spark, sf).select("doc_id", "seq", F.row_number().over(W.partitionBy("source").orderBy("lang", "doc_id", "seq")).cast("long").alias("place"))
+    rows = i.units(spark, sf).select("source", "lang", "doc_id", "seq")
+    return chunks.numbered(rows, ["source"], [F.col("lang"), F.floor(F.col("doc_id") / (1 << 12))], ["lang", "doc_id", "seq"], "place").drop("source", "lang")
 
 
 @query("""WITH a AS (SELECT l_orderkey AS id, l_partkey % 5 AS v, count(*) AS n FROM lineitem WHERE l_linenumber % 2 = 1 GROUP BY 1, 2), b AS (SELECT l_orderkey AS id, l_partkey % 5 AS v, count(*) AS n FROM lineitem WHERE l_linenumber % 2 = 0 GROUP BY 1, 2)

@@ -1,7 +1,9 @@
 """Protected values and obligations: equal meaning in other words is no change, every seeded fault is one."""
 
+from pyspark.sql import functions as F
+
 from docspark.functions import facts, text
-from docspark.operators import composites, history, plans, quality, structure
+from docspark.operators import chunks, composites, history, matching, plans, quality, structure
 
 SAME = [
     ("Review it annually.", "Review it every 12 months."), ("Reply within five business days.", "Reply within 5 working days."), ("Take 1,000 mg.", "Take 1000 mg."), ("Signed on 3 May 2024.", "Signed on 2024-05-03."),
@@ -49,6 +51,30 @@ def test_versions_and_budgets(spark):
     assert {(r.part, r.text) for r in merged.collect()} == {(1, "one"), (2, "Two more")}
 
 
+def test_nested_boxes_and_numbers_without_whole_groups(spark, capsys):
+    rng = __import__("random").Random(3)
+    rows = [(p, k, float(x), float(y), float(x + rng.choice([0, 3, 40])), float(y + rng.choice([0, 2, 60]))) for p in ("a", None) for k in range(300) for x, y in [(rng.randrange(-30, 120), rng.randrange(90))]]
+    rows += [("a", 1000 + k, *rows[k][2:]) for k in range(50)]
+    boxes = spark.createDataFrame(rows, "page string, box long, x0 double, y0 double, x1 double, y1 double")
+
+    def held(b):
+        return b[0] is not None and any(o[0] == b[0] and o[1] != b[1] and o[2] <= b[2] and o[3] <= b[3] and o[4] >= b[4] and o[5] >= b[5] and (o[2:] != b[2:] or o[1] < b[1]) for o in rows)
+
+    free = matching.nested_boxes(boxes, ["page"], "box")
+    assert sorted(map(str, map(tuple, free.collect()))) == sorted(str(b) for b in rows if not held(b))
+    free.explain()
+    keys = capsys.readouterr().out
+    assert "_cx" in keys and "_cy" in keys and "Anti" in keys
+    seq = [(g, i) for g in ("g", None) for i in [None, *rng.sample(range(5000), 200)]]
+    df = spark.createDataFrame(seq, "g string, i long")
+    got = chunks.numbered(df, ["g"], [F.floor(F.col("i") / 100)], ["i"], "n").collect()
+    for g in ("g", None):
+        want = sorted((r.i for r in got if r.g == g), key=lambda i: (i is not None, i))
+        assert [r.i for r in sorted((r for r in got if r.g == g), key=lambda r: r.n)] == want and {r.n for r in got if r.g == g} == set(range(1, 202))
+    rules = composites.build_rules(spark.createDataFrame([("c", f"t{k}", 200 - k, 1) for k in range(100)], "category string, text string, id long, severity long"), block=8)
+    assert {r.text: r.rule_id for r in rules.collect()} == {f"t{k}": f"R-{100 - k:05d}" for k in range(100)}
+
+
 def test_invariant_every_unit_is_placed_or_unaccounted(spark):
     units = spark.range(20).toDF("unit")
     placed = spark.range(0, 20, 3).toDF("unit")
