@@ -42,27 +42,44 @@ def _may_have(kind: str, text: Column) -> Column:
     return text.rlike(r"[0-9]\.[0-9]" if kind == "ip" else r"[0-9][\x20-]?[0-9][\x20-]?[0-9][\x20-]?[0-9][\x20-]?[0-9]")
 
 
-def matches(kind: str, text: Column) -> Column:
-    """Array of {kind, start, end, value, left, right}: valid matches, code points, end exclusive, with the text between matches."""
+def _next_words(gap: Column, near: int, back: bool) -> Column:
+    """The ``near`` words of a text nearest to its start (``back``: its end), nearest first, lower-cased, e-mail addresses left out."""
+    bare = F.regexp_replace(gap, PATTERNS["email"], " 0 ")
+    some = F.regexp_extract(F.reverse(bare) if back else bare, rf"^(?:\P{{L}}*+\p{{L}}++){{0,{near}}}", 0)
+    words = F.filter(F.split(some, _TERM), lambda w: F.length(w) > 0)
+    return F.transform(words, lambda w: F.lower(F.reverse(w) if back else w))
+
+
+def _words_along(gaps: Column, near: int, back: bool) -> Column:
+    """For each gap the ``near`` words next to it, going on through the gaps before it where it has fewer."""
+    step = lambda acc, g: F.concat(acc, F.array(F.slice(F.concat(_next_words(g, near, back), F.element_at(acc, -1)), 1, near)))
+    out = F.aggregate(gaps, F.array(F.array().cast("array<string>")), step)
+    return F.slice(out, 2, F.size(gaps))
+
+
+def matches(kind: str, text: Column, near: int = 3) -> Column:
+    """Array of {kind, start, end, value, left, right}: valid matches, code points, end exclusive, with the ``near`` words on either side,
+    whole and however far away; other matches of the kind hold none."""
     found = F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0))
     between = F.split(text, PATTERNS[kind], -1)
-    pairs = F.arrays_zip(found.alias("m"), F.slice(between, 1, F.size(found)).alias("l"), F.slice(between, 2, F.size(found)).alias("r"))
+    before, after = F.slice(between, 1, F.size(found)), F.slice(between, 2, F.size(found))
+    pairs = F.arrays_zip(found.alias("m"), before.alias("l"), _words_along(before, near, True).alias("left"), F.reverse(_words_along(F.reverse(after), near, False)).alias("right"))
     empty = F.array().cast("array<struct<kind:string,start:int,end:int,value:string,left:string,right:string>>")
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.char_length(x["l"])
         end = start + F.char_length(x["m"])
-        one = F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), x["m"].alias("value"), F.right(x["l"], F.lit(80)).alias("left"), F.left(x["r"], F.lit(80)).alias("right"))
+        one = F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), x["m"].alias("value"), F.array_join(F.reverse(x["left"]), " ").alias("left"), F.array_join(x["right"], " ").alias("right"))
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
 
     spans = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda a: a["out"])
     return F.when(_may_have(kind, text), F.filter(spans, lambda s: _valid(kind, s["value"]))).otherwise(empty)
 
 
-def base_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text, base): the spans of all base kinds, by kind, then start; null text is empty."""
+def base_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", near: int = 3) -> DataFrame:
+    """(doc_id, text, base): the spans of all base kinds, by kind, then start, with ``near`` words on either side; null text is empty."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return rows.withColumn("base", F.concat(*[matches(k, F.col("text")) for k in KINDS]))
+    return rows.withColumn("base", F.concat(*[matches(k, F.col("text"), near) for k in KINDS]))
 
 
 def revealing_terms(spans: DataFrame, words: DataFrame, min_contexts: int = 3, min_share: float = 0.5, min_bits: float = 4.0, near: int = 3) -> DataFrame:
@@ -97,7 +114,7 @@ def find_private(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     base span.  Up to ``literal_terms`` of them are looked for in place; more are joined with the documents' words.  Null text is empty and has no spans.  Rows without an id have base spans only and count in no statistics; rows that repeat an id count as one document in the
     statistics and are searched each on its own.  Without entities there are no terms.
     """
-    found = stored(base_spans(docs, id_col, text_col).select("doc_id", "base", "text"), "base")
+    found = stored(base_spans(docs, id_col, text_col, thresholds.get("near", 3)).select("doc_id", "base", "text"), "base")
     known = found.where("doc_id is not null")
     words = known.select("doc_id", F.explode(F.array_distinct(F.split(F.lower("text"), _TERM))).alias("term")).where(F.length("term") >= 3)
     chosen = revealing_terms(known.select("doc_id", "base"), words, **thresholds).select("term").distinct()
@@ -105,7 +122,7 @@ def find_private(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     if len(some) <= literal_terms:
         own = F.array_intersect(F.split(F.lower("text"), _TERM), F.array(*map(F.lit, sorted(some))).cast("array<string>"))
         joined = found.withColumn("terms", F.array_sort(own)) if some else found.withColumn("terms", F.lit(None).cast("array<string>"))
-        joined = joined.withColumn("terms", F.when(F.size("terms") > 0, F.col("terms")))
+        joined = joined.withColumn("terms", F.when(F.col("doc_id").isNotNull() & (F.size("terms") > 0), F.col("terms")))
     else:
         held = words.join(chosen, "term").groupBy("doc_id").agg(F.array_sort(F.collect_set("term")).alias("terms"))
         joined = found.join(held.select(F.col("doc_id").alias("_term_id"), "terms").hint("merge"), F.col("doc_id") == F.col("_term_id"), "left").drop("_term_id")

@@ -120,3 +120,23 @@ def test_tool_calls(spark, tools):
 
 def test_tool_call_query(spark, sf):
     assert op6_link_tool_calls(spark, sf).count() == spark.read.parquet(f"{sf}/conversations.parquet").count()
+
+
+def test_words_near_an_entity_are_whole_and_reach_past_matches(spark):
+    from pyspark.sql import functions as F
+
+    far, long = "- " * 90, "x" * 200
+    texts = [f"one Alice: a@x.yy, b@x.yy then {long} {far} two three four", f"zero one two {far}{long} c@x.yy", "Alice 10.0.0.1 10.0.0.2 Bob", "d@x.yy"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string").select("id", *[pii.matches(k, F.col("text")).alias(k) for k in ("email", "ip")]).collect()
+    got = {s.value: (s.left, s.right) for r in rows for s in [*r.email, *r.ip]}
+    assert got["a@x.yy"] == ("one alice", f"then {long} two") and got["b@x.yy"] == ("one alice", f"then {long} two")
+    assert got["c@x.yy"] == (f"one two {long}", "") and got["d@x.yy"] == ("", "")
+    assert got["10.0.0.1"] == got["10.0.0.2"] == ("alice", "bob")
+
+
+def test_rows_without_an_id_have_no_terms_on_either_path(spark):
+    docs = [(k, f"{a} {b} Zorblax: z@x.yy") for k, (a, b) in enumerate([("aa", "bb"), ("cc", "dd"), ("ee", "ff"), ("gg", "hh")])]
+    docs += [(100 + k, f"plain text {k}") for k in range(200)] + [(None, "Zorblax again")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    out = [{(r.doc_id, r.text): [s.kind for s in r.spans] for r in pii.find_private(df, literal_terms=n).collect()} for n in (5000, 0)]
+    assert out[0] == out[1] and out[0][(None, "Zorblax again")] == [] and "term" in out[0][docs[0]]
