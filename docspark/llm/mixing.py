@@ -32,22 +32,42 @@ def source_targets(sizes: DataFrame, weights: list[float], share: float, most: f
     return weighed.withColumn("final", final["level"]).select("source", "source_size", F.coalesce(F.least("cap", F.col("weight") * F.col("final")), F.col("cap")).alias("target"), "rank")
 
 
-def sainte_lague(claims: DataFrame, within: list[str], claim: str, seats: Column, tie: list[str], slack: int = 3) -> DataFrame:
-    """Adds ``quota``: the integer seats of each row, by highest quotients claim / (2 k + 1) within each group.
+def sainte_lague(claims: DataFrame, within: list[str], claim: str, seats: str, tie: list[str], rank_at_once: int = 1 << 17) -> DataFrame:
+    """Adds ``quota``: the integer seats of each row, by highest quotients claim / (2 k + 1) within each group; ``seats`` is a column, one value a group.
 
-    A row is given its lower quota less ``slack`` at once (far fewer than the method gives it); only the quotients
-    around its share are ranked, so a group costs a few rows per claimant however many seats there are.
+    A threshold t beats the quotients of floor((claim / t + 1) / 2) seats a row.  With n claimants, t = sum / (2 seats - n) grants no seat that the method
+    doesn't and t = sum / (2 seats + n) misses none, so two seats a claimant, not all seats, are left to rank.  A group that has more of them than ``rank_at_once``
+    has its bracket narrowed by sums over 31 thresholds at a time, until it is small or ties keep it from shrinking.  Equal quotients go by ``tie``.
+    A claim of 0 or null gets nothing.
     """
-    share = F.col(claim) * seats / F.greatest(F.sum(claim).over(W.partitionBy(*within)), F.lit(1e-9))
-    based = claims.withColumn("_base", F.greatest(F.floor(share) - slack, F.lit(0)).cast("long")).withColumn("_seats", seats.cast("long"))
-    based = based.withColumn("_left", F.col("_seats") - F.sum("_base").over(W.partitionBy(*within)))
-    quotients = based.where(F.col(claim) > 0).select(*within, *tie, claim, "_base", "_left", F.explode(F.sequence(F.col("_base"), F.col("_base") + 2 * slack + 2)).alias("_k"))
-    order = W.partitionBy(*within).orderBy((F.col(claim) / (2 * F.col("_k") + 1)).desc(), *tie)
-    won = quotients.withColumn("_rank", F.row_number().over(order)).where("_rank <= _left").groupBy(*within, *tie).agg(F.count("*").alias("_won"))
     keys = list(dict.fromkeys([*within, *tie]))
-    won = won.select(*[F.col(c).alias(f"_w_{c}") for c in keys], "_won")
-    same = [F.col(c).eqNullSafe(F.col(f"_w_{c}")) for c in keys]
-    return based.join(won, same, "left").select(*claims.columns, (F.col("_base") + F.coalesce("_won", F.lit(0))).alias("quota"))
+    group = F.struct(*within) if within else F.lit(0)
+    rows = claims.where(F.col(claim) > 0).select(*keys, F.col(claim).cast("double").alias("_c"), F.col(seats).cast("long").alias("_s"), group.alias("_g"))
+    won = lambda t: F.floor((F.col("_c") / t + 1) / 2)
+    sums = rows.groupBy("_g").agg(F.sum("_c").alias("_sum"), F.count("*").alias("_n"), F.max("_c").alias("_top"), F.max("_s").alias("_s"))
+    spare = 2 * F.col("_s") - F.col("_n")
+    bracket = sums.select("_g", "_s", (F.col("_sum") / (2 * F.col("_s") + F.col("_n"))).alias("_low"), F.when(spare > 0, F.col("_sum") / spare).otherwise(2 * F.col("_top")).alias("_high"), (2 * F.col("_n")).alias("_open"))
+    bracket = stored(bracket.where("_s > 0"), "brackets")
+    before = None
+    while (most := bracket.agg(F.max("_open")).first()[0] or 0) > rank_at_once and most != before:
+        before = most
+        steps = [F.col("_low") * F.pow(F.col("_high") / F.col("_low"), F.lit(k / 32)) for k in range(33)]
+        counts = rows.join(bracket.select("_g", "_low", "_high"), "_g").groupBy("_g").agg(*[F.sum(won(t)).alias(f"_n{k}") for k, t in enumerate(steps)])
+        at = F.array(*[F.struct(F.col(f"_n{k}").alias("n"), t.alias("t")) for k, t in enumerate(steps)])  # thresholds rise, counts fall
+        both = bracket.join(counts, "_g").withColumn("_least", F.element_at(F.filter(at, lambda x: x["n"] >= F.col("_s")), -1)).withColumn("_most", F.element_at(F.filter(at, lambda x: x["n"] <= F.col("_s")), 1))
+        low, high = F.coalesce("_least.t", "_low"), F.coalesce("_most.t", "_high")
+        bracket = stored(both.select("_g", "_s", low.alias("_low"), high.alias("_high"), (F.coalesce("_least.n", F.col("_n0")) - F.coalesce("_most.n", F.col("_n32"))).alias("_open")), "brackets")
+    # One seat of slack on either side, as the thresholds are rounded.
+    based = rows.drop("_s").join(bracket, "_g").withColumn("_base", F.greatest(won(F.col("_high")) - 1, F.lit(0)).cast("long")).withColumn("_last", won(F.col("_low")).cast("long") + 1)
+    based = stored(based.select(*keys, "_c", "_g", "_s", "_base", "_last"), "claims")
+    left = based.groupBy("_g").agg((F.max("_s") - F.sum("_base")).alias("_left"))
+    quotients = based.select(*keys, "_c", "_g", F.explode(F.sequence("_base", "_last")).alias("_k")).join(left, "_g")
+    order = W.partitionBy("_g").orderBy((F.col("_c") / (2 * F.col("_k") + 1)).desc(), *tie)
+    more = quotients.withColumn("_rank", F.row_number().over(order)).where("_rank <= _left").groupBy(*keys).agg(F.count("*").alias("_more"))
+    same = lambda df, tag: df.select(*[F.col(c).alias(f"{tag}{c}") for c in keys], *[c for c in df.columns if c not in keys])
+    match = lambda tag: [F.col(c).eqNullSafe(F.col(f"{tag}{c}")) for c in keys]
+    got = claims.join(same(based.select(*keys, "_base"), "_b_"), match("_b_"), "left").join(same(more, "_m_"), match("_m_"), "left")
+    return got.select(*claims.columns, (F.coalesce("_base", F.lit(0)) + F.coalesce("_more", F.lit(0))).alias("quota"))
 
 
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, block: int = 64, shard_words: int = 1 << 20, seed: int = 7) -> DataFrame:
@@ -58,7 +78,8 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     4. Sainte-Laguë gives the mix's blocks to sources by their targets, then each source's blocks to its shards by their words: integer quotas.
     5. A shard takes every block quota // blocks times, and the blocks that a seeded hash ranks first once more.
     A document's ``taken`` is the words of its blocks, repeats counted; no block is taken more than ``most`` (rounded down) times.
-    A shard, not a source, is what a task gets, so a source that holds a third of all rows has a third of all shards.
+    A shard, not a source, is what a task gets, so a source that holds a third of all rows has a third of all shards.  The table of sources itself is
+    sorted in one task: sources are names of a collection (thousands at most), not hosts or documents.
 
     Null text or text without words: size 0, taken 0.  A null source is a source of its own, last in order.  Rows that repeat an id are
     documents of their own unless all of id, source and size agree; those share what is taken of them evenly (the first copy gets the odd word).  An empty table gives an
@@ -77,8 +98,8 @@ def _apportioned(docs: DataFrame, id_col: str, text_col: str, source_col: str, w
     words = stored(words, "sizes")
     sizes = words.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = source_targets(sizes, list(weights), share, most)
-    seats = F.round(F.sum("target").over(W.partitionBy()) / block)
-    by_source = stored(sainte_lague(targets, [], "target", seats, ["rank"]).withColumn("shards", F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words))), "targets")
+    targets = stored(targets.withColumn("seats", F.round(F.sum("target").over(W.partitionBy()) / block)), "sources")
+    by_source = stored(sainte_lague(targets, [], "target", "seats", ["rank"]).withColumn("shards", F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words))), "targets")
     # One row per distinct (id, source, size); repeats of it are counted and follow each other in the shard.
     units = words.groupBy("doc_id", "source", "size").agg(F.count("*").alias("copies"))
     src = by_source.select(F.col("source").alias("_source"), "rank", "source_size", "target", F.col("quota").alias("source_quota"), "shards")
@@ -86,8 +107,8 @@ def _apportioned(docs: DataFrame, id_col: str, text_col: str, source_col: str, w
     placed = placed.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "size"), F.col("shards")).cast("int"))
     placed = placed.withColumn("stop", F.sum(F.col("size") * F.col("copies")).over(W.partitionBy("rank", "shard").orderBy(F.xxhash64(F.lit(seed + 1), "doc_id"), "doc_id", "size")))
     placed = stored(placed.withColumn("start", F.col("stop") - F.col("size") * F.col("copies")), "shards")
-    shards = placed.groupBy("rank", "shard", "source_quota").agg(F.max("stop").alias("shard_size")).where("shard_size > 0")
-    shards = sainte_lague(shards, ["rank"], "shard_size", F.col("source_quota"), ["shard"]).withColumn("blocks", F.ceil(F.col("shard_size") / block))
+    shards = stored(placed.groupBy("rank", "shard", "source_quota").agg(F.max("stop").alias("shard_size")).where("shard_size > 0"), "shard-sizes")
+    shards = sainte_lague(shards, ["rank"], "shard_size", "source_quota", ["shard"]).withColumn("blocks", F.ceil(F.col("shard_size") / block))
     shards = shards.withColumn("quota", F.least("quota", F.col("blocks") * int(most)))
     # Blocks of a shard: ranked by a seeded hash; the first (quota mod blocks) are taken once more than the others.
     cut = shards.select("rank", "shard", "quota", "blocks", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))

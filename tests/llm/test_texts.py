@@ -1,6 +1,7 @@
 """Line dedup, exact dedup, decontamination and mixing against brute force, with nulls, ties, repeats and clashing columns."""
 
 import hashlib
+import heapq
 import random
 import re
 from collections import Counter, defaultdict
@@ -182,17 +183,51 @@ def test_mixed_documents_meet_targets(spark):
     assert all(n == 1 for n in kept.values()) and {t for i, t in kept if i is None} <= {"x " * 700, "y " * 650} and any(i is None for i, _ in kept)
 
 
+def brute_seats(votes: dict, seats: int) -> dict:
+    """Highest quotients, seat by seat; equal ones by name."""
+    won = dict.fromkeys(votes, 0)
+    heap = [(-v, k) for k, v in votes.items() if v > 0]
+    heapq.heapify(heap)
+    for _ in range(seats if heap else 0):
+        _, k = heapq.heappop(heap)
+        won[k] += 1
+        heapq.heappush(heap, (-votes[k] / (2 * won[k] + 1), k))
+    return won
+
+
 def test_sainte_lague(spark):
-    votes = {"a": 53, "b": 24, "c": 23, "d": 0}
-    rows = spark.createDataFrame([("g", k, float(v)) for k, v in votes.items()], "g string, name string, v double")
-    from pyspark.sql import functions as F
-
-    got = {x.name: x.quota for x in mixing.sainte_lague(rows, ["g"], "v", F.lit(7), ["name"]).collect()}
-    seats = dict.fromkeys(votes, 0)
-    for _ in range(7):
-        best = max((k for k in votes if votes[k]), key=lambda k: votes[k] / (2 * seats[k] + 1))
-        seats[best] += 1
-    assert got == seats
+    r = random.Random(11)
+    groups = {
+        "plain": ({"a": 53.0, "b": 24.0, "c": 23.0, "d": 0.0}, 7),
+        "one large, many small": ({"big": 1000.0} | {f"s{k:02}": 0.51 for k in range(20)}, 1010),
+        "a thousand small": ({"big": 1000.0} | {f"s{k:04}": 0.9 for k in range(1000)}, 1500),
+        "few seats": ({f"s{k:03}": r.random() for k in range(300)}, 5),
+        "ties": ({f"s{k:03}": 1.0 for k in range(100)}, 130),
+        "wide": ({f"s{k:03}": 10 ** (8 * r.random()) for k in range(200)}, 100_000),
+        "no seats": ({"a": 1.0}, 0),
+        "one": ({"a": 3.0}, 12),
+        "no claims": ({"a": 0.0}, 3),
+    }
+    rows = spark.createDataFrame([(g, k, v, n) for g, (votes, n) in groups.items() for k, v in votes.items()], "g string, name string, v double, seats long")
+    for at_once in (1 << 17, 10):
+        got = defaultdict(dict)
+        for x in mixing.sainte_lague(rows, ["g"], "v", "seats", ["name"], rank_at_once=at_once).collect():
+            got[x.g][x.name] = x.quota
+        for g, (votes, n) in groups.items():
+            assert got[g] == brute_seats(votes, n), (g, at_once)
+
+
+def test_mixing_many_small_sources(spark):
+    """A source's blocks follow its target however many small sources stand beside a large one."""
+    docs = [(k, "w " * 400) for k in range(300)] + [(1000 + k, "w " * 90) for k in range(60)]
+    df = frame(spark, docs, lambda i: "large" if i < 1000 else f"s{i}")
+    got = mixing.mix_sources(df, block=8).collect()
+    taken = Counter()
+    for x in got:
+        taken[x.source] += x.taken
+    want = brute_targets(Counter({"large": 120_000} | {f"s{1000 + k}": 90 for k in range(60)}))
+    for s in want:
+        assert abs(taken[s] - want[s]) <= 0.01 * want[s] + 3 * 8, (s, taken[s], want[s])  # the last block of a shard is short
 
 
 def test_registered_queries(spark, sf):
