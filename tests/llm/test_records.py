@@ -4,6 +4,7 @@ import base64
 import gzip
 import hashlib
 import json
+import random
 import re
 from pathlib import Path
 
@@ -112,12 +113,63 @@ def test_tool_calls(spark, tools):
     assert by[1, "call", "x"].json.startswith('{"arguments":{"a":1,"b":2.5},"id":')
     assert by[1, "call", "y"].problems == "type:a,unexpected:z,no result" and by[1, "result", "q"].problems == "orphan"
     assert by[1, "call", "w"].problems == "unknown tool,no result" and by[1, "call", "v"].problems == "missing:a,no result"
-    assert by[1, "call", "u"].problems == "reference:t,no result" and by[1, "call", "s"].problems.startswith("bad json")
+    assert by[1, "call", "u"].problems == "no result" and by[1, "call", "s"].problems.startswith("bad json")
     assert by[2, "call", "x"].problems == "duplicate id" and json.loads(by[2, "call", "x"].json)["result"] == "0"
-    assert [r.seq for r in sorted((r for r in got if r.conv_id == 1), key=lambda r: (r.turn, r.kind, r.idx))] == list(range(1, 11))
+    order = sorted((r for r in got if r.conv_id == 1), key=lambda r: (r.turn, r.kind, r.idx))
+    waits = next(k for k, r in enumerate(order) if r.call_id == "u")
+    order.append(order.pop(waits))  # u refers to t, the last one
+    assert [r.seq for r in order] == list(range(1, 11))
     assert chat.link_tool_calls(spark.createDataFrame([], "conv_id long, turn long, role string, text string"), tools).count() == 0
 
 
+def test_tool_calls_in_topological_order(spark, tools):
+    """Random references, forwards too: whatever isn't in or behind a cycle comes after what it refers to; no other row moves before an earlier one without need."""
+    r, rows, refs, answered = random.Random(4), [], {}, {}
+    for conv in range(12):
+        n, refs[conv], answered[conv] = 8, {}, set()
+        turns = r.sample(range(40), 2 * n)
+        for k in range(n):
+            refs[conv][k] = set(r.sample(range(n + 1), r.choice([0, 0, 1, 2] if conv % 3 else [1, 2])))
+            args = json.dumps({"a": 1} | {f"n{j}": f"${j}" for j in refs[conv][k]})
+            rows.append((conv, turns[k], "assistant", json.dumps({"tool_calls": [{"id": str(k), "name": "add", "arguments": args}]})))
+            if r.random() < 0.7:
+                answered[conv].add(k)
+                rows.append((conv, turns[n + k], "tool", json.dumps({"tool_call_id": str(k), "content": "x"})))
+    twice = tools.unionByName(tools)  # a tool listed twice changes nothing
+    got = chat.link_tool_calls(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), twice, block=7).collect()
+    assert len(got) == len(rows)
+    for conv in range(12):
+        seq = {(x.kind, int(x.call_id)): x.seq for x in got if x.conv_id == conv}
+        turn = {(x.kind, int(x.call_id)): (x.turn, x.kind) for x in got if x.conv_id == conv}
+        flagged = {int(x.call_id) for x in got if x.conv_id == conv and "cycle" in x.problems.split(",")}
+        assert sorted(seq.values()) == list(range(1, len(seq) + 1))
+        deps = {("call", k): {("result", j) if j in answered[conv] else ("call", j) for j in refs[conv][k] if j < 8} for k in range(8)} | {("result", k): {("call", k)} for k in answered[conv]}
+        free, more = set(), True
+        while more:
+            more = {x for x in deps if x not in free and deps[x] <= free}
+            free |= more
+        on_cycle = {k for kind, k in deps if kind == "call" and ("call", k) not in free and _reaches(deps, ("call", k), ("call", k))}
+        assert on_cycle <= flagged <= {k for kind, k in deps if kind == "call" and ("call", k) not in free}, conv
+        for x in free:
+            assert all(seq[y] < seq[x] for y in deps[x]), (conv, x)
+        if not any(turn[y] >= turn[x] for x in deps for y in deps[x]):
+            assert sorted(seq, key=seq.get) == sorted(turn, key=turn.get)
+        missing = {int(x.call_id) for x in got if x.conv_id == conv and "reference:8" in x.problems}
+        assert missing == {k for k in refs[conv] if 8 in refs[conv][k]}
+
+
+def _reaches(deps, a, b) -> bool:
+    seen, todo = set(), list(deps[a])
+    while todo:
+        x = todo.pop()
+        if x == b:
+            return True
+        if x not in seen:
+            seen.add(x)
+            todo += deps[x]
+    return False
+
+
 def test_tool_call_query(spark, sf):
     assert op6_link_tool_calls(spark, sf).count() == spark.read.parquet(f"{sf}/conversations.parquet").count()
 
