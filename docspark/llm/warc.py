@@ -31,10 +31,10 @@ def _record_id(page_id, digest: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(_SPACE, f'{page_id}/{digest}')}>"
 
 
-def record(page_id, url: str | None, payload: bytes, refers_to, revisit: bool, date: str) -> bytes:
-    """One WARC/1.1 record; headers, digests and ids follow from its content alone."""
-    digest = payload_digest(payload)
-    head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+def record(page_id, url: str | None, payload: bytes | None, refers_to, revisit: bool, date: str, digest: str | None = None, size: int = 0) -> bytes:
+    """One WARC/1.1 record; headers, digests and ids follow from its content alone.  A revisit may come with its payload's ``digest`` and ``size`` instead of it."""
+    digest, size = (digest, size) if payload is None else (payload_digest(payload), len(payload))
+    head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
     block = head if revisit else head + payload
     uri = re.sub(r"[\x00-\x20\x7f]+", "%20", url or "") or f"urn:page:{page_id}"
     fields = [
@@ -101,15 +101,15 @@ class _Roller:
             self.out = None
 
 
-def write_warc(pages: DataFrame, out_dir: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_revisit_bytes: int = 0, shard_bytes: int = 64 << 20, roll_bytes: int = 16 << 20, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
+def write_warc(pages: DataFrame, out_dir: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_revisit_bytes: int = 0, shard_bytes: int = 64 << 20, roll_bytes: int = 16 << 20, date: str = "2024-01-01T00:00:00Z", broadcast_rows: int = 100_000) -> DataFrame:
     """Write a record per row under ``out_dir`` (a URI that pyarrow can write: file, hdfs, s3, gs) and return the manifest.
 
-    Records are sorted by (payload digest, id descending) and cut into shards, ranges of the digest that hold about
-    ``shard_bytes`` of payload.  Of equal payloads of ``min_revisit_bytes`` or more the first, with the largest id, is a response and the
-    others revisit it; smaller payloads are all responses.  A digest that has a thousandth of all rows or more, of which there can be
-    1000 at most, is dealt over shards of its own; their largest ids go to all tasks.  So each payload is shuffled once.
+    Records are sorted by (payload digest, id descending, url) and cut into shards, ranges of the digest: one for each ``shard_bytes`` of payload, or each 100 rows up to 64 shards
+    if those are more.  Of equal payloads of ``min_revisit_bytes`` or more the first, with the largest id, is a response and the
+    others revisit it; smaller payloads are all responses.  A digest with as many rows or bytes as a shard is dealt over shards of its own; its largest id is looked up
+    beforehand, so its revisits travel without their payload.  Such digests go to all tasks if they are ``broadcast_rows`` at most; more are joined as Spark sees fit.
 
-    Shards, file names, headers, digests and bytes depend on the rows alone, not on partitions or tasks.  A file gets its name when whole; the
+    Shards, file names, headers, digests and bytes depend on the rows alone, not on partitions, tasks or settings.  A file gets its name when whole; the
     manifest (``out_dir``/_manifest, JSON, by Spark's committer) names the files that count, so a repeated or lost task leaves nothing that is read.
 
     A null payload is empty; a null url becomes urn:page:<id>; a null id sorts last and is written as an empty field.  Rows that
@@ -117,26 +117,33 @@ def write_warc(pages: DataFrame, out_dir: str, id_col: str = "page_id", url_col:
     """
     spark = pages.sparkSession
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.encode(F.coalesce(F.col(payload_col), F.lit("")), "UTF-8").alias("payload"))
-    rows = rows.withColumn("digest", F.sha1("payload"))
-    sums = stored(rows.groupBy("digest").agg(F.count("*").alias("n"), F.sum(F.octet_length("payload")).alias("bytes"), F.max("page_id").alias("top")), "digests")
+    rows = rows.withColumn("digest", F.sha1("payload")).withColumn("size", F.octet_length("payload").cast("long"))
+    sums = stored(rows.groupBy("digest").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"), F.max("page_id").alias("top")), "digests")
     total = sums.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes")).first()
-    buckets = max(1, -(-total.bytes // shard_bytes), min(n_partitions(spark), total.n // 100))
-    heavy = sums.where(F.col("n") >= max(2, -(-total.n // 1000))).select("digest", "top", F.greatest(F.lit(1), F.ceil(F.col("n") * buckets / max(1, total.n))).alias("subs"))
+    buckets = max(1, -(-total.bytes // shard_bytes), min(64, total.n // 100))
+    fair = max(2, -(-total.n // buckets))
+    heavy = sums.where((F.col("n") >= fair) | (F.col("n") > 1) & (F.col("bytes") >= shard_bytes)).select("digest", "top", F.ceil(F.col("n") / fair).alias("subs"))
+    heavy = stored(heavy, "heavy")
+    if heavy.count() <= broadcast_rows:
+        heavy = F.broadcast(heavy)
     bucket = F.lpad(F.floor(F.conv(F.substring("digest", 1, 8), 16, 10).cast("long") * buckets / 2**32).cast("string"), 7, "0")
     spread = F.concat(bucket, F.lit("-"), F.substring("digest", 1, 12), F.lit("-"), F.lpad(F.pmod(F.xxhash64("page_id"), F.col("subs")).cast("string"), 5, "0"))
-    keyed = rows.join(F.broadcast(heavy), "digest", "left").withColumn("shard", F.when(F.col("subs").isNotNull(), spread).otherwise(bucket))
-    dealt = keyed.select("shard", "digest", "page_id", "url", "payload", "top", F.col("subs").isNotNull().alias("is_heavy")).repartitionByRange(n_partitions(spark), "shard").sortWithinPartitions("shard", "digest", F.col("page_id").desc_nulls_last())
+    keyed = rows.join(heavy, "digest", "left").withColumn("shard", F.when(F.col("subs").isNotNull(), spread).otherwise(bucket))
+    again = F.col("subs").isNotNull() & (F.col("size") >= min_revisit_bytes) & ~F.col("page_id").eqNullSafe(F.col("top"))
+    dealt = keyed.select("shard", "digest", "page_id", "url", F.when(~again, F.col("payload")).alias("payload"), "top", F.col("subs").isNotNull().alias("is_heavy"), "size")
+    dealt = dealt.repartitionByRange(n_partitions(spark), "shard").sortWithinPartitions("shard", "digest", F.col("page_id").desc_nulls_last(), "url")
     pafs.FileSystem.from_uri(out_dir)[0].create_dir(pafs.FileSystem.from_uri(out_dir)[1], recursive=True)
 
     def write(batches):
         roller, before, first = _Roller(out_dir, roll_bytes, date), None, None
         for b in batches:
-            for shard, digest, page, url, payload, top, is_heavy in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for shard, digest, page, url, payload, top, is_heavy, size in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 fresh_run = (shard, digest) != before
                 if fresh_run:
                     before, first = (shard, digest), page
-                revisit = len(payload) >= min_revisit_bytes and (not fresh_run or (is_heavy and page != top))
-                roller.add(shard, record(page, url, payload, (top if is_heavy else first) if revisit else None, revisit, date))
+                revisit = size >= min_revisit_bytes and (not fresh_run or (is_heavy and page != top))
+                sha = base64.b32encode(bytes.fromhex(digest)).decode()
+                roller.add(shard, record(page, url, payload, (top if is_heavy else first) if revisit else None, revisit, date, sha, size))
         roller.close()
         cols = list(zip(*roller.done, strict=True)) or [()] * 5
         kinds = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string())
