@@ -50,11 +50,27 @@ def _next_words(gap: Column, near: int, back: bool) -> Column:
     return F.transform(words, lambda w: F.lower(F.reverse(w) if back else w))
 
 
-def _words_along(gaps: Column, near: int, back: bool) -> Column:
-    """For each gap the ``near`` words next to it, going on through the gaps before it where it has fewer."""
-    step = lambda acc, g: F.concat(acc, F.array(F.slice(F.concat(_next_words(g, near, back), F.element_at(acc, -1)), 1, near)))
-    out = F.aggregate(gaps, F.array(F.array().cast("array<string>")), step)
-    return F.slice(out, 2, F.size(gaps))
+def _once(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often it is named."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _fold(items: Column, start: Column, empty: Column, step, block: int = 256) -> Column:
+    """What ``step(state, item) -> (state, array to add)`` adds along an array, in order.
+
+    Appending to an array copies it; so the results of ``block`` items at a time are gathered by themselves, and a text costs block / 2 copies per item, not half its items.
+    """
+    blocks = F.transform(F.sequence(F.lit(0), F.floor(F.size(items) / block).cast("int")), lambda k: F.slice(items, k * block + 1, block))
+
+    def inner(acc: Column, x: Column) -> Column:
+        state, more = step(acc["state"], x)
+        return F.struct(state.alias("state"), F.when(F.size(more) > 0, F.concat(acc["out"], more)).otherwise(acc["out"]).alias("out"))
+
+    def outer(acc: Column, b: Column) -> Column:
+        done = F.aggregate(b, F.struct(acc["state"].alias("state"), empty.alias("out")), inner)
+        return _once(done, lambda d: F.struct(d["state"].alias("state"), F.concat(acc["outs"], F.array(d["out"])).alias("outs")))
+
+    return F.aggregate(blocks, F.struct(start.alias("state"), F.filter(F.array(empty), lambda x: F.lit(False)).alias("outs")), outer, lambda acc: F.flatten(acc["outs"]))
 
 
 def matches(kind: str, text: Column, near: int = 3) -> Column:
@@ -62,18 +78,28 @@ def matches(kind: str, text: Column, near: int = 3) -> Column:
     whole and however far away; other matches of the kind hold none."""
     found = F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0))
     between = F.split(text, PATTERNS[kind], -1)
-    before, after = F.slice(between, 1, F.size(found)), F.slice(between, 2, F.size(found))
-    pairs = F.arrays_zip(found.alias("m"), before.alias("l"), _words_along(before, near, True).alias("left"), F.reverse(_words_along(F.reverse(after), near, False)).alias("right"))
-    empty = F.array().cast("array<struct<kind:string,start:int,end:int,value:string,left:string,right:string>>")
+    no_words, empty = F.array().cast("array<string>"), F.array().cast("array<struct<kind:string,start:int,end:int,value:string,left:string,right:string>>")
+    checked = F.transform(F.arrays_zip(found.alias("m"), F.slice(between, 1, F.size(found)).alias("l"), F.slice(between, 2, F.size(found)).alias("r")), lambda x: F.struct(x["m"].alias("m"), x["l"].alias("l"), x["r"].alias("r"), _valid(kind, x["m"]).alias("ok")))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.char_length(x["l"])
-        end = start + F.char_length(x["m"])
-        one = F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), x["m"].alias("value"), F.array_join(F.reverse(x["left"]), " ").alias("left"), F.array_join(x["right"], " ").alias("right"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
+    def spans(all_: Column) -> Column:
+        def forth(state: Column, x: Column):
+            words = F.slice(F.concat(_next_words(x["l"], near, True), state["words"]), 1, near)
+            start = state["at"] + F.char_length(x["l"])
+            end = start + F.char_length(x["m"])
+            one = lambda w: F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), x["m"].alias("value"), F.array_join(F.reverse(w), " ").alias("left"))
+            some = F.array(one(words))
+            return F.struct(end.alias("at"), words.alias("words")), F.when(x["ok"], some).otherwise(F.filter(some, lambda s: F.lit(False)))
+
+        def back(state: Column, x: Column):
+            words = F.slice(F.concat(_next_words(x["r"], near, False), state), 1, near)
+            return words, F.when(x["ok"], F.array(F.array_join(words, " "))).otherwise(no_words)
+
+        left = _fold(all_, F.struct(F.lit(0).alias("at"), no_words.alias("words")), F.array().cast("array<struct<kind:string,start:int,end:int,value:string,left:string>>"), forth)
+        right = F.reverse(_fold(F.reverse(all_), no_words, no_words, back))
+        both = F.transform(F.arrays_zip(left.alias("s"), right.alias("right")), lambda x: F.struct(*[x["s"][f].alias(f) for f in ("kind", "start", "end", "value", "left")], x["right"].alias("right")))
+        return F.when(F.exists(all_, lambda x: x["ok"]), both).otherwise(empty)
 
-    spans = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda a: a["out"])
-    return F.when(_may_have(kind, text), F.filter(spans, lambda s: _valid(kind, s["value"]))).otherwise(empty)
+    return F.when(_may_have(kind, text), _once(checked, spans)).otherwise(empty)
 
 
 def base_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", near: int = 3) -> DataFrame:
@@ -131,13 +157,13 @@ def find_private(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     pairs = F.arrays_zip(hits.alias("m"), F.slice(gaps, 1, F.size(hits)).alias("l"))
     empty = F.array().cast("array<struct<kind:string,start:int,end:int,value:string>>")
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.char_length(x["l"])
+    def step(at: Column, x: Column):
+        start = at + F.char_length(x["l"])
         end = start + F.char_length(x["m"])
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(F.lit("term").alias("kind"), start.alias("start"), end.alias("end"), x["m"].alias("value")))).alias("out"))
+        return end, F.array(F.struct(F.lit("term").alias("kind"), start.alias("start"), end.alias("end"), x["m"].alias("value")))
 
     base = F.transform("base", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value")))
-    terms = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda a: a["out"])
+    terms = _fold(pairs, F.lit(0), empty, step)
     free = F.filter(terms, lambda t: ~F.exists("base", lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
     return joined.select("doc_id", "text", base.alias("base"), F.concat(base, F.when(F.col("terms").isNotNull(), free).otherwise(empty)).alias("spans"))
 
@@ -153,13 +179,15 @@ def listed(spans: Column) -> Column:
 
 def sanitised(found: DataFrame) -> DataFrame:
     """(doc_id, text) of a ``find_private`` table: base spans are generalised to <KIND>, revealing terms are removed."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substring(F.col("text"), acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
-        tag = F.when((s["kind"] == "term") | (s["start"] < acc["at"]), F.lit("")).otherwise(F.concat(F.lit("<"), F.upper(s["kind"]), F.lit(">")))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], gap, tag).alias("out"))
+    def step(at: Column, s: Column):
+        gap = F.substring(F.col("text"), at + 1, F.greatest(s["start"] - at, F.lit(0)))
+        tag = F.when((s["kind"] == "term") | (s["start"] < at), F.lit("")).otherwise(F.concat(F.lit("<"), F.upper(s["kind"]), F.lit(">")))
+        return F.greatest(at, s["end"]), F.array(gap, tag)
 
+    # The end of the text stands as a last span, so that what follows the others comes along.
+    last = F.char_length("text")
     ordered = F.sort_array(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    done = F.aggregate(ordered, start, step)
-    return found.select("doc_id", F.concat(done["out"], F.substring(F.col("text"), done["at"] + 1, F.char_length("text"))).alias("text"))
+    ordered = F.concat(ordered, F.array(F.struct(last.alias("start"), last.alias("end"), F.lit("term").alias("kind"))))
+    pieces = _fold(ordered, F.lit(0), F.array().cast("array<string>"), step)
+    return found.select("doc_id", F.when(F.size("spans") > 0, F.array_join(pieces, "")).otherwise(F.col("text")).alias("text"))

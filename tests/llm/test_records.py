@@ -4,15 +4,19 @@ import base64
 import gzip
 import hashlib
 import json
+import math
 import random
 import re
+import time
+from collections import defaultdict
 from pathlib import Path
 
 import pytest
+import regex
 
 from docspark.llm import chat, pii, warc
 from docspark.llm.common import new_path
-from docspark.llm.queries import op2_warc, op6_link_tool_calls
+from docspark.llm.queries import op2_warc, op6_link_tool_calls, op10_pii
 
 
 def b32(data):
@@ -42,6 +46,19 @@ def test_warc_round_trip(spark):
     assert small == 0 and warc.archive_round_trip(pages.limit(0)).count() == 0
 
 
+def test_warc_bytes_depend_on_rows_alone(spark):
+    rows = [(k, f"http://h/{k}", "hot " * 50 if k % 3 else f"page {k}") for k in range(900)] + [(5, "http://b", "hot " * 50), (5, "http://a", "hot " * 50)]
+    pages, found = spark.createDataFrame(rows, "page_id long, url string, html string"), []
+    for parts in ("3", "11"):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        out = new_path(spark, "test")
+        manifest = warc.write_warc(pages.repartition(int(parts)), out, broadcast_rows=int(parts) % 2)
+        found.append((sorted(map(str, manifest.collect())), sorted(map(str, warc.read_warc(manifest, out, payloads=False).collect()))))
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert found[0] == found[1] and len({x.split("shard='")[1][:7] for x in found[0][0]}) > 3
+    assert sum("response" in x for x in found[0][1]) == 301
+
+
 def test_warc_query(spark, sf):
     pages = {r.page_id: (r.html or "").encode() for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
     got = op2_warc(spark, sf).collect()
@@ -80,6 +97,68 @@ def test_base_spans(spark):
         assert r.base == r.spans == brute_base(r.text), r.text[:50]
 
 
+def test_a_long_text_of_matches_takes_time_in_proportion(spark):
+    text = "x@y.zz 4111111111111111 x " + "7 x " * 40_000 + "end@y.zz " * 8_000
+    begin = time.monotonic()
+    got = pii.find_private(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()[0]
+    assert len(got.base) == 8_002 and [s.value for s in got.base[:2]] == ["x@y.zz", "end@y.zz"] and got.base[-1].kind == "card"
+    assert pii.sanitised(spark.createDataFrame([got], "doc_id long, text string, base array<struct<kind:string,start:int,end:int,value:string>>, spans array<struct<kind:string,start:int,end:int,value:string>>")).first().text.startswith("<EMAIL> <CARD> x 7")
+    assert time.monotonic() - begin < 60
+
+
+def brute_spans(docs: list[tuple[int, str]]) -> dict[int, str]:
+    """All spans of the query, by reading the documents one by one."""
+    words = lambda t: [w.lower() for w in regex.findall(r"\p{L}+", re.sub(PLAIN["email"], " 0 ", t))]
+    base, near, held = {}, [], defaultdict(set)
+    for i, t in docs:
+        base[i] = brute_base(t)
+        valid = set(base[i].split(",")) - {""}
+        for kind, p in PLAIN.items():
+            ms = list(re.finditer(p, t))
+            ends = [0, *[m.end() for m in ms]]
+            gaps = [words(t[a:b]) for a, b in zip(ends, [*[m.start() for m in ms], len(t)], strict=True)]
+            for k, m in enumerate(ms):
+                if f"{kind}:{m.start()}:{m.end()}" in valid:
+                    value = m[0].lower() if kind == "email" else m[0] if kind == "ip" else re.sub("[^0-9]", "", m[0])
+                    near.append((i, f"{kind}:{value}", tuple(sum(gaps[: k + 1], [])[-3:]), tuple(sum(gaps[k + 1 :], [])[:3])))
+        for w in set(regex.split(r"[^\p{L}]+", t.lower())):
+            if len(w) >= 3:
+                held[w].add(i)
+    entity, together, contexts = defaultdict(set), defaultdict(set), defaultdict(set)
+    for i, e, left, right in near:
+        entity[e].add(i)
+        for w in {*left, *right}:
+            if len(w) >= 3:
+                together[e, w].add(i)
+                contexts[e, w].add((left, right))
+    chosen = set()
+    for (e, w), ids in together.items():
+        share = len(ids) / len(held[w]) if held[w] else 0
+        if len(contexts[e, w]) >= 3 and share >= 0.5 and math.log2(share * len(docs) / len(entity[e])) >= 4:
+            chosen.add(w)
+    out = {}
+    for i, t in docs:
+        own, spans = sorted(w for w in chosen if i in held[w]), base[i].split(",") if base[i] else []
+        taken = [tuple(map(int, s.split(":")[1:])) for s in spans]
+        for m in regex.finditer(rf"(?i)(?<!\p{{L}})(?:{'|'.join(own)})(?!\p{{L}})", t) if own else ():
+            if not any(a < m.end() and m.start() < b for a, b in taken):
+                spans.append(f"term:{m.start()}:{m.end()}")
+        out[i] = ",".join(spans)
+    return out
+
+
+def test_pii_query_against_brute_force(spark, sf, tmp_path):
+    docs = [(r.doc_id, r.text or "") for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    r = random.Random(2)
+    docs += [(100_000 + k, f"{r.choice('abcdef') * 4} {r.choice('ghijk') * 3}, Zorblatt: z.orb@mail.org and {r.choice('lmnop') * 4}") for k in range(8)] + [(200_000, "Zorblatt, ZORBLATTS and zorblatt")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = brute_spans(docs)
+    got = {x.doc_id: x for x in op10_pii(spark, str(tmp_path)).collect()}
+    assert {k: x.spans for k, x in got.items()} == want and want[200_000] == "term:0:8,term:24:32"
+    for i, t in docs:
+        assert got[i].base_sha256 == hashlib.sha256(brute_base(t).encode()).hexdigest() and got[i].n_email == brute_base(t).count("email:")
+
+
 def test_revealing_terms(spark):
     rows = [(i, f"filler number {'abcdefghij'[i % 10]} word. Ask Zorblatt at zor{'' if i % 2 else ''}@mail.org please {'xyzuvw'[i % 6] * 3} and go") for i in range(12)]
     rows += [(100 + i, f"ask anyone at all, please and go {i}") for i in range(300)] + [(2000, "Nobody but ZORBLATT did this"), (2001, "other@mail.org here")]
