@@ -135,8 +135,9 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     new = {"n_times", "taken", "spans"}
     key = lambda i, source, size: F.struct(i.alias("i"), source.alias("s"), size.alias("n"))  # noqa: E731  nulls inside a struct are equal
     units = _apportioned(docs, id_col, text_col, source_col, weights, share, most, block, shard_words, seed).where("got > 0")
-    units = units.select(key(F.col("doc_id"), F.col("source"), F.col("size")).alias("_unit"), F.col("size").alias("_size"), F.col("spans").alias("_spans"))
-    rows = docs.select(*[c for c in docs.columns if c.lower() not in new], key(F.col(id_col), F.col(source_col).cast("string"), n_words(F.col(text_col))).alias("_key")).where("_key.n > 0")
+    # Both keys have fields of the same types, nulls included, so that rows are shuffled by them once.
+    units = units.select(key(F.col("doc_id"), F.col("source"), F.coalesce("size", F.lit(0).cast("long"))).alias("_unit"), F.col("size").alias("_size"), F.col("spans").alias("_spans"))
+    rows = docs.select(*[c for c in docs.columns if c.lower() not in new], key(F.col(id_col), F.col(source_col).cast("string"), n_words(F.col(text_col))).alias("_key"))
     rows = rows.withColumn("_copy", F.row_number().over(W.partitionBy("_key").orderBy(F.xxhash64(F.col(text_col)))))
     joined = rows.join(units.hint("merge"), F.col("_key") == F.col("_unit"))
     from_, to = (F.col("_copy") - 1) * F.col("_size"), F.col("_copy") * F.col("_size")
