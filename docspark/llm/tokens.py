@@ -51,16 +51,22 @@ class Words:
         self.per_row = np.bincount(self.row, minlength=len(arr))
         self.first_of_row = np.concatenate([[0], np.cumsum(self.per_row)])
 
-    def hashes(self) -> np.ndarray:
+    def hashes(self, block: int = 1 << 19) -> np.ndarray:
         if not len(self.start):
             return np.zeros(0, np.uint64)
         size = self.end - self.start
-        at = np.concatenate([[0], np.cumsum(size)[:-1]])
-        place = np.arange(int(size.sum())) - np.repeat(at, size)
-        value = self.bytes[np.repeat(self.start, size) + place].astype(np.uint64) + np.uint64(1)
         weight = _WEIGHTS if size.max() <= len(_WEIGHTS) else mix(np.arange(int(size.max()), dtype=np.uint64), 77) | np.uint64(1)
-        with np.errstate(over="ignore"):
-            return mix(np.add.reduceat(value * weight[place], at) + size.astype(np.uint64))
+        out, ends, first = np.empty(len(size), np.uint64), np.cumsum(size), 0
+        while first < len(size):  # about ``block`` bytes of words at a time, so that the arrays per byte stay small
+            done = int(ends[first - 1]) if first else 0
+            last = max(first + 1, int(np.searchsorted(ends, done + block, side="right")))
+            part, at = size[first:last], ends[first:last] - size[first:last] - done
+            place = np.arange(int(part.sum())) - np.repeat(at, part)
+            value = self.bytes[np.repeat(self.start[first:last], part) + place].astype(np.uint64) + np.uint64(1)
+            with np.errstate(over="ignore"):
+                out[first:last] = mix(np.add.reduceat(value * weight[place], at) + part.astype(np.uint64))
+            first = last
+        return out
 
 
 def windows(words: np.ndarray, row: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:

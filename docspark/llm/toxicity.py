@@ -263,7 +263,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     shared = spark.sparkContext.broadcast(lexicon)
 
     def dense(batches):
-        for b in slices(batches, 2):
+        for b in slices(batches, 2, 1 << 20):
             x = features(b.column(2), shared.value)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), pa.array(x.tolist(), pa.list_(pa.float64()))], ["fold", "toxic", "_id", "x"])
 
@@ -287,7 +287,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for b in slices(batches, 1):
+        for b in slices(batches, 1, 1 << 20):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(shared.value.score(b.column(1)), pa.float64())], ["doc_id", "score"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -300,7 +300,7 @@ def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text", threshold:
     at = docs.columns.index(text_col)
 
     def run(batches):
-        for b in slices(batches, at):
+        for b in slices(batches, at, 1 << 20):
             texts = b.column(at)
             yield b.filter(pa.array(shared.value.score(texts.fill_null("")) < threshold))
 
