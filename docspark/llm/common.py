@@ -40,7 +40,16 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, label)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._docspark_path = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Remove tables that ``stored`` wrote, once all that reads them has been written in turn."""
+    for df in tables:
+        jpath = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._docspark_path)
+        jpath.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
 def fresh(df: DataFrame, name: str) -> str:
@@ -75,9 +84,9 @@ def slices(batches: Iterator[pa.RecordBatch], text_at: int, most: int = 4 << 20)
 
 
 def text_offsets(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """UTF-8 bytes of a string column and the n+1 offsets of its rows (a null row is empty)."""
+    """Bytes of a string (UTF-8) or binary column and the n+1 offsets of its rows (a null row is empty)."""
     if arr.null_count:
-        arr = arr.fill_null("")
+        arr = arr.fill_null(b"" if pa.types.is_binary(arr.type) else "")
     wide = pa.types.is_large_string(arr.type)
     _, offsets, data = arr.buffers()
     off = np.frombuffer(offsets, np.int64 if wide else np.int32)[arr.offset : arr.offset + len(arr) + 1].astype(np.int64)
@@ -85,6 +94,11 @@ def text_offsets(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0] : off[-1]], off - off[0]
 
 
+def bloom_size(keys: int, most: int = 28) -> int:
+    """log2 of the bits of a Bloom filter for so many keys: 16 a key, at most 2**most (32 MiB); beyond that it prunes less, nothing else."""
+    return min(most, max(16, (16 * keys - 1).bit_length()))
+
+
 def bloom_bits(df: DataFrame, key: str, log2_bits: int) -> np.ndarray:
     """A Bloom filter (two probes) of a column of well-mixed longs, as 2**log2_bits bits on the driver; log2_bits is 6 to 32.
 
@@ -110,15 +124,15 @@ def in_bloom(bits: np.ndarray, key: np.ndarray) -> np.ndarray:
     return hit
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Connected components of an edge table (a, b): one row (node, root) per node, root the smallest node reached.
 
-    Alternates the large-star and small-star steps, each a min-aggregate and a join, until no edge changes; every round is
-    written to the shared folder.  The number of rounds is logarithmic in the size of the largest component.
+    Alternates the large-star and small-star steps, each a min-aggregate and a join, until no edge changes, however many rounds that takes; every
+    round is written to the shared folder.  The number of rounds is logarithmic in the size of the largest component.
     """
     cur = stored(edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     before = None
-    for _ in range(most_rounds):
+    while True:
         state = cur.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if not state.n or (state.n, state.h) == before:
             break
@@ -127,8 +141,12 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         large = stored(large, "edges")
+        release(cur)
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).where("a <> b")
         cur = stored(small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+        release(large)
     roots = cur.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))
-    return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+    out = stored(roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()), "components")
+    release(cur)
+    return out

@@ -11,12 +11,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import bloom_bits, components, fresh, in_bloom, slices, stored
+from .common import bloom_bits, bloom_size, components, fresh, in_bloom, release, slices, stored, text_offsets
 from .tokens import NOT_BLANK, Words, mix, shingle_sets
 
 _N_MINS = 16
 _ODD = mix(np.arange(_N_MINS, dtype=np.uint64), 5) | np.uint64(1)
-_SETS = "doc_id long, n long, h1 long, h2 long, mins array<long>"
+_SETS = "doc_id long, n long, h1 long, h2 long, mins array<long>, shingles binary"
+#: Minima and 64-bit words of the bitmap of a set's difference from the centre of its star.
+_D_MINS, _D_WORDS = 8, 8
 
 
 def _ceil(a, b):
@@ -56,18 +58,27 @@ def light_boundary(sizes: dict[int, int], rule: Rule, most: int = 12, list_cost:
     return min(range(most + 1), key=cost)
 
 
+def _packed(h: np.ndarray, n: np.ndarray) -> pa.Array:
+    """Sets of ``n`` hashes each, laid end to end in ``h``, as a binary column."""
+    ends = np.concatenate([[0], np.cumsum(n) * 8])
+    return pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(h))]).cast(pa.binary())
+
+
 def _sets(arr: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    row, h = shingle_sets(Words(arr, NOT_BLANK))
-    n = np.bincount(row, minlength=len(arr))
-    return row, h, n
+    """Row, hash and set sizes of a column that ``_packed`` made."""
+    raw, off = text_offsets(arr)
+    n = np.diff(off) // 8
+    return np.repeat(np.arange(len(n)), n), np.frombuffer(raw.tobytes(), np.uint64), n
 
 
 def set_keys(rows: DataFrame) -> DataFrame:
-    """(doc_id, n, h1, h2, mins) per row: the size of its shingle set, a 128-bit hash of the set, and its minima under 16 hashes."""
+    """(doc_id, n, h1, h2, mins, shingles) per row: the size of its shingle set, a 128-bit hash of the set, its minima under 16 hashes, and the set, as
+    sorted 64-bit hashes, so that no later step reads texts again."""
 
     def run(batches):
-        for b in slices(batches, 1, 2 << 20):
-            row, h, n = _sets(b.column(1))
+        for b in slices(batches, 1, 1 << 20):
+            row, h = shingle_sets(Words(b.column(1), NOT_BLANK))
+            n = np.bincount(row, minlength=b.num_rows)
             full = np.flatnonzero(n)
             first = np.concatenate([[0], np.cumsum(n)])[full]
             h1, h2 = np.zeros(len(n), np.uint64), np.zeros(len(n), np.uint64)
@@ -78,12 +89,12 @@ def set_keys(rows: DataFrame) -> DataFrame:
                     for k in range(_N_MINS):
                         mins[full, k] = np.minimum.reduceat(h * _ODD[k], first)
             flat = pa.ListArray.from_arrays(pa.array(np.arange(0, mins.size + 1, _N_MINS), pa.int32()), pa.array(mins.view(np.int64).ravel()))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n.astype(np.int64)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), flat], ["doc_id", "n", "h1", "h2", "mins"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n.astype(np.int64)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), flat, _packed(h, n)], ["doc_id", "n", "h1", "h2", "mins", "shingles"])
 
     return rows.mapInArrow(run, _SETS)
 
 
-def token_order(rows: DataFrame, log2_buckets: int = 18) -> np.ndarray:
+def token_order(keys: DataFrame, log2_buckets: int = 18) -> np.ndarray:
     """How often the shingles of each hash bucket occur in the corpus: the frequency part of the global order of shingles.
 
     Any order is right; this one puts shingles of very frequent passages last.  2**log2_buckets counters, whatever the input.
@@ -92,13 +103,13 @@ def token_order(rows: DataFrame, log2_buckets: int = 18) -> np.ndarray:
 
     def run(batches):
         seen = np.zeros(size, np.int64)
-        for b in slices(batches, 0, 2 << 20):
+        for b in slices(batches, 0, 1 << 20):
             _, h, _ = _sets(b.column(0))
             seen += np.bincount((h & np.uint64(size - 1)).astype(np.int64), minlength=size)
         at = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(seen[at])], ["b", "c"])
 
-    got = rows.select("text").mapInArrow(run, "b int, c long").groupBy("b").agg(F.sum("c").alias("c")).toArrow()
+    got = keys.select("shingles").mapInArrow(run, "b int, c long").groupBy("b").agg(F.sum("c").alias("c")).toArrow()
     out = np.zeros(size, np.int64)
     out[got["b"].to_numpy()] = got["c"].to_numpy()
     return out
@@ -132,55 +143,65 @@ def _signatures(arr: pa.Array, order: np.ndarray, rule: Rule, light: int):
     return row, h, pos, n[row]
 
 
-def _overlaps(pairs: DataFrame, rows: DataFrame, rule: Rule, diffs: bool) -> DataFrame:
+def _minima(h: np.ndarray) -> list[int]:
+    with np.errstate(over="ignore"):
+        return [int(np.min(h * odd).view(np.int64)) for odd in _ODD[:_D_MINS]] if len(h) else []
+
+
+def _bitmap(h: np.ndarray) -> list[int]:
+    """Bits of a set's hashes: two sets differ in at least as many elements as their bitmaps in bits."""
+    bits = np.zeros(_D_WORDS * 64, np.uint8)
+    bits[(mix(h, 6) % np.uint64(len(bits))).astype(np.int64)] = 1
+    return np.packbits(bits).view(np.int64).tolist()
+
+
+def _overlaps(pairs: DataFrame, keys: DataFrame, rule: Rule, diffs: bool) -> DataFrame:
     """Exact intersections of candidate pairs (a, b): a, b, na, nb, o; with ``diffs`` also what of a's difference from b the join inside a star needs.
 
-    Only texts of documents in pairs leave the scan (as shingle hashes); a Bloom filter of bounded size, then the join, picks them.
+    Only sets of documents in pairs leave the scan; a Bloom filter of bounded size, then the join, picks them.
     """
-    spark = rows.sparkSession
+    spark = keys.sparkSession
 
     def sets(side: str) -> DataFrame:
-        wanted = pairs.select(F.xxhash64(side).alias("k")).distinct()
-        bits = spark.sparkContext.broadcast(bloom_bits(wanted, "k", 24))
+        wanted = stored(pairs.select(F.xxhash64(side).alias("k")).distinct(), "wanted")
+        bits = spark.sparkContext.broadcast(bloom_bits(wanted, "k", bloom_size(wanted.count())))
 
         def read(batches):
             for b in batches:
                 hit = in_bloom(bits.value, b.column(0).to_numpy(zero_copy_only=False).view(np.uint64))
-                for part in slices(iter([b.filter(pa.array(hit))]), 2, 2 << 20):
-                    row, h, n = _sets(part.column(2))
-                    cut = np.concatenate([[0], np.cumsum(n)]) * 8
-                    raw = h.tobytes()
-                    yield pa.RecordBatch.from_arrays([part.column(1), pa.array([raw[i:j] for i, j in zip(cut, cut[1:], strict=False)], pa.binary())], [side, f"s{side}"])
+                yield pa.RecordBatch.from_arrays([x.filter(pa.array(hit)) for x in b.columns[1:]], [side, f"s{side}"])
 
-        return rows.select(F.xxhash64("doc_id").alias("k"), "doc_id", "text").mapInArrow(read, f"{side} long, s{side} binary").hint("merge")
+        return keys.select(F.xxhash64("doc_id").alias("k"), "doc_id", "shingles").mapInArrow(read, f"{side} long, s{side} binary").hint("merge")
 
     joined = pairs.select("a", "b").join(sets("a"), "a").join(sets("b"), "b")
     p, q = rule.p, rule.q
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, 2, 1 << 20):
             out = []
             for a, b, sa, sb in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 x, y = np.frombuffer(sa, np.uint64), np.frombuffer(sb, np.uint64)
                 at = np.minimum(np.searchsorted(y, x), max(len(y) - 1, 0))
                 both = y[at] == x if len(y) else np.zeros(len(x), bool)
                 o = int(both.sum())
-                kept, oo, most = None, 0, 0
+                kept, minima, bitmap, cost, oo, own, most = None, None, None, 0, 0, 0, 0
                 if diffs:
                     # Inside the star of b: cost c of a set is q*removed + p*added; sets x, y of the star are linked if and only if
                     # (q-p)*|b| + (p+q)*shared >= c_x + c_y, shared being what their differences from b have in common.
                     added, removed = x[~both], np.setdiff1d(y, x[both], assume_unique=True)
-                    c, base, size = q * len(removed) + p * len(added), (q - p) * len(y), len(added) + len(removed)
-                    outside = c > base
-                    oo = size - _ceil(c + 1, p + q) + 1
-                    most = size - _ceil(c + 1 - base, p + q) + 1 if outside else oo
-                    kept = np.concatenate([added, removed]).view(np.int64).tolist()
-                out.append((a, b, len(x), len(y), o, kept, oo, most))
-            cols = list(zip(*out, strict=True)) or [()] * 8
-            kinds = (pa.int64(),) * 5 + (pa.list_(pa.int64()), pa.int32(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["a", "b", "na", "nb", "o", "diff", "oo", "most"])
+                    cost, base, size = q * len(removed) + p * len(added), (q - p) * len(y), len(added) + len(removed)
+                    # Prefixes that meet those of linked sets: outside the centre's reach, there and no nearer than x, anywhere.
+                    oo, own = (size - _ceil(c, p + q) + 1 for c in (cost + 1, 2 * cost - base))
+                    most = size - _ceil(cost + 1 - base, p + q) + 1 if cost > base else oo
+                    diff = np.concatenate([added, removed])
+                    kept, minima, bitmap = diff.view(np.int64), _minima(diff), _bitmap(diff)
+                out.append((a, b, len(x), len(y), o, kept, minima, bitmap, cost, oo, own, most))
+            cols = list(zip(*out, strict=True)) or [()] * 12
+            kinds = (pa.int64(),) * 5 + (pa.list_(pa.int64()),) * 3 + (pa.int64(),) + (pa.int32(),) * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["a", "b", "na", "nb", "o", "diff", "minima", "bitmap", "cost", "oo", "own", "most"])
 
-    return stored(joined.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long, na long, nb long, o long, diff array<long>, oo int, most int"), "overlaps")
+    schema = "a long, b long, na long, nb long, o long, diff array<long>, minima array<long>, bitmap array<long>, cost long, oo int, own int, most int"
+    return stored(joined.select("a", "b", "sa", "sb").mapInArrow(run, schema), "overlaps")
 
 
 def _linked(rule: Rule):
@@ -202,26 +223,59 @@ def _star_pairs(reps: DataFrame) -> DataFrame:
     near = keys.join(best, "key").where((F.col("rep") != F.col("b")) & (5 * F.least("n", "nb") >= 2 * F.greatest("n", "nb")))
     near = near.groupBy(F.col("rep").alias("a"), "b", "weight").agg(F.count("*").alias("same")).where("same >= 4")
     rank = F.row_number().over(W.partitionBy("a").orderBy(F.desc("weight"), "b"))
-    return stored(near.withColumn("rank", rank).where("rank = 1").select("a", "b", "weight"), "star-pairs")
-
-
-def _inside_stars(members: DataFrame, rule: Rule) -> DataFrame:
-    """Candidate pairs of sets of one star of which one isn't linked to the centre: they must share part of their differences from it."""
-    base = (rule.q - rule.p) * F.col("nb")
-    cost = rule.q * (F.col("nb") - F.col("o")) + rule.p * (F.col("na") - F.col("o"))
-    rows = members.withColumn("outside", cost > base)
-    rows = rows.join(rows.where("outside").select("b").distinct(), "b", "left_semi")  # other stars are one component
-    rows = rows.select("a", "outside", "oo", "most", F.explode("diff").alias("e"), F.col("b").alias("star")).withColumn("key", F.xxhash64("star", "e")).drop("star", "e")
-    # Rare differences first, so that what many members share with each other stays out of the prefixes.
-    rows = rows.join(rows.groupBy("key").agg(F.count("*").alias("c")), "key").withColumn("r", F.row_number().over(W.partitionBy("a").orderBy("c", "key"))).where("r <= most and c > 1")
-    rows = stored(rows.select("a", "key", "outside", (F.col("r") <= F.col("oo")).alias("oo")), "differences")
-    outside = rows.where("outside").select(F.col("a").alias("y"), "key", F.col("oo").alias("oo_y"))
-    mixed = rows.where("not outside").join(outside, "key").select("a", "y")
-    apart = rows.where("outside and oo").join(outside.where("oo_y"), "key").where("a < y").select("a", "y")
-    return mixed.unionByName(apart).select(F.least("a", "y").alias("a"), F.greatest("a", "y").alias("b"))
-
-
-def _between_stars(tokens: DataFrame, rule: Rule, light: int) -> DataFrame:
+    out = stored(near.withColumn("rank", rank).where("rank = 1").select("a", "b", "weight"), "star-pairs")
+    release(keys)
+    return out
+
+
+def _star_links(rows: DataFrame, rule: Rule) -> DataFrame:
+    """Links (a, b) inside stars, one candidate a row and minimum: of a star's members whose differences share a minimum, all meet the nearest to the centre.
+
+    Groups of linked members far from their star's centre come together here, in rows that grow with the members, not with their pairs.
+    """
+    keys = rows.select("a", "cost", F.posexplode("minima").alias("k", "v"), "b").select("a", "cost", F.xxhash64("b", "k", "v").alias("key"))
+    nearest = keys.groupBy("key").agg(F.min(F.struct("cost", "a")).alias("m"), F.count("*").alias("c")).where("c > 1").select("key", F.col("m.a").alias("z"))
+    pairs = keys.join(nearest, "key").where("a <> z").select("a", "z").distinct()
+    mine = rows.select("a", "cost", (rule.q - rule.p) * F.col("nb"), "diff").toDF("a", "cost", "base", "diff")
+    near = pairs.join(mine, "a").join(mine.select(F.col("a").alias("z"), F.col("cost").alias("cost_z"), F.col("diff").alias("diff_z")), "z")
+    shared = F.size(F.array_intersect("diff", "diff_z"))
+    return near.where((rule.p + rule.q) * shared >= F.col("cost") + F.col("cost_z") - F.col("base")).select("a", F.col("z").alias("b"))
+
+
+def _inside_stars(members: DataFrame, comps: DataFrame, rule: Rule) -> DataFrame:
+    """Candidate pairs of sets of one star and different components: they must share part of their differences from the centre.
+
+    ``members`` are the rows of stars with a set that isn't linked to the centre.  Differences are ordered by frequency in the star, rare ones first, so that what
+    many members share stays out of the prefixes.  Two sets meet on a key of both prefixes only if its places and their bitmaps leave room for a link.
+    """
+    base, both = (rule.q - rule.p) * F.col("nb"), rule.p + rule.q
+    rows = members.withColumn("outside", F.col("cost") > base).withColumn("size", F.size("diff"))
+    rows = rows.join(comps.withColumnRenamed("node", "a"), "a", "left").withColumn("comp", F.coalesce("root", "a"))
+    bits = [F.col("bitmap")[k].alias(f"w{k}") for k in range(_D_WORDS)]
+    rows = rows.select("a", "comp", "outside", "oo", "own", "most", "cost", base.alias("base"), "size", *bits)
+    keyed = stored(members.select("a", F.col("b").alias("star"), F.explode("diff").alias("e")).select("a", F.xxhash64("star", "e").alias("key")), "differences")
+    place = F.row_number().over(W.partitionBy("a").orderBy("c", "key"))
+    ranked = keyed.join(keyed.groupBy("key").agg(F.count("*").alias("c")), "key").withColumn("r", place).where("c > 1").select("a", "key", "r")
+    ranked = stored(ranked.join(rows, "a").where("r <= most").drop("most"), "prefixes")
+    release(keyed)
+    keyed = ranked
+    several = keyed.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 <> c2").select("key")
+    keyed = keyed.join(several, "key", "left_semi")
+    words = [f"w{k}" for k in range(_D_WORDS)]
+    named = ["a", "comp", "cost", "size", "r", "oo", *words]
+    other = lambda df: df.select("key", *[F.col(c).alias(f"{c}_y") for c in named])
+    room = both * (F.least("r", "r_y") + F.least(F.col("size") - F.col("r"), F.col("size_y") - F.col("r_y"))) >= F.col("cost") + F.col("cost_y") - F.col("base")
+    apart = sum((F.bit_count(F.col(w).bitwiseXOR(F.col(f"{w}_y"))) for w in words), F.lit(0))
+    alike = both * (F.col("size") + F.col("size_y") - apart) >= 2 * (F.col("cost") + F.col("cost_y") - F.col("base"))
+    fits = (F.col("comp") != F.col("comp_y")) & room & alike
+    outside, inside = keyed.where("outside"), keyed.where("not outside and r <= oo")
+    mixed = outside.join(other(inside), "key").where(fits)
+    further = F.struct("cost", "a") < F.struct("cost_y", "a_y")  # the nearer of two, which needs the shorter prefix, looks the other up
+    far = outside.where("r <= own").join(other(outside.where("r <= oo")), "key").where(further & fits)
+    return mixed.select("a", "a_y").unionByName(far.select("a", "a_y")).select(F.least("a", "a_y").alias("a"), F.greatest("a", "a_y").alias("b"))
+
+
+def _between_stars(tokens: DataFrame, rule: Rule) -> DataFrame:
     """Candidate pairs from inverted lists: sets of different stars and components with a list token in common.
 
     A list is first read by star (aggregated before the shuffle), so the members of one star are never paired with each other.
@@ -229,27 +283,19 @@ def _between_stars(tokens: DataFrame, rule: Rule, light: int) -> DataFrame:
     several = tokens.groupBy("token").agg(F.min("star").alias("s1"), F.max("star").alias("s2"), F.min("comp").alias("c1"), F.max("comp").alias("c2"))
     several = several.where("s1 <> s2 and c1 <> c2").select("token")
     tokens = stored(tokens.join(several, "token", "left_semi"), "lists")
-    # Stars whose sizes or places in the list can't give a link don't meet at all.
+    # The first common token of two linked sets leaves them room for all that they need behind it; one such token a pair is enough, so sets, and
+    # stars of sets, whose sizes or places don't leave it don't meet on a token at all.
     rest = F.col("n") - F.col("pos") - 1
-    stars = tokens.groupBy("token", "star").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("pos").alias("place"), F.max(rest).alias("rest"))
-    other = stars.select("token", *[F.col(c).alias(f"{c}2") for c in ("star", "low", "high", "place", "rest")])
+    stars = tokens.groupBy("token", "star").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max(rest).alias("rest"))
+    other = stars.select("token", *[F.col(c).alias(f"{c}2") for c in ("star", "low", "high", "rest")])
     sizes = (rule.q * F.col("high") >= rule.p * F.col("low2")) & (rule.q * F.col("high2") >= rule.p * F.col("low"))
-    room = (rule.p + rule.q) * (F.least("place", "place2") + 1 + F.least("rest", "rest2")) >= rule.p * (F.col("low") + F.col("low2"))
+    room = (rule.p + rule.q) * (1 + F.least("rest", "rest2")) >= rule.p * (F.col("low") + F.col("low2"))
     meet = stars.join(other, "token").where((F.col("star") < F.col("star2")) & sizes & room).select("token", "star", "star2")
     left = meet.join(tokens, ["token", "star"])
-    cols = ["rep", "n", "pos", "comp"]
-    right = tokens.select("token", F.col("star").alias("star2"), *[F.col(c).alias(f"{c}2") for c in cols])
-    both = left.join(right, ["token", "star2"]).where("comp <> comp2")
-    # What the sets can still have in common, from this token's places; it holds for every common token of linked sets.
-    most = F.least("pos", "pos2") + 1 + F.least(F.col("n") - F.col("pos") - 1, F.col("n2") - F.col("pos2") - 1)
-    both = both.where((rule.p + rule.q) * most >= rule.p * (F.col("n") + F.col("n2")))
-    first = F.col("rep") < F.col("rep2")
-    pair = both.select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b"), F.when(first, F.col("n")).otherwise(F.col("n2")).alias("na"), F.when(first, F.col("n2")).otherwise(F.col("n")).alias("nb"))
-    met = pair.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"))
-    # All common prefix shingles are counted by now: linked sets have at most c + what lies past one of the prefixes in common.
-    past = lambda n: F.ceil(rule.p * F.col(n) / rule.q) - 1
-    enough = (rule.p + rule.q) * (F.col("c") + F.greatest(past("na"), past("nb"))) >= rule.p * (F.col("na") + F.col("nb"))
-    return met.where((F.least("na", "nb") <= light) | enough).select("a", "b")
+    right = tokens.select("token", F.col("star").alias("star2"), *[F.col(c).alias(f"{c}2") for c in ("rep", "n", "pos", "comp")])
+    behind = F.least(F.col("n") - F.col("pos") - 1, F.col("n2") - F.col("pos2") - 1)
+    both = left.join(right, ["token", "star2"]).where((F.col("comp") != F.col("comp2")) & ((rule.p + rule.q) * (1 + behind) >= rule.p * (F.col("n") + F.col("n2"))))
+    return both.select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")).distinct()
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: tuple[int, int] = (3, 4)) -> DataFrame:
@@ -273,32 +319,36 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     keys = stored(set_keys(rows), "set-keys")
-    classes = keys.where("n > 0 and doc_id is not null").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("mins").alias("mins"))
-    reps = stored(classes, "classes")
-    rows = rows.where("doc_id is not null")
+    full = keys.where("n > 0 and doc_id is not null")
+    reps = stored(full.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("mins").alias("mins")), "classes")
 
     pairs = _star_pairs(reps)
-    near = _overlaps(pairs.select("a", "b"), rows, rule, True).join(pairs, ["a", "b"])
+    compared = _overlaps(pairs.select("a", "b"), full, rule, True)
+    near = compared.join(pairs, ["a", "b"])
     best = near.where(5 * F.col("o") >= 2 * (F.col("na") + F.col("nb") - F.col("o"))).withColumn("rank", F.row_number().over(W.partitionBy("a").orderBy(F.desc("weight"), "b"))).where("rank = 1")
     best = stored(best, "stars")
-    links = near.where(_linked(rule)).select("a", "b")
-    comps = stored(components(links), "components")
+    loose = best.join(best.where(~_linked(rule)).select("b").distinct(), "b", "left_semi")  # other stars are one component
+    links = stored(near.where(_linked(rule)).select("a", "b").unionByName(_star_links(loose, rule)), "links")
+    release(compared, pairs)
+    comps = components(links)
 
     sizes = {r.n: r.c for r in reps.where("n <= 12").groupBy("n").agg(F.count("*").alias("c")).collect()}
     light = light_boundary(sizes, rule)
-    order = spark.sparkContext.broadcast(token_order(rows))
+    order = spark.sparkContext.broadcast(token_order(full))
 
     def tokens_only(batches):
-        for b in slices(batches, 0, 4 << 20):
+        for b in slices(batches, 0, 1 << 20):
             _, h, _, _ = _signatures(b.column(0), order.value, rule, light)
             token, c = np.unique(h, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(c.astype(np.int64))], ["token", "c"])
 
-    twice = rows.select("text").mapInArrow(tokens_only, "token long, c long").groupBy("token").agg(F.sum("c").alias("c")).where("c > 1")
-    bits = spark.sparkContext.broadcast(bloom_bits(twice, "token", 26))
+    twice = full.select("shingles").mapInArrow(tokens_only, "token long, c long").groupBy("token").agg(F.sum("c").alias("c")).where("c > 1")
+    twice = stored(twice.select("token"), "twice")
+    bits = spark.sparkContext.broadcast(bloom_bits(twice, "token", bloom_size(twice.count())))
+    release(twice)
 
     def lists(batches):
-        for b in slices(batches, 1, 4 << 20):
+        for b in slices(batches, 1, 1 << 20):
             row, h, pos, n = _signatures(b.column(1), order.value, rule, light)
             at = in_bloom(bits.value, h)
             ids = b.column(0).to_numpy(zero_copy_only=False)
@@ -306,18 +356,21 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     placed = reps.select("rep").join(best.select(F.col("a").alias("rep"), F.col("b").alias("star")), "rep", "left").join(comps.withColumnRenamed("node", "rep"), "rep", "left")
     placed = stored(placed.select("rep", F.coalesce("star", "rep").alias("star"), F.coalesce("root", "rep").alias("comp")), "placed")
-    tokens = rows.mapInArrow(lists, "token long, rep long, n int, pos int").join(placed, "rep")
+    tokens = full.select("doc_id", "shingles").mapInArrow(lists, "token long, rep long, n int, pos int").join(placed, "rep")
     tokens = stored(tokens, "tokens")
-    rest = _between_stars(tokens, rule, light).unionByName(_inside_stars(best, rule)).distinct()
+    rest = _between_stars(tokens, rule).unionByName(_inside_stars(loose, comps, rule)).distinct()
     side = comps.withColumnRenamed("node", "a").withColumnRenamed("root", "ra"), comps.withColumnRenamed("node", "b").withColumnRenamed("root", "rb")
     rest = rest.join(side[0], "a", "left").join(side[1], "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
     rest = stored(rest, "candidates")
-    more = _overlaps(rest, rows, rule, False).where(_linked(rule)).select("a", "b")
+    release(tokens, placed)
+    more = _overlaps(rest, full, rule, False).where(_linked(rule)).select("a", "b")
     final = components(links.unionByName(more))
     roots = reps.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("n", "h1", "h2", F.coalesce("root", "rep").alias("component"))
     roots = stored(roots, "roots")
     out = keys.join(roots, ["n", "h1", "h2"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
+    out = stored(out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id")), "jaccard")
+    release(keys, reps, best, links, comps, rest, final, roots)
+    return out
 
 
 def keep_one(docs: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataFrame:
