@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -32,14 +33,35 @@ def new_path(spark: SparkSession, label: str) -> str:
     return path
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Spark removes the shuffle files of what runs inside once it has ended, instead of when the driver's garbage collector finds them.
+
+    A stage that lost them is run again, so this costs no safety; the session's own setting is put back.
+    """
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Cut the lineage: write ``df`` as a Parquet table in the shared folder and read it back.
 
-    A lost executor can't lose it, and whatever reads it twice doesn't compute it twice.
+    A lost executor can't lose it, and whatever reads it twice doesn't compute it twice.  Shuffles that led to it are removed.
     """
     spark = df.sparkSession
     path = new_path(spark, label)
-    df.write.option("compression", "zstd").parquet(path)
+    with shuffles_removed(spark):
+        df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._docspark_path = path
     return out
@@ -108,7 +130,8 @@ def bloom_bits(df: DataFrame, key: str, log2_bits: int) -> np.ndarray:
     mask = (1 << log2_bits) - 1
     probes = df.select(F.explode(F.array(F.col(key), F.shiftrightunsigned(key, 32))).alias("h")).select(F.col("h").bitwiseAND(F.lit(mask)).alias("b"))
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("b").bitwiseAND(F.lit(63)).cast("int"))
-    got = probes.groupBy(F.shiftright("b", 6).alias("w")).agg(F.bit_or(bit).alias("v")).toArrow()
+    with shuffles_removed(df.sparkSession):
+        got = probes.groupBy(F.shiftright("b", 6).alias("w")).agg(F.bit_or(bit).alias("v")).toArrow()
     out = np.zeros(1 << (log2_bits - 6), np.uint64)
     out[got["w"].to_numpy()] = got["v"].to_numpy().view(np.uint64)
     return out
