@@ -33,24 +33,25 @@ def new_path(spark: SparkSession, label: str) -> str:
     return path
 
 
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While a scratch table is written: shuffle files go when the execution that made them has ended, instead of when the driver's garbage collector finds
+#: them (a stage that lost them is run again), and Arrow batches are bounded by bytes, as rows may be sets of many thousand hashes.
+_LEAN = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
 
 
 @contextmanager
-def shuffles_removed(spark: SparkSession) -> Iterator[None]:
-    """Spark removes the shuffle files of what runs inside once it has ended, instead of when the driver's garbage collector finds them.
-
-    A stage that lost them is run again, so this costs no safety; the session's own setting is put back.
-    """
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
+def lean(spark: SparkSession) -> Iterator[None]:
+    """Run what is inside with the settings above; the session's own are put back."""
+    before = {k: spark.conf.get(k, None) for k in _LEAN}
+    for k, v in _LEAN.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        if before is None:
-            spark.conf.unset(_CLEANUP)
-        else:
-            spark.conf.set(_CLEANUP, before)
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
@@ -60,8 +61,8 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = new_path(spark, label)
-    with shuffles_removed(spark):
-        df.write.option("compression", "zstd").parquet(path)
+    with lean(spark):
+        df.write.option("compression", "zstd").option("parquet.block.size", 32 << 20).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._docspark_path = path
     return out
@@ -130,7 +131,7 @@ def bloom_bits(df: DataFrame, key: str, log2_bits: int) -> np.ndarray:
     mask = (1 << log2_bits) - 1
     probes = df.select(F.explode(F.array(F.col(key), F.shiftrightunsigned(key, 32))).alias("h")).select(F.col("h").bitwiseAND(F.lit(mask)).alias("b"))
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("b").bitwiseAND(F.lit(63)).cast("int"))
-    with shuffles_removed(df.sparkSession):
+    with lean(df.sparkSession):
         got = probes.groupBy(F.shiftright("b", 6).alias("w")).agg(F.bit_or(bit).alias("v")).toArrow()
     out = np.zeros(1 << (log2_bits - 6), np.uint64)
     out[got["w"].to_numpy()] = got["v"].to_numpy().view(np.uint64)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import bloom_bits, bloom_size, components, fresh, in_bloom, release, shuffles_removed, slices, stored, text_offsets
+from .common import bloom_bits, bloom_size, components, fresh, in_bloom, lean, release, slices, stored, text_offsets
 from .tokens import NOT_BLANK, Words, mix, shingle_sets
 
 _N_MINS = 16
@@ -109,7 +109,7 @@ def token_order(keys: DataFrame, log2_buckets: int = 18) -> np.ndarray:
         at = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(seen[at])], ["b", "c"])
 
-    with shuffles_removed(keys.sparkSession):
+    with lean(keys.sparkSession):
         got = keys.select("shingles").mapInArrow(run, "b int, c long").groupBy("b").agg(F.sum("c").alias("c")).toArrow()
     out = np.zeros(size, np.int64)
     out[got["b"].to_numpy()] = got["c"].to_numpy()
