@@ -15,16 +15,21 @@ def sign_hash(vector: Column, bits: int) -> Column:
     return F.aggregate(places, F.lit(0).cast("long"), lambda acc, k: acc + F.when(F.element_at(vector, k) > 0, F.pow(F.lit(2.0), k - 1).cast("long")).otherwise(F.lit(0).cast("long")))
 
 
-def hamming_match(rows: DataFrame, library: DataFrame, key: str, meaning: str, most: int, most_library: int = 10_000) -> DataFrame:
-    """The first meaning of a labelled library within ``most`` bits of each hash; null if none.  The library is a small dimension: more than ``most_library`` entries are refused."""
-    known = [(r[meaning], r["h"]) for r in library.select(meaning, "h").orderBy(meaning).limit(most_library + 1).collect()]
-    if len(known) > most_library:
-        raise ValueError(f"more than {most_library} library entries")
-    if not known:
-        return rows.select(key, F.lit(None).alias(meaning))
-    entries = F.array(*[F.struct(F.lit(m).alias("m"), F.lit(h).alias("h")) for m, h in known])
-    near = F.filter(entries, lambda e: F.bit_count(e["h"].bitwiseXOR(F.col("h"))) <= most)
-    return rows.select(key, F.array_min(F.transform(near, lambda e: e["m"])).alias("meaning"))
+def hamming_match(rows: DataFrame, library: DataFrame, key: str, meaning: str, most: int, bits: int = 64) -> DataFrame:
+    """The first meaning of a labelled library within ``most`` bits of each hash of ``bits`` bits; null if none.
+
+    Hashes at most that far apart agree in one of ``most`` + 1 bands of bits, so distinct hashes and library entries join by band, whatever their number.
+    """
+    width = -(-bits // (most + 1))
+
+    def banded(df: DataFrame) -> DataFrame:
+        bands = [F.struct(F.lit(k).alias("k"), F.shiftrightunsigned("h", k * width).bitwiseAND(F.lit((1 << width) - 1)).alias("v")) for k in range(-(-bits // width))]
+        return df.withColumn("_band", F.explode(F.array(*bands)))
+
+    known = library.groupBy("h").agg(F.min(meaning).alias("meaning"))
+    met = banded(rows.select("h").distinct()).join(banded(known).withColumnRenamed("h", "_h"), "_band")
+    near = met.where(F.bit_count(F.col("h").bitwiseXOR(F.col("_h"))) <= most).groupBy("h").agg(F.min("meaning").alias("meaning"))
+    return rows.select(key, "h").join(near, "h", "left").select(key, "meaning")
 
 
 def point_in_box(points: DataFrame, boxes: DataFrame, on: Sequence[str], cell: float) -> DataFrame:

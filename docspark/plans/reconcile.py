@@ -119,14 +119,14 @@ def c34_complete_placements(spark, sf):
     return rc.complete_placements(e, x, "id", "s").withColumn("place", F.col("place").cast("long"))
 
 
-CELLS = "c AS (SELECT l_suppkey % 10 AS tab, l_orderkey % 200 AS r, l_linenumber AS k, max(CASE WHEN l_quantity > 20 THEN l_returnflag || (l_partkey % 9) END) AS v FROM lineitem GROUP BY ALL)"
+CELLS = "c AS (SELECT l_suppkey AS tab, l_orderkey AS r, l_linenumber AS k, max(CASE WHEN l_quantity > 20 THEN l_returnflag || (l_partkey % 9) END) AS v FROM lineitem GROUP BY ALL)"
 
 
 @query(f"""WITH {CELLS}, f AS (SELECT *, last_value(nullif(v, '') IGNORE NULLS) OVER (PARTITION BY tab, r ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS l, last_value(nullif(v, '') IGNORE NULLS) OVER (PARTITION BY tab, k ORDER BY r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS u FROM c)
 SELECT tab, r, k, coalesce(nullif(v, ''), l, u) AS filled FROM f""")
 def e13_merge_spans(spark, sf):
     v = F.max(F.when(F.col("l_quantity") > 20, F.concat("l_returnflag", (F.col("l_partkey") % 9).cast("string"))))
-    c = i.table(spark, sf, "lineitem").groupBy((F.col("l_suppkey") % 10).alias("tab"), (F.col("l_orderkey") % 200).alias("r"), F.col("l_linenumber").alias("k")).agg(v.alias("v"))
+    c = i.table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("tab"), F.col("l_orderkey").alias("r"), F.col("l_linenumber").alias("k")).agg(v.alias("v"))
     return rc.fill_from_neighbours(c, ["tab"], "r", "k", "v").select("tab", "r", "k", "filled")
 
 

@@ -103,11 +103,11 @@ def c18_nearest_unit_link(spark, sf):
     return rows.select("doc_id", "seq", "target", "side")
 
 
-BOXES = "b AS (SELECT l_suppkey AS page, l_orderkey * 100000000 + l_linenumber * 10000000 + l_partkey AS box, (l_partkey % 97)::DOUBLE AS x0, (l_orderkey % 89)::DOUBLE AS y0, (l_partkey % 97 + l_quantity)::DOUBLE AS x1, (l_orderkey % 89 + l_discount * 300)::DOUBLE AS y1 FROM lineitem WHERE l_shipdate >= DATE '1998-06-01')"
+BOXES = "b AS (SELECT l_suppkey AS page, l_orderkey * 100000000 + l_linenumber * 10000000 + l_partkey AS box, (l_partkey % 97)::DOUBLE AS x0, (l_orderkey % 89)::DOUBLE AS y0, (l_partkey % 97 + l_quantity)::DOUBLE AS x1, (l_orderkey % 89 + l_discount * 300)::DOUBLE AS y1 FROM lineitem)"
 
 
 def boxes(spark, sf):
-    li = i.table(spark, sf, "lineitem").where(F.col("l_shipdate") >= F.lit("1998-06-01").cast("timestamp"))
+    li = i.table(spark, sf, "lineitem")
     x, y = (F.col("l_partkey") % 97).cast("double"), (F.col("l_orderkey") % 89).cast("double")
     return li.select(F.col("l_suppkey").alias("page"), (F.col("l_orderkey") * 100000000 + F.col("l_linenumber") * 10000000 + F.col("l_partkey")).alias("box"), x.alias("x0"), y.alias("y0"), (x + F.col("l_quantity")).alias("x1"), (y + F.col("l_discount") * 300).alias("y1"))
 

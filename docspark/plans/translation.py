@@ -157,4 +157,4 @@ def c21_hamming_match(spark, sf):
     from ..operators import matching
 
     e = i.table(spark, sf, "embeddings").select("vec_id", "label", matching.sign_hash(F.col("embedding"), 16).alias("h"))
-    return matching.hamming_match(e.select("vec_id", "h"), e.groupBy("label").agg(F.min("h").alias("h")), "vec_id", "label", 5)
+    return matching.hamming_match(e.select("vec_id", "h"), e.groupBy("label").agg(F.min("h").alias("h")), "vec_id", "label", 5, 16)
