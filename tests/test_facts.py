@@ -32,6 +32,16 @@ def test_modalities_and_imperatives(spark):
     assert [(",".join(r.m), r.i) for r in got] == [(m, i) for _, m, i in rows]
 
 
+def test_hamming_match_of_many(spark):
+    rng = __import__("random").Random(5)
+    hashes, library = [rng.getrandbits(16) for _ in range(300)], [(f"m{rng.randrange(50)}", rng.getrandbits(16)) for _ in range(80)]
+    rows = spark.createDataFrame([*enumerate(hashes), (900, None)], "k long, h long")
+    want = {k: min((m for m, x in library if (h ^ x).bit_count() <= 3), default=None) for k, h in enumerate(hashes)} | {900: None}
+    for lib in (library, []):
+        got = matching.hamming_match(rows, spark.createDataFrame(lib, "m string, h long"), "k", "m", 3, 16)
+        assert {r.k: r.meaning for r in got.collect()} == (want if lib else dict.fromkeys(want))
+
+
 def test_text_forms(spark):
     df = spark.createDataFrame([("1.2 Title — x {{ref:a}}", "systems"), ("(a)  item\n two", "entries"), ("Ends. Next one; Third! no", "process")], "a string, b string")
     got = df.select(text.clean_text(df.a).alias("c"), text.stem(df.b).alias("s"), text.sentences(df.a).alias("n"), text.syllables(df.b).alias("y")).collect()
