@@ -156,6 +156,55 @@ def _bitmap(h: np.ndarray) -> list[int]:
     return np.packbits(bits).view(np.int64).tolist()
 
 
+def _parities(h: np.ndarray) -> bytes:
+    """A set's hashes as one or two bits an element, each the parity of the hashes that fall on it: two sets differ in at least as many elements as in bits."""
+    size = max(64, 1 << (len(h) - 1).bit_length())
+    n = np.bincount((mix(h, 6) & np.uint64(size - 1)).astype(np.int64), minlength=size)
+    return np.packbits((n & 1).astype(np.uint8)).tobytes()
+
+
+def _apart(x: bytes, y: bytes) -> int:
+    """Bits in which two parities differ; the longer is folded to the length of the other, which keeps parities what they are."""
+    short, long = (np.frombuffer(v, np.uint8) for v in sorted((x, y), key=len))
+    while len(long) > len(short):
+        long = long[: len(long) // 2] ^ long[len(long) // 2 :]
+    return int(np.unpackbits(short ^ long).sum())
+
+
+def _alike(pairs: DataFrame, keys: DataFrame, rule: Rule) -> DataFrame:
+    """The candidate pairs (a, b) that sizes and parities of their sets leave room for a link.
+
+    No linked pair is lost: linked sets differ in (q-p) / (p+q) of the sum of their sizes at most.  Sets are shuffled as parities, some fiftieth of their
+    bytes, so that whole sets are fetched for few pairs that aren't linked.
+    """
+    spark = keys.sparkSession
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    wanted = stored(ids.select(F.xxhash64("id").alias("k")), "wanted")
+    bits = spark.sparkContext.broadcast(bloom_bits(wanted, "k", bloom_size(wanted.count())))
+
+    def read(batches):
+        for b in batches:
+            hit = pa.array(in_bloom(bits.value, b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)))
+            found = [np.frombuffer(x, np.uint64) for x in b.column(2).filter(hit).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(1).filter(hit), pa.array([len(h) for h in found], pa.int64()), pa.array(map(_parities, found), pa.binary())], ["id", "n", "bits"])
+
+    sketches = keys.select(F.xxhash64("doc_id").alias("k"), "doc_id", "shingles").mapInArrow(read, "id long, n long, bits binary")
+    sketches = stored(sketches, "parities")
+    p, q = rule.p, rule.q
+
+    def run(batches):
+        for b in batches:
+            a, z, na, nb, x, y = (c.to_pylist() for c in b.columns)
+            may = pa.array([(p + q) * _apart(s, t) <= (q - p) * (m + n) for m, n, s, t in zip(na, nb, x, y, strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(may), b.column(1).filter(may)], ["a", "b"])
+
+    side = lambda c: sketches.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"bits_{c}"))
+    met = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "bits_a", "bits_b")
+    out = stored(met.mapInArrow(run, "a long, b long").distinct(), "alike")
+    release(wanted, sketches)
+    return out
+
+
 def _overlaps(pairs: DataFrame, keys: DataFrame, rule: Rule, diffs: bool) -> DataFrame:
     """Exact intersections of candidate pairs (a, b): a, b, na, nb, o; with ``diffs`` also what of a's difference from b the join inside a star needs.
 
@@ -243,8 +292,8 @@ def _star_links(rows: DataFrame, rule: Rule) -> DataFrame:
     return near.where((rule.p + rule.q) * shared >= F.col("cost") + F.col("cost_z") - F.col("base")).select("a", F.col("z").alias("b"))
 
 
-def _inside_stars(members: DataFrame, comps: DataFrame, rule: Rule) -> DataFrame:
-    """Candidate pairs of sets of one star and different components: they must share part of their differences from the centre.
+def _inside_stars(members: DataFrame, comps: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
+    """Candidate pairs of sets of one star and different components: they must share part of their differences from the centre.  And the table they are read from.
 
     ``members`` are the rows of stars with a set that isn't linked to the centre.  Differences are ordered by frequency in the star, rare ones first, so that what
     many members share stays out of the prefixes.  Two sets meet on a key of both prefixes only if its places and their bitmaps leave room for a link.
@@ -273,11 +322,11 @@ def _inside_stars(members: DataFrame, comps: DataFrame, rule: Rule) -> DataFrame
     mixed = outside.join(other(inside), "key").where(fits)
     further = F.struct("cost", "a") < F.struct("cost_y", "a_y")  # the nearer of two, which needs the shorter prefix, looks the other up
     far = outside.where("r <= own").join(other(outside.where("r <= oo")), "key").where(further & fits)
-    return mixed.select("a", "a_y").unionByName(far.select("a", "a_y")).select(F.least("a", "a_y").alias("a"), F.greatest("a", "a_y").alias("b"))
+    return mixed.select("a", "a_y").unionByName(far.select("a", "a_y")).select(F.least("a", "a_y").alias("a"), F.greatest("a", "a_y").alias("b")), ranked
 
 
-def _between_stars(tokens: DataFrame, rule: Rule) -> DataFrame:
-    """Candidate pairs from inverted lists: sets of different stars and components with a list token in common.
+def _between_stars(tokens: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
+    """Candidate pairs from inverted lists: sets of different stars and components with a list token in common.  And the table they are read from.
 
     A list is first read by star (aggregated before the shuffle), so the members of one star are never paired with each other.
     """
@@ -296,7 +345,7 @@ def _between_stars(tokens: DataFrame, rule: Rule) -> DataFrame:
     right = tokens.select("token", F.col("star").alias("star2"), *[F.col(c).alias(f"{c}2") for c in ("rep", "n", "pos", "comp")])
     behind = F.least(F.col("n") - F.col("pos") - 1, F.col("n2") - F.col("pos2") - 1)
     both = left.join(right, ["token", "star2"]).where((F.col("comp") != F.col("comp2")) & ((rule.p + rule.q) * (1 + behind) >= rule.p * (F.col("n") + F.col("n2"))))
-    return both.select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")).distinct()
+    return both.select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")).distinct(), tokens
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: tuple[int, int] = (3, 4)) -> DataFrame:
@@ -310,7 +359,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     3. Size-aware join for what isn't in one component yet.  Light sets, up to a size chosen by cost, emit all subsets of the size that
        a link needs; heavy sets emit a prefix, and inverted lists of the shingles are scanned, star by star.  Only tokens that occur twice are kept.
        Pairs of one star share part of their differences from its centre, and those are few.
-    4. Candidates are verified on whole sets, and components are made of the links.
+    4. Candidates with room for a link by the parities of their sets are verified on whole sets, and components are made of the links.
 
     No set of all pairs of a group is made, no list or candidate set is capped, and the driver gets bounded sketches only.
     Without words or text: n_shingles 0, linked with nothing.  Rows that repeat an id are one document to the links (their texts'
@@ -359,12 +408,15 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     placed = stored(placed.select("rep", F.coalesce("star", "rep").alias("star"), F.coalesce("root", "rep").alias("comp")), "placed")
     tokens = full.select("doc_id", "shingles").mapInArrow(lists, "token long, rep long, n int, pos int").join(placed, "rep")
     tokens = stored(tokens, "tokens")
-    rest = _between_stars(tokens, rule).unionByName(_inside_stars(loose, comps, rule)).distinct()
+    between, lists_of_stars = _between_stars(tokens, rule)
+    release(tokens, placed)
+    inside, prefixes = _inside_stars(loose, comps, rule)
+    rest = between.unionByName(inside).distinct()
     side = comps.withColumnRenamed("node", "a").withColumnRenamed("root", "ra"), comps.withColumnRenamed("node", "b").withColumnRenamed("root", "rb")
     rest = rest.join(side[0], "a", "left").join(side[1], "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
     rest = stored(rest, "candidates")
-    release(tokens, placed)
-    more = _overlaps(rest, full, rule, False).where(_linked(rule)).select("a", "b")
+    release(lists_of_stars, prefixes)
+    more = _overlaps(_alike(rest, full, rule), full, rule, False).where(_linked(rule)).select("a", "b")
     final = components(links.unionByName(more))
     roots = reps.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("n", "h1", "h2", F.coalesce("root", "rep").alias("component"))
     roots = stored(roots, "roots")

@@ -236,3 +236,19 @@ def test_registered_queries(spark, sf):
     got = {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256) for r in op7_decontaminate(spark, sf).collect()}
     assert got == dict(brute_hits(docs, items))
     assert op1_line_dedup(spark, sf).count() == op3_mix_sources(spark, sf).count() == len(docs)
+
+
+def test_parities_never_exceed_the_difference():
+    """Bits apart are at most the elements apart, at every pair of sizes, empty sets included; and sets without much in common are told apart."""
+    import numpy as np
+
+    from docspark.llm.jaccard_join import _apart, _parities
+
+    rng = np.random.default_rng(5)
+    for n, extra, lost in [(0, 1, 0), (1, 0, 0), (1, 70, 1), (63, 9, 4), (64, 1, 0), (1000, 300, 40), (1030, 0, 500), (5000, 2, 2)]:
+        x = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+        y = np.unique(np.concatenate([x[lost:], rng.integers(0, 2**63, extra, dtype=np.uint64)]))
+        assert _apart(_parities(x), _parities(y)) == _apart(_parities(y), _parities(x)) <= len(np.setxor1d(x, y))
+        assert _apart(_parities(x), _parities(x)) == 0
+    x, y = (np.unique(rng.integers(0, 2**63, 1000, dtype=np.uint64)) for _ in range(2))
+    assert 7 * _apart(_parities(x), _parities(y)) > len(x) + len(y)
