@@ -119,8 +119,8 @@ def first_match(cases: Sequence[tuple[Column, str]], default: str) -> Column:
 def check_preservation(units: DataFrame, claims: DataFrame, unit: str) -> DataFrame:
     """Units without a claim, and values that claims lost, added or changed: unit, issue, lost, added."""
     def values(df: DataFrame) -> DataFrame:
-        rows = facts.with_values(df).select(unit, F.posexplode("values").alias("pos", "v"))
-        return rows.select(unit, F.col("v.kind").alias("kind"), F.col("v.normalized").alias("normalized"), "pos")
+        rows = facts.value_rows(df, repeated=True)
+        return rows.select(unit, F.col("v.kind").alias("kind"), F.col("v.normalized").alias("normalized"), F.col("v_pos").alias("pos"))
 
     none = F.lit(None).cast("string")
     uncited = units.join(claims.select(unit).distinct(), unit, "left_anti").select(unit, F.lit("uncited").alias("issue"), none.alias("lost"), none.alias("added"))

@@ -188,7 +188,7 @@ def h4_dates(spark, sf):
     d, k = F.col("o_orderdate"), F.col("o_orderkey") % 4
     text = F.when(k == 0, F.date_format(d, "d MMMM yyyy")).when(k == 1, F.date_format(d, "MMM d, yyyy")).when(k == 2, F.date_format(d, "yyyy-MM-dd")).otherwise(F.date_format(d, "dd.MM.yyyy"))
     rows = i.table(spark, sf, "orders").select(F.col("o_orderkey").alias("unit_id"), F.concat(F.lit("It was signed on "), text, F.lit(" by all")).alias("text"))
-    return facts.with_values(rows).select("unit_id", F.explode("values").alias("v")).select("unit_id", "v.kind", "v.normalized")
+    return facts.value_rows(rows).select("unit_id", "v.kind", "v.normalized")
 
 
 Q = "l_quantity::BIGINT"
@@ -204,7 +204,7 @@ def k2_extract_facts(spark, sf):
     say = lambda a, b: F.concat(F.lit(a), q, F.lit(b))
     text = F.when(n == 1, say("Send it within ", " working days.")).when(n == 2, say("Keep it at least ", " months here")).when(n == 3, say("Look every ", " months at it")).when(n == 4, say("Take ", " % of it")).when(n == 5, say("Use up to ", " mg only")).when(n == 6, F.lit("Twice a week, see step 4.2")).otherwise(say("See SOP-QA-", " there"))
     rows = i.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("unit_id"), text.alias("text"))
-    return facts.with_values(rows).select("unit_id", F.explode("values").alias("v")).select("unit_id", "v.kind", "v.normalized")
+    return facts.value_rows(rows, repeated=True).select("unit_id", "v.kind", "v.normalized")
 
 
 @query("SELECT l_orderkey AS unit_id, l_linenumber AS n, l_quantity::INT AS value FROM lineitem")
