@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from . import decontaminate as decon
 from . import exact_dedup as exact
 from . import line_dedup as lines
-from . import chat, jaccard_join, lm, mixing, pii, toxicity, warc
+from . import chat, jaccard_join, langid, lm, mixing, phrases, pii, repair, toxicity, warc
 from .sql import ORACLES
 
 DIGEST = "doc_id"
@@ -74,7 +74,23 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *count, F.sha2(pii.listed(F.col("base")), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_warc, op3_mix_sources, op4_toxicity, op5_lm_score, op6_link_tool_calls, op7_decontaminate, op8_jaccard_join, op9_exact_dedup, op10_pii)}
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_repair_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = repair.damaged(table(spark, sf_dir, "conversations"))
+    return repair.repair_report(repair.repaired(rows, repair.structure_edits(rows)))
+
+
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = toxicity.held_out(F.col("doc_id"), 0)
+    out = langid.identify(docs.select("doc_id", "text"), langid.fit(docs.where(~held_out)))
+    return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_warc, op3_mix_sources, op4_toxicity, op5_lm_score, op6_link_tool_calls, op7_decontaminate, op8_jaccard_join, op9_exact_dedup, op10_pii, op11_collocations, op12_repair_conversations, op13_language_id)}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
