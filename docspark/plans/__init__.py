@@ -1,9 +1,9 @@
 """Registered queries: each operator over the given tables, with its SQL."""
 
-from . import composites, history, inputs, more, quality, reconcile, streams, structure, text, translation
+from . import composites, history, inputs, layout, more, planning, quality, reconcile, streams, structure, text, translation
 from .registry import QUERIES, SQL
 
-__all__ = ["composites", "history", "inputs", "more", "oracle_sql", "quality", "queries", "reconcile", "streams", "structure", "text", "translation"]
+__all__ = ["composites", "history", "inputs", "layout", "more", "oracle_sql", "planning", "quality", "queries", "reconcile", "streams", "structure", "text", "translation"]
 
 
 def queries():
