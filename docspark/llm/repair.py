@@ -40,7 +40,7 @@ class Survivors:
     """The best path into each state, cheapest first and of equally cheap ones the ASCII-least.
 
     ``push`` takes a row and returns the edits that have become certain, those before the last common ancestor of all survivors; what is held is the tree
-    below it.  Two equally cheap paths over the same rows are never one the other's beginning, so the whole unresolved parts of both are compared, once,
+    below it: a few rows, or, while it is open whether a leading system row is worth keeping, the rows that could not be kept so far.  Two equally cheap paths over the same rows are never one the other's beginning, so the whole unresolved parts of both are compared, once,
     and the comparison is final.
     """
 
@@ -94,6 +94,11 @@ class Survivors:
             for cost, edit, to in moves:
                 if self._less((cost, parent, edit), best[to]):
                     best[to] = (cost, parent, edit)
+        # What is surely behind goes, so that it holds nothing back: whatever can follow S can follow A, whatever can follow EMPTY can follow A for one deletion more.
+        a = min(best[A][0] if best[A] else INF, best[U][0] + INSERT if best[U] else INF)
+        for state, more in ((EMPTY, DELETE), (S, 0)):
+            if best[state] and best[state][0] > a + more:
+                best[state] = None
         self._replace(best)
         return self._certain()
 
