@@ -8,15 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from .common import bloom_bits, bloom_size, in_bloom, n_partitions, release, slices, stored, text_offsets
-from .tokens import _LOWER, _PLACE, Words, mix
+from .common import bloom_size, lean, n_partitions, release, slices, stored, text_offsets
+from .tokens import _PLACE, Words, mix
 
 #: Which bytes belong to words: all but blank, tab and what ends a piece.
 _IN_WORD = np.ones(256, bool)
 _IN_WORD[[ord(c) for c in " \t.,;:!?\n\x0b\x0c\r"]] = False
 _ENDS_PIECE = ~_IN_WORD
 _ENDS_PIECE[[32, 9]] = False
-_SUMMARY = "bin int, mass boolean, h long, n long"
 
 
 class _Grams:
@@ -55,27 +54,52 @@ class _Grams:
 
 
 def _summed(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    keys, place = np.unique(h, return_inverse=True)
-    return keys, np.bincount(place, n, len(keys)).astype(np.int64)
+    """Distinct keys, sorted, with their summed weights."""
+    order = np.argsort(h)
+    h, n = h[order], n[order]
+    first = np.flatnonzero(np.concatenate([np.ones(min(1, len(h)), bool), h[1:] != h[:-1]]))
+    return h[first], np.add.reduceat(n, first) if len(first) else n
 
 
 class MisraGries:
-    """A mergeable summary of weighted keys: at most ``capacity`` counters, each below its key's weight by mass / (capacity + 1) at most.
+    """A mergeable summary of weighted keys: at most ``capacity`` counters, each below its key's weight by ``error`` at most, error <= mass / (capacity + 1).
 
     A key whose weight is above that always has a counter left.  ``add`` merges another summary (or any keys with weights): counters of equal keys
     are summed; if more than ``capacity`` are left, the (capacity+1)-th largest is taken from all and what isn't positive goes.
     """
 
     def __init__(self, capacity: int):
-        self.capacity, self.keys, self.counts = capacity, np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.capacity, self.error, self.keys, self.counts = capacity, 0, np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
     def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
         self.keys, self.counts = _summed(np.concatenate([self.keys, keys]), np.concatenate([self.counts, counts]))
         if len(self.keys) > self.capacity:
             at = len(self.counts) - self.capacity - 1
-            self.counts = self.counts - np.partition(self.counts, at)[at]
-            left = self.counts > 0
-            self.keys, self.counts = self.keys[left], self.counts[left]
+            cut = int(np.partition(self.counts, at)[at])
+            left = self.counts > cut
+            self.error += cut
+            self.keys, self.counts = self.keys[left], self.counts[left] - cut
+
+    def at_least(self, weight: int) -> np.ndarray:
+        """All keys that may have this weight (which must be above the error bound)."""
+        return self.keys[self.counts + self.error >= weight]
+
+
+#: Bits of a gram's hash in the first pass; grams that share one only cost work.
+_KEY_BITS = 48
+
+
+def _packed(keys: np.ndarray, n: np.ndarray) -> bytes:
+    """Sorted keys as differences, and weights, in planes of bytes, compressed: about four bytes a gram."""
+    steps = np.diff(keys, prepend=np.uint64(0)).astype("<u8")
+    planes = np.concatenate([steps.view(np.uint8).reshape(-1, 8).T, n.astype("<u8").view(np.uint8).reshape(-1, 8).T])
+    return pa.compress(np.ascontiguousarray(planes).tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpacked(data: bytes, size: int) -> tuple[np.ndarray, np.ndarray]:
+    planes = np.frombuffer(pa.decompress(data, decompressed_size=16 * size, codec="zstd", asbytes=True), np.uint8).reshape(16, size)
+    steps, n = (np.ascontiguousarray(x.T).view("<u8").ravel() for x in (planes[:8], planes[8:]))
+    return np.cumsum(steps.astype(np.uint64), dtype=np.uint64), n.astype(np.int64)
 
 
 def _by_lang(batches, most: int, of_slice):
@@ -87,49 +111,64 @@ def _by_lang(batches, most: int, of_slice):
             yield from of_slice(lang, _Grams(texts.filter(same), most))
 
 
-def _salt(lang: str) -> np.uint64:
-    """Mixes the language into a gram's hash, so that one summary serves all languages."""
-    return Words(pa.array([lang + "\x01"]), np.ones(256, bool)).hashes()[0]
+def _keys(lang: str, grams: _Grams) -> np.ndarray:
+    """Hashes of grams that tell languages apart, so that one summary serves all languages."""
+    salt = Words(pa.array([lang + "\x01"]), np.ones(256, bool)).hashes()[0]
+    return mix(grams.hash ^ salt, 6) >> np.uint64(64 - _KEY_BITS)
 
 
-def summaries(docs: DataFrame, most: int, bins: int) -> DataFrame:
-    """(bin, mass, h, n): each task's summary of each of ``bins`` hash partitions, and its mass (mass = true, n is the weight seen).
+def summaries(docs: DataFrame, most: int, log2_bins: int, held_grams: int = 1 << 20) -> DataFrame:
+    """(bin, mass, size, data): each task's summaries of the hash partitions, which are ranges of the hash.
 
-    A task's summaries hold all it has seen since it last sent them: their capacity is what fits in a bounded table (2^20 grams), so nothing is subtracted yet.
+    Rows without data carry a task's mass of a bin.  A task's summary holds all that it has seen since it last sent it (``held_grams`` distinct grams), so nothing is subtracted yet.
     """
+    schema = pa.schema([("bin", pa.int32()), ("mass", pa.int64()), ("size", pa.int32()), ("data", pa.binary())])
 
-    def send(h: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        b = (mix(h, 5) % np.uint64(bins)).astype(np.int32)
-        mass = np.bincount(b, n, bins).astype(np.int64)
-        seen = np.flatnonzero(mass).astype(np.int32)
-        flag = np.concatenate([np.ones(len(seen), bool), np.zeros(len(b), bool)])
-        cols = [pa.array(np.concatenate([seen, b])), pa.array(flag), pa.array(np.concatenate([np.zeros(len(seen), np.uint64), h]).view(np.int64)), pa.array(np.concatenate([mass[seen], n]))]
-        return pa.RecordBatch.from_arrays(cols, ["bin", "mass", "h", "n"])
+    def send(keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        bins = (keys >> np.uint64(_KEY_BITS - log2_bins)).astype(np.int32)
+        starts = np.flatnonzero(np.diff(bins, prepend=-1))
+        ends = [*starts[1:].tolist(), len(bins)]
+        rows = [(int(bins[a]), int(n[a:b].sum()), 0, None) for a, b in zip(starts.tolist(), ends, strict=True)]
+        rows += [(int(bins[a]), 0, b - a, _packed(keys[a:b], n[a:b])) for a, b in zip(starts.tolist(), ends, strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     def run(batches):
-        held: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))]
+        none = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        whole, parts = none, []
 
         def of_slice(lang, grams):
-            yield _summed(mix(grams.hash ^ _salt(lang), 6), np.ones(len(grams.hash)))
+            keys = _keys(lang, grams)
+            yield _summed(keys, np.ones(len(keys), np.int64))
 
         for part in _by_lang(batches, most, of_slice):
-            held.append(part)
-            if sum(len(h) for h, _ in held[1:]) > max(1 << 19, len(held[0][0])):
-                held = [_summed(*(np.concatenate(x) for x in zip(*held, strict=True)))]
-                if len(held[0][0]) > 1 << 20:
-                    yield send(*held.pop())
-                    held = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))]
-        yield send(*_summed(*(np.concatenate(x) for x in zip(*held, strict=True))))
+            parts.append(part)
+            if sum(len(h) for h, _ in parts) > held_grams // 2:
+                whole = _summed(*(np.concatenate(x) for x in zip(whole, *parts, strict=True)))
+                parts.clear()
+                if len(whole[0]) > held_grams:
+                    yield send(*whole)
+                    whole = none
+        whole = _summed(*(np.concatenate(x) for x in zip(whole, *parts, strict=True)))
+        if len(whole[0]):
+            yield send(*whole)
+
+    return docs.mapInArrow(run, "bin int, mass long, size int, data binary")
+
 
-    return docs.mapInArrow(run, _SUMMARY)
+def _probes(keys: np.ndarray, log2_bits: int, log2_bins: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two places of each key in a Bloom filter whose bits lie by bin."""
+    own = np.uint64(log2_bits - log2_bins)
+    first = keys >> np.uint64(_KEY_BITS - log2_bits)
+    return first.astype(np.int64), ((first >> own << own) | (mix(keys, 9) & ((np.uint64(1) << own) - np.uint64(1)))).astype(np.int64)
 
 
-def maybe_frequent(sums: DataFrame, bins: int, least: int) -> DataFrame:
-    """Hashes of a superset of all grams of weight ``least`` or more: those with a counter left in their bin's merged summary.
+def maybe_frequent(sums: DataFrame, log2_bins: int, log2_bits: int, least: int, slack: int = 4) -> np.ndarray:
+    """A Bloom filter (bytes) of a superset of all grams of weight ``least`` or more: those that may have it by the merged summary of their bin.
 
-    A bin's mass comes before its grams, so the capacity exceeds mass / least from the start and what any counter lost stays below ``least``.
-    The table never holds more counters than distinct grams of the bin; a gram of a third of all occurrences is one counter.
+    A bin's mass comes before its grams, so the capacity, ``slack`` x mass / least, exceeds mass / least from the start and what a counter lost stays below ``least`` / slack.
+    A gram of a third of all occurrences is one counter, and a row per task of its bin.  Each bin sends its own bytes of the filter, 2^``log2_bits`` bits in all.
     """
+    per_bin = 1 << (log2_bits - log2_bins)
 
     def run(batches):
         cur, mass, summary, wait = None, 0, None, []
@@ -142,41 +181,51 @@ def maybe_frequent(sums: DataFrame, bins: int, least: int) -> DataFrame:
         def done():
             if summary is not None:
                 settle()
-                yield pa.RecordBatch.from_arrays([pa.array(summary.keys.view(np.int64))], ["h"])
+                bits = np.zeros(per_bin, bool)
+                for at in _probes(summary.at_least(least), log2_bits, log2_bins):
+                    bits[at - cur * per_bin] = True
+                if bits.any():
+                    yield pa.RecordBatch.from_arrays([pa.array([cur], pa.int32()), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], ["bin", "bits"])
 
         for batch in batches:
-            bin_, is_mass, h, n = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-            cuts = [0, *(np.flatnonzero(np.diff(bin_)) + 1).tolist(), len(bin_)]
-            for a, b in zip(cuts, cuts[1:], strict=False):
-                if a == b:
-                    continue
-                if bin_[a] != cur:
+            for bin_, weight, size, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if bin_ != cur:
                     yield from done()
-                    cur, mass, summary = bin_[a], 0, None
-                first = a + int(is_mass[a:b].sum())
-                mass += int(n[a:first].sum())
-                if first < b:
-                    summary = summary or MisraGries(mass // least + 1)
-                    wait.append((h[first:b].view(np.uint64), n[first:b]))
-                    if sum(len(x) for x, _ in wait) > max(1 << 17, len(summary.keys)):
+                    cur, mass, summary = bin_, 0, None
+                mass += weight
+                if data is not None:
+                    summary = summary or MisraGries(slack * mass // least + slack)
+                    wait.append(_unpacked(data, size))
+                    if sum(len(x) for x, _ in wait) > max(1 << 16, len(summary.keys)):
                         settle()
         yield from done()
 
-    return sums.repartition(bins, "bin").sortWithinPartitions("bin", F.desc("mass")).mapInArrow(run, "h long")
+    spark = sums.sparkSession
+    parts = max(n_partitions(spark), (1 << log2_bins) // 64)
+    with lean(spark):
+        got = sums.repartition(parts, "bin").sortWithinPartitions("bin", "size").mapInArrow(run, "bin int, bits binary").toArrow()
+    out = np.zeros(1 << (log2_bits - 3), np.uint8)
+    for b, data in zip(got["bin"].to_pylist(), got["bits"].to_pylist(), strict=True):
+        out[b * per_bin // 8 : (b + 1) * per_bin // 8] = np.frombuffer(data, np.uint8)
+    return out
 
 
-def exact_counts(docs: DataFrame, most: int, bits: np.ndarray, least: int) -> DataFrame:
+def exact_counts(docs: DataFrame, most: int, bits: np.ndarray, log2_bins: int, least: int) -> DataFrame:
     """(lang, phrase, size, a): the exact counts, at least ``least``, of grams in a Bloom filter; summed by phrase, so a collision of hashes costs work alone."""
     shared = docs.sparkSession.sparkContext.broadcast(bits)
+    log2_bits = len(bits).bit_length() + 2
 
     def run(batches):
         held: dict[tuple[str, str], int] = {}
 
         def of_slice(lang, grams):
-            h = mix(grams.hash ^ _salt(lang), 6)
-            at = np.flatnonzero(in_bloom(shared.value, h))
-            keys, first, n = np.unique(h[at], return_index=True, return_counts=True)
-            yield [lang] * len(keys), grams.text(at[first]).to_pylist(), n.tolist()
+            keys = _keys(lang, grams)
+            hit = np.ones(len(keys), bool)
+            for at in _probes(keys, log2_bits, log2_bins):
+                hit &= (shared.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+            at = np.flatnonzero(hit)
+            _, first, n = np.unique(grams.hash[at], return_index=True, return_counts=True)
+            yield [lang] * len(first), grams.text(at[first]).to_pylist(), n.tolist()
 
         def send():
             langs, phrases, n = [k[0] for k in held], [k[1] for k in held], list(held.values())
@@ -186,7 +235,7 @@ def exact_counts(docs: DataFrame, most: int, bits: np.ndarray, least: int) -> Da
         for langs, phrases, n in _by_lang(batches, most, of_slice):
             for key, k in zip(zip(langs, phrases, strict=True), n, strict=True):
                 held[key] = held.get(key, 0) + k
-            if len(held) > 1 << 18:
+            if len(held) > 1 << 17:
                 yield send()
         yield send()
 
@@ -233,7 +282,7 @@ def top_by_lang(rows: DataFrame, limit: int) -> DataFrame:
     return ranked.where(F.col("rank") <= limit)
 
 
-def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", most: int = 3, least: int = 10, percent: int = 50, limit: int = 2000, bin_mass: int = 1 << 24) -> DataFrame:
+def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", most: int = 3, least: int = 10, percent: int = 50, limit: int = 2000, bin_mass: int = 1 << 21) -> DataFrame:
     """Phrases of 2 to ``most`` words, per language (null: und): lang, rank, phrase, a, l, r, n, score.
 
     Texts are lower-cased (A-Z) and cut at ``.,;:!?`` and line ends into pieces, pieces at blanks and tabs into words; phrases lie in one piece.  A candidate
@@ -241,18 +290,17 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
 
     Two passes over the texts.  The first summarises hashes: tasks sum what they see and deal it to hash partitions of about ``bin_mass`` occurrences, and
     the Misra-Gries summary of each has a capacity above mass / least, so every gram of ``least`` occurrences survives, with a bounded number of counters.  The second counts the
-    survivors by phrase; a Bloom filter (at most 2^28 bits, fuller beyond) keeps most other grams from being spelled out, and the exact counts decide.
+    survivors by phrase; a Bloom filter of them (at most 2^28 bits, fuller beyond) keeps most other grams from being spelled out, and the exact counts decide.
     Null and empty texts have no words; languages without candidates no rows; equal rows count each; further columns, whatever their names, are ignored.
     """
     docs = docs.select(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     words = F.regexp_count("text", F.lit(r"[^\x20\x09.,;:!?\x0A-\x0D]+"))
     n = stored(docs.groupBy("lang").agg(F.sum(words).alias("n")), "words")
     mass = most * (n.agg(F.sum("n")).first()[0] or 0)
-    bins = max(n_partitions(docs.sparkSession), -(-mass // bin_mass))
-    keys = stored(maybe_frequent(summaries(docs, most, bins), bins, least), "frequent")
-    bits = bloom_bits(keys, "h", bloom_size(keys.count()))
-    release(keys)
-    counts = stored(exact_counts(docs, most, bits, least), "counts")
+    log2_bits = bloom_size(mass // least)
+    log2_bins = min(log2_bits - 3, max(3, (mass // bin_mass).bit_length()))
+    bits = maybe_frequent(summaries(docs, most, log2_bins), log2_bins, log2_bits, least)
+    counts = stored(exact_counts(docs, most, bits, log2_bins, least), "counts")
     candidates = stored(scored(counts, most), "candidates")
     release(counts)
     top = top_by_lang(uncovered(candidates, most, percent), limit)
