@@ -8,9 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..functions import facts
 from ..functions import text as t
-from . import chunks, reconcile
+from . import chunks
 
 
 def placeholder_issues(pairs: DataFrame, pattern: str, source: str = "source_text", target: str = "target_text") -> DataFrame:
@@ -116,19 +115,6 @@ def first_match(cases: Sequence[tuple[Column, str]], default: str) -> Column:
     return out
 
 
-def check_preservation(units: DataFrame, claims: DataFrame, unit: str) -> DataFrame:
-    """Units without a claim, and values that claims lost, added or changed: unit, issue, lost, added."""
-    def values(df: DataFrame) -> DataFrame:
-        rows = facts.value_rows(df, repeated=True)
-        return rows.select(unit, F.col("v.kind").alias("kind"), F.col("v.normalized").alias("normalized"), F.col("v_pos").alias("pos"))
-
-    none = F.lit(None).cast("string")
-    uncited = units.join(claims.select(unit).distinct(), unit, "left_anti").select(unit, F.lit("uncited").alias("issue"), none.alias("lost"), none.alias("added"))
-    cited = units.join(claims.select(unit).distinct(), unit, "left_semi")
-    changes = reconcile.value_diff(values(cited), values(claims), unit)
-    return uncited.unionByName(changes.select(unit, F.col("change").alias("issue"), "lost", "added"))
-
-
 def verdicts(rows: DataFrame, key: str, checks: dict[str, Column]) -> DataFrame:
     """A row per check: key, check_name, verdict."""
     return rows.select(key, F.explode(F.array(*[F.struct(F.lit(n).alias("check_name"), c.alias("verdict")) for n, c in checks.items()])).alias("c")).select(key, "c.check_name", "c.verdict")

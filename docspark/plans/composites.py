@@ -150,20 +150,6 @@ def h59_content_type(spark, sf):
     return n.select(F.concat_ws("/", "r_name", "n_name").alias("heading"), kind.alias("content_type"), F.upper(F.regexp_replace("n_name", "[^A-Za-z]+", "_")).alias("section_key"))
 
 
-# A draft: every fifth page's blocks are copied as claims, some of them changed; the composite finds what the changes lost.
-PAGES = f"""{E}, u AS (SELECT doc_id * 1000 + seq AS unit_id, doc_id, seq, text || ' within ' || (seq + 1) || ' days' AS text FROM elements WHERE kind IN ('paragraph', 'list_item')),
-c AS (SELECT unit_id, CASE WHEN unit_id % 7 = 0 THEN unit_id % 7 + 400 ELSE seq + 1 END AS days FROM u WHERE unit_id % 11 <> 0)"""
-
-
-@query(f"{PAGES} SELECT u.unit_id, CASE WHEN c.unit_id IS NULL THEN 'uncited' ELSE 'changed' END AS issue, CASE WHEN c.unit_id IS NOT NULL THEN '<=' || (seq + 1) || ' day' END AS lost, CASE WHEN c.unit_id IS NOT NULL THEN '<=400 day' END AS added FROM u LEFT JOIN c ON u.unit_id = c.unit_id WHERE c.unit_id IS NULL OR days <> seq + 1")
-def k3_check_preservation(spark, sf):
-    e = i.elements(spark, sf).where("kind in ('paragraph', 'list_item')")
-    u = e.select((F.col("doc_id") * 1000 + F.col("seq")).alias("unit_id"), "seq")
-    say = lambda n: F.concat(F.lit("Do it within "), n.cast("string"), F.lit(" days"))
-    claims = u.where("unit_id % 11 <> 0").select("unit_id", say(F.when(F.col("unit_id") % 7 == 0, F.lit(400)).otherwise(F.col("seq") + 1)).alias("text"))
-    return k.check_preservation(u.select("unit_id", say(F.col("seq") + 1).alias("text")), claims, "unit_id")
-
-
 @query(f"""{S}, x AS (SELECT job_id, count(*) AS n, count(target_text) AS done, count(*) FILTER (trim(coalesce(target_text, '')) = '') AS empty FROM segments GROUP BY 1)
 SELECT job_id, 'coverage' AS check_name, CASE WHEN done = n THEN 'pass' WHEN 2 * done >= n THEN 'warn' ELSE 'fail' END AS verdict FROM x UNION ALL SELECT job_id, 'empty', CASE WHEN empty = 0 THEN 'pass' ELSE 'warn' END FROM x""")
 def k20_inspect(spark, sf):
