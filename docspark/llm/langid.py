@@ -17,29 +17,38 @@ _EDGE = np.uint64(0x100)
 _SHARPNESS = 3.0
 
 
-def _features(texts: pa.Array, log2_buckets: int) -> tuple[Words, np.ndarray, np.ndarray]:
-    """The words (letters and non-ASCII bytes) of a column and, for each of their n-grams, its bucket and its word's number.
+class _Features:
+    """The words (letters and non-ASCII bytes) of a column, and for each distinct one the buckets of its n-grams.
 
-    n-grams are 2, 3 and 4 bytes of a word with its edges marked, and the whole word.
+    n-grams are 2, 3 and 4 bytes of a word with its edges marked, and the whole word; ``number`` is each word's distinct word, ``of`` the one a bucket belongs to.
     """
-    words = Words(texts, _LETTER)
-    size = words.end - words.start
-    if not len(size):
-        return words, np.zeros(0, np.int64), np.zeros(0, np.int64)
-    word = np.repeat(np.arange(len(size)), size + 2)
-    to = np.cumsum(size + 2)
-    code = np.full(int(to[-1]), _EDGE, np.uint64)
-    inside = np.ones(len(code), bool)
-    inside[to - 1] = inside[to - size - 2] = False
-    code[inside] = words.bytes[np.repeat(words.start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
-    buckets, of = [mix(words.hashes(), 11)], [np.arange(len(size))]
-    gram = code
-    for k in range(1, 4):
-        gram = (gram[:-1] << np.uint64(9)) | code[k:]
-        same = np.flatnonzero(word[:-k] == word[k:])
-        buckets.append(mix(gram[same], 11 + k))
-        of.append(word[same])
-    return words, (np.concatenate(buckets) >> np.uint64(64 - log2_buckets)).astype(np.int64), np.concatenate(of)
+
+    def __init__(self, texts: pa.Array, log2_buckets: int):
+        self.words = words = Words(texts, _LETTER)
+        hashes, first, self.number = np.unique(words.hashes(), return_index=True, return_inverse=True)
+        start, size = words.start[first], words.end[first] - words.start[first]
+        self.bucket = self.of = np.zeros(0, np.int64)
+        self.n_words = len(size)
+        if not len(size):
+            return
+        word = np.repeat(np.arange(len(size)), size + 2)
+        to = np.cumsum(size + 2)
+        code = np.full(int(to[-1]), _EDGE, np.uint64)
+        inside = np.ones(len(code), bool)
+        inside[to - 1] = inside[to - size - 2] = False
+        code[inside] = words.bytes[np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
+        buckets, of = [mix(hashes, 11)], [np.arange(len(size))]
+        gram = code
+        for k in range(1, 4):
+            gram = (gram[:-1] << np.uint64(9)) | code[k:]
+            same = np.flatnonzero(word[:-k] == word[k:])
+            buckets.append(mix(gram[same], 11 + k))
+            of.append(word[same])
+        self.bucket, self.of = (np.concatenate(buckets) >> np.uint64(64 - log2_buckets)).astype(np.int64), np.concatenate(of)
+
+    def counts(self, n_buckets: int) -> np.ndarray:
+        """How often each bucket occurs in the column."""
+        return np.bincount(self.bucket, np.bincount(self.number, minlength=self.n_words)[self.of], n_buckets).astype(np.int64)
 
 
 class Model:
@@ -56,43 +65,45 @@ class Model:
 
     def predict(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The number of each text's leading language and a score (0 to 1)."""
-        words, bucket, of = _features(texts, self.log2_buckets)
-        n_docs, n_langs = len(texts), len(self.langs)
-        width = np.bincount(of, minlength=len(words.start)).astype(np.float32)
-        llh = np.empty((len(words.start), n_langs), np.float32)
-        for k in range(n_langs):
-            llh[:, k] = np.bincount(of, self.ratio[bucket, k], len(words.start)) / width * _SHARPNESS if len(width) else 0
-        return mixture(llh, words.row, n_docs, self.prior, self.most_mixed)
+        f = _Features(texts, self.log2_buckets)
+        width = np.maximum(np.bincount(f.of, minlength=f.n_words), 1)
+        llh = np.empty((f.n_words, len(self.langs)), np.float32)
+        for k in range(len(self.langs)):
+            llh[:, k] = np.bincount(f.of, self.ratio[f.bucket, k], f.n_words) / width * _SHARPNESS
+        pairs, n = np.unique(f.words.row * max(1, f.n_words) + f.number, return_counts=True)
+        row, number = np.divmod(pairs, max(1, f.n_words))
+        return mixture(llh[number], row, len(texts), self.prior, self.most_mixed, weight=n)
 
 
 def _summed(values: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
     return np.stack([np.bincount(row, values[:, k], n) for k in range(values.shape[1])], axis=1)
 
 
-def _em(like: np.ndarray, row: np.ndarray, n: np.ndarray, pi: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+def _em(like: np.ndarray, row: np.ndarray, weight: np.ndarray, n: np.ndarray, pi: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
     """Proportions after so many rounds from ``pi`` (zeros stay) and the log-likelihood of each document under them."""
     for _ in range(rounds):
         joint = like * pi[row]
-        joint /= joint.sum(axis=1, keepdims=True)
+        joint *= (weight / np.einsum("ij->i", joint))[:, None]
         pi = (_summed(joint, row, len(n)) + 1e-6 * (pi > 0)) / np.maximum(n, 1)[:, None]
         pi /= np.maximum(pi.sum(axis=1, keepdims=True), 1e-300)
-    return pi, np.bincount(row, np.log((like * pi[row]).sum(axis=1)), len(n))
+    return pi, np.bincount(row, weight * np.log(np.einsum("ij,ij->i", like, pi[row])), len(n))
 
 
-def mixture(llh: np.ndarray, row: np.ndarray, n_docs: int, prior: np.ndarray, most_mixed: int = 8, penalty: float = 1.5) -> tuple[np.ndarray, np.ndarray]:
-    """The leading language of each document and its score, from the log-likelihoods of its words in each language.
+def mixture(llh: np.ndarray, row: np.ndarray, n_docs: int, prior: np.ndarray, most_mixed: int = 8, penalty: float = 1.5, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The leading language of each document and its score, from the log-likelihoods of its words in each language; ``weight`` says how often a row's document has the word.
 
     Expectation-maximisation finds the proportions of all languages (of the ``most_mixed`` that explain most words in a first round, where there are more);
     then the weakest language goes as long as the likelihood falls by less than the penalty of one language more, ``penalty`` * log(1 + words).  The score is the leading language's proportion,
     times the probability that it and not the runner-up is the one language, if one is left.
     """
-    n = np.bincount(row, minlength=n_docs)
+    weight = np.ones(len(row)) if weight is None else weight.astype(np.float64)
+    n = np.bincount(row, weight, n_docs)
     like = np.exp(llh - llh.max(axis=1, keepdims=True, initial=-np.inf)).astype(np.float64) if len(llh) else np.zeros((0, llh.shape[1]))
     like = np.maximum(like, 1e-30)
-    pi, _ = _em(like, row, n, np.tile(prior, (n_docs, 1)), 1)
+    pi, _ = _em(like, row, weight, n, np.tile(prior, (n_docs, 1)), 1)
     which = np.argsort(-pi, axis=1, kind="stable")[:, :most_mixed]
     like = np.take_along_axis(like, which[row], axis=1)
-    pi, fit = _em(like, row, n, np.take_along_axis(pi, which, axis=1), 12)
+    pi, fit = _em(like, row, weight, n, np.take_along_axis(pi, which, axis=1), 10)
     cost = penalty * np.log1p(n)
     open_ = np.ones(n_docs, bool)
     for _ in range(which.shape[1] - 1):
@@ -104,12 +115,12 @@ def mixture(llh: np.ndarray, row: np.ndarray, n_docs: int, prior: np.ndarray, mo
         mine = place[row] >= 0
         fewer = pi[docs].copy()
         fewer[np.arange(len(docs)), np.where(fewer > 0, fewer, np.inf).argmin(axis=1)] = 0
-        fewer, less = _em(like[mine], place[row][mine], n[docs], fewer / np.maximum(fewer.sum(axis=1, keepdims=True), 1e-300), 6)
+        fewer, less = _em(like[mine], place[row][mine], weight[mine], n[docs], fewer / np.maximum(fewer.sum(axis=1, keepdims=True), 1e-300), 6)
         better = less + cost[docs] >= fit[docs]
         pi[docs[better]], fit[docs[better]] = fewer[better], less[better]
         open_[docs[~better]] = False
     top = pi.argmax(axis=1)
-    single = _summed(np.log(like), row, n_docs) + 1e-9 * np.log(np.take_along_axis(np.tile(prior, (n_docs, 1)), which, axis=1))
+    single = _summed(np.log(like) * weight[:, None], row, n_docs) + 1e-9 * np.log(np.take_along_axis(np.tile(prior, (n_docs, 1)), which, axis=1))
     own = np.take_along_axis(single, top[:, None], axis=1)[:, 0]
     rest = single.copy()
     rest[np.arange(n_docs), top] = -np.inf
@@ -135,9 +146,8 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", log2_bu
         for b in slices(batches, 1, 1 << 20):
             for lang in b.column(0).unique().to_pylist():
                 if lang in number:
-                    _, bucket, _ = _features(b.column(1).filter(pa.compute.equal(b.column(0), lang)), log2_buckets)
                     counts.setdefault(number[lang], np.zeros(n_buckets, np.int64))
-                    counts[number[lang]] += np.bincount(bucket, minlength=n_buckets)
+                    counts[number[lang]] += _Features(b.column(1).filter(pa.compute.equal(b.column(0), lang)), log2_buckets).counts(n_buckets)
         for k, c in counts.items():
             at = np.flatnonzero(c)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k, np.int32)), pa.array(at.astype(np.int32)), pa.array(c[at])], ["lang", "bucket", "n"])
