@@ -6,16 +6,67 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as t
+from . import glossary
 
 
-def phrase_counts(units: DataFrame, breaks: str, min_texts: int, text: str = "text") -> DataFrame:
-    """Two-word phrases without stop words, inside punctuation, and in how many distinct texts they are: term, n_texts."""
-    stop = F.array(*[F.lit(x) for x in t.STOP])
-    chunks = units.select(text).distinct().select(F.col(text).alias("_t"), F.explode(F.split(F.lower(text), breaks, -1)).alias("c"))
-    w = chunks.select(F.xxhash64("_t").alias("_t"), t.extract(F.col("c"), r"\p{L}+").alias("w")).where(F.size("w") > 1)
-    grams = w.select("_t", F.explode(F.array_distinct(F.arrays_zip(F.slice("w", 1, F.size("w") - 1).alias("a"), F.slice("w", 2, F.size("w") - 1).alias("b")))).alias("g"))
-    grams = grams.where(~F.array_contains(stop, F.col("g.a")) & ~F.array_contains(stop, F.col("g.b"))).select("_t", F.concat_ws(" ", "g.a", "g.b").alias("term"))
-    return grams.groupBy("term").agg(F.count_distinct("_t").alias("n_texts")).where(F.col("n_texts") >= min_texts)
+# Words that no term holds.
+NO_TERM = """
+    a an the and or nor but of to in on at by for from with without within into onto over under as per via than then that this these those it its they them their there here which who whom whose what
+    when where why how if whether is are was were be been being am has have had do does did must shall should may might can could will would not no all any each every some such both either neither
+    only also other another more most less least very so e.g i.e etc according based using used one two three new same further following include includes including require requires required
+""".split()
+#: What ends a chunk, and a word inside one.
+BREAK = r"""[.,;:!?()\[\]{}"“”„|/–—]|\s-\s"""
+WORD = r"[\p{L}\p{N}](?:[\p{L}\p{N}_&'’-]*[\p{L}\p{N}])?"
+
+
+def singular(word: Column) -> Column:
+    """An English plural's singular; words of up to three letters, abbreviations in capitals and words in -ss, -us and -is stay."""
+    stays = (F.char_length(word) <= 3) | ~word.rlike(r"\p{Ll}") | ~word.rlike("s$") | word.rlike("[sui]s$")
+    short = lambda n: F.left(word, F.char_length(word) - n)
+    return F.when(word.rlike(r"\p{Ll}") & word.rlike("ies$") & (F.char_length(word) > 3), F.concat(short(3), F.lit("y"))).when(stays, word).otherwise(short(1))
+
+
+def phrase_grams(texts: DataFrame, most: int = 4, text: str = "text") -> DataFrame:
+    """The phrases of each distinct text: _t (a digest of the text), term, size; a phrase once per text.
+
+    2 to ``most`` words of one chunk, lower-cased, the last one singular, none of them in ``NO_TERM`` or without a letter.
+    """
+    stop = F.array(*map(F.lit, NO_TERM))
+    chunks = texts.select(text).where(F.col(text).isNotNull()).distinct().select(F.md5(text).alias("_t"), F.explode(F.split(text, BREAK, -1)).alias("_c"))
+    words = F.transform(t.extract(F.col("_c"), WORD), lambda w: F.struct(F.lower(w).alias("w"), F.lower(singular(w)).alias("last"), (~F.array_contains(stop, F.lower(w)) & w.rlike(r"\p{L}")).alias("good"), (~F.array_contains(stop, F.lower(singular(w)))).alias("ends")))
+    chunks = chunks.select("_t", words.alias("_w")).where(F.size("_w") > 1)
+
+    def grams(n: int) -> Column:
+        at = F.when(F.size("_w") >= n, F.sequence(F.lit(1), F.size("_w") - n + 1)).otherwise(F.array().cast("array<int>"))
+        windows = F.transform(at, lambda k: F.slice("_w", k, n))
+        good = F.filter(windows, lambda g: F.forall(F.slice(g, 1, n - 1), lambda x: x["good"]) & F.element_at(g, n)["ends"] & F.element_at(g, n)["w"].rlike(r"\p{L}"))
+        return F.transform(good, lambda g: F.struct(F.concat_ws(" ", F.transform(F.slice(g, 1, n - 1), lambda x: x["w"]), F.element_at(g, n)["last"]).alias("term"), F.lit(n).alias("size")))
+
+    return chunks.select("_t", F.explode(F.concat(*[grams(n) for n in range(2, most + 1)])).alias("g")).select("_t", "g.term", "g.size").distinct()
+
+
+def phrase_counts(units: DataFrame, min_texts: int = 3, covered: float = 0.75, most: int = 4, text: str = "text") -> DataFrame:
+    """Terms of 2 to ``most`` words in ``min_texts`` distinct texts or more: term, size, n_texts.
+
+    A term goes if a longer one, itself frequent, contains it and is in ``covered`` of its texts or more.  Both are found by joins on the contained phrase and the text, whose rows are the
+    frequent phrases of each text with at most five contained ones; nothing is paired but a phrase and its parts.
+    """
+    grams = phrase_grams(units, most, text)
+    counts = grams.groupBy("term", "size").agg(F.count("*").alias("n_texts")).where(F.col("n_texts") >= min_texts)
+    frequent = grams.join(counts.select("term"), "term", "left_semi")
+    words = F.split("term", " ")
+    parts = F.flatten(F.transform(F.sequence(F.lit(2), F.lit(most - 1)), lambda k: F.when(k < F.col("size"), F.transform(F.sequence(F.lit(1), F.col("size") - k + 1), lambda i: F.array_join(F.slice(words, i, k), " "))).otherwise(F.array().cast("array<string>"))))
+    inside = frequent.where("size > 2").select("_t", F.col("term").alias("longer"), F.explode(F.array_distinct(parts)).alias("term"))
+    shared = inside.join(frequent.select("_t", "term"), ["_t", "term"]).groupBy("term", "longer").agg(F.count("*").alias("n"))
+    most_shared = shared.groupBy("term").agg(F.max("n").alias("_most"))
+    return counts.join(most_shared, "term", "left").where(F.col("_most").isNull() | (F.col("_most") < covered * F.col("n_texts"))).drop("_most")
+
+
+def find_terms(counts: DataFrame, known: DataFrame) -> DataFrame:
+    """Counted terms in which no known term is used (whole words, plurals too); known: term."""
+    used = glossary.glossary_match(counts.select(F.col("term").alias("phrase")), known, ["phrase"], "phrase")
+    return counts.join(used.select(F.col("phrase").alias("term")).distinct(), "term", "left_anti")
 
 
 def mode_form(forms: DataFrame, key: Column, name: str, form: str = "form") -> DataFrame:

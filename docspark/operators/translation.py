@@ -47,18 +47,6 @@ def distinct_groups(segments: DataFrame, key: list[str], text: str = "source_tex
     return rows.join(groups, "_h").select(*key, *[F.col(f"first.{k}").alias(f"first_{k}") for k in key], "group_size")
 
 
-def glossary_match(units: DataFrame, terms: DataFrame, key: list[str], text: str = "text", most_terms: int = 100_000) -> DataFrame:
-    """Which one-word glossary terms occur in which units as whole words, any case: key, term, n.
-
-    An equi-join on the word; the glossary is sent to all tasks if it has ``most_terms`` rows at most.
-    """
-    folded = terms.select("term", F.lower("term").alias("w"))
-    if folded.count() <= most_terms:
-        folded = F.broadcast(folded)
-    words = units.select(*key, F.explode(t.words(F.col(text))).alias("w"))
-    return words.join(folded, "w").groupBy(*key, "term").agg(F.count("*").alias("n"))
-
-
 def bow_cosine(pairs: DataFrame, key: list[str], a: str, b: str) -> DataFrame:
     """Cosine of the term counts of two texts of one row, inside the row."""
     wa, wb = t.tokens(F.col(a)), t.tokens(F.col(b))

@@ -14,7 +14,7 @@ from ..operators import structure, terms
 from . import inputs as i
 from .quality import MAP, mapping
 from .registry import query
-from .text import BREAK, GRAMS, U
+from .text import GRAMS, U
 
 E = f"WITH {i.ELEMENTS}"
 
@@ -145,11 +145,12 @@ def e28_heal_shifted_icons(spark, sf):
     return lb.heal_shift(one.select(F.col("l_orderkey").alias("g"), F.col("l_linenumber").alias("n"), F.when(F.col("l_returnflag") == "R", F.col("l_partkey")).alias("icon")), ["g"], "n", "icon")
 
 
-@query(f"""{GRAMS}, known AS (SELECT lower(n_name) AS term FROM nation UNION SELECT term FROM df WHERE contains(term, 'tion')) SELECT term, n_texts FROM df WHERE term NOT IN (SELECT term FROM known) ORDER BY n_texts DESC, term LIMIT 80""")
+@query(f"""{GRAMS}, known AS (SELECT lower(n_name) AS term FROM nation UNION SELECT term FROM df WHERE n_texts % 5 = 0), top AS (SELECT * FROM df WHERE NOT EXISTS (SELECT 1 FROM known WHERE contains(' ' || df.term || ' ', ' ' || known.term || ' ') OR contains(' ' || df.term || ' ', ' ' || known.term || 's ')))
+SELECT term, size, n_texts FROM top ORDER BY n_texts DESC, size DESC, term LIMIT 80""")
 def k17_find_terms(spark, sf):
-    df = terms.phrase_counts(i.units(spark, sf), BREAK, 3)
-    known = i.table(spark, sf, "nation").select(F.lower("n_name").alias("term")).union(df.where(F.contains("term", F.lit("tion"))).select("term")).distinct()
-    return df.join(known, "term", "left_anti").orderBy(F.desc("n_texts"), "term").limit(80)
+    df = terms.phrase_counts(i.units(spark, sf))
+    known = i.table(spark, sf, "nation").select(F.lower("n_name").alias("term")).union(df.where("n_texts % 5 = 0").select("term"))
+    return terms.find_terms(df, known).orderBy(F.desc("n_texts"), F.desc("size"), "term").limit(80)
 
 
 @query(f"""WITH {MAP} SELECT 'double' AS issue, unit::VARCHAR AS key FROM m WHERE mode <> 'copy' GROUP BY unit HAVING count(DISTINCT target) > 1 UNION ALL SELECT 'unaccounted', p_partkey::VARCHAR FROM part WHERE p_partkey NOT IN (SELECT unit FROM m WHERE kind = 'R')

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as t
+from ..operators import terms
 from . import inputs as i
 from .registry import query
 
@@ -179,32 +180,39 @@ def h51_ids_in_text(spark, sf):
     return w.groupBy("doc_id").agg(F.sum("n").alias("n_ids")).where("n_ids > 0")
 
 
-# Terms.
-BREAK = r"""[.,;:!?()\[\]{}"“”|/]"""
-GRAMS = rf"""{U}, x AS (SELECT DISTINCT text FROM units), c AS (SELECT text, unnest(regexp_split_to_array(lower(text), '{BREAK}')) AS chunk FROM x), w AS (SELECT text, regexp_extract_all(chunk, '\p{{L}}+') AS w FROM c),
-g AS (SELECT DISTINCT text, w[i:i + 1] AS g FROM (SELECT text, w, unnest(range(1, len(w))) AS i FROM w)),
-df AS (SELECT array_to_string(g, ' ') AS term, count(*) AS n_texts FROM g WHERE NOT list_contains({STOP}, g[1]) AND NOT list_contains({STOP}, g[2]) GROUP BY 1 HAVING count(*) >= 3)"""
+# Terms of two to four words.
+def _q(words):
+    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
 
 
-@query(f"{GRAMS} SELECT term, n_texts FROM df")
-def d18_term_df(spark, sf):
-    from ..operators import terms
+SINGULAR = r"CASE WHEN length(w) <= 3 OR NOT regexp_matches(w, '\p{Ll}') OR NOT ends_with(w, 's') THEN w WHEN ends_with(w, 'ies') THEN w[:-4] || 'y' WHEN regexp_matches(w, '(ss|us|is)$') THEN w ELSE w[:-2] END"
+GRAMS = rf"""{U}, tx AS (SELECT text, row_number() OVER () AS t FROM (SELECT DISTINCT text FROM units)), ck AS (SELECT t, regexp_extract_all(c, '{terms.WORD.replace("'", "''")}') AS ws FROM (SELECT t, unnest(regexp_split_to_array(text, '{terms.BREAK}')) AS c FROM tx)),
+gr AS (SELECT DISTINCT t, size, list_append(list_transform(ws[i:i + size - 2], lambda w: lower(w)), lower(list_transform([ws[i + size - 1]], lambda w: {SINGULAR})[1])) AS g FROM (SELECT t, ws, size, unnest(range(1, len(ws) - size + 2)) AS i FROM ck, (SELECT unnest([2, 3, 4])::INT AS size) WHERE len(ws) >= size)),
+ok AS (SELECT t, size, array_to_string(g, ' ') AS term, g FROM gr WHERE NOT list_has_any(g, {_q(terms.NO_TERM)}) AND len(list_filter(g, lambda w: NOT regexp_matches(w, '\p{{L}}'))) = 0),
+cnt AS (SELECT term, size, count(*) AS n_texts FROM ok GROUP BY ALL HAVING count(*) >= 3), fr AS (SELECT ok.* FROM ok SEMI JOIN cnt ON cnt.term = ok.term),
+sub AS (SELECT DISTINCT t, longer, array_to_string(g[i:i + k - 1], ' ') AS term FROM (SELECT t, term AS longer, g, k, unnest(range(1, size - k + 2)) AS i FROM fr, (SELECT unnest([2, 3]) AS k) WHERE size > k)),
+cov AS (SELECT term, max(n) AS most FROM (SELECT sub.term, longer, count(*) AS n FROM sub JOIN fr ON fr.t = sub.t AND fr.term = sub.term GROUP BY ALL) GROUP BY term),
+df AS (SELECT cnt.term, cnt.size, n_texts FROM cnt LEFT JOIN cov ON cov.term = cnt.term WHERE most IS NULL OR most < 0.75 * n_texts)"""
+
 
-    return terms.phrase_counts(i.units(spark, sf), BREAK, 3)
+@query(f"{GRAMS} SELECT term, size, n_texts FROM df")
+def d18_term_df(spark, sf):
+    return terms.phrase_counts(i.units(spark, sf))
 
 
-@query(f"{GRAMS} SELECT term, n_texts FROM df ORDER BY n_texts DESC, term LIMIT 80")
+@query(f"{GRAMS} SELECT term, size, n_texts FROM df ORDER BY n_texts DESC, size DESC, term LIMIT 80")
 def f2_top_terms(spark, sf):
-    from ..operators import terms
+    return terms.phrase_counts(i.units(spark, sf)).orderBy(F.desc("n_texts"), F.desc("size"), "term").limit(80)
 
-    return terms.phrase_counts(i.units(spark, sf), BREAK, 3).orderBy(F.desc("n_texts"), "term").limit(80)
+
+@query(f"{GRAMS} SELECT size, count(*) AS n, count(DISTINCT term) AS n_terms FROM ok GROUP BY size")
+def h53b_phrase_grams(spark, sf):
+    return terms.phrase_grams(i.units(spark, sf)).groupBy("size").agg(F.count("*").alias("n"), F.count_distinct("term").alias("n_terms"))
 
 
 @query(rf"""{U}, w AS (SELECT unnest(regexp_extract_all(text, '\p{{L}}+')) AS form FROM units), c AS (SELECT lower(form) AS word, form, count(*) AS n FROM w GROUP BY 1, 2)
 SELECT word, form, n FROM c QUALIFY row_number() OVER (PARTITION BY word ORDER BY n DESC, form) = 1""")
 def d20_spelling_mode(spark, sf):
-    from ..operators import terms
-
     return terms.mode_form(i.units(spark, sf).select(F.explode(t.extract(F.col("text"), r"\p{L}+")).alias("form")), F.lower("form"), "word")
 
 

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import fold
 from ..functions import text as t
-from ..operators import structure, terms
+from ..operators import glossary, structure, terms
 from ..operators import translation as tr
 from . import inputs as i
 from .registry import query
@@ -115,28 +116,48 @@ def d4_word_recall(spark, sf):
     return structure.word_recall(s.select("key", "words"), s.select("key", F.col("tw").alias("words")), "key")
 
 
-GLOSSARY = rf"""{U}, w AS (SELECT doc_id, seq, unnest(regexp_extract_all(lower(text), '\p{{L}}+')) AS w FROM units), g AS (SELECT DISTINCT p_brand AS term FROM part UNION SELECT n_name FROM nation UNION SELECT w FROM (SELECT w, count(*) AS n FROM w WHERE length(w) >= 8 GROUP BY 1 ORDER BY n DESC, w LIMIT 200))"""
+# A glossary of one to five words: the first words of every seventeenth document's lines, some without their plural s, half of them case-sensitive, beside nations and brands.
+TOKENS = r"'[\p{L}\p{N}_]+|[^\s\p{L}\p{N}_]| '"
+GLOSSARY = rf"""{U}, l AS (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS x, 1 + (seq % 5)::INT AS k FROM units WHERE doc_id % 17 = 0),
+gl AS (SELECT term, bool_and(cased) AS cased FROM (SELECT regexp_replace(array_to_string(string_split(x, ' ')[1:k], ' '), 's$', '') AS term, doc_id % 2 = 0 AS cased FROM l WHERE regexp_matches(array_to_string(string_split(x, ' ')[1:k], ' '), '^\p{{L}}{{4,}}( \p{{L}}+){{0,4}}$')
+  UNION ALL SELECT n_name, false FROM nation UNION ALL SELECT DISTINCT p_brand, true FROM part) GROUP BY term),
+gf AS (SELECT term, cased, unnest(CASE WHEN regexp_matches(term, '(?i)[^aeiou\s]y$') THEN [term, term[:-2] || 'ies', term[:-2] || 'IES'] WHEN regexp_matches(term, '\p{{L}}$') THEN [term, term || 's', term || 'es', term || 'S', term || 'ES'] ELSE [term] END) AS form FROM gl),
+fm AS (SELECT DISTINCT term, cased, CASE WHEN cased THEN form ELSE lower(form) END AS form, len(regexp_extract_all(form, {TOKENS})) AS n FROM gf),
+tk AS (SELECT doc_id, seq, regexp_extract_all(trim(regexp_replace(text, '\s+', ' ', 'g')), {TOKENS}) AS w FROM units),
+wi AS (SELECT doc_id, seq, i, n, array_to_string(w[i:i + n - 1], '') AS win FROM (SELECT doc_id, seq, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM tk, (SELECT DISTINCT n FROM fm) WHERE len(w) >= n)),
+ma AS (SELECT doc_id, seq, term, i, wi.n, win FROM wi JOIN fm ON fm.n = wi.n AND lower(win) = lower(form) AND (NOT cased OR win = form)),
+nu AS (SELECT *, row_number() OVER (PARTITION BY doc_id, seq ORDER BY i, n DESC, term) AS k FROM ma),
+gr AS (SELECT doc_id, seq, k, i + n AS ends, true AS kept FROM nu WHERE k = 1 UNION ALL SELECT nu.doc_id, nu.seq, nu.k, CASE WHEN nu.i >= ends THEN nu.i + nu.n ELSE ends END, nu.i >= ends FROM gr JOIN nu ON nu.doc_id = gr.doc_id AND nu.seq = gr.seq AND nu.k = gr.k + 1),
+us AS (SELECT nu.doc_id, nu.seq, term, i AS start, n, win AS matched FROM nu JOIN gr USING (doc_id, seq, k) WHERE kept)"""
 
 
-def glossary(spark, sf):
-    words = i.units(spark, sf).select(F.explode(t.words(F.col("text"))).alias("term")).where(F.char_length("term") >= 8).groupBy("term").count()
-    top = words.orderBy(F.desc("count"), "term").limit(200).select("term")
-    return top.union(i.table(spark, sf, "part").select("p_brand")).union(i.table(spark, sf, "nation").select("n_name")).distinct()
+def glossary_terms(spark, sf):
+    first = F.array_join(F.slice(F.split(t.norm_ws(F.col("text")), " "), 1, (1 + F.col("seq") % 5).cast("int")), " ")
+    lines = i.units(spark, sf).where("doc_id % 17 = 0").select(first.alias("term"), (F.col("doc_id") % 2 == 0).alias("case_sensitive")).where(F.col("term").rlike(r"^\p{L}{4,}( \p{L}+){0,4}$"))
+    lines = lines.withColumn("term", F.regexp_replace("term", "s$", ""))
+    names = i.table(spark, sf, "nation").select("n_name", F.lit(False)).union(i.table(spark, sf, "part").select("p_brand", F.lit(True)).distinct())
+    return lines.union(names)
 
 
-@query(f"{GLOSSARY} SELECT doc_id, seq, term, count(*) AS n FROM w JOIN g ON w.w = lower(g.term) GROUP BY ALL")
+@query(f"{GLOSSARY.replace('WITH ', 'WITH RECURSIVE ', 1)} SELECT doc_id, seq, term, start, n, matched FROM us")
 def c16_glossary_match(spark, sf):
-    return tr.glossary_match(i.units(spark, sf), glossary(spark, sf), ["doc_id", "seq"])
+    return glossary.glossary_match(i.units(spark, sf), glossary_terms(spark, sf), ["doc_id", "seq"])
 
 
-@query(f"{GLOSSARY}, n AS (SELECT doc_id, seq, len(regexp_extract_all(lower(text), '\\p{{L}}+'))::BIGINT AS n_words FROM units), m AS (SELECT doc_id, seq, count(*) AS n FROM w JOIN g ON w.w = lower(g.term) GROUP BY ALL) SELECT lang, sum(n_words)::BIGINT AS n_words, sum(coalesce(m.n, 0))::BIGINT AS n_terms FROM units JOIN n USING (doc_id, seq) LEFT JOIN m USING (doc_id, seq) GROUP BY lang")
+@query(f"{GLOSSARY.replace('WITH ', 'WITH RECURSIVE ', 1)}, n AS (SELECT doc_id, seq, len(regexp_extract_all(lower(text), '\\p{{L}}+'))::BIGINT AS n_words FROM units), m AS (SELECT doc_id, seq, count(*) AS n FROM us GROUP BY ALL) SELECT lang, sum(n_words)::BIGINT AS n_words, sum(coalesce(m.n, 0))::BIGINT AS n_terms FROM units JOIN n USING (doc_id, seq) LEFT JOIN m USING (doc_id, seq) GROUP BY lang")
 def d23_facts_summary(spark, sf):
     u = i.units(spark, sf)
-    m = tr.glossary_match(u, glossary(spark, sf), ["doc_id", "seq"]).groupBy("doc_id", "seq").agg(F.sum("n").alias("n"))
+    m = glossary.glossary_match(u, glossary_terms(spark, sf), ["doc_id", "seq"]).groupBy("doc_id", "seq").agg(F.count("*").alias("n"))
     rows = u.select("doc_id", "seq", "lang", F.size(t.words(F.col("text"))).alias("k")).join(m, ["doc_id", "seq"], "left")
     return rows.groupBy("lang").agg(F.sum("k").alias("n_words"), F.sum(F.coalesce("n", F.lit(0))).alias("n_terms"))
 
 
+@query(rf"""{U}, w AS (SELECT DISTINCT unnest(regexp_extract_all(text, '\p{{L}}+')) AS word FROM units) SELECT word, replace(lower(strip_accents(word)), 'ß', 'ss') AS folded FROM w""")
+def j1_unicode_fold(spark, sf):
+    words = i.units(spark, sf).select(F.explode(t.extract(F.col("text"), r"\p{L}+")).alias("word")).distinct()
+    return words.select("word", fold.unicode_fold(F.col("word")).alias("folded"))
+
+
 @query(rf"""{U}, v AS (SELECT doc_id, seq, unnest({NUMS.format('text')}) AS v FROM units) SELECT doc_id, count(DISTINCT v) AS n_values, min(v) AS first_value FROM v GROUP BY 1""")
 def d27_values_per_document(spark, sf):
     v = i.units(spark, sf).select("doc_id", F.explode(t.neutral_numbers(F.col("text"))).alias("v"))
