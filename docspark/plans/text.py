@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import fixed
 from ..functions import text as t
 from ..operators import terms
 from . import inputs as i
@@ -137,11 +138,14 @@ def h44_syllables(spark, sf):
     return w.select("word", t.syllables(F.col("word")).cast("int").alias("syllables"))
 
 
-@query(rf"""WITH s AS (SELECT lang, unnest({SENT.format('text')}) AS s FROM documents), n AS (SELECT lang, len(regexp_extract_all(lower(s), '\p{{L}}+')) AS w, regexp_matches(s, '{t.PASSIVE}') AS p FROM s)
+PASSIVE = r"(?i)(?:^|\W)(?:is|are|was|were|be|been|being)\s+(?:\w+ly\s+)?(?:\w+ed|" + "|".join(fixed.PARTICIPLES) + r")(?:$|\W)"
+
+
+@query(rf"""WITH s AS (SELECT lang, unnest({SENT.format('text')}) AS s FROM documents), n AS (SELECT lang, len(regexp_extract_all(lower(s), '\p{{L}}+')) AS w, regexp_matches(s, '{PASSIVE}') AS p FROM s)
 SELECT lang, count(*) AS n_sentences, sum(w)::BIGINT AS n_words, count(*) FILTER (p) AS n_passive, sum(w) / count(*) AS words_per_sentence, count(*) FILTER (p) / count(*) AS passive_share, count(*) FILTER (w > 25) AS n_long FROM n GROUP BY lang""")
 def d15_style_scores(spark, sf):
     s = i.table(spark, sf, "documents").select("lang", F.explode(t.sentences(F.col("text"))).alias("s"))
-    n = s.select("lang", F.size(t.words(F.col("s"))).alias("w"), F.col("s").rlike(t.PASSIVE).alias("p"))
+    n = s.select("lang", F.size(t.words(F.col("s"))).alias("w"), t.is_passive(F.col("s")).alias("p"))
     out = n.groupBy("lang").agg(F.count("*").alias("n_sentences"), F.sum("w").alias("n_words"), F.count_if("p").alias("n_passive"), F.count_if(F.col("w") > 25).alias("n_long"))
     return out.select("lang", "n_sentences", "n_words", "n_passive", (F.col("n_words") / F.col("n_sentences")).alias("words_per_sentence"), (F.col("n_passive") / F.col("n_sentences")).alias("passive_share"), "n_long")
 
