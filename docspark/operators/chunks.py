@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..functions import folds
+
 
 def section_parent(headings: DataFrame, within: Sequence[str], order: str, level: str, most_level: int) -> DataFrame:
     """Adds ``parent``: the nearest heading before with a lower level (null at the top)."""
@@ -53,34 +55,68 @@ def tfidf_adjacent(units: DataFrame, doc: str, order: str, text: str = "text") -
 def pack_blocks(rows: DataFrame, within: Sequence[str], order: str, cost: str, budget: int) -> DataFrame:
     """Ordered packing: a row opens a new block if the open one would exceed the budget.  Adds block (from 1).
 
-    The fold runs over one document's rows, so its memory is bounded by a document, never by the corpus.
+    The fold runs over the costs of one document's rows, so its memory is bounded by a document, never by the corpus, and its work grows with the rows.
     """
-    items = F.array_sort(F.collect_list(F.struct(order, F.col(cost).cast("long").alias("c"))))
     kind = rows.schema[order].dataType.simpleString()
-    empty = F.array().cast(f"array<struct<o:{kind},block:int>>")
 
-    def step(acc, x):
-        opens = (acc["used"] > 0) & (acc["used"] + x["c"] > budget)
-        block = acc["block"] + F.when(opens, 1).otherwise(0)
-        used = F.when(opens, x["c"]).otherwise(acc["used"] + x["c"])
-        return F.struct(block.alias("block"), used.alias("used"), F.concat(acc["out"], F.array(F.struct(x[order].alias("o"), block.alias("block")))).alias("out"))
+    def step(s, x):
+        opens = (s["used"] > 0) & (s["used"] + x["c"] > budget)
+        return F.struct((s["block"] + F.when(opens, 1).otherwise(0)).alias("block"), F.when(opens, x["c"]).otherwise(s["used"] + x["c"]).alias("used"))
 
-    start = F.struct(F.lit(1).alias("block"), F.lit(0).cast("long").alias("used"), empty.alias("out"))
-    packed = rows.groupBy(*within).agg(items.alias("_i")).select(*within, F.explode(F.aggregate("_i", start, step, lambda a: a["out"])).alias("x"))
-    return packed.select(*within, F.col("x.o").alias(order), F.col("x.block").alias("block"))
+    items = F.array_sort(F.collect_list(F.struct(order, F.col(cost).cast("long").alias("c"))))
+    start = F.struct(F.lit(1).alias("block"), F.lit(0).cast("long").alias("used"))
+    placed = folds.scan(F.col("_i"), start, step, lambda s, x: F.struct(x[order].alias("o"), s["block"].alias("block")), f"struct<o:{kind},block:int>")
+    return rows.groupBy(*within).agg(items.alias("_i")).select(*within, F.explode(placed).alias("x")).select(*within, F.col("x.o").alias(order), F.col("x.block").alias("block"))
 
 
 def non_overlapping(rows: DataFrame, within: Sequence[str]) -> DataFrame:
     """Greedy choice of intervals (start, end) of each text: by start, then longest; one that begins before the last chosen end is left out."""
     items = F.array_sort(F.collect_set(F.struct("start", (-F.col("end")).alias("minus"))))
-    empty = F.array().cast("array<struct<start:int,end:int>>")
 
-    def step(acc, x):
-        end = -x["minus"]
-        return F.when(x["start"] >= acc["last"], F.struct(end.alias("last"), F.concat(acc["out"], F.array(F.struct(x["start"].alias("start"), end.alias("end")))).alias("out"))).otherwise(acc)
+    def step(s, x):
+        taken = x["start"] >= s["last"]
+        return F.struct(F.when(taken, -x["minus"]).otherwise(s["last"]).cast("int").alias("last"), taken.alias("taken"))
+
+    start = F.struct(F.lit(-(2**31) + 1).alias("last"), F.lit(False).alias("taken"))
+    chosen = folds.scan(F.col("_i"), start, step, lambda s, x: F.struct(s["taken"].alias("taken"), x["start"].cast("int").alias("start"), (-x["minus"]).cast("int").alias("end")), "struct<taken:boolean,start:int,end:int>")
+    return rows.groupBy(*within).agg(items.alias("_i")).select(*within, F.explode(chosen).alias("x")).where("x.taken").select(*within, "x.start", "x.end")
+
+
+# What closes a sentence, what a continued paragraph may open with, and marks of things that stay with their text.
+TERMINAL, CLOSING, MARKS = tuple(".!?:"), tuple(")]}»"), ("[Icon:", "[Image:", "[Table:")
 
-    folded = F.aggregate("_i", F.struct(F.lit(-(2**31) + 1).alias("last"), empty.alias("out")), step, lambda a: a["out"])
-    return rows.groupBy(*within).agg(items.alias("_i")).select(*within, F.explode(folded).alias("x")).select(*within, "x.start", "x.end")
+
+def merge_paragraphs(rows: DataFrame, within: Sequence[str], order: str, text: str = "text") -> DataFrame:
+    """Paragraphs that layout tore apart put together again: within, first (the order of the first), n, text (joined by a blank).
+
+    A paragraph goes on the one before, as merged so far, if either begins with the mark of an icon, image or table; if brackets opened in the merged text are still open; if it ends with
+    a hyphen; or if it ends without ``TERMINAL`` and the next begins in lower case or with a closing bracket.  Null and empty paragraphs go on nothing and nothing goes on them.
+
+    The fold's state is the number of the merged paragraph, its open brackets, whether it began with a mark and how it ends; texts are joined afterwards, so no merged text is carried along.
+    """
+    c = F.coalesce(F.col(text), F.lit(""))
+    count = lambda signs: F.char_length(c) - F.char_length(F.translate(c, signs, ""))
+    marked = F.lit(False)
+    for mark in MARKS:
+        marked |= F.startswith(F.ltrim(c), F.lit(mark))
+    first, last = F.left(c, F.lit(1)), F.right(c, F.lit(1))
+    item = F.struct(F.col(order).alias("o"), (c == "").alias("empty"), (count("([{") - count(")]}")).alias("open"), marked.alias("mark"), (last == "-").alias("hyphen"), last.isin(*TERMINAL).alias("ends"), (first.rlike(r"^\p{Ll}") | first.isin(*CLOSING)).alias("goes_on"))
+
+    def step(s, x):
+        joins = (s["grp"] > 0) & ~s["empty"] & ~x["empty"] & (x["mark"] | s["mark"] | (s["open"] > 0) | s["hyphen"] | (~s["ends"] & x["goes_on"]))
+        return F.struct(
+            (s["grp"] + F.when(joins, 0).otherwise(1)).alias("grp"), (x["open"] + F.when(joins, s["open"]).otherwise(0)).alias("open"), F.when(joins, s["mark"]).otherwise(x["mark"]).alias("mark"),
+            x["hyphen"].alias("hyphen"), x["ends"].alias("ends"), x["empty"].alias("empty"),
+        )
+
+    no = F.lit(False)
+    start = F.struct(F.lit(0).alias("grp"), F.lit(0).alias("open"), no.alias("mark"), no.alias("hyphen"), no.alias("ends"), no.alias("empty"))
+    kind = rows.schema[order].dataType.simpleString()
+    groups = folds.scan(F.col("_i"), start, step, lambda s, x: F.struct(x["o"].alias("o"), s["grp"].alias("grp")), f"struct<o:{kind},grp:int>")
+    groups = rows.groupBy(*within).agg(F.array_sort(F.collect_list(item)).alias("_i")).select(*within, F.explode(groups).alias("g")).select(*within, F.col("g.o").alias(order), F.col("g.grp").alias("_grp"))
+    met = rows.select(*within, order, c.alias("_c")).join(groups, [*within, order])
+    texts = F.transform(F.array_sort(F.collect_list(F.struct(order, "_c"))), lambda s: s["_c"])
+    return met.groupBy(*within, "_grp").agg(F.min(order).alias("first"), F.count("*").alias("n"), F.array_join(texts, " ").alias("text")).drop("_grp")
 
 
 def semantic_split(units: DataFrame, doc: str, order: str, threshold: float, text: str = "text") -> DataFrame:

@@ -65,12 +65,17 @@ def best_and_margin(scores: DataFrame, source: str, target: str, score: str) ->
     return ranked.where("_n = 1").select(source, target, score, (F.col(score) - F.coalesce("_second", F.lit(0))).alias("margin"))
 
 
-def score_matrix(sources: DataFrame, targets: DataFrame, score: Column, most_targets: int = 1000) -> DataFrame:
-    """Every source with every target.  Targets are the sections of one template, a small dimension: more than ``most_targets`` are refused."""
-    n = targets.limit(most_targets + 1).count()
-    if n > most_targets:
-        raise ValueError(f"more than {most_targets} targets")
-    return sources.crossJoin(F.broadcast(targets)).withColumn("score", score)
+def score_matrix(sources: DataFrame, targets: DataFrame, score: Column, block: int = 1000) -> DataFrame:
+    """Every source with every target of a template, and its score.
+
+    Targets are dealt to blocks of about ``block`` by a hash, and each source meets the blocks one by one through an equi-join, so what a task holds of the targets is bounded however many there
+    are; the result itself has a row per pair, as asked.  A block is sent to all tasks where there is only one.
+    """
+    n = targets.count()
+    blocks = max(1, -(-n // block))
+    dealt = targets.withColumn("_block", F.pmod(F.xxhash64(*targets.columns), F.lit(blocks)).cast("int"))
+    met = sources.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    return met.join(F.broadcast(dealt) if blocks == 1 else dealt, "_block").drop("_block").withColumn("score", score)
 
 
 def apply_overrides(detected: DataFrame, overrides: DataFrame, on: str, fields: Sequence[str]) -> DataFrame:

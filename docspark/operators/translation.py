@@ -14,6 +14,41 @@ def strip_tags(c: Column) -> Column:
     return F.regexp_replace(c, TAG, "")
 
 
+def tag_diff(rows: DataFrame, source: str, target: str) -> DataFrame:
+    """Adds missing and extra (markers of one side only, as often as they are more there, sorted), broken (crossing, unbalanced or null) and pair (the number of the broken pair).
+
+    A marker is a closing one, an opening one if its text has the closing one too, or an object.  Pairs of the target are read from left to right with a stack of open ones: the first closing marker that
+    isn't of the innermost open pair breaks them, crossing if its pair is open further out, unbalanced if it isn't open at all.  Null texts have no markers.
+    """
+
+    def markers(c: Column) -> Column:
+        found = t.extract(F.coalesce(c, F.lit("")), TAG)
+
+        def kinds(tags: Column) -> Column:
+            number = lambda x: F.regexp_extract(x, "[0-9]+", 0).cast("long")
+            return F.transform(tags, lambda x: F.struct(F.when(F.contains(x, F.lit("/")), "close").when(F.exists(tags, lambda y: F.contains(y, F.lit("/")) & (number(y) == number(x))), "open").otherwise("object").alias("kind"), number(x).alias("k")))
+
+        return F.element_at(F.transform(F.array(found), kinds), 1)
+
+    def less(a: Column, b: Column) -> Column:
+        """Markers that a has more often than b."""
+        more = lambda x: F.size(F.filter(a, lambda y: y == x)) - F.size(F.filter(b, lambda y: y == x))
+        shown = lambda x: F.concat(F.lit("⟦"), F.when(x["kind"] == "close", "/").otherwise(""), x["k"].cast("string"), F.lit("⟧"))
+        return F.flatten(F.transform(F.array_sort(F.array_distinct(a)), lambda x: F.array_repeat(shown(x), F.greatest(more(x), F.lit(0)))))
+
+    def read(acc: Column, x: Column) -> Column:
+        top = F.get(acc["open"], F.lit(0))
+        opened = F.struct(F.concat(F.array(x["k"]), acc["open"]).alias("open"), acc["broken"].alias("broken"), acc["pair"].alias("pair"))
+        closed = F.struct(F.slice(acc["open"], 2, F.greatest(F.size(acc["open"]), F.lit(1))).alias("open"), acc["broken"].alias("broken"), acc["pair"].alias("pair"))
+        failed = F.struct(acc["open"].alias("open"), F.when(F.array_contains(acc["open"], x["k"]), "crossing").otherwise("unbalanced").alias("broken"), x["k"].alias("pair"))
+        return F.when(acc["broken"].isNotNull() | (x["kind"] == "object"), acc).when(x["kind"] == "open", opened).when(F.coalesce(top == x["k"], F.lit(False)), closed).otherwise(failed)
+
+    start = F.struct(F.array().cast("array<bigint>").alias("open"), F.lit(None).cast("string").alias("broken"), F.lit(None).cast("long").alias("pair"))
+    out = rows.withColumns({"_s": markers(F.col(source)), "_t": markers(F.col(target))})
+    out = out.withColumns({"missing": less(F.col("_s"), F.col("_t")), "extra": less(F.col("_t"), F.col("_s")), "_r": F.aggregate("_t", start, read)})
+    return out.withColumns({"broken": F.col("_r.broken"), "pair": F.col("_r.pair")}).drop("_s", "_t", "_r")
+
+
 def checks(source: Column, target: Column, low: float = 0.5, high: float = 2.0, min_chars: int = 20) -> dict[str, tuple[str, Column]]:
     """Per check its severity and the condition under which a pair has the issue; a missing target has EMPTY only."""
     s, g = F.coalesce(source, F.lit("")), F.coalesce(target, F.lit(""))

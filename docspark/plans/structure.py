@@ -166,13 +166,20 @@ def d13_tfidf_adjacent(spark, sf):
     return chunks.tfidf_adjacent(i.units(spark, sf), "doc_id", "seq").withColumn("cosine", F.round("cosine", 6))
 
 
-@query()
+ROWS = f"{U.replace('WITH ', 'WITH RECURSIVE ', 1)}, r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY seq) AS k FROM units)"
+
+
+@query(f"""{ROWS}, v AS (SELECT doc_id, k, seq, 1 AS block, length(text) // 4 + 1 AS used FROM r WHERE k = 1 UNION ALL
+  SELECT r.doc_id, r.k, r.seq, CASE WHEN used + length(text) // 4 + 1 > 300 THEN block + 1 ELSE block END, CASE WHEN used + length(text) // 4 + 1 > 300 THEN 0 ELSE used END + length(text) // 4 + 1 FROM v JOIN r ON r.doc_id = v.doc_id AND r.k = v.k + 1)
+SELECT doc_id, seq, block FROM v""")
 def d22_pack_blocks(spark, sf):
     rows = i.units(spark, sf).select("doc_id", "seq", t.estimate_tokens(F.col("text")).alias("cost"))
     return chunks.pack_blocks(rows, ["doc_id"], "seq", "cost", 300)
 
 
-@query()
+@query("""WITH RECURSIVE x AS (SELECT DISTINCT l_orderkey AS text_id, (l_partkey % 50)::INT AS s, (l_partkey % 50 + l_quantity)::INT AS e FROM lineitem), r AS (SELECT *, row_number() OVER (PARTITION BY text_id ORDER BY s, e DESC) AS k FROM x),
+v AS (SELECT text_id, k, s, e, e AS last, true AS taken FROM r WHERE k = 1 UNION ALL SELECT r.text_id, r.k, r.s, r.e, CASE WHEN r.s >= last THEN r.e ELSE last END, r.s >= last FROM v JOIN r ON r.text_id = v.text_id AND r.k = v.k + 1)
+SELECT text_id, s AS "start", e AS "end" FROM v WHERE taken""")
 def e22_non_overlapping(spark, sf):
     li = i.table(spark, sf, "lineitem")
     rows = li.select(F.col("l_orderkey").alias("text_id"), (F.col("l_partkey") % 50).cast("int").alias("start"), (F.col("l_partkey") % 50 + F.col("l_quantity")).cast("int").alias("end"))
@@ -220,3 +227,19 @@ def h13_modalities(spark, sf):
     said = F.array(*map(F.lit, ("must not be used", "should be kept", "shall be cleaned if needed", "can be opened", "will be sent", "can be found here, as required")))
     rows = i.table(spark, sf, "part").select(F.col("p_partkey").alias("unit_id"), F.concat(F.lit("The "), F.col("p_name"), F.lit(" "), F.element_at(said, (F.col("p_partkey") % 6 + 1).cast("int"))).alias("text"))
     return rows.select("unit_id", F.array_join(facts.modalities(F.col("text")), ",").alias("modality"))
+
+
+# Lines as torn paragraphs: some open a bracket that a later one closes, some end with a hyphen or begin with a mark.
+TORN = """t AS (SELECT doc_id, seq, k, CASE WHEN seq % 13 = 0 THEN '[Icon: x] ' ELSE '' END || CASE seq % 7 WHEN 0 THEN '(see ' WHEN 2 THEN 'there) ' ELSE '' END || trim(CASE WHEN seq % 3 = 0 THEN lower(text) ELSE text END) || CASE WHEN seq % 11 = 0 THEN '-' ELSE '' END AS p FROM r),
+q AS (SELECT *, length(p) - length(translate(p, '([{', '')) - length(p) + length(translate(p, ')]}', '')) AS br, starts_with(ltrim(p), '[Icon:') AS mark FROM t)"""
+
+
+@query(rf"""{ROWS}, {TORN}, v AS (SELECT doc_id, k, seq, p, 1 AS grp, br AS open, mark, p AS last FROM q WHERE k = 1 UNION ALL
+  SELECT doc_id, k, seq, p, CASE WHEN joins THEN grp ELSE grp + 1 END, CASE WHEN joins THEN open ELSE 0 END + br, CASE WHEN joins THEN smark ELSE mark END, p FROM (SELECT q.*, v.grp, v.open, v.mark AS smark,
+    v.last <> '' AND q.p <> '' AND (q.mark OR v.mark OR v.open > 0 OR right(v.last, 1) = '-' OR (right(v.last, 1) NOT IN ('.', '!', '?', ':') AND regexp_matches(q.p, '^[\p{{Ll}})\]}}»]'))) AS joins FROM v JOIN q ON q.doc_id = v.doc_id AND q.k = v.k + 1))
+SELECT doc_id, min(seq) AS first, count(*) AS n, md5(string_agg(p, ' ' ORDER BY seq)) AS digest FROM v GROUP BY doc_id, grp""")
+def e8_merge_paragraphs(spark, sf):
+    seq = F.col("seq")
+    p = F.concat(F.when(seq % 13 == 0, "[Icon: x] ").otherwise(""), F.when(seq % 7 == 0, "(see ").when(seq % 7 == 2, "there) ").otherwise(""), F.trim(F.when(seq % 3 == 0, F.lower("text")).otherwise(F.col("text"))), F.when(seq % 11 == 0, "-").otherwise(""))
+    rows = i.units(spark, sf).select("doc_id", "seq", p.alias("text"))
+    return chunks.merge_paragraphs(rows, ["doc_id"], "seq").select("doc_id", "first", "n", F.md5("text").alias("digest"))

@@ -179,3 +179,23 @@ def c21_hamming_match(spark, sf):
 
     e = i.table(spark, sf, "embeddings").select("vec_id", "label", matching.sign_hash(F.col("embedding"), 16).alias("h"))
     return matching.hamming_match(e.select("vec_id", "h"), e.groupBy("label").agg(F.min("h").alias("h")), "vec_id", "label", 5, 16)
+
+
+# Markers: sources with pairs nested three deep and an object; targets keep, lose, cross, repeat or unbalance them.
+TAGGED = ("⟦1⟧a⟦2⟧b⟦3⟧c⟦/3⟧⟦/2⟧d⟦/1⟧ ⟦4⟧", "⟦4⟧ ⟦1⟧a⟦2⟧b⟦3⟧c⟦/3⟧⟦/2⟧d⟦/1⟧", "⟦1⟧a⟦2⟧b⟦/1⟧c⟦/2⟧ ⟦3⟧⟦/3⟧⟦4⟧", "⟦1⟧a⟦/2⟧b⟦2⟧c⟦/1⟧⟦4⟧", "⟦4⟧⟦4⟧⟦1⟧⟦/1⟧", "none", "⟦1⟧⟦1⟧⟦/1⟧⟦/1⟧⟦10⟧", "⟦/1⟧x⟦1⟧")
+TAGS = f"""g AS (SELECT o_orderkey AS id, {"['" + "', '".join(TAGGED) + "']"}[1 + o_custkey % {len(TAGGED)}] AS s, CASE WHEN o_orderkey % 9 > 0 THEN {"['" + "', '".join(TAGGED) + "']"}[1 + o_orderkey % {len(TAGGED)}] END AS t FROM orders),
+m AS (SELECT id, side, k, starts_with(x, '⟦/') AS closes, regexp_extract(x, '[0-9]+')::BIGINT AS n FROM (SELECT id, side, unnest(regexp_extract_all(x, '⟦/?[0-9]+⟧')) AS x, generate_subscripts(regexp_extract_all(x, '⟦/?[0-9]+⟧'), 1) AS k FROM (SELECT id, 's' AS side, s AS x FROM g UNION ALL SELECT id, 't', coalesce(t, '') FROM g))),
+d AS (SELECT m.*, CASE WHEN closes THEN 'close' WHEN EXISTS (SELECT 1 FROM m c WHERE c.id = m.id AND c.side = m.side AND c.closes AND c.n = m.n) THEN 'open' ELSE 'object' END AS kind FROM m),
+b AS (SELECT id, kind, n, count(*) FILTER (side = 's') - count(*) FILTER (side = 't') AS more FROM d GROUP BY ALL),
+h AS (SELECT id, kind, n, more, '⟦' || CASE kind WHEN 'close' THEN '/' ELSE '' END || n || '⟧' AS shown FROM b WHERE more <> 0),
+w AS (SELECT id, coalesce(string_agg(repeat(shown, more::INT), '' ORDER BY kind, n) FILTER (more > 0), '') AS missing, coalesce(string_agg(repeat(shown, -more::INT), '' ORDER BY kind, n) FILTER (more < 0), '') AS extra FROM h GROUP BY id),
+v AS (SELECT id, 0::BIGINT AS k, []::BIGINT[] AS open, NULL::VARCHAR AS broken, NULL::BIGINT AS pair FROM g UNION ALL
+  SELECT v.id, d.k, CASE WHEN kind = 'open' THEN list_prepend(n, open) WHEN kind = 'close' AND open[1] = n THEN open[2:] ELSE open END, CASE WHEN kind = 'close' AND open[1] IS DISTINCT FROM n THEN CASE WHEN list_contains(open, n) THEN 'crossing' ELSE 'unbalanced' END END, CASE WHEN kind = 'close' AND open[1] IS DISTINCT FROM n THEN n END
+  FROM v JOIN d ON d.id = v.id AND d.side = 't' AND d.k = v.k + 1 WHERE broken IS NULL)"""
+
+
+@query(f"WITH RECURSIVE {TAGS} SELECT g.id, coalesce(missing, '') AS missing, coalesce(extra, '') AS extra, max(broken) AS broken, max(pair) AS pair FROM g LEFT JOIN w ON w.id = g.id LEFT JOIN v ON v.id = g.id GROUP BY g.id, missing, extra")
+def g7_tag_diff(spark, sf):
+    pick = lambda c: F.element_at(F.array(*map(F.lit, TAGGED)), (1 + c % len(TAGGED)).cast("int"))
+    rows = i.table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), pick(F.col("o_custkey")).alias("s"), F.when(F.col("o_orderkey") % 9 > 0, pick(F.col("o_orderkey"))).alias("t"))
+    return tr.tag_diff(rows, "s", "t").select("id", F.array_join("missing", "").alias("missing"), F.array_join("extra", "").alias("extra"), "broken", "pair")

@@ -5,8 +5,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from docspark.functions import fold
-from docspark.operators import assembly, glossary, layout, planning, terms
+from docspark.functions import fold, folds
+from docspark.operators import assembly, chunks, glossary, layout, planning, plans, terms, translation
 
 BOX = "page string, n long, x0 double, y0 double, x1 double, y1 double"
 
@@ -210,3 +210,34 @@ def test_terms_give_way_to_longer_ones(spark):
     words = spark.createDataFrame([(w,) for w in ("systems", "entries", "RPAS", "gas", "process", "basis", "status", "Bs", "ties")], "w string")
     assert [r.x for r in words.select(terms.singular(words.w).alias("x")).collect()] == ["system", "entry", "RPAS", "gas", "process", "basis", "status", "Bs", "ty"]
     assert {r.term for r in terms.find_terms(terms.phrase_counts(df), spark.createDataFrame([("form number",)], "term string")).collect()} == {"deviation report", "owning system"}
+
+
+def test_scan_gives_running_states(spark):
+    df = spark.createDataFrame([(1, list(range(1, 300))), (2, []), (3, [5])], "k long, x array<long>")
+    out = folds.scan(df.x, F.lit(0).cast("long"), lambda s, x: s + x, lambda s, x: s, "bigint", block=7)
+    got = {r.k: r.o for r in df.select("k", out.alias("o")).collect()}
+    assert got == {1: [n * (n + 1) // 2 for n in range(1, 300)], 2: [], 3: [5]}
+
+
+def test_torn_paragraphs(spark):
+    rows = [("a", ["Open (one", "two [three", "four] five", "six) end", "Next."]), ("b", ["One-", "Two", "three", "Four:", "five"]), ("c", ["[Icon: x]", "Text.", "More.", "  [Table: y]", ")"]), ("d", ["x", "", "y", None, "z"]), ("e", ["Ends.", "») closes", "É upper", "é lower"])]
+    df = spark.createDataFrame([(d, k, x) for d, xs in rows for k, x in enumerate(xs)], "doc string, seq long, text string")
+    got = {}
+    for r in chunks.merge_paragraphs(df, ["doc"], "seq").orderBy("doc", "first").collect():
+        got.setdefault(r.doc, []).append(r.text)
+    assert got == {"a": ["Open (one two [three four] five six) end", "Next."], "b": ["One- Two three", "Four:", "five"], "c": ["[Icon: x] Text. More.   [Table: y] )"], "d": ["x", "", "y", "", "z"], "e": ["Ends.", "») closes", "É upper é lower"]}
+
+
+def test_markers_of_translations(spark):
+    rows = [
+        ("⟦1⟧a⟦2⟧b⟦/2⟧⟦/1⟧⟦3⟧", "⟦1⟧a⟦2⟧b⟦/1⟧⟦/2⟧", "⟦3⟧", "", "crossing", 1), ("⟦1⟧a⟦/1⟧", "⟦/1⟧a⟦1⟧", "", "", "unbalanced", 1), ("⟦1⟧⟦1⟧", "⟦1⟧", "⟦1⟧", "", None, None), ("⟦1⟧a⟦/1⟧", "⟦1⟧", "⟦/1⟧⟦1⟧", "⟦1⟧", None, None),
+        (None, "⟦2⟧⟦10⟧⟦2⟧", "", "⟦2⟧⟦2⟧⟦10⟧", None, None), ("", None, "", "", None, None), ("⟦1⟧⟦2⟧⟦3⟧⟦/3⟧⟦/2⟧⟦/1⟧", "⟦1⟧⟦2⟧⟦3⟧⟦/3⟧⟦/2⟧⟦/1⟧", "", "", None, None),
+    ]
+    df = spark.createDataFrame([r[:2] for r in rows], "s string, t string")
+    assert [("".join(r.missing), "".join(r.extra), r.broken, r.pair) for r in translation.tag_diff(df, "s", "t").collect()] == [r[2:] for r in rows]
+
+
+def test_matrix_of_many_targets(spark):
+    s, t = spark.range(7).withColumnRenamed("id", "s"), spark.range(25).withColumnRenamed("id", "t")
+    for block in (1000, 4):
+        assert {tuple(r) for r in plans.score_matrix(s, t, F.col("s") * F.col("t"), block).select("s", "t", "score").collect()} == {(a, b, a * b) for a in range(7) for b in range(25)}
