@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import stored
+from .common import fresh, release, stored
 
 
 def n_words(text: Column) -> Column:
@@ -83,7 +83,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Null text or text without words: size 0, taken 0.  A null source is a source of its own, last in order.  Rows that repeat an id are
     documents of their own unless all of id, source and size agree; those share what is taken of them evenly (the first copy gets the odd word).  An empty table gives an
-    empty result; a mix of 0 words takes nothing.
+    empty result; a mix of 0 words takes nothing, and so does one whose targets sum to less than half a block (they are rounded to whole blocks).
     """
     out = _apportioned(docs, id_col, text_col, source_col, weights, share, most, block, shard_words, seed)
     out = out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
@@ -107,6 +107,7 @@ def _apportioned(docs: DataFrame, id_col: str, text_col: str, source_col: str, w
     placed = placed.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "size"), F.col("shards")).cast("int"))
     placed = placed.withColumn("stop", F.sum(F.col("size") * F.col("copies")).over(W.partitionBy("rank", "shard").orderBy(F.xxhash64(F.lit(seed + 1), "doc_id"), "doc_id", "size")))
     placed = stored(placed.withColumn("start", F.col("stop") - F.col("size") * F.col("copies")), "shards")
+    release(words, targets, by_source)
     shards = stored(placed.groupBy("rank", "shard", "source_quota").agg(F.max("stop").alias("shard_size")).where("shard_size > 0"), "shard-sizes")
     shards = sainte_lague(shards, ["rank"], "shard_size", "source_quota", ["shard"]).withColumn("blocks", F.ceil(F.col("shard_size") / block))
     shards = shards.withColumn("quota", F.least("quota", F.col("blocks") * int(most)))
@@ -136,12 +137,14 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     key = lambda i, source, size: F.struct(i.alias("i"), source.alias("s"), size.alias("n"))  # noqa: E731  nulls inside a struct are equal
     units = _apportioned(docs, id_col, text_col, source_col, weights, share, most, block, shard_words, seed).where("got > 0")
     # Both keys have fields of the same types, nulls included, so that rows are shuffled by them once.
-    units = units.select(key(F.col("doc_id"), F.col("source"), F.coalesce("size", F.lit(0).cast("long"))).alias("_unit"), F.col("size").alias("_size"), F.col("spans").alias("_spans"))
-    rows = docs.select(*[c for c in docs.columns if c.lower() not in new], key(F.col(id_col), F.col(source_col).cast("string"), n_words(F.col(text_col))).alias("_key"))
-    rows = rows.withColumn("_copy", F.row_number().over(W.partitionBy("_key").orderBy(F.xxhash64(F.col(text_col)))))
-    joined = rows.join(units.hint("merge"), F.col("_key") == F.col("_unit"))
-    from_, to = (F.col("_copy") - 1) * F.col("_size"), F.col("_copy") * F.col("_size")
-    own = F.transform("_spans", lambda x: F.struct((F.greatest(x["first"], from_) - from_).alias("first"), (F.least(x["end"], to) - from_).alias("end"), x["times"].alias("times")))
+    # Names of its own, as ``docs`` may have any.
+    row, copy, unit, size, blocks = (fresh(docs, x) for x in ("_row", "_copy", "_unit", "_size", "_blocks"))
+    units = units.select(key(F.col("doc_id"), F.col("source"), F.coalesce("size", F.lit(0).cast("long"))).alias(unit), F.col("size").alias(size), F.col("spans").alias(blocks))
+    rows = docs.select(*[c for c in docs.columns if c.lower() not in new], key(F.col(id_col), F.col(source_col).cast("string"), n_words(F.col(text_col))).alias(row))
+    rows = rows.withColumn(copy, F.row_number().over(W.partitionBy(row).orderBy(F.xxhash64(F.col(text_col)))))
+    joined = rows.join(units.hint("merge"), F.col(row) == F.col(unit))
+    from_, to = (F.col(copy) - 1) * F.col(size), F.col(copy) * F.col(size)
+    own = F.transform(blocks, lambda x: F.struct((F.greatest(x["first"], from_) - from_).alias("first"), (F.least(x["end"], to) - from_).alias("end"), x["times"].alias("times")))
     joined = joined.withColumn("spans", F.filter(own, lambda x: x["first"] < x["end"])).where(F.size("spans") > 0)
     taken = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, x: acc + (x["end"] - x["first"]) * x["times"])
     n_times = F.array_max(F.transform("spans", lambda x: x["times"]))

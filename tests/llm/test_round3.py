@@ -297,3 +297,48 @@ def test_held_out_documents_teach_nothing(spark, sf):
 def test_grams_stay_in_their_piece():
     g = phrases._Grams(pa.array(["One two, three", None, "four"]), 3)
     assert sorted(g.text(np.arange(len(g.hash))).to_pylist()) == ["four", "one", "one two", "three", "two"]
+
+
+def test_mix_query_against_brute_force(spark, sf):
+    """Seats one by one, blocks in the order of the same seeded hashes: every document's words, whole query."""
+    from tests.llm.test_texts import brute_seats, brute_targets
+
+    block, seed = 64, 7
+    rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "source", "text", F.xxhash64(F.lit(seed + 1), "doc_id").alias("place")).collect()
+    size = {r.doc_id: len(re.findall(r"[^\x20\x09-\x0D]+", r.text or "")) for r in rows}
+    assert len(size) == len(rows)
+    total = Counter()
+    for r in rows:
+        total[r.source] += size[r.doc_id]
+    target = brute_targets(total)
+    names = sorted(target, key=lambda s: (s is None, [ord(c) for c in s or ""]))
+    seats = brute_seats({k: target[s] for k, s in enumerate(names)}, int(sum(target.values()) / block + 0.5))
+    want = dict.fromkeys(size, 0)
+    for k, s in enumerate(names):
+        n = -(-total[s] // block)
+        quota = min(seats[k], 2 * n)
+        keys = spark.range(n).select(F.col("id"), F.xxhash64(F.lit(seed + 2), F.lit(k).cast("int"), F.lit(0).cast("int"), F.col("id")).alias("h")).orderBy("h", "id").collect()
+        times = {r.id: quota // n + (i < quota % n) for i, r in enumerate(keys)}
+        at = 0
+        for r in sorted((r for r in rows if r.source == s), key=lambda r: (r.place, r.doc_id)):
+            for b in range(at // block, (at + size[r.doc_id] - 1) // block + 1 if size[r.doc_id] else 0):
+                want[r.doc_id] += times[b] * (min(at + size[r.doc_id], (b + 1) * block) - max(at, b * block))
+            at += size[r.doc_id]
+    got = {r.doc_id: (r.size, r.source_size, r.target, r.taken) for r in queries.op3_mix_sources(spark, sf).collect()}
+    assert {k: v[3] for k, v in got.items()} == want
+    assert all(v[0] == size[k] for k, v in got.items())
+    for r in rows:
+        assert got[r.doc_id][1] == total[r.source] and abs(got[r.doc_id][2] - target[r.source]) < 1e-6
+
+
+def test_mixed_documents_keep_columns_of_any_name(spark):
+    from docspark.llm import mixing
+
+    docs = spark.createDataFrame([(k, "w " * 50, "a") for k in range(40)], "doc_id long, text string, source string")
+    extra = docs
+    for name in ("_row", "_copy", "_unit", "_size", "_blocks", "_key", "_spans", "size"):
+        extra = extra.withColumn(name, F.concat(F.lit(name), F.col("doc_id").cast("string")))
+    got = mixing.mixed_documents(extra, block=8)
+    plain = {(r.doc_id, r.taken, r.n_times) for r in mixing.mixed_documents(docs, block=8).collect()}
+    assert {(r.doc_id, r.taken, r.n_times) for r in got.collect()} == plain
+    assert all(r["_copy"] == f"_copy{r.doc_id}" and r["_key"] == f"_key{r.doc_id}" for r in got.collect())
