@@ -66,6 +66,21 @@ def g3_role_diff(spark, sf):
     return preservation.role_diff(units, claims, "unit")
 
 
+ACTOR_SQL = "regexp_extract(statement, '(Head of Quality Control|Quality Manager|Process Owners|QA Lead|Lab Manager|Manager)', 1)"
+
+
+@query(rf"""WITH {PROSE}, p AS (SELECT doc, unit, text, regexp_extract(text, 'keep (.*?)\. Use', 1) AS id, regexp_extract(text, 'lot ([0-9]+)', 1) AS lot, string_split(text, '. Use')[1] || '.' AS statement, 'Use' || string_split(text, '. Use')[2] AS use FROM prose),
+o AS (SELECT doc, unit, statement, {ACTOR_SQL} AS actor, regexp_extract(statement, ' (must not|must|should|shouldn''t|may|can only|is not permitted|needs to|could) ', 1) AS said FROM p)
+SELECT doc, unit, 'value' AS fact, 'reference' AS kind, id AS raw, upper(id) AS normalized FROM p WHERE regexp_matches(id, '[0-9]') UNION ALL SELECT doc, unit, 'value', 'number', lot, lot FROM p
+UNION ALL SELECT doc, unit, 'term', abbr, regexp_replace(trim(term), '^Use ', ''), regexp_replace(trim(term), '^Use ', '') FROM (SELECT doc, unit, unnest(regexp_extract_all(text, '((?:[A-Z][a-z]+ (?:of )?)+)\(([A-Z]+)\)', 1)) AS term, unnest(regexp_extract_all(text, '((?:[A-Z][a-z]+ (?:of )?)+)\(([A-Z]+)\)', 2)) AS abbr FROM prose)
+UNION ALL SELECT doc, unit, 'role', NULL, role, regexp_replace(lower(role), 's$', '') FROM (SELECT doc, unit, unnest(list_distinct({ROLES_SQL})) AS role FROM prose)
+UNION ALL SELECT doc, unit, 'role', NULL, short, CASE short WHEN 'HQ' THEN 'head of quality' ELSE 'change control board' END FROM (SELECT doc, unit, unnest(regexp_extract_all(text, '\((HQ|CCB)\)', 1)) AS short FROM prose)
+UNION ALL SELECT doc, unit, 'obligation', CASE WHEN said IN ('must not', 'is not permitted') THEN 'prohibition' WHEN said LIKE 'should%' THEN 'recommended' WHEN said IN ('must', 'can only', 'needs to') THEN 'mandatory' ELSE 'permitted' END, statement, nullif(actor, '') FROM o WHERE said <> ''
+UNION ALL SELECT doc, unit, 'obligation', 'mandatory', use, CASE WHEN contains(use, 'Change Control Board') THEN 'Change Control Board' WHEN contains(use, 'Head of Quality (HQ)') THEN 'Head of Quality' END FROM p""")
+def k2b_document_facts(spark, sf):
+    return preservation.extract_facts(prose(spark, sf), ["doc"], "unit")
+
+
 # Drafts: every eleventh unit isn't cited; some claims change the days, the duty, the actor or the quoted title.
 WHO, DOES, TITLES = ("The Quality Manager", "The Manager", "Process Owners", "A QA Lead"), ("must", "must not", "should", "may", "will"), ("Guide Alpha", "Guide Beta", "Code of Gamma")
 DRAFT = f"""{i.ELEMENTS}, u AS (SELECT doc_id * 1000 + seq AS unit_id, seq + 1 AS n FROM elements WHERE kind IN ('paragraph', 'list_item')),

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions import text as t
+from ..operators import duplicates as dups
 from ..operators import chunks
 from ..operators import reconcile as rc
 from . import inputs as i
@@ -203,3 +204,22 @@ b AS (SELECT u.doc_id, u.seq, length(text) AS n, coalesce(lag(cosine) OVER (PART
 s AS (SELECT *, sum(fresh::BIGINT) OVER (PARTITION BY doc_id ORDER BY seq)::BIGINT AS part FROM b) SELECT doc_id, part, min(seq) AS first, count(*) AS n_units, sum(n)::BIGINT AS n_chars FROM s GROUP BY 1, 2""")
 def e10_semantic_split(spark, sf):
     return chunks.semantic_split(i.units(spark, sf), "doc_id", "seq", 0.05)
+
+
+# Lines as rules: those that say nearly the same, in one language or from one source, are merged.
+RULE_SQL = r"""ru AS (SELECT doc_id * 100000 + seq AS id, text, lang AS category, source, length(text) % 5 AS severity FROM units),
+rw AS (SELECT *, list_sort(list_distinct(list_transform(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda w: w <> '' AND NOT list_contains({stop}, w)), lambda w: CASE WHEN length(w) > 3 AND ends_with(w, 's') THEN w[:-2] ELSE w END))) AS w FROM ru),
+cl AS (SELECT w, category, min(id) AS id, count(*) AS n, list(DISTINCT source) FILTER (source IS NOT NULL) AS sources, max(severity) AS severity FROM rw GROUP BY w, category, CASE WHEN len(w) = 0 THEN id END),
+df AS (SELECT x, count(*) AS n FROM (SELECT unnest(w) AS x FROM cl) GROUP BY x), tk AS (SELECT id, x, len(w) AS z, row_number() OVER (PARTITION BY id ORDER BY n, x) AS place FROM (SELECT id, w, unnest(w) AS x FROM cl) JOIN df USING (x)),
+px AS (SELECT * FROM tk WHERE place <= z - ceil(0.6 * z) + 1), cd AS (SELECT DISTINCT a.id AS a, b.id AS b FROM px a JOIN px b ON a.x = b.x AND a.id < b.id AND 100 * least(a.z, b.z) >= 60 * greatest(a.z, b.z)),
+cm AS (SELECT a, b, len(l.w) AS za, len(r.w) AS zb, len(list_intersect(l.w, r.w)) AS c FROM cd JOIN cl l ON l.id = a JOIN cl r ON r.id = b),
+pr AS (SELECT cm.a, cm.b FROM cm JOIN cl x ON x.id = cm.a JOIN cl y ON y.id = cm.b WHERE 100 * c >= 60 * (za + zb - c) AND (x.category IS NOT DISTINCT FROM y.category OR coalesce(list_has_any(x.sources, y.sources), false))),
+nb AS (SELECT b AS id, list(a ORDER BY a) AS before, row_number() OVER (ORDER BY b) AS k FROM pr GROUP BY b),
+fl AS (SELECT 0::BIGINT AS k, NULL::BIGINT AS id, NULL::BIGINT AS leader, []::BIGINT[] AS led UNION ALL
+  SELECT nb.k, nb.id, coalesce(list_filter(before, lambda x: NOT list_contains(led, x))[1], nb.id), CASE WHEN len(list_filter(before, lambda x: NOT list_contains(led, x))) > 0 THEN list_append(led, nb.id) ELSE led END FROM fl JOIN nb ON nb.k = fl.k + 1)""".format(stop="[" + ", ".join(f"'{w}'" for w in dups.RULE_STOP) + "]")
+
+
+@query(f"""WITH RECURSIVE {i.UNITS}, {RULE_SQL} SELECT coalesce(fl.leader, cl.id) AS id, sum(n)::BIGINT AS n, array_to_string(list_sort(list_distinct(flatten(list(coalesce(sources, []))))), ',') AS sources, max(severity) AS severity FROM cl LEFT JOIN fl ON fl.id = cl.id GROUP BY 1""")
+def c20_jaccard_dupes(spark, sf):
+    rules = i.units(spark, sf).select((F.col("doc_id") * 100000 + F.col("seq")).alias("id"), "text", F.col("lang").alias("category"), "source", (F.char_length("text") % 5).cast("long").alias("severity"))
+    return dups.merge_duplicates(rules).select("id", "n", F.array_join("sources", ",").alias("sources"), "severity")
