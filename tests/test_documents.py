@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docspark.functions import fold, folds
-from docspark.operators import assembly, chunks, glossary, layout, planning, plans, terms, translation
+from docspark.operators import assembly, chunks, duplicates, glossary, layout, planning, plans, terms, translation, validation
 
 BOX = "page string, n long, x0 double, y0 double, x1 double, y1 double"
 
@@ -241,3 +241,60 @@ def test_matrix_of_many_targets(spark):
     s, t = spark.range(7).withColumnRenamed("id", "s"), spark.range(25).withColumnRenamed("id", "t")
     for block in (1000, 4):
         assert {tuple(r) for r in plans.score_matrix(s, t, F.col("s") * F.col("t"), block).select("s", "t", "score").collect()} == {(a, b, a * b) for a in range(7) for b in range(25)}
+
+
+def test_near_duplicate_rules_against_brute_force(spark):
+    rng = random.Random(8)
+    words = "approve record batch label review archive deviation sample store form sign copy".split()
+    rows = [(k, " ".join(rng.sample(words, rng.randrange(1, 7))), rng.choice(["a", "b", None]), rng.choice(["s", "t", None]), rng.randrange(5)) for k in range(250)]
+    rows += [(900, None, "a", "s", 1), (901, "", "a", "s", 2), (902, "the use of it", "a", "s", 2), (903, "Records, RECORDS!", "a", "q", 4), (904, "record", "a", "r", 0)]
+    df = spark.createDataFrame(rows, "id long, text string, category string, source string, severity long").withColumn("k", F.lit(1)).withColumn("w", F.lit("x"))
+
+    def own(text):
+        found = {w for w in "".join(c if c.isascii() and c.isalnum() else " " for c in (text or "").lower()).split()} - set(duplicates.RULE_STOP)
+        return frozenset(w[:-1] if len(w) > 3 and w.endswith("s") else w for w in found)
+
+    classes = {}
+    for k, text, cat, src, sev in rows:
+        c = classes.setdefault((own(text), cat) if own(text) else k, [k, own(text), cat, set(), 0, 0])
+        c[3] |= {src} - {None}
+        c[4], c[5] = c[4] + 1, max(c[5], sev)
+    kept = []
+    for k, w, cat, src, n, sev in sorted(classes.values(), key=lambda c: c[0]):
+        for rule in kept:
+            if w and rule[1] and 100 * len(w & rule[1]) >= 60 * len(w | rule[1]) and (cat == rule[2] or src & rule[3]):
+                rule[4] += n
+                rule[5] = max(rule[5], sev)
+                rule[6] |= src
+                break
+        else:
+            kept.append([k, w, cat, src, n, sev, set(src)])
+    got = {(r.id, r.n, tuple(r.sources), r.severity) for r in duplicates.merge_duplicates(df).collect()}
+    assert got == {(k, n, tuple(sorted(all_)), sev) for k, _, _, _, n, sev, all_ in kept}
+    assert duplicates.merge_duplicates(df.where("false")).count() == 0
+
+
+def test_slot_plans(spark):
+    scope = spark.createDataFrame([("d", "s", "u1", 1), ("d", "s", "u2", 2), ("d", "s", "u3", 3), ("d", "s", "u4", 4), ("d", "t", "u9", 9)], "doc string, section string, unit string, seq long")
+    slots = spark.createDataFrame([("d", "s", "a", True, None), ("d", "s", "b", True, "g"), ("d", "s", "c", True, "g"), ("d", "s", "e", True, None), ("d", "s", "f", False, None), ("d", "s", "h", True, None), ("d", "t", "z", True, None), ("d", "n", "y", True, None)], "doc string, section string, slot string, required boolean, grp string")
+    mappings = spark.createDataFrame([("d", "s", "a", "mapped", False), ("d", "s", "b", "mapped", True), ("d", "s", "c", "not_applicable", False), ("d", "s", "e", "not_applicable", False), ("d", "s", "f", "source_content_not_found", None), ("d", "n", "y", "not_applicable", False)], "doc string, section string, slot string, status string, review boolean")
+    placed = spark.createDataFrame([("d", "s", "a", "u2", 1), ("d", "s", "a", "u1", 2), ("d", "s", "b", "u9", 1), ("d", "s", None, "u3", 1)], "doc string, section string, slot string, unit string, pos long")
+    none = spark.createDataFrame([], "doc string, section string, unit string")
+    issues, coverage = validation.validate_slot_plan(scope, slots, mappings, placed, none)
+    assert {(r.section, r.slot, r.issue, r.severity, tuple(r.units)) for r in issues.collect()} == {
+        ("t", None, "no_plan", "high", ()), ("s", None, "unaccounted", "critical", ("u4",)), ("s", None, "outside", "high", ("u9",)), ("s", "a", "order", "high", ()), ("s", "b", "review", "medium", ()),
+        ("s", "e", "required", "high", ()), ("s", "f", "gap", "medium", ()), ("s", "h", "no_mapping", "high", ()),
+    }
+    assert [tuple(r) for r in coverage.collect()] == [("d", 5, 3, 0.6)]
+
+
+def test_reports_carry_resolutions_and_raise_risks(spark):
+    issues = spark.createDataFrame([("d", "1", "medium", None, False, ["u"]), ("d", "2", "medium", None, True, ["u"]), ("d", "3", "low", None, False, ["u"]), ("d", "4", "critical", "g", False, ["x"]), ("d", "4", "low", "g", False, ["x"]), ("d", "5", "high", "g", False, []), ("d", "6", "critical", None, None, ["u", "v"])], "doc string, issue_id string, severity string, gate string, critic boolean, units array<string>")
+    risks = spark.createDataFrame([("d", "u", "safety"), ("d", "v", "approval"), ("d", "u", "safety")], "doc string, unit string, tag string")
+    previous = spark.createDataFrame([("d", "5", True, "fine"), ("d", "3", False, None)], "doc string, issue_id string, resolved boolean, note string")
+    shown, gates = validation.quality_report(issues, risks, previous)
+    assert [(r.issue_id, r.severity, r.gate, r.resolved, r.note, r.risk) for r in shown.orderBy("n").collect()] == [
+        ("4", "critical", "g", False, None, None), ("6", "critical", "high_risk_unresolved", False, None, "approval, safety"), ("1", "high", "high_risk_unresolved", False, None, "safety"),
+        ("2", "medium", None, False, None, None), ("3", "low", None, False, None, None), ("5", "high", "g", True, "fine", None),
+    ]
+    assert {tuple(r) for r in gates.collect()} == {("d", "g", 1), ("d", "high_risk_unresolved", 2), ("d", "all", 3)}
