@@ -16,6 +16,11 @@ MIN_TARGET_SCORE, LOW_CONFIDENCE, CHECK_SPLIT, AUTO_SPLIT, STRONG_NAME = 0.30, 0
 CONTENTS = r"(?i)^\s*(?:table\s+of\s+)?contents?\s*$"
 
 
+def _confidence(margin: Column) -> Column:
+    """A margin (of scores with three decimals) and .3, at most 1, rounded half up to two decimals; reckoned in thousandths, as .335 is no number of a computer's."""
+    return F.least(F.lit(1.0), F.floor((F.round(margin * 1000) + 305) / 10) / 100)
+
+
 def levels(sections: DataFrame, doc: Sequence[str], section: str, parent: str) -> DataFrame:
     """Sections with ``root`` and ``path`` (the sections from the root to this one): one join per level of the deepest tree.
 
@@ -114,7 +119,7 @@ def propose_sections(sections: DataFrame, scores: DataFrame, doc: Sequence[str]
         .when((F.col("ord") < F.col("_first")) & skip_preamble, say("omit", "front matter", 1.0))
         .when(~good, say("unresolved", "no match", 0.0, doubt=F.lit("no confident match")))
         .when(F.col("all_boilerplate") & (b["name"] < STRONG_NAME), say("omit", "administrative", 0.9))
-        .otherwise(say("mapped", "best match", F.round(F.least(F.lit(1.0), b["margin"] + 0.3), 2), b["target"], close))
+        .otherwise(say("mapped", "best match", _confidence(b["margin"]), b["target"], close))
     )
     none_moved = F.lit(None).cast(scores.schema["target"].dataType)
     start = roots.withColumn("_first", first).select(*key, "parent", decision.alias("d"), F.lit(False).alias("inherited"), none_moved.alias("moved_from"))
@@ -130,7 +135,7 @@ def propose_sections(sections: DataFrame, scores: DataFrame, doc: Sequence[str]
         doubts = other & (gap >= CHECK_SPLIT)
         new = (
             F.when(F.col("toc"), say("omit", "contents", 1.0))
-            .when(moves, say("mapped", "content belongs elsewhere", F.round(F.least(F.lit(1.0), gap + 0.3), 2), alt["target"]))
+            .when(moves, say("mapped", "content belongs elsewhere", _confidence(gap), alt["target"]))
             .when(doubts, F.struct(d["target"].alias("target"), d["kind"].alias("kind"), F.lit("inherited").alias("reason"), F.least(d["confidence"], F.lit(0.5)).alias("confidence"), F.concat(F.lit("content suggests "), alt["target"].cast("string")).alias("doubt")))
             .otherwise(F.struct(d["target"].alias("target"), d["kind"].alias("kind"), F.lit("inherited").alias("reason"), d["confidence"].alias("confidence"), F.lit(None).cast("string").alias("doubt")))
         )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as t
 from . import glossary
+from .loops import stored
 
 
 # Words that no term holds.
@@ -50,9 +51,9 @@ def phrase_counts(units: DataFrame, min_texts: int = 3, covered: float = 0.75, m
     """Terms of 2 to ``most`` words in ``min_texts`` distinct texts or more: term, size, n_texts.
 
     A term goes if a longer one, itself frequent, contains it and is in ``covered`` of its texts or more.  Both are found by joins on the contained phrase and the text, whose rows are the
-    frequent phrases of each text with at most five contained ones; nothing is paired but a phrase and its parts.
+    frequent phrases of each text with at most five contained ones; nothing is paired but a phrase and its parts.  The phrases of all texts are written to the shared folder once.
     """
-    grams = phrase_grams(units, most, text)
+    grams = stored(phrase_grams(units, most, text), "grams")
     counts = grams.groupBy("term", "size").agg(F.count("*").alias("n_texts")).where(F.col("n_texts") >= min_texts)
     frequent = grams.join(counts.select("term"), "term", "left_semi")
     words = F.split("term", " ")

@@ -11,6 +11,7 @@ from ..operators import chunks
 from ..operators import labelling as lb
 from ..operators import plans as ops
 from ..operators import structure, terms
+from ..operators.loops import stored
 from . import inputs as i
 from .quality import MAP, mapping
 from .registry import query
@@ -148,7 +149,7 @@ def e28_heal_shifted_icons(spark, sf):
 @query(f"""{GRAMS}, known AS (SELECT lower(n_name) AS term FROM nation UNION SELECT term FROM df WHERE n_texts % 5 = 0), top AS (SELECT * FROM df WHERE NOT EXISTS (SELECT 1 FROM known WHERE contains(' ' || df.term || ' ', ' ' || known.term || ' ') OR contains(' ' || df.term || ' ', ' ' || known.term || 's ')))
 SELECT term, size, n_texts FROM top ORDER BY n_texts DESC, size DESC, term LIMIT 80""")
 def k17_find_terms(spark, sf):
-    df = terms.phrase_counts(i.units(spark, sf))
+    df = stored(terms.phrase_counts(i.units(spark, sf)), "terms")
     known = i.table(spark, sf, "nation").select(F.lower("n_name").alias("term")).union(df.where("n_texts % 5 = 0").select("term"))
     return terms.find_terms(df, known).orderBy(F.desc("n_texts"), F.desc("size"), "term").limit(80)
 

@@ -40,11 +40,11 @@ alt AS (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY doc, section OR
 r AS (SELECT s.*, best.target, best.score, margin, second, top_name, min(ord) FILTER (number <> '0' AND regexp_matches(number, '^[0-9]+(\\.|$)')) OVER (PARTITION BY s.doc) AS first FROM s LEFT JOIN best USING (doc, section) WHERE parent IS NULL),
 k AS (SELECT *, CASE WHEN heading LIKE 'Table%' THEN 'contents' WHEN number = '0' THEN 'cover' WHEN ord < first THEN 'front matter' WHEN score IS NULL OR score < 0.3 THEN 'no match' WHEN all_boilerplate AND top_name < 0.8 THEN 'administrative' ELSE 'best match' END AS reason FROM r),
 d AS (SELECT doc, section, parent, CASE WHEN reason = 'best match' THEN target END AS target, CASE reason WHEN 'best match' THEN 'mapped' WHEN 'no match' THEN 'unresolved' ELSE 'omit' END AS kind, reason,
-    CASE reason WHEN 'best match' THEN round(least(1, margin + 0.3), 2) WHEN 'no match' THEN 0 WHEN 'administrative' THEN 0.9 ELSE 1 END::DOUBLE AS confidence,
+    CASE reason WHEN 'best match' THEN least(1, floor((round(margin * 1000) + 305) / 10) / 100) WHEN 'no match' THEN 0 WHEN 'administrative' THEN 0.9 ELSE 1 END::DOUBLE AS confidence,
     CASE WHEN reason = 'no match' THEN 'no confident match' WHEN reason = 'best match' AND round(margin, 3) < 0.25 THEN 'close call: ' || target || ' vs ' || second END AS doubt, false AS inherited, NULL::BIGINT AS moved_from FROM k
   UNION ALL
   SELECT doc, section, parent, CASE WHEN toc THEN NULL WHEN moves THEN alt_target ELSE target END, CASE WHEN toc THEN 'omit' WHEN moves THEN 'mapped' ELSE kind END, CASE WHEN toc THEN 'contents' WHEN moves THEN 'content belongs elsewhere' ELSE 'inherited' END,
-    CASE WHEN toc THEN 1 WHEN moves THEN round(least(1, gap + 0.3), 2) WHEN other AND gap >= 0.3 THEN least(confidence, 0.5) ELSE confidence END::DOUBLE, CASE WHEN NOT toc AND NOT moves AND other AND gap >= 0.3 THEN 'content suggests ' || alt_target END, NOT toc AND NOT moves, CASE WHEN NOT toc AND moves THEN target END
+    CASE WHEN toc THEN 1 WHEN moves THEN least(1, floor((round(gap * 1000) + 305) / 10) / 100) WHEN other AND gap >= 0.3 THEN least(confidence, 0.5) ELSE confidence END::DOUBLE, CASE WHEN NOT toc AND NOT moves AND other AND gap >= 0.3 THEN 'content suggests ' || alt_target END, NOT toc AND NOT moves, CASE WHEN NOT toc AND moves THEN target END
   FROM (SELECT *, other AND gap >= 0.45 AND n_units >= 3 AS moves FROM (SELECT s.doc, s.section, s.parent, s.n_units, s.heading LIKE 'Table%' AS toc, d.target, d.kind, d.confidence, a.target AS alt_target, round(a.content - coalesce(h.content, 0), 3) AS gap,
     coalesce(d.kind = 'mapped' AND s.n_units >= 2 AND a.content > 0 AND a.target <> d.target, false) AS other FROM d JOIN s ON s.doc = d.doc AND s.parent = d.section LEFT JOIN alt a ON a.section = s.section LEFT JOIN sc h ON h.section = s.section AND h.target = d.target)))"""
 
