@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from .loops import stored
+
 SEVERITIES = ("info", "low", "medium", "high", "critical")
 
 
@@ -25,46 +27,61 @@ def validate_slot_plan(scope: DataFrame, slots: DataFrame, mappings: DataFrame,
     Sections: ``no_plan`` if nothing is mapped, placed or set aside (nothing else is said of it then); ``unaccounted`` units in scope that are nowhere; ``outside`` ones placed though another section has them; ``unplaced`` ones set aside.
     Slots: ``no_mapping``; with units ``order`` if they aren't in source order and ``review`` if the mapping asks for it; without units ``gap`` if no source was found, else ``required`` if the
     slot is required, its section has a scope and no other slot of its group is filled or a gap.  Unit lists are in source order.
+
+    What is said of a unit (in scope, placed, set aside) is gathered once, with the unit's first place in its document, and written to the shared folder, as is what follows for sections; issues are read off
+    the rows.  Tables meet by sorting, never through the driver: compressed files look small enough to be sent to all tasks when they aren't.
     """
     doc = list(doc)
     sec, key = [*doc, "section"], [*doc, "section", "slot"]
-    sections = slots.select(*sec).distinct()
-    touched = mappings.select(*sec).union(placed.select(*sec)).union(unplaced.select(*sec)).distinct()
-    known = sections.join(touched, sec, "left_semi")
+    slot_type = slots.schema["slot"].dataType
+    no_slot, no_pos = F.lit(None).cast(slot_type).alias("slot"), F.lit(None).cast(placed.schema["pos"].dataType).alias("pos")
+    no_seq = F.lit(None).cast(scope.schema["seq"].dataType).alias("seq")
+    said = scope.select(*sec, "unit", F.lit("scope").alias("_as"), "seq", no_slot, no_pos).unionByName(placed.select(*sec, "unit", F.lit("placed").alias("_as"), no_seq, F.col("slot").cast(slot_type).alias("slot"), "pos"))
+    said = said.unionByName(unplaced.select(*sec, "unit", F.lit("aside").alias("_as"), no_seq, no_slot, no_pos))
+    first = F.when(F.col("unit").isNotNull(), F.min("seq").over(W.partitionBy(*doc, "unit")))
+    said = stored(said.withColumn("seq", F.coalesce(first, F.lit(0))), "slot-units")
+    # A null unit is never the same as another one.
+    same, is_ = F.col("unit").isNotNull(), lambda how: F.max(F.col("_as") == how)
+    units = said.groupBy(*sec, "unit").agg(F.min("seq").alias("s"), is_("scope").alias("_scope"), is_("placed").alias("_placed"), is_("aside").alias("_aside"))
+    units = units.withColumn("_u", F.struct("s", F.col("unit").cast("string").alias("u"))).withColumn("_found", same & (F.col("_placed") | F.col("_aside")))
+    listed = lambda rows: F.transform(F.array_sort(F.collect_set(F.when(rows, F.col("_u")))), lambda x: x["u"])
+    by_section = units.groupBy(*sec).agg(
+        F.max("_scope").alias("_scoped"), F.max(F.col("_placed") | F.col("_aside")).alias("_touched"), listed(F.col("_scope") & ~F.col("_found")).alias("_lost"),
+        listed(F.col("_placed") & ~(same & F.col("_scope"))).alias("_outside"), listed(F.col("_aside")).alias("_left"),
+    )
+    planned = mappings.select(*sec).distinct().withColumn("_planned", F.lit(True))
+    sections = slots.select(*sec).distinct().join(by_section.hint("merge"), sec, "left").join(planned.hint("merge"), sec, "left")
+    sections = stored(sections.withColumn("_known", F.coalesce("_planned", F.lit(False)) | F.coalesce("_touched", F.lit(False))).drop("_planned", "_touched"), "slot-sections")
+
     none, no_units = F.lit(None).cast("string"), F.array().cast("array<string>")
-    say = lambda df, issue, severity, gate, units=no_units, slot=None: df.select(*sec, (F.lit(None).cast(slots.schema["slot"].dataType) if slot is None else F.col(slot)).alias("slot"), F.lit(issue).alias("issue"), F.lit(severity).alias("severity"), (F.lit(gate) if gate else none).alias("gate"), units.alias("units"))
-    seq = scope.select(*doc, "unit", "seq").groupBy(*doc, "unit").agg(F.min("seq").alias("seq"))
-    listed = lambda df: df.join(seq, [*doc, "unit"], "left").groupBy(*sec).agg(F.transform(F.array_sort(F.collect_set(F.struct(F.coalesce("seq", F.lit(0)).alias("s"), F.col("unit").cast("string").alias("u")))), lambda x: x["u"]).alias("units"))
-    mine = scope.select(*sec, "unit").distinct().join(known, sec, "left_semi")
-    used = placed.select(*sec, "unit").distinct()
-    accounted = used.union(unplaced.select(*sec, "unit")).distinct()
-    out = [
-        say(sections.join(touched, sec, "left_anti"), "no_plan", "high", "missing_slot"),
-        say(listed(mine.join(accounted, [*sec, "unit"], "left_anti")), "unaccounted", "critical", "unaccounted_source", F.col("units")),
-        say(listed(used.join(known, sec, "left_semi").join(mine, [*sec, "unit"], "left_anti")), "outside", "high", "unaccounted_source", F.col("units")),
-        say(listed(unplaced.join(known, sec, "left_semi").select(*sec, "unit").distinct()), "unplaced", "medium", None, F.col("units")),
-    ]
-    filled = placed.where("slot is not null").join(seq, [*doc, "unit"], "left").withColumn("_before", F.lag(F.coalesce("seq", F.lit(0))).over(W.partitionBy(*key).orderBy("pos", "unit")))
-    filled = filled.groupBy(*key).agg(F.bool_or(F.coalesce("seq", F.lit(0)) < F.col("_before")).alias("disordered"), F.lit(True).alias("filled"))
-    state = slots.join(known, sec, "left_semi").join(mappings.withColumn("_mapped", F.lit(True)), key, "left").join(filled, key, "left").na.fill(False, ["filled", "disordered", "_mapped", "review"])
+
+    def say(when: Column, issue: str, severity: str, gate: str | None, units: Column = no_units) -> Column:
+        return F.when(when, F.struct(F.lit(issue).alias("issue"), F.lit(severity).alias("severity"), (F.lit(gate) if gate else none).alias("gate"), units.alias("units")))
+
+    def rows(df: DataFrame, slot: Column, *issues: Column) -> DataFrame:
+        return df.select(*sec, slot.alias("slot"), F.explode(F.array_compact(F.array(*issues))).alias("_i")).select(*key, "_i.*")
+
+    some = lambda c: F.col("_known") & (F.size(c) > 0)
+    about_sections = rows(
+        sections, no_slot, say(~F.col("_known"), "no_plan", "high", "missing_slot"), say(some("_lost"), "unaccounted", "critical", "unaccounted_source", F.col("_lost")),
+        say(some("_outside"), "outside", "high", "unaccounted_source", F.col("_outside")), say(some("_left"), "unplaced", "medium", None, F.col("_left")),
+    )
+    filled = said.where("_as = 'placed' and slot is not null").withColumn("_before", F.lag("seq").over(W.partitionBy(*key).orderBy("pos", "unit")))
+    filled = filled.groupBy(*key).agg(F.bool_or(F.col("seq") < F.col("_before")).alias("disordered"), F.lit(True).alias("filled"))
+    known = sections.where("_known").select(*sec, F.coalesce("_scoped", F.lit(False)).alias("_scoped"))
+    state = slots.join(known.hint("merge"), sec).join(mappings.withColumn("_mapped", F.lit(True)).hint("merge"), key, "left").join(filled.hint("merge"), key, "left").na.fill(False, ["filled", "disordered", "_mapped", "review"])
     gap = F.coalesce(F.col("status") == "source_content_not_found", F.lit(False))
     serves = F.col("_mapped") & (F.col("filled") | gap)
     state = state.withColumn("_gap", gap).withColumn("_others", F.sum(serves.cast("int")).over(W.partitionBy(*sec, "grp")) - serves.cast("int"))
-    scoped = scope.select(*sec).distinct().withColumn("_scoped", F.lit(True))
-    state = state.join(scoped, sec, "left")
-    empty = F.col("_mapped") & ~F.col("filled")
+    empty, full = F.col("_mapped") & ~F.col("filled"), F.col("_mapped") & F.col("filled")
     bare = empty & ~F.col("_gap") & F.col("required") & F.col("_scoped") & (F.col("grp").isNull() | (F.col("_others") == 0))
-    full = F.col("_mapped") & F.col("filled")
-    out += [
-        say(state.where(~F.col("_mapped")), "no_mapping", "high", "missing_slot", slot="slot"), say(state.where(full & F.col("disordered")), "order", "high", "sequence_violation", slot="slot"),
-        say(state.where(full & (F.col("review") | (F.col("status") == "needs_review"))), "review", "medium", None, slot="slot"), say(state.where(empty & F.col("_gap")), "gap", "medium", None, slot="slot"), say(state.where(bare), "required", "high", "missing_slot", slot="slot"),
-    ]
-    issues = out[0]
-    for more in out[1:]:
-        issues = issues.unionByName(more)
-    hit = scope.select(*sec, "unit").distinct().join(accounted.withColumn("_hit", F.lit(1)), [*sec, "unit"], "left").groupBy(*doc, "unit").agg(F.max("_hit").alias("_hit"))
-    coverage = hit.groupBy(*doc).agg(F.count("*").alias("n_units"), F.count("_hit").alias("n_accounted")).withColumn("coverage", F.round(F.col("n_accounted") / F.col("n_units"), 3))
-    return issues, coverage
+    about_slots = rows(
+        state, F.col("slot"), say(~F.col("_mapped"), "no_mapping", "high", "missing_slot"), say(full & F.col("disordered"), "order", "high", "sequence_violation"),
+        say(full & (F.col("review") | (F.col("status") == "needs_review")), "review", "medium", None), say(empty & F.col("_gap"), "gap", "medium", None), say(bare, "required", "high", "missing_slot"),
+    )
+    hit = units.where("_scope").groupBy(*doc, "unit").agg(F.max("_found").alias("_hit"))
+    coverage = hit.groupBy(*doc).agg(F.count("*").alias("n_units"), F.count_if("_hit").alias("n_accounted")).withColumn("coverage", F.round(F.col("n_accounted") / F.col("n_units"), 3))
+    return about_sections.unionByName(about_slots), coverage
 
 
 def quality_report(issues: DataFrame, risks: DataFrame, previous: DataFrame, doc: Sequence[str] = ("doc",)) -> tuple[DataFrame, DataFrame]:
@@ -73,16 +90,17 @@ def quality_report(issues: DataFrame, risks: DataFrame, previous: DataFrame, doc
     issues: doc, issue_id, severity, gate, critic (whether a model's opinion), units (array of text), in any number of copies, of which the most severe counts; risks: doc, unit, tag; previous: doc, issue_id, resolved, note.
     An open issue without a gate on a unit with a risk gets the gate ``high_risk_unresolved`` and is high at least, if it is medium at least (high, if a critic's).  Issues are numbered in the order they are shown:
     open before resolved, with a gate before without, then by severity and id.  gates: doc, gate, n_open, and per document also gate ``all``, for a document without open ones 0.
+    Joins sort (see ``validate_slot_plan``); the merged issues are written to the shared folder, as three steps read them.
     """
     doc = list(doc)
     key = [*doc, "issue_id"]
     first = F.max_by(F.struct("severity", "gate", "critic", "units"), F.struct(rank(F.col("severity")).alias("r"), F.coalesce("gate", F.lit("")).alias("g")))
-    rows = issues.groupBy(*key).agg(first.alias("x")).select(*key, "x.*")
+    rows = stored(issues.groupBy(*key).agg(first.alias("x")).select(*key, "x.*"), "report-issues")
     settled = previous.where("resolved").groupBy(*key).agg(F.min("note").alias("note"), F.lit(True).alias("resolved"))
-    rows = rows.join(settled, key, "left").na.fill(False, ["resolved"])
+    rows = rows.join(settled.hint("merge"), key, "left").na.fill(False, ["resolved"])
     tags = risks.select(*doc, F.col("unit").cast("string").alias("_u"), "tag")
-    risky = rows.select(*key, F.explode("units").alias("_u")).join(tags, [*doc, "_u"]).groupBy(*key).agg(F.array_join(F.array_sort(F.collect_set("tag")), ", ").alias("risk"))
-    rows = rows.join(risky, key, "left")
+    risky = rows.select(*key, F.explode("units").alias("_u")).join(tags.hint("merge"), [*doc, "_u"]).groupBy(*key).agg(F.array_join(F.array_sort(F.collect_set("tag")), ", ").alias("risk"))
+    rows = rows.join(risky.hint("merge"), key, "left")
     floor = F.when(F.coalesce("critic", F.lit(False)), 3).otherwise(2)
     raised = F.col("gate").isNull() & ~F.col("resolved") & F.col("risk").isNotNull() & (rank(F.col("severity")) >= floor)
     rows = rows.withColumn("_raised", raised)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import validation
+from ..operators.loops import stored
 from . import inputs as i
 from .registry import query
 
@@ -19,7 +20,8 @@ mappings AS (SELECT doc, section, slot, CASE (section + slot) % 7 WHEN 0 THEN 's
 def slot_plan(spark, sf):
     """(scope, slots, mappings, placed, unplaced)."""
     orders = i.table(spark, sf, "orders").select(F.col("o_custkey").alias("doc"), F.col("o_orderkey").alias("section"))
-    li = i.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("section"), F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey").alias("unit"), F.col("l_linenumber").alias("seq"), (F.col("l_suppkey") * 7 % 9).alias("k"), F.col("l_partkey").alias("pos")).join(orders, "section").distinct()
+    li = i.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("section"), F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey").alias("unit"), F.col("l_linenumber").alias("seq"), (F.col("l_suppkey") * 7 % 9).alias("k"), F.col("l_partkey").alias("pos")).join(orders.hint("merge"), "section").distinct()
+    li = stored(li, "slot-items")
     here = F.col("section") % 11 > 0
     placed = li.where((F.col("k") < 6) & here).groupBy("doc", "section", F.when(F.col("k") < 5, F.col("k")).alias("slot"), "unit").agg(F.min("pos").alias("pos"))
     moved = li.where("k = 8").groupBy("doc", (F.col("section") + 1).alias("section"), F.lit(0).cast("long").alias("slot"), "unit").agg(F.min("pos").alias("pos"))
@@ -67,6 +69,7 @@ def _report(spark, sf):
     scope, slots, mappings, placed, unplaced = slot_plan(spark, sf)
     issues = validation.validate_slot_plan(scope, slots, mappings, placed, unplaced)[0]
     rows = issues.select("doc", F.concat(F.col("section").cast("string"), F.lit("|"), F.coalesce(F.col("slot").cast("string"), F.lit("")), F.lit("|"), "issue").alias("issue_id"), "severity", "gate", (F.col("section") % 3 == 0).alias("critic"), "units")
+    rows = stored(rows, "slot-issues")
     previous = rows.select("doc", "issue_id", (F.char_length("issue_id") % 4 == 0).alias("resolved"), F.concat(F.lit("seen "), "issue_id").alias("note"))
     part = F.split_part("unit", F.lit("-"), F.lit(3)).cast("long")
     risks = scope.where(part % 5 < 2).select("doc", "unit", F.when(part % 2 == 0, "safety").otherwise("approval").alias("tag")).distinct()
