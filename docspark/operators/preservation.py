@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,18 +13,47 @@ from . import reconcile
 from .loops import stored
 
 
+def per_text(units: DataFrame, read: Callable[[DataFrame], DataFrame], keys: Sequence[str] = ("text",)) -> DataFrame:
+    """``units`` joined with what ``read`` makes of their distinct texts (any number of rows each, with the columns ``keys``), so that a text which recurs is read once.
+
+    What was read is written to the shared folder: its size is known then, and while it is small, units stay where they are.
+    """
+    return units.join(stored(read(units.select(*keys).distinct()), "texts"), list(keys))
+
+
 def obligations(units: DataFrame, unit: str, text: str = "text", known: Column | None = None) -> DataFrame:
     """A row per sentence and modality: unit, pos (of the sentence, from 0), statement, modality, actor (the sentence's first role; null without one).  Sentences that bind nobody have no row."""
-    rows = units.select(unit, F.posexplode_outer(t.sentences(F.col(text))).alias("pos", "statement"), *([] if known is None else [known.alias("_known")])).where("statement is not null")
-    rows = rows.select("*", F.explode_outer(facts.modalities(F.col("statement"))).alias("modality")).where("modality is not null")
-    found = facts.roles(F.col("statement"), None if known is None else F.col("_known"))
-    return rows.select(unit, "pos", "statement", "modality", F.get(found, F.lit(0)).alias("actor"))
+    keys = ["text"] if known is None else ["text", "_known"]
+
+    def read(texts: DataFrame) -> DataFrame:
+        rows = texts.select(*keys, F.posexplode_outer(t.sentences(F.col("text"))).alias("pos", "statement")).where("statement is not null")
+        rows = rows.select("*", F.explode_outer(facts.modalities(F.col("statement"))).alias("modality")).where("modality is not null")
+        found = facts.roles(F.col("statement"), None if known is None else F.col("_known"))
+        return rows.select(*keys, "pos", "statement", "modality", F.get(found, F.lit(0)).alias("actor"))
+
+    rows = units.select(unit, F.col(text).alias("text"), *([] if known is None else [F.coalesce(known, F.array().cast("array<string>")).alias("_known")]))
+    return per_text(rows, read, keys).select(unit, "pos", "statement", "modality", "actor")
+
+
+def role_rows(units: DataFrame, text: str = "text") -> DataFrame:
+    """``units`` with a row per role that its text names: role, in place of the text."""
+    rows = units.withColumnRenamed(text, "text")
+    return per_text(rows, lambda texts: texts.select("text", F.explode_outer(facts.roles(F.col("text"))).alias("role")).where("role is not null")).drop("text")
+
+
+def term_rows(units: DataFrame, text: str = "text") -> DataFrame:
+    """``units`` with a row per term that its text defines: term, abbr, in place of the text."""
+    rows = units.withColumnRenamed(text, "text")
+    found = lambda texts: texts.select("text", F.explode_outer(facts.defined_terms(F.col("text"))).alias("d")).where("d is not null").select("text", "d.term", "d.abbr")
+    return per_text(rows, found).drop("text")
 
 
 def known_roles(units: DataFrame, doc: list[str], text: str = "text") -> DataFrame:
     """Per document: roles (those its units name, and defined terms that are roles, with their abbreviations) and full (a map from abbreviation to term; of several the first in order)."""
-    named = units.select(*doc, F.explode_outer(facts.roles(F.col(text))).alias("role"))
-    terms = units.select(*doc, F.explode_outer(facts.defined_terms(F.col(text))).alias("d")).where("d is not null").select(*doc, "d.term", "d.abbr").distinct()
+    named = units.select(*doc, text).distinct()
+    terms = term_rows(named, text).distinct()
+    # A document that names no role has an empty list.
+    named = role_rows(named, text).unionByName(units.select(*doc, F.lit(None).cast("string").alias("role")).distinct())
     is_role = F.col("term").rlike(f"^{facts.ROLE}$") | F.col("term").isin(*facts.COMMON_ROLES)
     spelled = terms.where(is_role).select(*doc, F.explode(F.array("term", "abbr")).alias("role"))
     roles = named.unionByName(spelled).groupBy(*doc).agg(F.array_sort(F.collect_set("role")).alias("roles"))
@@ -39,11 +70,14 @@ def extract_facts(units: DataFrame, doc: list[str], unit: str, text: str = "text
     doc = list(doc)
     rows = units.where(F.trim(F.coalesce(text, F.lit(""))) != "").select(*doc, unit, F.col(text).alias("text"))
     none = F.lit(None).cast("string")
-    values = facts.value_rows(rows).select(*doc, unit, F.lit("value").alias("fact"), "v.kind", "v.raw", "v.normalized")
-    terms = rows.select(*doc, unit, F.explode_outer(facts.defined_terms(F.col("text"))).alias("d")).where("d is not null").select(*doc, unit, F.lit("term").alias("fact"), F.col("d.abbr").alias("kind"), F.col("d.term").alias("raw"), F.col("d.term").alias("normalized"))
+    values = facts.value_rows(rows, repeated=True).select(*doc, unit, F.lit("value").alias("fact"), "v.kind", "v.raw", "v.normalized")
+    terms = term_rows(rows).select(*doc, unit, F.lit("term").alias("fact"), F.col("abbr").alias("kind"), F.col("term").alias("raw"), F.col("term").alias("normalized"))
+    # Of a document's roles only those that stand in a text, or in a sentence of it, matter for it; a text is read once with each such list.
+    shown = lambda texts: texts.select("text", F.concat_ws("\n", "text", t.clean_text(F.col("text")), F.transform(t.sentences(F.col("text")), t.clean_text)).alias("_shown"))
     known = known_roles(rows, doc)
-    met = rows.join(known, doc, "left")
-    role = met.select(*doc, unit, "full", F.explode_outer(facts.roles(F.col("text"), F.col("roles"))).alias("role")).where("role is not null")
+    met = per_text(rows, shown).join(known, doc, "left").withColumn("roles", F.coalesce(F.filter("roles", lambda r: F.contains("_shown", r)), F.array().cast("array<string>"))).drop("_shown")
+    named = lambda texts: texts.select("text", "roles", F.explode_outer(facts.roles(F.col("text"), F.col("roles"))).alias("role")).where("role is not null")
+    role = per_text(met, named, ["text", "roles"]).select(*doc, unit, "full", "role")
     role = role.select(*doc, unit, F.lit("role").alias("fact"), none.alias("kind"), F.col("role").alias("raw"), facts.canonical_role(F.col("role"), F.col("full")).alias("normalized"))
     key = F.struct(*doc, unit)
     bound = obligations(met.select(key.alias("_key"), "text", "roles"), "_key", known=F.col("roles")).where("modality <> 'future'")
@@ -63,7 +97,10 @@ def role_diff(units: DataFrame, claims: DataFrame, unit: str, full: Column | Non
 
     Both frames: unit, text and the columns that ``full`` (abbreviations) and ``known`` (roles) name.
     """
-    named = lambda df: df.select(unit, F.explode_outer(F.transform(facts.roles(F.col("text"), known), lambda r: facts.canonical_role(r, full))).alias("role")).where("role <> ''")
+    if full is None and known is None:
+        named = lambda df: role_rows(df.select(unit, "text")).select(unit, facts.canonical_role(F.col("role")).alias("role")).where("role <> ''")
+    else:
+        named = lambda df: df.select(unit, F.explode_outer(F.transform(facts.roles(F.col("text"), known), lambda r: facts.canonical_role(r, full))).alias("role")).where("role <> ''")
     return set_diff(named(units), named(claims), unit, "role")
 
 

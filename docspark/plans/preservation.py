@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import facts
 from ..functions import text as t
 from ..operators import preservation
 from . import inputs as i
@@ -41,7 +40,7 @@ ROLES_SQL = "regexp_extract_all(regexp_replace(text, '^(The|A|Each) | the ', ' '
 
 @query(f"""WITH {PROSE}, x AS (SELECT unit, text, {ROLES_SQL} AS r FROM prose), y AS (SELECT DISTINCT unit, text, unnest(r) AS role FROM x) SELECT unit, role FROM y""")
 def h17_roles(spark, sf):
-    return prose(spark, sf).select("unit", F.explode_outer(facts.roles(F.col("text"))).alias("role")).where("role is not null").distinct()
+    return preservation.role_rows(prose(spark, sf).select("unit", "text")).distinct()
 
 
 @query(f"""WITH {PROSE}, s AS (SELECT DISTINCT unit, string_split(text, '. Use')[1] || '.' AS statement FROM prose), m AS (SELECT unit, statement, regexp_extract(statement, ' (must not|must|should|shouldn''t|may|will|can only|is not permitted|needs to|could) ', 1) AS said FROM s),
@@ -55,7 +54,7 @@ def h15_obligations(spark, sf):
 @query(rf"""WITH {PROSE}, x AS (SELECT DISTINCT unit, unnest(regexp_extract_all(text, '((?:[A-Z][a-z]+ (?:of )?)+)\(([A-Z]+)\)', 1)) AS term, unnest(regexp_extract_all(text, '((?:[A-Z][a-z]+ (?:of )?)+)\(([A-Z]+)\)', 2)) AS abbr FROM prose)
 SELECT unit, regexp_replace(trim(term), '^Use ', '') AS term, abbr FROM x""")
 def h16b_defined_terms(spark, sf):
-    return prose(spark, sf).select("unit", F.explode_outer(facts.defined_terms(F.col("text"))).alias("d")).where("d is not null").select("unit", "d.term", "d.abbr").distinct()
+    return preservation.term_rows(prose(spark, sf).select("unit", "text")).distinct()
 
 
 @query(f"""WITH {PROSE}, c AS (SELECT unit, {_among(ACTORS, 'doc')} AS text FROM prose), r AS (SELECT DISTINCT unit, regexp_replace(lower(unnest({ROLES_SQL})), 's$', '') AS role FROM prose), q AS (SELECT DISTINCT unit, regexp_replace(lower(unnest({ROLES_SQL})), 's$', '') AS role FROM c)

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docspark import plans
-from docspark.operators import validation
+from docspark.operators import preservation, validation
 
 
 def plan(df):
@@ -32,3 +32,19 @@ def test_slot_plan_with_nulls(spark):
     issues, coverage = validation.validate_slot_plan(scope, slots, mappings, placed, unplaced)
     assert {(r.section, r.slot, r.issue, tuple(r.units)) for r in issues.collect()} == {(1, None, "unaccounted", (None,)), (1, None, "outside", (None,)), (1, 0, "order", ()), (2, None, "no_plan", ())}
     assert [tuple(r) for r in coverage.collect()] == [(1, 3, 2, 0.667)]
+
+
+@pytest.mark.parametrize("name", ["h15_obligations", "h16b_defined_terms", "h17_roles", "g3_role_diff"])
+def test_texts_are_read_once(spark, sf, name):
+    """Rows meet what was read from their texts; no pattern runs on them."""
+    assert "regexp_extract_all" not in plan(plans.QUERIES[name](spark, sf))
+
+
+def test_facts_of_repeated_and_missing_texts(spark):
+    text = "The Lab Manager must approve it."
+    units = spark.createDataFrame([(1, "a", text), (1, "b", text), (1, "c", None), (1, "d", ""), (None, "e", text)], "doc int, unit string, text string")
+    assert sorted((r.doc, r.unit, r.fact, r.kind, r.normalized) for r in preservation.extract_facts(units, ["doc"], "unit").where("doc is not null").collect()) == sorted(
+        (1, u, *f) for u in "ab" for f in [("obligation", "mandatory", "Lab Manager"), ("role", None, "lab manager")]
+    )
+    assert preservation.extract_facts(units, ["doc"], "unit").where("doc is null").count() == 2
+    assert [r.unit for r in preservation.obligations(units, "unit").orderBy("unit").collect()] == ["a", "b", "e"]
