@@ -38,18 +38,23 @@ def hierarchical_numbers(headings: DataFrame, within: Sequence[str], order: str,
 
 
 def tfidf_adjacent(units: DataFrame, doc: str, order: str, text: str = "text") -> DataFrame:
-    """TF-IDF cosine of each unit with the next of its document: doc, order, cosine (idf within the document, smoothed, L2)."""
-    rows = units.select(doc, order, F.lead(order).over(W.partitionBy(doc).orderBy(order)).alias("_next"), F.count("*").over(W.partitionBy(doc)).alias("_n"), text)
-    words = rows.select(doc, order, "_next", "_n", F.explode(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))).alias("w"))
+    """TF-IDF cosine of each unit with the next of its document: doc, order, cosine (idf within the document, smoothed, L2).
+
+    Texts are shuffled once, by document.  A word's units in a document follow each other in one window, which says in how many units it is and which of them are neighbours, so words are
+    neither joined nor shuffled.
+    """
+    along = W.partitionBy(doc).orderBy(order)
+    rows = units.select(doc, order, text).repartition(doc)
+    rows = rows.select(doc, order, F.lead(order).over(along).alias("_next"), F.count("*").over(W.partitionBy(doc)).alias("_n"), text)
+    words = rows.select(doc, order, "_next", "_n", F.explode_outer(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))).alias("w"))
     tf = words.groupBy(doc, order, "_next", "_n", "w").agg(F.count("*").alias("tf"))
-    df = F.count("*").over(W.partitionBy(doc, "w"))
-    x = tf.withColumn("v", F.col("tf") * (F.log((1 + F.col("_n")) / (1 + df)) + 1))
-    norm = x.groupBy(doc, order).agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
-    a, b = x.select(doc, "w", F.col("_next").alias("k"), order, "v"), x.select(doc, "w", F.col(order).alias("k"), F.col("v").alias("v2"))
-    dot = a.join(b, [doc, "k", "w"]).groupBy(doc, order).agg(F.sum(F.col("v") * F.col("v2")).alias("dot"))
-    pairs = rows.where("_next is not null").select(doc, order, "_next").join(dot, [doc, order], "left").join(norm, [doc, order], "left")
-    other = norm.select(doc, F.col(order).alias("_next"), F.col("norm").alias("norm2"))
-    return pairs.join(other, [doc, "_next"], "left").select(doc, order, F.coalesce(F.col("dot") / (F.col("norm") * F.col("norm2")), F.lit(0.0)).alias("cosine"))
+    # A unit without words has one row, whose word is null and weighs nothing.
+    value = F.when(F.col("w").isNull(), F.lit(0.0)).otherwise(F.col("tf") * (F.log((1 + F.col("_n")) / (1 + F.count("*").over(W.partitionBy(doc, "w")))) + 1))
+    same = W.partitionBy(doc, "w").orderBy(order)
+    x = tf.withColumn("v", value).withColumn("v2", F.when(F.lead(order).over(same) == F.col("_next"), F.lead("v").over(same)))
+    sums = x.groupBy(doc, order, "_next").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"), F.coalesce(F.sum(F.col("v") * F.col("v2")), F.lit(0.0)).alias("dot"))
+    pairs = sums.withColumn("norm2", F.lead("norm").over(along)).where("_next is not null")
+    return pairs.select(doc, order, F.coalesce(F.try_divide(F.col("dot"), F.col("norm") * F.col("norm2")), F.lit(0.0)).alias("cosine"))
 
 
 def pack_blocks(rows: DataFrame, within: Sequence[str], order: str, cost: str, budget: int) -> DataFrame:

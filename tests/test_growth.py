@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docspark import plans
-from docspark.operators import preservation, validation
+from docspark.operators import chunks, preservation, validation
 
 
 def plan(df):
@@ -48,3 +48,10 @@ def test_facts_of_repeated_and_missing_texts(spark):
     )
     assert preservation.extract_facts(units, ["doc"], "unit").where("doc is null").count() == 2
     assert [r.unit for r in preservation.obligations(units, "unit").orderBy("unit").collect()] == ["a", "b", "e"]
+
+
+def test_tfidf_shuffles_texts_once(spark):
+    units = spark.createDataFrame([(1, 1, "red box"), (1, 2, "red box"), (1, 3, "? !"), (1, 4, None), (1, 5, "red"), (2, 1, "red")], "doc int, seq int, text string")
+    got = chunks.tfidf_adjacent(units, "doc", "seq")
+    assert physical(got).count("Exchange") == 1 and "Join" not in physical(got)
+    assert sorted((r.doc, r.seq, round(r.cosine, 6)) for r in got.collect()) == [(1, 1, 1.0), (1, 2, 0.0), (1, 3, 0.0), (1, 4, 0.0)]
