@@ -211,7 +211,7 @@ def f2_top_terms(spark, sf):
 
 @query(f"{GRAMS} SELECT size, count(*) AS n, count(DISTINCT term) AS n_terms FROM ok GROUP BY size")
 def h53b_phrase_grams(spark, sf):
-    return terms.phrase_grams(i.units(spark, sf)).groupBy("size").agg(F.count("*").alias("n"), F.count_distinct("term").alias("n_terms"))
+    return terms.phrase_grams(i.units(spark, sf)).groupBy("size").agg(F.sum("n_texts").alias("n"), F.count("*").alias("n_terms"))
 
 
 @query(rf"""{U}, w AS (SELECT unnest(regexp_extract_all(text, '\p{{L}}+')) AS form FROM units), c AS (SELECT lower(form) AS word, form, count(*) AS n FROM w GROUP BY 1, 2)

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docspark import plans
-from docspark.operators import chunks, preservation, validation
+from docspark.operators import chunks, preservation, terms, validation
 
 
 def plan(df):
@@ -55,3 +55,18 @@ def test_tfidf_shuffles_texts_once(spark):
     got = chunks.tfidf_adjacent(units, "doc", "seq")
     assert physical(got).count("Exchange") == 1 and "Join" not in physical(got)
     assert sorted((r.doc, r.seq, round(r.cosine, 6)) for r in got.collect()) == [(1, 1, 1.0), (1, 2, 0.0), (1, 3, 0.0), (1, 4, 0.0)]
+
+
+def test_phrases_are_shuffled_once(spark, sf):
+    """Texts once, phrases once, summed up before; no table of all phrases is written or joined."""
+    got = terms._per_phrase(plans.inputs.units(spark, sf), 4, "text")
+    assert physical(got).count("Exchange hash") == 2 and "Join" not in physical(got)
+
+
+def test_parts_of_phrases_that_end_in_a_plural(spark):
+    """A part that ends in a plural counts only in texts that have it by another way; years are no words."""
+    data = ["red TANKS box. red tanks box"] * 2 + [f"red TANKS box. red tanks box {k}" for k in range(3)] + ["red pumps unit", "red pumps unit, red pump", "red pumps unit/0", None, "", "1990s", "old 1990s"]
+    df = spark.createDataFrame([(x,) for x in data], "text string")
+    got = {r.term: (r.size, r.n_texts, r._n0) for r in terms._per_phrase(df, 3, "text").collect()}
+    assert got == {"red tank": (2, 4, 0), "red tanks": (2, 4, 0), "tanks box": (2, 4, 0), "red tanks box": (3, 4, 4), "red pump": (2, 3, 0), "pumps unit": (2, 3, 0), "red pumps unit": (3, 3, 0)}
+    assert {r.term for r in terms.phrase_counts(df).collect()} == {"red tank", "red tanks box", "red pump", "red pumps unit"}
