@@ -13,6 +13,8 @@ from .loops import until_empty
 
 #: What a score or margin must reach.
 MIN_TARGET_SCORE, LOW_CONFIDENCE, CHECK_SPLIT, AUTO_SPLIT, STRONG_NAME = 0.30, 0.25, 0.30, 0.45, 0.8
+#: Targets that a source is held against in its row.
+MOST_TARGETS = 256
 CONTENTS = r"(?i)^\s*(?:table\s+of\s+)?contents?\s*$"
 
 
@@ -41,12 +43,19 @@ def levels(sections: DataFrame, doc: Sequence[str], section: str, parent: str) -
 def label_scores(profiles: DataFrame, targets: DataFrame, source: Sequence[str], target: str, match: Mapping[str, Mapping[str, float]]) -> DataFrame:
     """source, target, label_score: the share of each label times the best match among the target's content types, summed.
 
-    profiles: source, label, share; targets: target, types (array).  ``match`` says how well a label fits a type, a small table of a template language; sources and targets
-    meet by label, so only pairs with something in common are made.
+    profiles: source, label, share; targets: target, types (array).  ``match`` says how well a label fits a type, a small table of a template language; a pair without a label in common has no row.
+    A source's few labels are gathered in a row and held against all targets there, so nothing is summed up per pair; more than ``MOST_TARGETS`` targets are met by label instead.
     """
     rows = [F.struct(F.lit(a).alias("label"), F.lit(b).alias("type"), F.lit(float(w)).alias("w")) for a, types in match.items() for b, w in types.items()]
     fits = targets.select(target, F.explode(F.array(*rows)).alias("m"), "types").where(F.array_contains("types", F.col("m.type"))).groupBy(target, F.col("m.label").alias("label")).agg(F.max("m.w").alias("w"))
-    return profiles.join(F.broadcast(fits) if fits.count() <= 100_000 else fits, "label").groupBy(*source, target).agg(F.sum(F.col("share") * F.col("w")).alias("label_score"))
+    if fits.select(target).distinct().count() > MOST_TARGETS:
+        return profiles.join(fits, "label").groupBy(*source, target).agg(F.sum(F.col("share") * F.col("w")).alias("label_score"))
+    wide = fits.groupBy(target).agg(F.map_from_entries(F.collect_list(F.struct("label", "w"))).alias("_fits"))
+    each = profiles.where(F.col("label").isNotNull()).groupBy(*source).agg(F.array_sort(F.collect_list(F.struct("label", "share"))).alias("_shares"))
+    common = F.filter("_shares", lambda s: F.map_contains_key("_fits", s["label"]))
+    total = F.aggregate("_c", F.lit(None).cast("double"), lambda acc, s: F.when(s["share"].isNull(), acc).otherwise(F.coalesce(acc, F.lit(0.0)) + s["share"] * F.col("_fits")[s["label"]]))
+    met = each.crossJoin(F.broadcast(wide)).select(*source, target, "_fits", common.alias("_c")).where(F.size("_c") > 0)
+    return met.select(*source, target, total.alias("label_score"))
 
 
 def section_signals(sections: DataFrame, units: DataFrame, targets: DataFrame, match: Mapping[str, Mapping[str, float]], doc: Sequence[str] = ("doc",)) -> tuple[DataFrame, DataFrame]:
