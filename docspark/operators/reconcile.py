@@ -108,3 +108,18 @@ def spread(extra: DataFrame, free: DataFrame, within: Sequence[str], extra_key:
     """The k-th extra item goes to the k-th free place of its group, as far as there are places."""
     k = lambda key: F.row_number().over(W.partitionBy(*within).orderBy(key))
     return extra.select(*within, extra_key, k(extra_key).alias("_k")).join(free.select(*within, free_key, k(free_key).alias("_k")), [*within, "_k"]).drop("_k")
+
+
+def linked_pairs(a: DataFrame, b: DataFrame, left: str, right: str, value: str, block: int = 2000) -> DataFrame:
+    """Pairs of keys of a and b that have a value in common, each once: left, right.  Null values link nothing, null keys are keys.
+
+    A pair is made at the first value that both have, so pairs need no shuffle; a key with one value has no other.  A value of many keys in b is met in parts of about ``block`` keys by as many tasks.
+    """
+    whole = lambda df, key, to: df.where(F.col(value).isNotNull()).groupBy(key).agg(F.array_sort(F.collect_set(value)).alias(to))
+    x = whole(a, left, "_va").select(left, "_va", F.explode("_va").alias(value))
+    y = whole(b, right, "_vb").select(right, "_vb", F.explode("_vb").alias(value))
+    parts = y.groupBy(value).agg(F.ceil(F.count("*") / block).cast("int").alias("_parts"))
+    x = x.join(parts, value).select(left, value, F.when(F.size("_va") > 1, F.col("_va")).alias("_va"), F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"))
+    y = y.join(parts, value).select(right, value, F.when(F.size("_vb") > 1, F.col("_vb")).alias("_vb"), F.pmod(F.xxhash64(right), F.col("_parts")).cast("int").alias("_part"))
+    first = F.col("_va").isNull() | F.col("_vb").isNull() | (F.element_at(F.array_intersect("_va", "_vb"), 1) == F.col(value))
+    return x.join(y, [value, "_part"]).where(first).select(left, right)

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docspark import plans
-from docspark.operators import chunks, preservation, terms, validation
+from docspark.operators import chunks, planning, preservation, reconcile, terms, validation
 
 
 def plan(df):
@@ -70,3 +70,22 @@ def test_parts_of_phrases_that_end_in_a_plural(spark):
     got = {r.term: (r.size, r.n_texts, r._n0) for r in terms._per_phrase(df, 3, "text").collect()}
     assert got == {"red tank": (2, 4, 0), "red tanks": (2, 4, 0), "tanks box": (2, 4, 0), "red tanks box": (3, 4, 4), "red pump": (2, 3, 0), "pumps unit": (2, 3, 0), "red pumps unit": (3, 3, 0)}
     assert {r.term for r in terms.phrase_counts(df).collect()} == {"red tank", "red tanks box", "red pump", "red pumps unit"}
+
+
+def test_linked_pairs_are_made_once(spark):
+    a = spark.createDataFrame([(1, "x"), (1, "x"), (1, "y"), (2, "y"), (3, None), (4, "z")], "a int, v string")
+    b = spark.createDataFrame([(k, v) for k in range(7) for v in "xy"] + [(9, "y"), (None, "y"), (8, None)], "b int, v string")
+    for block in (2, 2000):
+        got = reconcile.linked_pairs(a, b, "a", "b", "v", block)
+        assert sorted(map(tuple, got.collect()), key=str) == sorted(((k, x) for k in (1, 2) for x in [*range(7), 9, None]), key=str)
+    assert not physical(plans.reconcile.rc.linked_pairs(a, b, "a", "b", "v")).split("Join")[0].count("Aggregate")
+
+
+def test_label_scores_sum_nothing_per_pair(spark):
+    p = spark.createDataFrame([(1, "R", 0.5), (1, "A", 0.25), (1, None, 0.25), (2, "Q", 1.0), (3, "A", None), (None, "R", 1.0)], "s int, label string, share double")
+    t = spark.createDataFrame([("t", ["0", "2"]), ("u", ["1"]), ("v", [])], "target string, types array<string>")
+    match = {"R": {"0": 1.0, "1": 0.4}, "A": {"2": 0.8}}
+    want = {(1, "t", 0.7), (1, "u", 0.2), (3, "t", None), (None, "t", 1.0), (None, "u", 0.4)}
+    got = planning.label_scores(p, t, ["s"], "target", match)
+    assert {(r.s, r.target, r.label_score and round(r.label_score, 6)) for r in got.collect()} == want
+    assert "Aggregate" not in physical(got).split("Join")[0]
