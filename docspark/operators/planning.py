@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions import text as t
-from .loops import until_empty
+from .loops import stored, until_empty
 
 #: What a score or margin must reach.
 MIN_TARGET_SCORE, LOW_CONFIDENCE, CHECK_SPLIT, AUTO_SPLIT, STRONG_NAME = 0.30, 0.25, 0.30, 0.45, 0.8
@@ -26,10 +26,10 @@ def _confidence(margin: Column) -> Column:
 def levels(sections: DataFrame, doc: Sequence[str], section: str, parent: str) -> DataFrame:
     """Sections with ``root`` and ``path`` (the sections from the root to this one): one join per level of the deepest tree.
 
-    A root has no parent or one that isn't there.  Sections under a cycle of parents have no root and are left out.
+    A root has no parent or one that isn't there.  Sections under a cycle of parents have no root and are left out.  Every level reads the edges from the shared folder.
     """
     doc = list(doc)
-    edges = sections.select(*doc, F.col(section).alias("_s"), F.col(parent).alias("_p"))
+    edges = stored(sections.select(*doc, F.col(section).alias("_s"), F.col(parent).alias("_p")), "edges")
     known = edges.select(*doc, F.col("_s").alias("_p")).distinct()
     roots = edges.join(known, [*doc, "_p"], "left_anti").select(*doc, "_s", F.col("_s").alias("root"), F.array("_s").alias("path"))
 
@@ -105,7 +105,7 @@ def propose_sections(sections: DataFrame, scores: DataFrame, doc: Sequence[str]
     parent's decision, whatever it came from; where the parent is mapped and another target fits the child's content better, by ``AUTO_SPLIT`` (three units or more) the child moves there and takes
     its children along, by ``CHECK_SPLIT`` (two or more) it stays with a doubt.  Sections under a cycle of parents are unresolved.
 
-    One join per level of the tree, all documents at once.
+    One join per level of the tree, all documents at once; what a level needs of the sections is worked out once and written to the shared folder.
     """
     doc = list(doc)
     key = [*doc, "section"]
@@ -113,7 +113,8 @@ def propose_sections(sections: DataFrame, scores: DataFrame, doc: Sequence[str]
     best = ranked.where("_n = 1").select(*key, F.struct("target", "score", (F.col("score") - F.coalesce("_second.score", F.lit(0.0))).alias("margin"), F.col("_second.target").alias("second"), F.col("_name").alias("name")).alias("best"))
     contents = scores.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("target", "content"))).alias("contents"), F.min(F.struct((-F.col("content")).alias("m"), "target")).alias("alt"))
     rows = sections.join(best, key, "left").join(contents, key, "left").withColumn("toc", F.coalesce(F.col("heading").rlike(CONTENTS), F.lit(False)))
-    known = sections.select(*doc, F.col("section").alias("parent")).distinct()
+    rows = stored(rows, "proposal-sections")
+    known = rows.select(*doc, F.col("section").alias("parent")).distinct()
     roots = rows.join(known, [*doc, "parent"], "left_anti")
 
     chapter = F.col("number").rlike(r"^[0-9]+(\.|$)") & (F.col("number") != "0")
@@ -166,7 +167,7 @@ def build_section_plan(decisions: DataFrame, sections: DataFrame, units: DataFra
     """
     doc = list(doc)
     tree = levels(sections, doc, "section", "parent").select(*doc, "section", "ord", "root")
-    rows = decisions.join(tree, [*doc, "section"], "left").withColumn("root", F.coalesce("root", "section"))
+    rows = stored(decisions.join(tree, [*doc, "section"], "left").withColumn("root", F.coalesce("root", "section")), "decisions")
     mapped = rows.where("kind = 'mapped'")
     split = mapped.groupBy(*doc, "root").agg((F.count_distinct("target") > 1).alias("is_split"))
     mapped = mapped.join(split, [*doc, "root"])
@@ -180,7 +181,7 @@ def build_section_plan(decisions: DataFrame, sections: DataFrame, units: DataFra
     kind = F.when(F.size("units") > 0, "split").when(F.col("_roots") > 1, "merge").otherwise("one_to_one")
     found = found.select(*doc, "target", kind.alias("type"), F.when(F.col("_doubt"), "needs_review").otherwise("mapped").alias("status"), "sections", "units", "confidence", "reasons")
     no_sections, no_units, no_reasons = (F.array().cast(found.schema[c].dataType) for c in ("sections", "units", "reasons"))
-    docs = decisions.select(*doc).distinct()
+    docs = rows.select(*doc).distinct()
     n = targets.count()
     wanted = docs.withColumn("_t", F.explode(F.sequence(F.lit(0), F.lit(max(n - 1, 0))))).join(targets.withColumn("_t", F.row_number().over(W.orderBy("target")) - 1), "_t").drop("_t")
     missing = wanted.join(found, [*doc, "target"], "left_anti").select(*doc, "target", F.lit("unresolved").alias("type"), F.when(F.col("required"), "source_content_not_found").otherwise("not_applicable").alias("status"), no_sections.alias("sections"), no_units.alias("units"), F.lit(1.0).alias("confidence"), no_reasons.alias("reasons"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..operators import planning
+from ..operators.loops import stored
 from . import inputs as i
 from .registry import query
 
@@ -27,7 +28,7 @@ def sections(spark, sf):
     heading = F.when(F.col("section") % 13 == 0, "Table of  Contents").otherwise(F.col("priority"))
     number = F.when(F.col("section") % 11 == 0, "0").when(F.col("section") % 3 > 0, F.concat(F.col("ord").cast("string"), F.lit(".")))
     out = s.withColumn("_up", above).join(parents, ["doc", "_up"], "left").join(facts, "section", "left").na.fill(0, ["n_units"]).na.fill(False, ["all_boilerplate"])
-    out = out.select("doc", "section", "parent", "ord", heading.alias("heading"), number.alias("number"), "n_units", "all_boilerplate")
+    out = stored(out.select("doc", "section", "parent", "ord", heading.alias("heading"), number.alias("number"), "n_units", "all_boilerplate"), "sections")
     scores = lines.join(out.select("doc", F.col("section").alias("l_orderkey")), "l_orderkey").groupBy("doc", F.col("l_orderkey").alias("section"), (F.col("l_suppkey") % 5).alias("target"))
     return out, scores.agg((F.max(F.col("l_quantity").cast("long") % 11) / 10).alias("name"), (F.max(F.col("l_partkey") % 11) / 10).alias("content"))
 

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docspark import plans
-from docspark.operators import chunks, planning, preservation, reconcile, terms, validation
+from docspark.operators import chunks, loops, planning, preservation, reconcile, terms, validation
 
 
 def plan(df):
@@ -89,3 +89,16 @@ def test_label_scores_sum_nothing_per_pair(spark):
     got = planning.label_scores(p, t, ["s"], "target", match)
     assert {(r.s, r.target, r.label_score and round(r.label_score, 6)) for r in got.collect()} == want
     assert "Aggregate" not in physical(got).split("Join")[0]
+
+
+def test_levels_read_their_sections_once(spark, sf, monkeypatch):
+    """What a level of the tree reads is a table, not the query that made it."""
+    seen = []
+
+    def step_of(start, step, label):
+        seen.append(plan(step(start)[1]))
+        return loops.until_empty(start, step, label)
+
+    monkeypatch.setattr(planning, "until_empty", step_of)
+    assert plans.QUERIES["k5_build_section_plan"](spark, sf).count() > 0
+    assert len(seen) == 2 and not any(x in p for p in seen for x in ("l_orderkey", "o_custkey"))
