@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docspark import plans
-from docspark.operators import chunks, loops, planning, preservation, reconcile, terms, validation
+from docspark.operators import chunks, duplicates, loops, planning, preservation, reconcile, terms, validation
 
 
 def plan(df):
@@ -102,3 +102,25 @@ def test_levels_read_their_sections_once(spark, sf, monkeypatch):
     monkeypatch.setattr(planning, "until_empty", step_of)
     assert plans.QUERIES["k5_build_section_plan"](spark, sf).count() > 0
     assert len(seen) == 2 and not any(x in p for p in seen for x in ("l_orderkey", "o_custkey"))
+
+
+def test_similar_pairs_meet_without_their_sets(spark, monkeypatch):
+    """All pairs, found by numbers: no set goes through the join that makes candidates, and copies of a frequent word are none."""
+    import random
+
+    draw, words = random.Random(7), [f"w{k}" for k in range(40)]
+    sets = {k: draw.sample(words, draw.choice((1, 2, 3, 5, 8, 20))) for k in range(120)}
+    sets |= {1000 + k: [w for w in sets[k] if draw.random() < 0.8] + ["all"] for k in range(120)} | {2000: []}
+    df = spark.createDataFrame(list(sets.items()), "id long, w array<string>")
+    seen = {}
+
+    def stored(table, label):
+        seen[label] = table
+        return loops.stored(table, label)
+
+    monkeypatch.setattr(duplicates, "stored", stored)
+    for percent in (30, 60):
+        want = {(a, b) for a in sets for b in sets if a < b and sets[a] and sets[b] and 100 * len({*sets[a]} & {*sets[b]}) >= percent * len({*sets[a]} | {*sets[b]})}
+        assert {tuple(r) for r in duplicates.similar_pairs(df, "id", "w", percent).collect()} == want
+        made = plan(seen["similar"]).split("Aggregate")[-1]
+        assert "Join" in made and "bit_count" in made and "array_intersect" not in made
