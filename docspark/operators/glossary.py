@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions import text as t
+from .loops import stored
 
 #: A text as words, single blanks and single other signs; joined they are the text again, its blanks made plain.
 TOKEN = r"[\p{L}\p{N}_]+|[^\s\p{L}\p{N}_]| "
@@ -26,32 +29,43 @@ def forms(term: Column) -> Column:
     return F.when(plain.rlike(r"\p{L}$"), F.concat(F.array(plain), plural)).otherwise(F.array(plain))
 
 
-def glossary_match(units: DataFrame, terms: DataFrame, key: list[str], text: str = "text", most_terms: int = 100_000) -> DataFrame:
+def _folded(words: Column) -> Column:
+    """A number per token, the same for all its cases."""
+    return F.transform(words, lambda x: F.xxhash64(F.lower(F.translate(x, "Σς", "σσ"))))
+
+
+def glossary_match(units: DataFrame, terms: DataFrame, key: list[str], text: str = "text", most_terms: int = 1_000_000) -> DataFrame:
     """Uses of glossary terms in units, without overlaps: key, term, start (the number of the first token, from 1), n (tokens), matched.
 
     terms: term and, if it is there, case_sensitive.  Words are whole, blanks between them may be any, the last word may be an English plural.  Where uses overlap, the one that starts
     first stays, of those that start together the longest (then the first term in order).  Null and empty texts and terms match nothing; equal terms count once, case-sensitive only if all of them are.
 
-    Terms meet texts by their first token, an equi-join; a glossary of at most ``most_terms`` spellings goes to all tasks, a larger one is shuffled.  Only as many tokens as the longest
-    term has travel with a place.  Overlaps are settled inside runs of overlapping uses, so a long unit is no long list.
+    Spellings meet texts by a number made of all their tokens, tried at every place in every length that spellings have, so a place meets only what is used there, however many terms begin with its
+    word; spelling and neighbours are then compared.  Texts never travel, only uses do: spellings go to all tasks, ``most_terms`` at a time, and a larger glossary is cut into parts by that number, each
+    of which reads the texts once.  Overlaps are settled inside runs of overlapping uses, so a long unit is no long list.
     """
     cased = F.col("case_sensitive") if "case_sensitive" in terms.columns else F.lit(False)
     known = terms.where(F.trim("term") != "").groupBy("term").agg(F.bool_and(F.coalesce(cased, F.lit(False))).alias("cased"))
     spelled = known.select("term", "cased", F.explode(forms(F.col("term"))).alias("form")).withColumn("form", F.when(F.col("cased"), F.col("form")).otherwise(F.lower("form"))).distinct()
-    spelled = spelled.withColumn("_t", tokens(F.col("form"))).select("term", "cased", "form", F.lower(F.get("_t", F.lit(0))).alias("_first"), F.size("_t").alias("n"))
-    bound = spelled.agg(F.count("*").alias("k"), F.max("n").alias("n")).first()
-    longest = bound["n"] or 1
-    if bound["k"] <= most_terms:
-        spelled = F.broadcast(spelled)
-    places = units.select(*key, tokens(F.col(text)).alias("_w")).select(*key, "_w", F.posexplode("_w").alias("start", "_x")).where(F.col("_x") != " ")
-    places = places.select(*key, (F.col("start") + 1).alias("start"), F.lower("_x").alias("_first"), F.get("_w", F.col("start") - 1).alias("_before"), F.slice("_w", F.col("start") + 1, longest + 1).alias("_w"))
-    met = places.join(spelled, "_first")
-    use = F.array_join(F.slice("_w", 1, F.col("n")), "")
-    met = met.withColumn("matched", use).where(F.when(F.col("cased"), F.col("matched")).otherwise(F.lower("matched")) == F.col("form"))
+    spelled = spelled.withColumn("_t", tokens(F.col("form"))).select("term", "cased", "form", F.xxhash64(_folded(F.col("_t"))).alias("_at"), F.size("_t").alias("n"))
+    spelled = stored(spelled, "spellings")
+    sizes = {r["n"]: r["k"] for r in spelled.groupBy("n").agg(F.count("*").alias("k")).collect()}
+    parts = -(-sum(sizes.values()) // max(most_terms, 1)) or 1
+    places = units.select(*key, tokens(F.col(text)).alias("_w")).withColumn("_h", _folded(F.col("_w"))).select(*key, "_w", "_h", F.posexplode("_h").alias("start", "_x")).where(F.col("_x") != F.xxhash64(F.lit(" ")))
+    places = places.select(*key, "_w", "_h", (F.col("start") + 1).alias("start"), F.explode(F.array(*map(F.lit, sorted(sizes) or [1]))).alias("m")).where(F.col("start") + F.col("m") - 1 <= F.size("_h"))
+    places = places.select(*key, "_w", "start", "m", F.xxhash64(F.slice("_h", F.col("start"), F.col("m"))).alias("_at"))
     word = r"[\p{L}\p{N}_]"
-    inside = (F.col("form").rlike(f"^{word}") | ~F.coalesce(F.col("_before"), F.lit("")).rlike(f"{word}$")) & (F.col("form").rlike(f"{word}$") | ~F.coalesce(F.get("_w", F.col("n")), F.lit("")).rlike(f"^{word}"))
+    before, after = F.get("_w", F.col("start") - 2), F.get("_w", F.col("start") + F.col("n") - 1)
+    inside = (F.col("form").rlike(f"^{word}") | ~F.coalesce(before, F.lit("")).rlike(f"{word}$")) & (F.col("form").rlike(f"{word}$") | ~F.coalesce(after, F.lit("")).rlike(f"^{word}"))
+    use = F.array_join(F.slice("_w", F.col("start"), F.col("n")), "")
+
+    def found(part: int) -> DataFrame:
+        met = places.join(F.broadcast(spelled.where(F.pmod("_at", F.lit(parts)) == part)), "_at").where("m = n").where(inside).withColumn("matched", use)
+        return met.where(F.when(F.col("cased"), F.col("matched")).otherwise(F.lower("matched")) == F.col("form")).select(*key, "term", "start", "n", "matched")
+
+    met = reduce(DataFrame.unionAll, map(found, range(parts)))
     along = W.partitionBy(*key).orderBy("start", F.desc("n"), "term")
-    runs = met.where(inside).select(*key, "term", "start", "n", "matched").withColumn("_reach", F.max(F.col("start") + F.col("n")).over(along.rowsBetween(W.unboundedPreceding, -1)))
+    runs = met.withColumn("_reach", F.max(F.col("start") + F.col("n")).over(along.rowsBetween(W.unboundedPreceding, -1)))
     runs = runs.withColumn("_run", F.sum(F.when(F.col("start") < F.col("_reach"), 0).otherwise(1)).over(along.rowsBetween(W.unboundedPreceding, 0)))
     uses = F.array_sort(F.collect_list(F.struct("start", (-F.col("n")).alias("m"), "term", "n", "matched")))
     keep = lambda acc, u: F.when(u["start"] >= acc["end"], F.struct((u["start"] + u["n"]).alias("end"), F.array_append(acc["kept"], u).alias("kept"))).otherwise(acc)

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docspark import plans
-from docspark.operators import chunks, duplicates, loops, planning, preservation, reconcile, terms, validation
+from docspark.operators import chunks, duplicates, glossary, loops, planning, preservation, reconcile, terms, validation
 
 
 def plan(df):
@@ -124,3 +124,19 @@ def test_similar_pairs_meet_without_their_sets(spark, monkeypatch):
         assert {tuple(r) for r in duplicates.similar_pairs(df, "id", "w", percent).collect()} == want
         made = plan(seen["similar"]).split("Aggregate")[-1]
         assert "Join" in made and "bit_count" in made and "array_intersect" not in made
+
+
+def test_glossary_sends_no_text(spark):
+    """However large the glossary, only uses are shuffled; terms that begin with the same word are told apart where they meet, and parts of a glossary find what the whole finds."""
+    known = spark.createDataFrame([("red box", False), ("red fox", False), ("red", True), ("ΟΔΟΣ'Α", False), ("red box of tin", False), ("tin", False)], "term string, case_sensitive boolean")
+    texts = ["Red  Foxes, red boxes of tin; red Box of Tin", "red", "RED", "οδοσ'α", "tin", "", None]
+    units = spark.createDataFrame(list(enumerate(texts)), "k long, text string")
+    want = [(0, "red fox", 1, 3), (0, "red box", 6, 3), (0, "tin", 12, 1), (0, "red box of tin", 15, 7), (1, "red", 1, 1), (3, "ΟΔΟΣ'Α", 1, 3), (4, "tin", 1, 1)]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for most in (100, 5):
+            got = glossary.glossary_match(units, known, ["k"], most_terms=most)
+            assert "SortMergeJoin" not in physical(got) and physical(got).count("Exchange hash") == 1
+            assert [(r.k, r.term, r.start, r.n) for r in got.orderBy("k", "start").collect()] == want
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
