@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,24 +11,22 @@ from pyspark.sql.window import Window as W
 
 from .loops import release, stored, until_empty
 
+#: Cuts below each other that a round of ``reading_order`` makes.
+CUTS = 4
 
-def _cut(region: list[str], start: str, end: str, order: str, least: Column) -> tuple[Column, Column]:
-    """The widest gap above ``least`` between a box and the next one by ``start`` (of equal gaps the first): its middle, null without one."""
-    along = W.partitionBy(*region).orderBy(start, order)
-    after = F.lead(start).over(along)
-    gap = after - F.col(end)
-    option = F.when(gap > least, F.struct(gap.alias("gap"), (-F.row_number().over(along)).alias("first"), ((F.col(end) + after) / 2).alias("at")))
-    return option, W.partitionBy(*region)
 
-
-def _split(blocks: DataFrame, page: list[str], order: str, ratio: float) -> DataFrame:
-    """One cut of every region: adds _x and _y, where its boxes' widest gaps along either axis are."""
-    region = [*page, "_path"]
+def _split(blocks: DataFrame, region: list[str], order: str, ratio: float, live: Column | None = None) -> DataFrame:
+    """One cut of every region: adds _x and _y, the middles of the widest gaps above ``ratio`` of the page along either axis (of equal gaps the first), null without one.  A gap lies between a box and the
+    next one by its start; boxes that aren't ``live`` have none."""
     out = blocks
     for name, start, end, size in (("_x", "x0", "x1", "page_width"), ("_y", "y0", "y1", "page_height")):
-        option, whole = _cut(region, start, end, order, F.col(size) * ratio)
-        out = out.withColumn(name, option).withColumn(name, F.max(name).over(whole)["at"])
-    return out
+        along = W.partitionBy(*region).orderBy(start, order)
+        after = F.lead(start).over(along)
+        gap, wide = after - F.col(end), after - F.col(end) > F.col(size) * ratio
+        option = F.struct(gap.alias("gap"), (-F.row_number().over(along)).alias("first"), ((F.col(end) + after) / 2).alias("at"))
+        out = out.withColumn(name, F.when(wide if live is None else wide & live, option))
+    whole = W.partitionBy(*region)
+    return out.withColumns({name: F.max(name).over(whole)["at"] for name in ("_x", "_y")})
 
 
 def reading_order(blocks: DataFrame, page: Sequence[str], order: str, ratio: float = 0.03) -> DataFrame:
@@ -38,24 +37,28 @@ def reading_order(blocks: DataFrame, page: Sequence[str], order: str, ratio: flo
     without gap, or of one box, is a leaf, read by (y0, x0).  Gaps are those between boxes that follow each other by their start, so a box inside another may open a gap.  A box goes to the
     side of its middle.  Pages without boxes have no rows; null coordinates make a box's gaps null, and it stays on the far side.
 
-    Each round cuts all open regions of all pages at once: one shuffle by region, whose boxes come sorted along both axes.  Regions that can't be cut leave the
-    loop, so rounds are as many as the deepest page has cuts below each other, and late rounds touch few pages.
+    Each round shuffles the boxes of all open regions of all pages once and makes ``CUTS`` cuts below each other where they lie; it is written once.  Regions that can't be cut leave the
+    loop, so rounds are as many as the deepest page has cuts below each other, by ``CUTS``, and late rounds touch few pages.
     """
     page = list(page)
-    start = blocks.withColumns({"_path": F.lit(""), "_across": F.lit(True)})
-
-    def step(left: DataFrame) -> tuple[DataFrame, DataFrame]:
-        cut = _split(left, page, order, ratio)
-        by_x = F.when(F.col("_across"), F.col("_x").isNotNull()).otherwise(F.col("_y").isNull() & F.col("_x").isNotNull())
-        side = F.when(by_x, (F.col("x0") + F.col("x1")) / 2 < F.col("_x")).otherwise((F.col("y0") + F.col("y1")) / 2 < F.col("_y"))
-        cut = cut.withColumn("_open", F.col("_x").isNotNull() | F.col("_y").isNotNull()).withColumn("_by_x", by_x).withColumn("_first", F.coalesce(side, F.lit(False)))
-        leaves = cut.where(~F.col("_open")).select(*start.columns)
-        rest = cut.where("_open").withColumn("_path", F.concat("_path", F.when(F.col("_first"), "0").otherwise("1"))).withColumn("_across", ~F.col("_by_x"))
-        return leaves, rest.select(*start.columns)
-
-    done = until_empty(start, step, "reading-order")
+    parts, left = [], blocks.withColumns({"_path": F.lit(""), "_across": F.lit(True)})
+    columns = left.columns
+    while not parts or not left.isEmpty():
+        root = [*page, "_root"] if parts else page
+        rows = left.withColumn("_root", F.col("_path")).repartition(*root).withColumn("_open", F.lit(True))
+        for _ in range(CUTS):
+            # A leaf stays one in the cuts that follow; a page's leaves go through them together.
+            cut = _split(rows.withColumn("_region", F.when(F.col("_open"), F.col("_path"))), [*root, "_region"], order, ratio, F.col("_open"))
+            by_x = F.when(F.col("_across"), F.col("_x").isNotNull()).otherwise(F.col("_y").isNull() & F.col("_x").isNotNull())
+            side = F.when(by_x, (F.col("x0") + F.col("x1")) / 2 < F.col("_x")).otherwise((F.col("y0") + F.col("y1")) / 2 < F.col("_y"))
+            cut = cut.withColumns({"_open": F.col("_x").isNotNull() | F.col("_y").isNotNull(), "_by_x": by_x, "_first": F.coalesce(side, F.lit(False))})
+            path = F.when(F.col("_open"), F.concat("_path", F.when(F.col("_first"), "0").otherwise("1"))).otherwise(F.col("_path"))
+            rows = cut.withColumns({"_path": path, "_across": F.when(F.col("_open"), ~F.col("_by_x")).otherwise(F.col("_across"))}).select(*columns, "_root", "_open")
+        rows = stored(rows.drop("_root"), "reading-order")
+        parts.append(rows.where("not _open").select(*columns))
+        left = rows.where("_open").select(*columns)
     along = W.partitionBy(*page).orderBy("_path", "y0", "x0", order)
-    return done.withColumn("position", F.row_number().over(along)).drop("_path", "_across")
+    return reduce(DataFrame.unionByName, parts).withColumn("position", F.row_number().over(along)).drop("_path", "_across")
 
 
 def page_columns(blocks: DataFrame, page: Sequence[str], order: str, ratio: float = 0.03) -> DataFrame:
@@ -64,7 +67,7 @@ def page_columns(blocks: DataFrame, page: Sequence[str], order: str, ratio: floa
     Only a first cut across the whole page makes columns: two, each as wide as its boxes; a box belongs to the first whose range holds its middle.  Other pages have one column.
     """
     page = list(page)
-    cut = _split(blocks.withColumn("_path", F.lit("")), page, order, ratio)
+    cut = _split(blocks, page, order, ratio)
     whole, middle = W.partitionBy(*page), (F.col("x0") + F.col("x1")) / 2
     left = middle < F.col("_x")
     bound = lambda side, f, c: f(F.when(side, F.col(c))).over(whole)

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docspark import plans
-from docspark.operators import chunks, duplicates, glossary, loops, planning, preservation, reconcile, terms, validation
+from docspark.operators import chunks, duplicates, glossary, layout, loops, planning, preservation, reconcile, terms, validation
 
 
 def plan(df):
@@ -140,3 +140,19 @@ def test_glossary_sends_no_text(spark):
             assert [(r.k, r.term, r.start, r.n) for r in got.orderBy("k", "start").collect()] == want
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_reading_order_writes_once_in_four_cuts(spark, monkeypatch):
+    """Nine cuts below each other take three rounds, each written once; pages of one box and boxes without coordinates keep their place."""
+    seen = []
+
+    def stored(table, label):
+        seen.append(physical(table))
+        return loops.stored(table, label)
+
+    monkeypatch.setattr(layout, "stored", stored)
+    boxes = [(1, 10 - k, 60.0 * k, 60.0 * k, 60.0 * k + 20, 60.0 * k + 20) for k in range(10)] + [(2, 1, 5.0, 5.0, 9.0, 9.0), (3, 2, 300.0, 300.0, 310.0, 310.0), (3, 1, None, None, None, None)]
+    df = spark.createDataFrame(boxes, "page int, n int, x0 double, y0 double, x1 double, y1 double").withColumns({"page_width": F.lit(612.0), "page_height": F.lit(792.0)})
+    got = {(r.page, r.n): r.position for r in layout.reading_order(df, ["page"], "n").collect()}
+    assert got == {(1, 10 - k): k + 1 for k in range(10)} | {(2, 1): 1, (3, 1): 1, (3, 2): 2}
+    assert len(seen) == 3 and [p.count("Exchange hash") for p in seen] == [1, 1, 1], [[x.strip()[:90] for x in p.split(chr(10)) if "Exchange" in x] for p in seen]
