@@ -156,3 +156,26 @@ def test_reading_order_writes_once_in_four_cuts(spark, monkeypatch):
     got = {(r.page, r.n): r.position for r in layout.reading_order(df, ["page"], "n").collect()}
     assert got == {(1, 10 - k): k + 1 for k in range(10)} | {(2, 1): 1, (3, 1): 1, (3, 2): 2}
     assert len(seen) == 3 and [p.count("Exchange hash") for p in seen] == [1, 1, 1], [[x.strip()[:90] for x in p.split(chr(10)) if "Exchange" in x] for p in seen]
+
+
+def test_sets_are_ordered_in_their_rows(spark, monkeypatch):
+    """No word travels to be ordered, the table of how frequent words are is copied into no row, and whole sets travel as strings."""
+    seen = {}
+
+    def stored(table, label):
+        seen[label] = table
+        return loops.stored(table, label)
+
+    monkeypatch.setattr(duplicates, "stored", stored)
+    rules = spark.createDataFrame([(1, "Red boxes, the red box", "c", "s", 1), (2, "red box", "c", "t", 2), (3, None, "c", None, 3), (4, "The of", None, "s", 0), (5, "box red glass", "d", "t", 1)], "id long, text string, category string, source string, severity long")
+    got = {r.id: (r.n, r.sources, r.severity) for r in duplicates.merge_duplicates(rules).collect()}
+    assert got == {1: (2, ["s", "t"], 2), 3: (1, [], 3), 4: (1, ["s"], 0), 5: (1, ["t"], 1)}
+    made = plan(seen["rarest-first"])
+    assert "Join" not in made and "AS _levels" not in made and "Exchange" not in physical(seen["rarest-first"]).split("Subquery")[0]
+    assert "string" in dict(seen["rule-classes"].dtypes)["_w"]
+
+
+def test_rule_words_in_one_pass(spark):
+    said = "the The thes sss ssss abss A_b Ünders documents documentss Boxes, box; 3s 333s is-this bass"
+    df = spark.createDataFrame([(said,), ("",), (None,)], "text string").select(duplicates.rule_words(F.col("text")).alias("w"))
+    assert [r.w for r in df.collect()] == [["the", "sss", "abs", "b", "nder", "documents", "boxe", "box", "3s", "333", "bas"], [], None]
