@@ -13,6 +13,7 @@ from .loops import stored
 
 #: A text as words, single blanks and single other signs; joined they are the text again, its blanks made plain.
 TOKEN = r"[\p{L}\p{N}_]+|[^\s\p{L}\p{N}_]| "
+WORD = r"[\p{L}\p{N}_]"
 EAST_ASIAN = ("ja", "zh", "ko")
 
 
@@ -29,47 +30,86 @@ def forms(term: Column) -> Column:
     return F.when(plain.rlike(r"\p{L}$"), F.concat(F.array(plain), plural)).otherwise(F.array(plain))
 
 
-def _folded(words: Column) -> Column:
-    """A number per token, the same for all its cases."""
-    return F.transform(words, lambda x: F.xxhash64(F.lower(F.translate(x, "Σς", "σσ"))))
+def _folded(words: Column, text: Column) -> Column:
+    """A number per token of a text, the same for all its cases."""
+    number = lambda plain: F.transform(words, lambda x: F.xxhash64(F.lower(plain(x))))
+    return F.when(F.contains(text, F.lit("Σ")) | F.contains(text, F.lit("ς")), number(lambda x: F.translate(x, "Σς", "σσ"))).otherwise(number(lambda x: x))
 
 
-def glossary_match(units: DataFrame, terms: DataFrame, key: list[str], text: str = "text", most_terms: int = 1_000_000) -> DataFrame:
+def _spelled(terms: DataFrame) -> tuple[DataFrame, dict[int, int]]:
+    """(term, cased, form, _at, n (tokens), written to the shared folder; how many spellings have n tokens)."""
+    cased = F.col("case_sensitive") if "case_sensitive" in terms.columns else F.lit(False)
+    known = terms.where(F.trim("term") != "").groupBy("term").agg(F.bool_and(F.coalesce(cased, F.lit(False))).alias("cased"))
+    spelled = known.select("term", "cased", F.explode(forms(F.col("term"))).alias("form")).withColumn("form", F.when(F.col("cased"), F.col("form")).otherwise(F.lower("form"))).distinct()
+    spelled = spelled.withColumn("_t", tokens(F.col("form"))).select("term", "cased", "form", F.xxhash64(_folded(F.col("_t"), F.col("form"))).alias("_at"), F.size("_t").alias("n"))
+    spelled = stored(spelled, "spellings")
+    return spelled, {r["n"]: r["k"] for r in spelled.groupBy("n").agg(F.count("*").alias("k")).collect()}
+
+
+def _places(units: DataFrame, key: list[str], text: str, sizes: list[int]) -> DataFrame:
+    """A row per place in a text and number of tokens from it: key, _w (the text's tokens), start, m, _at.
+
+    Tokens are read and folded once a text, the outer way (an inner explode has them worked out twice); from there to the join nothing but numbers is made.
+    """
+    rows = units.select(*key, F.col(text).alias("_text"), tokens(F.col(text)).alias("_w")).withColumn("_h", _folded(F.col("_w"), F.col("_text"))).select(*key, "_w", "_h", F.posexplode_outer("_h").alias("_k", "_x"))
+    rows = rows.where(F.col("_x").isNotNull() & (F.col("_x") != F.xxhash64(F.lit(" "))))
+    # The number of an array is that of its elements in turn.
+    number = lambda n: F.xxhash64(*[F.get("_h", F.col("_k") + j) for j in range(n)]) if n <= 16 else F.xxhash64(F.slice("_h", F.col("_k") + 1, n))
+    rows = rows.select(*key, "_w", (F.col("_k") + 1).alias("start"), F.explode(F.array(*[F.struct(F.lit(n).alias("m"), number(n).alias("_at")) for n in sizes])).alias("_x"))
+    return rows.select(*key, "_w", "start", "_x.m", "_x._at").where(F.col("start") + F.col("m") - 1 <= F.size("_w"))
+
+
+def _read(places: DataFrame) -> DataFrame:
+    """Places with what they say in place of the text: matched, before and after (the tokens beside it)."""
+    before, after = F.get("_w", F.col("start") - 2), F.get("_w", F.col("start") + F.col("m") - 1)
+    return places.withColumns({"matched": F.array_join(F.slice("_w", F.col("start"), F.col("m")), ""), "before": before, "after": after}).drop("_w")
+
+
+def _uses(met: DataFrame, key: list[str]) -> DataFrame:
+    """Places that met a spelling's number, if they are that spelling and no part of a longer word: key, term, start, n, matched."""
+    met = met.where("m = n").where(F.when(F.col("cased"), F.col("matched")).otherwise(F.lower("matched")) == F.col("form"))
+    met = met.where(F.col("form").rlike(f"^{WORD}") | ~F.coalesce("before", F.lit("")).rlike(f"{WORD}$")).where(F.col("form").rlike(f"{WORD}$") | ~F.coalesce("after", F.lit("")).rlike(f"^{WORD}"))
+    return met.select(*key, "term", "start", "n", "matched")
+
+
+def texts_with_terms(texts: DataFrame, terms: DataFrame, text: str) -> DataFrame:
+    """The distinct texts in which a term is used, as ``glossary_match`` finds them; for short texts and as many terms: both sides are sorted, nothing is sent to all tasks or passes the driver."""
+    spelled, sizes = _spelled(terms)
+    places = _read(_places(texts.select(text), [text], text, sorted(sizes) or [1]))
+    return _uses(places.join(spelled.hint("merge"), "_at"), [text]).select(text).distinct()
+
+
+def glossary_match(units: DataFrame, terms: DataFrame, key: list[str], text: str = "text", most_terms: int = 200_000) -> DataFrame:
     """Uses of glossary terms in units, without overlaps: key, term, start (the number of the first token, from 1), n (tokens), matched.
 
     terms: term and, if it is there, case_sensitive.  Words are whole, blanks between them may be any, the last word may be an English plural.  Where uses overlap, the one that starts
     first stays, of those that start together the longest (then the first term in order).  Null and empty texts and terms match nothing; equal terms count once, case-sensitive only if all of them are.
 
     Spellings meet texts by a number made of all their tokens, tried at every place in every length that spellings have, so a place meets only what is used there, however many terms begin with its
-    word; spelling and neighbours are then compared.  Texts never travel, only uses do: spellings go to all tasks, ``most_terms`` at a time, and a larger glossary is cut into parts by that number, each
-    of which reads the texts once.  Overlaps are settled inside runs of overlapping uses, so a long unit is no long list.
+    word; spelling and neighbours are then compared.  Texts never travel, only uses do.  Up to ``most_terms`` spellings go to all tasks.  Of a larger glossary only the numbers do, twenty times as many at once, and
+    the places that have one meet their spellings by sorting; each part of the numbers is done before the next is sent.  Overlaps are settled inside runs of overlapping uses, so a long unit is no long list.
     """
-    cased = F.col("case_sensitive") if "case_sensitive" in terms.columns else F.lit(False)
-    known = terms.where(F.trim("term") != "").groupBy("term").agg(F.bool_and(F.coalesce(cased, F.lit(False))).alias("cased"))
-    spelled = known.select("term", "cased", F.explode(forms(F.col("term"))).alias("form")).withColumn("form", F.when(F.col("cased"), F.col("form")).otherwise(F.lower("form"))).distinct()
-    spelled = spelled.withColumn("_t", tokens(F.col("form"))).select("term", "cased", "form", F.xxhash64(_folded(F.col("_t"))).alias("_at"), F.size("_t").alias("n"))
-    spelled = stored(spelled, "spellings")
-    sizes = {r["n"]: r["k"] for r in spelled.groupBy("n").agg(F.count("*").alias("k")).collect()}
-    parts = -(-sum(sizes.values()) // max(most_terms, 1)) or 1
-    places = units.select(*key, tokens(F.col(text)).alias("_w")).withColumn("_h", _folded(F.col("_w"))).select(*key, "_w", "_h", F.posexplode("_h").alias("start", "_x")).where(F.col("_x") != F.xxhash64(F.lit(" ")))
-    places = places.select(*key, "_w", "_h", (F.col("start") + 1).alias("start"), F.explode(F.array(*map(F.lit, sorted(sizes) or [1]))).alias("m")).where(F.col("start") + F.col("m") - 1 <= F.size("_h"))
-    places = places.select(*key, "_w", "start", "m", F.xxhash64(F.slice("_h", F.col("start"), F.col("m"))).alias("_at"))
-    word = r"[\p{L}\p{N}_]"
-    before, after = F.get("_w", F.col("start") - 2), F.get("_w", F.col("start") + F.col("n") - 1)
-    inside = (F.col("form").rlike(f"^{word}") | ~F.coalesce(before, F.lit("")).rlike(f"{word}$")) & (F.col("form").rlike(f"{word}$") | ~F.coalesce(after, F.lit("")).rlike(f"^{word}"))
-    use = F.array_join(F.slice("_w", F.col("start"), F.col("n")), "")
-
-    def found(part: int) -> DataFrame:
-        met = places.join(F.broadcast(spelled.where(F.pmod("_at", F.lit(parts)) == part)), "_at").where("m = n").where(inside).withColumn("matched", use)
-        return met.where(F.when(F.col("cased"), F.col("matched")).otherwise(F.lower("matched")) == F.col("form")).select(*key, "term", "start", "n", "matched")
-
-    met = reduce(DataFrame.unionAll, map(found, range(parts)))
+    spelled, sizes = _spelled(terms)
+    total, most = sum(sizes.values()), max(most_terms, 1)
+    places = _places(units, key, text, sorted(sizes) or [1])
+
+    def found(part: int, parts: int) -> DataFrame:
+        here = spelled.where(F.pmod("_at", F.lit(parts)) == part)
+        some = _read(places.join(F.broadcast(here.select("_at").distinct()), "_at", "left_semi"))
+        return stored(_uses(some.join(here.hint("merge"), "_at"), key), "uses")
+
+    if total <= most:
+        met = _uses(_read(places.join(F.broadcast(spelled), "_at").where("m = n")), key)
+    else:
+        parts = -(-total // (20 * most))
+        met = reduce(DataFrame.unionAll, [found(k, parts) for k in range(parts)])
     along = W.partitionBy(*key).orderBy("start", F.desc("n"), "term")
     runs = met.withColumn("_reach", F.max(F.col("start") + F.col("n")).over(along.rowsBetween(W.unboundedPreceding, -1)))
     runs = runs.withColumn("_run", F.sum(F.when(F.col("start") < F.col("_reach"), 0).otherwise(1)).over(along.rowsBetween(W.unboundedPreceding, 0)))
-    uses = F.array_sort(F.collect_list(F.struct("start", (-F.col("n")).alias("m"), "term", "n", "matched")))
+    uses = F.sort_array(F.collect_list(F.struct("start", (-F.col("n")).alias("m"), "term", "n", "matched")))
     keep = lambda acc, u: F.when(u["start"] >= acc["end"], F.struct((u["start"] + u["n"]).alias("end"), F.array_append(acc["kept"], u).alias("kept"))).otherwise(acc)
-    return runs.groupBy(*key, "_run").agg(uses.alias("_u")).select(*key, F.explode(F.aggregate("_u", F.struct(F.lit(0).alias("end"), F.slice("_u", 1, 0).alias("kept")), keep, lambda acc: acc["kept"])).alias("u")).select(*key, "u.term", "u.start", "u.n", "u.matched")
+    settled = F.when(F.size("_u") == 1, F.col("_u")).otherwise(F.aggregate("_u", F.struct(F.lit(0).alias("end"), F.slice("_u", 1, 0).alias("kept")), keep, lambda acc: acc["kept"]))
+    return runs.groupBy(*key, "_run").agg(uses.alias("_u")).select(*key, F.explode_outer(settled).alias("u")).select(*key, "u.term", "u.start", "u.n", "u.matched")
 
 
 def _escaped(c: Column) -> Column:

@@ -179,3 +179,32 @@ def test_rule_words_in_one_pass(spark):
     said = "the The thes sss ssss abss A_b Ünders documents documentss Boxes, box; 3s 333s is-this bass"
     df = spark.createDataFrame([(said,), ("",), (None,)], "text string").select(duplicates.rule_words(F.col("text")).alias("w"))
     assert [r.w for r in df.collect()] == [["the", "sss", "abs", "b", "nder", "documents", "boxe", "box", "3s", "333", "bas"], [], None]
+
+
+def test_large_glossary_reads_texts_once(spark, monkeypatch):
+    """Twenty times ``most_terms`` spellings take one reading of the texts; more take several, which find the same."""
+    seen = []
+
+    def stored(table, label):
+        seen.append(label)
+        return loops.stored(table, label)
+
+    monkeypatch.setattr(glossary, "stored", stored)
+    known = spark.createDataFrame([("red box", False), ("red", True), ("#12", False), ("box of tin", False), ("C++", True), ("a b c d e f g h i j", False), ("glass", False), ("tool", False)], "term string, case_sensitive boolean")
+    texts = ["Red boxes, red boxes of tin; red Box", "a #12, a#12 and #123", "C++ c++ C++x", "A  b c d e f g h i js", "", None]
+    units = spark.createDataFrame(list(enumerate(texts)), "k long, text string")
+    want = [(0, "red box", 1, 3), (0, "red box", 6, 3), (0, "red box", 15, 3), (1, "#12", 3, 2), (2, "C++", 1, 3), (3, "a b c d e f g h i j", 1, 19)]
+    for most, reads in ((100, 0), (2, 1), (1, 2)):
+        seen.clear()
+        got = glossary.glossary_match(units, known, ["k"], most_terms=most)
+        assert [(r.k, r.term, r.start, r.n) for r in got.orderBy("k", "start").collect()] == want
+        assert seen == ["spellings"] + ["uses"] * reads
+
+
+def test_known_terms_do_not_pass_the_driver(spark):
+    """Terms that hold known ones are found by sorting, whatever the sizes."""
+    counts = spark.createDataFrame([("red box", 2, 5), ("red boxes of tin", 4, 3), ("tin foil", 2, 4), ("old tins", 2, 3), ("tinned box", 2, 3), ("blue foxe", 2, 3)], "term string, size int, n_texts long")
+    known = spark.createDataFrame([("tin",), ("Red Box",), ("fox",), ("",), (None,)], "term string")
+    got = terms.find_terms(counts, known)
+    assert "Broadcast" not in physical(got)
+    assert sorted(r.term for r in got.collect()) == ["blue foxe", "tinned box"]
