@@ -111,13 +111,13 @@ def phrase_counts(units: DataFrame, min_texts: int = 3, covered: float = 0.75, m
     if not parts:
         return counted
     shared = counts.where("size > 2").select(F.explode(F.array_compact(F.array(*parts))).alias("p")).where("p.n > 0").groupBy("p.term").agg(F.max("p.n").alias("_most"))
-    return counted.join(shared, "term", "left").where(F.col("_most").isNull() | (F.col("_most") < covered * F.col("n_texts"))).drop("_most")
+    return counted.join(shared.hint("merge"), "term", "left").where(F.col("_most").isNull() | (F.col("_most") < covered * F.col("n_texts"))).drop("_most")
 
 
 def find_terms(counts: DataFrame, known: DataFrame) -> DataFrame:
     """Counted terms in which no known term is used (whole words, plurals too); known: term."""
-    used = glossary.glossary_match(counts.select(F.col("term").alias("phrase")), known, ["phrase"], "phrase")
-    return counts.join(used.select(F.col("phrase").alias("term")).distinct(), "term", "left_anti")
+    used = glossary.texts_with_terms(counts.select(F.col("term").alias("phrase")), known, "phrase")
+    return counts.join(used.select(F.col("phrase").alias("term")).hint("merge"), "term", "left_anti")
 
 
 def mode_form(forms: DataFrame, key: Column, name: str, form: str = "form") -> DataFrame:
