@@ -21,18 +21,18 @@ def per_text(units: DataFrame, read: Callable[[DataFrame], DataFrame], keys: Seq
     return units.join(stored(read(units.select(*keys).distinct()), "texts"), list(keys))
 
 
+def _bound(texts: DataFrame, keys: Sequence[str], known: Column | None) -> DataFrame:
+    """A row per sentence of a text and modality: keys, pos, statement, modality, actor."""
+    rows = texts.select(*keys, F.posexplode_outer(t.sentences(F.col("text"))).alias("pos", "statement")).where("statement is not null")
+    rows = rows.select("*", F.explode_outer(facts.modalities(F.col("statement"))).alias("modality")).where("modality is not null")
+    return rows.select(*keys, "pos", "statement", "modality", F.get(facts.roles(F.col("statement"), known), F.lit(0)).alias("actor"))
+
+
 def obligations(units: DataFrame, unit: str, text: str = "text", known: Column | None = None) -> DataFrame:
     """A row per sentence and modality: unit, pos (of the sentence, from 0), statement, modality, actor (the sentence's first role; null without one).  Sentences that bind nobody have no row."""
     keys = ["text"] if known is None else ["text", "_known"]
-
-    def read(texts: DataFrame) -> DataFrame:
-        rows = texts.select(*keys, F.posexplode_outer(t.sentences(F.col("text"))).alias("pos", "statement")).where("statement is not null")
-        rows = rows.select("*", F.explode_outer(facts.modalities(F.col("statement"))).alias("modality")).where("modality is not null")
-        found = facts.roles(F.col("statement"), None if known is None else F.col("_known"))
-        return rows.select(*keys, "pos", "statement", "modality", F.get(found, F.lit(0)).alias("actor"))
-
     rows = units.select(unit, F.col(text).alias("text"), *([] if known is None else [F.coalesce(known, F.array().cast("array<string>")).alias("_known")]))
-    return per_text(rows, read, keys).select(unit, "pos", "statement", "modality", "actor")
+    return per_text(rows, lambda texts: _bound(texts, keys, None if known is None else F.col("_known")), keys).select(unit, "pos", "statement", "modality", "actor")
 
 
 def role_rows(units: DataFrame, text: str = "text") -> DataFrame:
@@ -48,17 +48,20 @@ def term_rows(units: DataFrame, text: str = "text") -> DataFrame:
     return per_text(rows, found).drop("text")
 
 
-def known_roles(units: DataFrame, doc: list[str], text: str = "text") -> DataFrame:
-    """Per document: roles (those its units name, and defined terms that are roles, with their abbreviations) and full (a map from abbreviation to term; of several the first in order)."""
-    named = units.select(*doc, text).distinct()
-    terms = term_rows(named, text).distinct()
-    # A document that names no role has an empty list.
-    named = role_rows(named, text).unionByName(units.select(*doc, F.lit(None).cast("string").alias("role")).distinct())
-    is_role = F.col("term").rlike(f"^{facts.ROLE}$") | F.col("term").isin(*facts.COMMON_ROLES)
-    spelled = terms.where(is_role).select(*doc, F.explode(F.array("term", "abbr")).alias("role"))
-    roles = named.unionByName(spelled).groupBy(*doc).agg(F.array_sort(F.collect_set("role")).alias("roles"))
-    full = terms.groupBy(*doc, "abbr").agg(F.min("term").alias("term")).groupBy(*doc).agg(F.map_from_entries(F.collect_list(F.struct("abbr", "term"))).alias("full"))
-    return roles.join(full, doc, "left").withColumn("full", F.coalesce("full", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))))
+def known_roles(units: DataFrame, doc: list[str]) -> DataFrame:
+    """Per document: roles (those its units name, and defined terms that are roles, with their abbreviations; sorted) and full ({abbr, term} of all defined terms; of several terms the first in order).
+
+    units: doc, named (roles of its text), terms ({term, abbr}).  Names are summed up in tasks before they are shuffled, once.
+    """
+    none = F.lit(None).cast("string")
+    is_role = lambda d: d["term"].rlike(f"^{facts.ROLE}$") | d["term"].isin(*facts.COMMON_ROLES)
+    spelled = F.flatten(F.transform(F.filter("terms", is_role), lambda d: F.array(d["term"], d["abbr"])))
+    said = F.concat(F.transform(F.array_union("named", spelled), lambda r: F.struct(r.alias("role"), none.alias("abbr"), none.alias("term"))), F.transform("terms", lambda d: F.struct(none.alias("role"), d["abbr"].alias("abbr"), d["term"].alias("term"))))
+    each = units.select(*doc, F.explode_outer(said).alias("s"))
+    pair = F.when(F.col("s.abbr").isNotNull(), F.struct("s.abbr", "s.term"))
+    known = each.groupBy(*doc).agg(F.sort_array(F.collect_set("s.role")).alias("roles"), F.sort_array(F.collect_set(pair)).alias("_pairs"))
+    abbrs = F.array_distinct(F.transform("_pairs", lambda x: x["abbr"]))
+    return known.select(*doc, "roles", F.transform(abbrs, lambda k: F.get(F.filter("_pairs", lambda x: x["abbr"] == k), F.lit(0))).alias("full"))
 
 
 def extract_facts(units: DataFrame, doc: list[str], unit: str, text: str = "text") -> DataFrame:
@@ -66,23 +69,34 @@ def extract_facts(units: DataFrame, doc: list[str], unit: str, text: str = "text
 
     Values have their kind; obligations the modality as kind, the statement as raw and the actor as normalized (future ones are no obligations); terms the abbreviation as kind; roles their
     canonical form.  Blank units have none.  What a document knows as roles is collected from all its units first, a list of distinct names.
+
+    Texts are read once each and have a number from then on.  Of what a document knows, only what stands in a text (or in a sentence of it) matters for it; a text is read once more with each such list, for
+    all its facts.  Units carry numbers and lists, through one shuffle, and meet their facts at the end.
     """
     doc = list(doc)
     rows = units.where(F.trim(F.coalesce(text, F.lit(""))) != "").select(*doc, unit, F.col(text).alias("text"))
     none = F.lit(None).cast("string")
-    values = facts.value_rows(rows, repeated=True).select(*doc, unit, F.lit("value").alias("fact"), "v.kind", "v.raw", "v.normalized")
-    terms = term_rows(rows).select(*doc, unit, F.lit("term").alias("fact"), F.col("abbr").alias("kind"), F.col("term").alias("raw"), F.col("term").alias("normalized"))
-    # Of a document's roles only those that stand in a text, or in a sentence of it, matter for it; a text is read once with each such list.
-    shown = lambda texts: texts.select("text", F.concat_ws("\n", "text", t.clean_text(F.col("text")), F.transform(t.sentences(F.col("text")), t.clean_text)).alias("_shown"))
-    known = known_roles(rows, doc)
-    met = per_text(rows, shown).join(known, doc, "left").withColumn("roles", F.coalesce(F.filter("roles", lambda r: F.contains("_shown", r)), F.array().cast("array<string>"))).drop("_shown")
-    named = lambda texts: texts.select("text", "roles", F.explode_outer(facts.roles(F.col("text"), F.col("roles"))).alias("role")).where("role is not null")
-    role = per_text(met, named, ["text", "roles"]).select(*doc, unit, "full", "role")
-    role = role.select(*doc, unit, F.lit("role").alias("fact"), none.alias("kind"), F.col("role").alias("raw"), facts.canonical_role(F.col("role"), F.col("full")).alias("normalized"))
-    key = F.struct(*doc, unit)
-    bound = obligations(met.select(key.alias("_key"), "text", "roles"), "_key", known=F.col("roles")).where("modality <> 'future'")
-    bound = bound.select(*[F.col(f"_key.{c}").alias(c) for c in (*doc, unit)], F.lit("obligation").alias("fact"), F.col("modality").alias("kind"), F.col("statement").alias("raw"), F.col("actor").alias("normalized"))
-    return values.unionByName(bound).unionByName(terms).unionByName(role)
+    read = facts.with_values(rows.select("text").distinct(), "text", "_values").select(
+        F.monotonically_increasing_id().alias("_id"), "text", "_values", facts.roles(F.col("text")).alias("named"), facts.defined_terms(F.col("text")).alias("terms"),
+        F.concat_ws("\n", "text", t.clean_text(F.col("text")), F.transform(t.sentences(F.col("text")), t.clean_text)).alias("_shown"),
+    )
+    read = stored(read, "texts")
+    known = known_roles(rows.join(read.select("text", "named", "terms"), "text"), doc)
+    met = rows.join(read.select("text", "_id"), "text").drop("text").join(known.hint("merge"), doc, "left").join(read.select("_id", "_shown"), "_id")
+    shown = lambda c, of: F.coalesce(F.filter(c, lambda x: F.contains("_shown", of(x))), F.filter(F.array().cast(known.schema[c].dataType), lambda x: F.lit(True)))
+    met = stored(met.select(*doc, unit, "_id", shown("roles", lambda r: r).alias("roles"), shown("full", lambda x: x["abbr"]).alias("full")), "met-texts")
+
+    key = ["_id", "roles", "full"]
+    texts = met.select(*key).distinct().join(read, "_id")
+    fact = lambda name, kind, raw, normalized: F.struct(F.lit(name).alias("fact"), kind.alias("kind"), raw.alias("raw"), normalized.alias("normalized"))
+    canonical = lambda r: facts.canonical_role(r, F.map_from_entries("full"))
+    plain = F.concat(
+        F.transform("_values", lambda v: fact("value", v["kind"], v["raw"], v["normalized"])), F.transform("terms", lambda d: fact("term", d["abbr"], d["term"], d["term"])),
+        F.transform(facts.roles(F.col("text"), F.col("roles")), lambda r: fact("role", none, r, canonical(r))),
+    )
+    bound = _bound(texts, key, F.col("roles")).where("modality <> 'future'").select(*key, F.array(fact("obligation", F.col("modality"), F.col("statement"), F.col("actor"))).alias("_facts"))
+    said = texts.select(*key, plain.alias("_facts")).unionByName(bound).groupBy(*key).agg(F.flatten(F.collect_list("_facts")).alias("_facts"))
+    return met.join(stored(said, "facts"), key).select(*doc, unit, F.explode("_facts").alias("_f")).select(*doc, unit, "_f.*")
 
 
 def set_diff(source: DataFrame, claims: DataFrame, key: str, value: str) -> DataFrame:

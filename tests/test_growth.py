@@ -208,3 +208,17 @@ def test_known_terms_do_not_pass_the_driver(spark):
     got = terms.find_terms(counts, known)
     assert "Broadcast" not in physical(got)
     assert sorted(r.term for r in got.collect()) == ["blue foxe", "tinned box"]
+
+
+def test_facts_meet_their_units_once(spark, sf, monkeypatch):
+    """Units travel once, without texts, to meet what their document knows; no table is read or pattern run in the step that gives facts."""
+    seen = {}
+
+    def stored(table, label):
+        seen[label] = physical(table)
+        return loops.stored(table, label)
+
+    monkeypatch.setattr(preservation, "stored", stored)
+    got = plans.QUERIES["k2b_document_facts"](spark, sf)
+    assert plan(got).count("Join ") == 1 and "lineitem" not in physical(got) and "regexp" not in plan(got)
+    assert seen["met-texts"].count("Exchange hash") == 2
