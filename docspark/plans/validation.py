@@ -23,14 +23,15 @@ def slot_plan(spark, sf):
     li = i.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("section"), F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey").alias("unit"), F.col("l_linenumber").alias("seq"), (F.col("l_suppkey") * 7 % 9).alias("k"), F.col("l_partkey").alias("pos")).join(orders.hint("merge"), "section").distinct()
     li = stored(li, "slot-items")
     here = F.col("section") % 11 > 0
-    placed = li.where((F.col("k") < 6) & here).groupBy("doc", "section", F.when(F.col("k") < 5, F.col("k")).alias("slot"), "unit").agg(F.min("pos").alias("pos"))
-    moved = li.where("k = 8").groupBy("doc", (F.col("section") + 1).alias("section"), F.lit(0).cast("long").alias("slot"), "unit").agg(F.min("pos").alias("pos"))
+    # Items are distinct, a unit's name holds its place and number, and slots are numbers of suppliers below 6: no selection of them says anything twice but the scope, whose copies count once.
+    placed = li.where((F.col("k") < 6) & here).select("doc", "section", F.when(F.col("k") < 5, F.col("k")).alias("slot"), "unit", "pos")
+    moved = li.where("k = 8").select("doc", (F.col("section") + 1).alias("section"), F.lit(0).cast("long").alias("slot"), "unit", "pos")
     slots = orders.withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(4).cast("long"))))
     k = (F.col("section") + F.col("slot")) % 7
     status = F.when(k == 0, "source_content_not_found").when(k == 1, "needs_review").when(k == 2, "not_applicable").otherwise("mapped")
     mappings = slots.where(here & ((F.col("section") + F.col("slot")) % 13 > 0)).withColumn("status", status).withColumn("review", F.col("section") % 5 == 0)
-    scope = li.groupBy("doc", "section", "unit").agg(F.min("seq").alias("seq"))
-    return scope, slots.withColumn("required", F.col("slot") != 1).withColumn("grp", F.when(F.col("slot").isin(2, 3), "g")), mappings, placed.unionByName(moved), li.where((F.col("k") == 6) & here).select("doc", "section", "unit").distinct()
+    scope = li.select("doc", "section", "unit", "seq")
+    return scope, slots.withColumn("required", F.col("slot") != 1).withColumn("grp", F.when(F.col("slot").isin(2, 3), "g")), mappings, placed.unionByName(moved), li.where((F.col("k") == 6) & here).select("doc", "section", "unit")
 
 
 ISSUES = f"""{SLOTS}, sections AS (SELECT DISTINCT doc, section FROM sl), touched AS (SELECT doc, section FROM mappings UNION SELECT doc, section FROM placed UNION SELECT doc, section FROM unplaced), known AS (SELECT * FROM sections SEMI JOIN touched USING (doc, section)),
